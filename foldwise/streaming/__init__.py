@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The modelled toolkit has no stream source, no watermark and no stateful
+operator; time-series cross validation is explicitly unsupported there.
+Every job in this package is a bounded batch job over keyed tables.
+"""
