@@ -65,3 +65,201 @@ SELECT id, user_id, fold FROM f""")
 def q_group_folds(spark, sf):
     f, _, _ = _folded(spark, sf, "grp")
     return f.select("id", "user_id", "fold")
+
+
+# ---------------------------------------------------------------- target encoding
+from foldwise.operators.encode import fit_target_encoding  # noqa: E402
+
+
+def _te(spark, sf, task="bin", col="user_id", inner_groups=False):
+    t, spec = T.load_task(spark, sf, task)
+    tr = T.train_rows(t)
+    if task == "grp":
+        tr = tr.withColumn("hour", F.hour("ts"))
+    f = FO.assign_folds(tr, spec)
+    enc = fit_target_encoding(
+        f, [col], spec.n_folds, smoothing=spec.te_smoothing, seed=spec.seed, problem_type=spec.problem_type,
+        group_keys=spec.group_keys if inner_groups else (),
+    )
+    return enc, f, t
+
+
+@query("te_oof_train", f"""WITH {S.te_ctes('bin', 'user_id', 'StratifiedKFold', 'strat')}
+SELECT id, k, round(te, 6) AS user_id_te FROM te""")
+def q_te_oof_train(spark, sf):
+    enc, _, _ = _te(spark, sf)
+    return enc.train.select("id", "k", r6("user_id_te").alias("user_id_te"))
+
+
+@query("te_map", f"""WITH {S.te_ctes('bin', 'user_id', 'StratifiedKFold', 'strat')}
+SELECT map.k, map.user_id, round(map.enc, 6) AS enc, CAST(map.n AS BIGINT) AS n, round(pr.prior, 6) AS prior
+FROM map JOIN pr ON map.k = pr.k""")
+def q_te_map(spark, sf):
+    enc, _, _ = _te(spark, sf)
+    m = enc.maps["user_id"].join(enc.priors, "k")
+    return m.select("k", "user_id", r6("enc").alias("enc"), "n", r6("prior").alias("prior"))
+
+
+@query("te_valid", f"""WITH {S.te_ctes('bin', 'user_id', 'StratifiedKFold', 'strat')}
+SELECT f.id, f.fold AS k, round(coalesce(map.enc, pr.prior), 6) AS user_id_te
+FROM f JOIN pr ON pr.k = f.fold LEFT JOIN map ON map.k = f.fold AND map.user_id = f.user_id""")
+def q_te_valid(spark, sf):
+    enc, f, _ = _te(spark, sf)
+    return enc.valid(f).select("id", "k", r6("user_id_te").alias("user_id_te"))
+
+
+@query("te_apply_test", f"""WITH {S.te_ctes('bin', 'user_id', 'StratifiedKFold', 'strat')}
+SELECT t.id, pr.k, round(coalesce(map.enc, pr.prior), 6) AS user_id_te
+FROM t CROSS JOIN pr LEFT JOIN map ON map.k = pr.k AND map.user_id = t.user_id WHERE t.part = 'test'""")
+def q_te_apply_test(spark, sf):
+    enc, _, t = _te(spark, sf)
+    return enc.test(T.test_rows(t)).select("id", "k", r6("user_id_te").alias("user_id_te"))
+
+
+@query("te_group_aware", f"""WITH {S.te_ctes('grp', 'hour', 'GroupKFold', 'group').replace(
+    "t AS (" + S.TASKS['grp'] + ")", "t AS (SELECT *, hour(ts) AS hour FROM (" + S.TASKS['grp'] + "))")}
+SELECT id, k, round(te, 6) AS hour_te FROM te""")
+def q_te_group_aware(spark, sf):
+    enc, _, _ = _te(spark, sf, "grp", "hour", inner_groups=True)
+    return enc.train.select("id", "k", r6("hour_te").alias("hour_te"))
+
+
+@query("te_regression", f"""WITH {S.te_ctes('reg', 'o_custkey', 'KFold', 'plain')}
+SELECT id, k, round(te, 6) AS o_custkey_te FROM te""")
+def q_te_regression(spark, sf):
+    enc, _, _ = _te(spark, sf, "reg", "o_custkey")
+    return enc.train.select("id", "k", r6("o_custkey_te").alias("o_custkey_te"))
+
+
+# ---------------------------------------------------------------- metrics
+from foldwise.operators import metrics as M  # noqa: E402
+from foldwise.operators.labels import fit_label_map  # noqa: E402
+from foldwise.sources import members as MB  # noqa: E402
+
+EPS = 2.220446049250313e-16
+
+
+def _syn_oof(spark, sf, ties=True, names=("p1", "p2", "p3")):
+    """(member, id, fold, y, p) over the train rows of the planted-signal task."""
+    f, spec, t = _folded(spark, sf, "syn")
+    m = MB.binary_members(f, names=names, ties=ties)
+    return m.join(f.select("id", "fold", "y"), "id"), f, t
+
+
+def _reg_oof(spark, sf):
+    f, spec, t = _folded(spark, sf, "reg")
+    m = MB.regression_members(f)
+    return m.join(f.select("id", "fold", "y"), "id"), f
+
+
+def _mc_oof(spark, sf):
+    t, spec = T.load_task(spark, sf, "mc")
+    lm = fit_label_map(spark, T.train_rows(t))
+    tc = lm.encode(t)
+    f = FO.assign_folds(T.train_rows(tc), spec)
+    mm = MB.multiclass_members(tc, lm.n_classes)
+    return mm.join(f.select("id", "fold", "code"), "id"), lm, tc, f
+
+
+SYN_OOF = f"""{S.folded('syn')},
+m AS ({S.bin_members('f', ties=True)}),
+mo AS (SELECT m.member, m.id, f.fold, f.y, m.p FROM m JOIN f ON m.id = f.id)"""
+REG_OOF = f"""{S.folded('reg', strategy='KFold')},
+m AS ({S.reg_members('f')}),
+mo AS (SELECT m.member, m.id, f.fold, f.y, m.p FROM m JOIN f ON m.id = f.id)"""
+MC_OOF = f"""{S.mc_ctes()},
+f AS (SELECT *, {S.strat_fold(5, 42, 'code')} AS fold FROM tc WHERE part = 'train'),
+mo AS (SELECT mm.member, mm.id, f.fold, f.code, mm.probs FROM mm JOIN f ON mm.id = f.id)"""
+
+
+@query("auc_by_fold", f"""WITH {SYN_OOF}
+SELECT member, CAST(fold AS INTEGER) AS fold, round(auc, 6) AS auc FROM {S.auc_sql('mo', 'member, fold')}""")
+def q_auc_by_fold(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    return M.auc(mo, ["member", "fold"]).select("member", "fold", r6("auc").alias("auc"))
+
+
+@query("oof_score", f"""WITH {SYN_OOF}
+SELECT member, round(auc, 6) AS auc FROM {S.auc_sql('mo', 'member')}""")
+def q_oof_score(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    return M.auc(mo, ["member"]).select("member", r6("auc").alias("auc"))
+
+
+@query("cv_summary", f"""WITH {SYN_OOF}, fs AS (SELECT * FROM {S.auc_sql('mo', 'member, fold')})
+SELECT member, round(avg(auc), 6) AS cv_mean, round(stddev_pop(auc), 6) AS cv_std, count(*) AS n_folds
+FROM fs GROUP BY member""")
+def q_cv_summary(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    return M.cv_summary(M.auc(mo, ["member", "fold"], out="score"), ["member"])
+
+
+@query("logloss_by_fold", f"""WITH {SYN_OOF}
+SELECT member, fold, round(avg(-(y * ln(least(greatest(p, {EPS}), 1 - {EPS}))
+  + (1 - y) * ln(1 - least(greatest(p, {EPS}), 1 - {EPS})))), 6) AS logloss FROM mo GROUP BY member, fold""")
+def q_logloss_by_fold(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    return M.logloss(mo, ["member", "fold"]).select("member", "fold", r6("logloss").alias("logloss"))
+
+
+@query("accuracy_by_fold", f"""WITH {SYN_OOF}
+SELECT member, fold, round(avg(CAST(CAST(p > 0.5 AS INTEGER) = y AS DOUBLE)), 6) AS accuracy
+FROM mo GROUP BY member, fold""")
+def q_accuracy_by_fold(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    return M.accuracy(mo, ["member", "fold"]).select("member", "fold", r6("accuracy").alias("accuracy"))
+
+
+@query("rmse_by_fold", f"""WITH {REG_OOF}
+SELECT member, fold, round(sqrt(avg(pow(y - p, 2))), 6) AS rmse FROM mo GROUP BY member, fold""")
+def q_rmse_by_fold(spark, sf):
+    mo, _ = _reg_oof(spark, sf)
+    return M.rmse(mo, ["member", "fold"]).select("member", "fold", r6("rmse").alias("rmse"))
+
+
+@query("mae_by_fold", f"""WITH {REG_OOF}
+SELECT member, fold, round(avg(abs(y - p)), 6) AS mae FROM mo GROUP BY member, fold""")
+def q_mae_by_fold(spark, sf):
+    mo, _ = _reg_oof(spark, sf)
+    return M.mae(mo, ["member", "fold"]).select("member", "fold", r6("mae").alias("mae"))
+
+
+@query("mc_logloss", f"""WITH {MC_OOF},
+c AS (SELECT member, fold, code, list_transform(probs, lambda x: least(greatest(x, {EPS}), 1 - {EPS})) AS cp FROM mo)
+SELECT member, fold, round(avg(-ln(list_extract(cp, code + 1) / list_sum(cp))), 6) AS logloss FROM c GROUP BY member, fold""")
+def q_mc_logloss(spark, sf):
+    mo, _, _, _ = _mc_oof(spark, sf)
+    return M.mc_logloss(mo, ["member", "fold"]).select("member", "fold", r6("logloss").alias("logloss"))
+
+
+@query("balanced_accuracy", f"""WITH {MC_OOF},
+h AS (SELECT member, fold, code, CAST(list_position(probs, list_max(probs)) - 1 = code AS DOUBLE) AS hit FROM mo),
+rc AS (SELECT member, fold, code, avg(hit) AS rec FROM h GROUP BY member, fold, code)
+SELECT member, fold, round(avg(rec), 6) AS balanced_accuracy FROM rc GROUP BY member, fold""")
+def q_balanced_accuracy(spark, sf):
+    mo, _, _, _ = _mc_oof(spark, sf)
+    return M.balanced_accuracy(mo, ["member", "fold"], y="code", p="probs").select(
+        "member", "fold", r6("balanced_accuracy").alias("balanced_accuracy"))
+
+
+@query("mc_accuracy_by_fold", f"""WITH {MC_OOF}
+SELECT member, fold, round(avg(CAST(list_position(probs, list_max(probs)) - 1 = code AS DOUBLE)), 6) AS accuracy
+FROM mo GROUP BY member, fold""")
+def q_mc_accuracy_by_fold(spark, sf):
+    mo, _, _, _ = _mc_oof(spark, sf)
+    return M.accuracy(mo, ["member", "fold"], y="code", p="probs", multiclass=True).select(
+        "member", "fold", r6("accuracy").alias("accuracy"))
+
+
+# ---------------------------------------------------------------- minimum slice
+from foldwise.plans.slice import minimum_slice  # noqa: E402
+
+
+@query("slice_auc", f"""WITH {S.te_ctes('bin', 'user_id', 'StratifiedKFold', 'strat')},
+oof AS (SELECT f.id, f.fold, f.y, coalesce(map.enc, pr.prior) AS p
+        FROM f JOIN pr ON pr.k = f.fold LEFT JOIN map ON map.k = f.fold AND map.user_id = f.user_id),
+fs AS (SELECT * FROM {S.auc_sql('oof', 'fold')})
+SELECT round(avg(auc), 6) AS cv_mean, round(stddev_pop(auc), 6) AS cv_std, count(*) AS n_folds FROM fs""")
+def q_slice_auc(spark, sf):
+    _, fold_auc = minimum_slice(spark, sf)
+    return M.cv_summary(fold_auc)

@@ -54,3 +54,83 @@ f AS (SELECT tr.*, gr.fold FROM tr JOIN gr ON tr.user_id IS NOT DISTINCT FROM gr
     strata = "y" if strategy == "StratifiedKFold" else None
     return f"""t AS ({TASKS[task]}),
 f AS (SELECT *, {strat_fold(n, seed, strata)} AS fold FROM t WHERE part = 'train')"""
+
+
+def te_ctes(task: str, col: str, strategy: str, inner: str, n: int = 5, n_inner: int = 5,
+            smoothing: float = 20.0, seed: int = 42) -> str:
+    """CTEs of nested target encoding: f, L (row x outer k, inner j), pr, cell, enc, map."""
+    if inner == "group":
+        jdef = f"""Lg AS (SELECT k, user_id, count(*) AS gn FROM L GROUP BY k, user_id),
+Lgr AS (SELECT k, user_id, CAST((row_number() OVER (PARTITION BY k ORDER BY gn DESC,
+        md5(coalesce(CAST(user_id AS VARCHAR), '')), user_id NULLS FIRST) - 1) % {n_inner} AS INTEGER) AS j FROM Lg),
+Lj AS (SELECT L.*, Lgr.j FROM L JOIN Lgr ON L.k = Lgr.k AND L.user_id IS NOT DISTINCT FROM Lgr.user_id)"""
+    else:
+        strata = "y" if inner == "strat" else None
+        jdef = f"""Lj AS (SELECT *, {strat_fold(n_inner, seed, strata, part='k').replace(H('id', seed), H('id', seed, 'k'))} AS j FROM L)"""
+    sm = float(smoothing)
+    return f"""{folded(task, n, seed, strategy)},
+L AS (SELECT f.*, CAST(r.range AS INTEGER) AS k FROM f CROSS JOIN range({n}) r WHERE r.range <> f.fold),
+{jdef},
+pr AS (SELECT k, avg(CAST(y AS DOUBLE)) AS prior FROM Lj GROUP BY k),
+cell AS (SELECT k, {col}, j, sum(CAST(y AS DOUBLE)) AS s, count(*) AS n FROM Lj WHERE {col} IS NOT NULL GROUP BY k, {col}, j),
+enc AS (SELECT a.k, a.{col}, a.j, coalesce(sum(b.s), 0) AS S, coalesce(sum(b.n), 0) AS N
+        FROM cell a LEFT JOIN cell b ON a.k = b.k AND a.{col} = b.{col} AND a.j <> b.j GROUP BY a.k, a.{col}, a.j),
+map AS (SELECT cell.k, cell.{col}, (sum(cell.s) + any_value(pr.prior) * {sm}) / (sum(cell.n) + {sm}) AS enc,
+        sum(cell.n) AS n FROM cell JOIN pr ON cell.k = pr.k GROUP BY cell.k, cell.{col}),
+te AS (SELECT Lj.id, Lj.fold, Lj.k, CASE WHEN enc.N > 0 THEN (enc.S + pr.prior * {sm}) / (enc.N + {sm}) ELSE pr.prior END AS te
+       FROM Lj JOIN pr ON Lj.k = pr.k LEFT JOIN enc ON Lj.k = enc.k AND Lj.{col} = enc.{col} AND Lj.j = enc.j)"""
+
+
+BIN_MEMBERS = {
+    "p1": f"0.5 * {U('id', 'a')} + 0.5 * {U('id', 'm1')}",
+    "p2": f"0.5 * {U('id', 'a')} + 0.5 * {U('id', 'm2')}",
+    "p3": f"{U('id', 'm3')}",
+    "p4": f"0.8 * {U('id', 'a')} + 0.2 * {U('id', 'm1')}",
+}
+
+
+def bin_members(src: str = "t", names=("p1", "p2", "p3"), ties: bool = False) -> str:
+    parts = [f"SELECT '{n}' AS member, id, {BIN_MEMBERS[n]} AS p FROM {src}" for n in names]
+    if ties:
+        parts.append(f"SELECT 'p1r' AS member, id, round({BIN_MEMBERS['p1']}, 2) AS p FROM {src}")
+    return " UNION ALL ".join(parts)
+
+
+def reg_members(src: str = "t") -> str:
+    return " UNION ALL ".join([
+        f"SELECT 'r1' AS member, id, y * (0.9 + 0.2 * {U('id', 'm1')}) AS p FROM {src}",
+        f"SELECT 'r2' AS member, id, y * (0.9 + 0.2 * {U('id', 'm2')}) AS p FROM {src}",
+        f"SELECT 'r3' AS member, id, y * (0.5 + {U('id', 'm3')}) AS p FROM {src}",
+    ])
+
+
+MC_BOOST = {"c1": 0.6, "c2": 0.4, "c3": 0.0}
+
+
+def mc_ctes() -> str:
+    """CTEs: t (mc task), lm (label map of train labels), tc (coded rows), mm (members)."""
+    parts = []
+    for name, b in MC_BOOST.items():
+        raw = (f"list_transform(range((SELECT count(*) FROM lm)), lambda k: "
+               f"{U(chr(40) + 'CAST(id AS VARCHAR) || :' + chr(41), name)})")
+        raw = (f"list_transform(range((SELECT count(*) FROM lm)), lambda k: "
+               f"(('0x' || substring(md5(CAST(id AS VARCHAR) || ':' || CAST(k AS VARCHAR) || ':{name}'), 1, 8))::BIGINT"
+               f" / 4294967296.0) + CASE WHEN k = code THEN {b} ELSE 0.0 END)")
+        parts.append(f"SELECT '{name}' AS member, id, {raw} AS raw FROM tc")
+    return f"""t AS ({TASKS['mc']}),
+lm AS (SELECT y AS label, CAST(row_number() OVER (ORDER BY y) - 1 AS INTEGER) AS code
+       FROM (SELECT DISTINCT y FROM t WHERE part = 'train')),
+tc AS (SELECT t.*, lm.code FROM t JOIN lm ON t.y = lm.label),
+mr AS ({' UNION ALL '.join(parts)}),
+mm AS (SELECT member, id, list_transform(raw, lambda x: x / list_sum(raw)) AS probs FROM mr)"""
+
+
+def auc_sql(src: str, keys: str) -> str:
+    """AUC per keys over ``src`` (keys..., y, p)."""
+    k = keys + ", " if keys else ""
+    part = f"PARTITION BY {keys} " if keys else ""
+    grp = f"GROUP BY {keys}" if keys else ""
+    return f"""(WITH g AS (SELECT {k}p, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY {k}p),
+r AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
+SELECT {k}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) END AS auc
+FROM r {grp})"""
