@@ -125,3 +125,61 @@ def quantile_bucket(
         lambda pos, st: F.when(F.element_at(F.col("_edges"), pos + st) < v, pos + st).otherwise(pos),
     )
     return joined.withColumn(out, search).drop("_edges")
+
+
+def range_chunk(
+    df: DataFrame,
+    key: Sequence[Column],
+    n_chunks: int,
+    oversample: int = 20,
+    seed: int = 17,
+) -> Column:
+    """Chunk id in [0, n_chunks) that is non-decreasing in the composite ``key``.
+
+    Bounds are taken from a bounded sample of keys (about n_chunks *
+    oversample rows reach the driver), so a key range holding many rows is
+    cut into many chunks. Unlike ``spark_partition_id()`` after a range
+    shuffle, the id is a pure function of the row: every branch of a plan
+    that recomputes it gets the same chunk.
+    """
+    kstruct = F.struct(*[k.alias(f"c{i}") for i, k in enumerate(key)])
+    n_rows = df.count()
+    if n_rows == 0 or n_chunks <= 1:
+        return F.lit(0)
+    frac = min(1.0, n_chunks * oversample / n_rows)
+    sample = df.select(kstruct.alias("k")).sample(False, frac, seed).limit(n_chunks * oversample * 2).collect()
+    keys = sorted((tuple(r["k"]) for r in sample), key=_sort_key)
+    if not keys:
+        return F.lit(0)
+    bounds = []
+    for i in range(1, n_chunks):
+        b = keys[min(len(keys) - 1, (i * len(keys)) // n_chunks)]
+        if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
+            bounds.append(b)
+    if not bounds:
+        return F.lit(0)
+    types = [f.dataType for f in df.select(kstruct.alias("k")).schema["k"].dataType.fields]
+    lits = F.array(*[
+        F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds
+    ])
+    m = 1
+    while m < len(bounds) + 1:
+        m *= 2
+    steps = []
+    s = m // 2
+    while s >= 1:
+        steps.append(s)
+        s //= 2
+    size = len(bounds)
+    # number of bounds <= key, by binary search over the sorted literal array
+    return F.aggregate(
+        F.array(*[F.lit(x) for x in steps]),
+        F.lit(0),
+        lambda pos, st: F.when((pos + st <= size) & (F.element_at(lits, F.least(pos + st, F.lit(size))) <= kstruct),
+                               pos + st).otherwise(pos),
+    )
+
+
+def _sort_key(t):
+    # Spark struct order: NULL first, then values ascending
+    return tuple((v is not None, v) for v in t)

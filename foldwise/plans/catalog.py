@@ -263,3 +263,51 @@ SELECT round(avg(auc), 6) AS cv_mean, round(stddev_pop(auc), 6) AS cv_std, count
 def q_slice_auc(spark, sf):
     _, fold_auc = minimum_slice(spark, sf)
     return M.cv_summary(fold_auc)
+
+
+# ---------------------------------------------------------------- past-only windows
+from foldwise.operators.history import past_features  # noqa: E402
+
+_W_EV = "PARTITION BY user_id ORDER BY ts NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
+def _past(spark, sf, agg):
+    t = T.bin_task(spark, sf)
+    out = past_features(t, "value", ["user_id"], "ts", aggs=[agg], exact_scale=6)
+    return out.select("id", r6(f"value_past_{agg}").alias(f"value_past_{agg}"))
+
+
+def _past_sql(fn, agg):
+    return f"""WITH t AS ({S.TASKS['bin']})
+SELECT id, round({fn}(value) OVER ({_W_EV}), 6) AS value_past_{agg} FROM t"""
+
+
+_EXACT = {
+    "mean": f"CAST(sum(CAST(value AS DECIMAL(38,6))) OVER ({_W_EV}) AS DOUBLE) / count(value) OVER ({_W_EV})",
+    "sum": f"CAST(sum(CAST(value AS DECIMAL(38,6))) OVER ({_W_EV}) AS DOUBLE)",
+}
+for _agg, _fn in [("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min", "min"), ("sum", "sum")]:
+    _sql = _past_sql(_fn, _agg)
+    if _agg in _EXACT:
+        _sql = f"""WITH t AS ({S.TASKS['bin']})
+SELECT id, round({_EXACT[_agg]}, 6) AS value_past_{_agg} FROM t"""
+    query(f"past_{_agg}", _sql)(lambda spark, sf, a=_agg: _past(spark, sf, a))
+
+_W_ORD = "PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, id"
+
+
+@query("group_lag", f"""WITH t AS ({S.TASKS['reg']})
+SELECT id, round(lag(y, 1) OVER ({_W_ORD}), 6) AS y_lag1, round(lag(y, 3) OVER ({_W_ORD}), 6) AS y_lag3 FROM t""")
+def q_group_lag(spark, sf):
+    t = T.reg_task(spark, sf)
+    out = past_features(t, "y", ["o_custkey"], "o_orderdate", aggs=[], lags=[1, 3])
+    return out.select("id", r6("y_lag1").alias("y_lag1"), r6("y_lag3").alias("y_lag3"))
+
+
+@query("group_cumcount", f"""WITH t AS ({S.TASKS['reg']})
+SELECT id, row_number() OVER ({_W_ORD}) - 1 AS cumcount,
+  round(avg(y) OVER ({_W_ORD} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS y_past_mean FROM t""")
+def q_group_cumcount(spark, sf):
+    t = T.reg_task(spark, sf)
+    out = past_features(t, "y", ["o_custkey"], "o_orderdate", aggs=["mean"], cumcount=True)
+    return out.select("id", "cumcount", r6("y_past_mean").alias("y_past_mean"))
