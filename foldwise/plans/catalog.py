@@ -311,3 +311,177 @@ def q_group_cumcount(spark, sf):
     t = T.reg_task(spark, sf)
     out = past_features(t, "y", ["o_custkey"], "o_orderdate", aggs=["mean"], cumcount=True)
     return out.select("id", "cumcount", r6("y_past_mean").alias("y_past_mean"))
+
+
+# ---------------------------------------------------------------- profile / schema / vocab
+from foldwise.functions import scalar as X  # noqa: E402
+from foldwise.operators import blend as BL  # noqa: E402
+from foldwise.operators import profile as PR  # noqa: E402
+from foldwise.operators import vocab as VO  # noqa: E402
+from foldwise.operators.features import apply_builders  # noqa: E402
+
+
+@query("cat_target_rate", f"""WITH t AS ({S.TASKS['imb']})
+SELECT lang, round(avg(CAST(y AS DOUBLE)), 6) AS rate, count(*) AS n,
+  round((SELECT avg(CAST(y AS DOUBLE)) FROM t), 6) AS overall FROM t WHERE lang IS NOT NULL GROUP BY lang""")
+def q_cat_target_rate(spark, sf):
+    r = PR.cat_target_rate(T.imb_task(spark, sf), "lang")
+    return r.select("lang", r6("rate").alias("rate"), "n", r6("overall").alias("overall"))
+
+
+@query("num_hist_by_class", f"""WITH t AS ({S.TASKS['bin']}),
+rg AS (SELECT min(value) AS lo, max(value) AS hi FROM t),
+b AS (SELECT t.y, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 50), 49) END AS INTEGER) AS bin,
+        lo, CASE WHEN hi = lo THEN 1.0 ELSE (hi - lo) / 50 END AS w FROM t, rg WHERE value IS NOT NULL),
+c AS (SELECT y, bin, lo, w, count(*) AS cnt FROM b GROUP BY y, bin, lo, w),
+cn AS (SELECT y, count(*) AS n FROM t WHERE value IS NOT NULL GROUP BY y)
+SELECT c.y, c.bin, round(lo + bin * w, 6) AS lo, cnt AS count, round(cnt / (n * w), 6) AS density FROM c JOIN cn ON c.y = cn.y""")
+def q_num_hist_by_class(spark, sf):
+    h = PR.num_hist_by_class(T.bin_task(spark, sf), "value", "y", bins=50)
+    return h.select("y", "bin", r6("lo").alias("lo"), "count", r6("density").alias("density"))
+
+
+def _profile_sql():
+    cols = [("id", "bigint"), ("y", "int"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
+            ("part", "string")]
+    sel = []
+    for c, ty in cols:
+        sel.append(f"""SELECT '{c}' AS feature, '{ty}' AS dtype, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null,
+  CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct,
+  (SELECT CAST({c} AS VARCHAR) FROM t ORDER BY id LIMIT 1) AS first_value,
+  (SELECT CAST({c} AS VARCHAR) FROM t ORDER BY id LIMIT 1 OFFSET 1) AS second_value FROM t""")
+    return f"WITH t AS ({S.TASKS['imb']})\n" + "\nUNION ALL\n".join(sel)
+
+
+@query("profile", _profile_sql())
+def q_profile(spark, sf):
+    return PR.profile(T.imb_task(spark, sf))
+
+
+@query("category_vocab", f"""WITH t AS ({S.TASKS['imb']}),
+u AS (SELECT 'lang' AS col, lang AS value FROM t UNION SELECT 'source' AS col, source AS value FROM t)
+SELECT col, value, CAST(row_number() OVER (PARTITION BY col ORDER BY value) - 1 AS INTEGER) AS code
+FROM u WHERE value IS NOT NULL""")
+def q_category_vocab(spark, sf):
+    t = T.imb_task(spark, sf)
+    return VO.category_vocab([T.train_rows(t), T.test_rows(t), t.where("part = 'source'")], ["lang", "source"])
+
+
+@query("category_codes", f"""WITH t AS ({S.TASKS['imb']}),
+u AS (SELECT DISTINCT source AS value FROM t WHERE part IN ('train', 'source') AND source IS NOT NULL),
+v AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INTEGER) AS code FROM u)
+SELECT t.id, v.code AS source_code FROM t LEFT JOIN v ON t.source = v.value""")
+def q_category_codes(spark, sf):
+    t = T.imb_task(spark, sf)
+    vocab = VO.category_vocab([T.train_rows(t), t.where("part = 'source'")], ["source"])
+    return VO.category_codes(t, vocab, ["source"]).select("id", "source_code")
+
+
+@query("augment_train", f"""WITH {S.folded('bin')},
+s AS (SELECT y, user_id, value FROM t WHERE part = 'source'),
+k AS (SELECT CAST(range AS INTEGER) AS k FROM range(5))
+SELECT k.k, f.id, f.y, 1.0 AS w FROM f JOIN k ON f.fold <> k.k
+UNION ALL SELECT k.k, NULL AS id, s.y, 0.5 AS w FROM s CROSS JOIN k""")
+def q_augment_train(spark, sf):
+    f, spec, t = _folded(spark, sf, "bin")
+    src = VO.align_source(T.source_rows(t), ["user_id", "value"], "y")
+    ks = spark.range(spec.n_folds).select(F.col("id").cast("int").alias("k"))
+    trk = f.join(F.broadcast(ks), f["fold"] != ks["k"])
+    aug = VO.augment_train(trk.select("k", "id", "y", "user_id", "value"), src.crossJoin(F.broadcast(ks)), weight=0.5)
+    return aug.select("k", "id", "y", "w")
+
+
+@query("source_align", f"""WITH t AS ({S.TASKS['bin']})
+SELECT y, user_id, round(value, 6) AS value FROM t WHERE part = 'source'""")
+def q_source_align(spark, sf):
+    t = T.bin_task(spark, sf)
+    s = VO.align_source(T.source_rows(t), ["user_id", "value"], "y")
+    return s.select("y", "user_id", r6("value").alias("value"))
+
+
+@query("feature_cols", f"""WITH t AS ({S.TASKS['bin']})
+SELECT user_id, round(value, 6) AS value FROM t WHERE part = 'train'""")
+def q_feature_cols(spark, sf):
+    t, spec = T.load_task(spark, sf, "bin")
+    tr = T.train_rows(t).drop("ts")
+    feats = spec.feature_cols(tr.columns)
+    return tr.select(*feats).withColumn("value", r6("value"))
+
+
+@query("feature_builder", f"""WITH t AS ({S.TASKS['bin']})
+SELECT id, CAST(CAST(value IS NULL AS INTEGER) + CAST(user_id IS NULL AS INTEGER) AS SMALLINT) AS num_missing,
+  round(CAST(CAST(value / (user_id + 1e-6) AS FLOAT) AS DOUBLE), 6) AS value_over_user_id FROM t""")
+def q_feature_builder(spark, sf):
+    t = T.bin_task(spark, sf)
+    b = apply_builders(t, "row_example", numeric=["value", "user_id"], ratio=("value", "user_id"))
+    return b.select("id", "num_missing", r6(F.col("value_over_user_id").cast("double")).alias("value_over_user_id"))
+
+
+@query("num_missing", f"""WITH t AS ({S.TASKS['imb']})
+SELECT id, CAST(CAST(n_chars IS NULL AS INTEGER) + CAST(y IS NULL AS INTEGER) AS SMALLINT) AS num_missing FROM t""")
+def q_num_missing(spark, sf):
+    from foldwise.operators.features import num_missing
+    return T.imb_task(spark, sf).select("id", num_missing(["n_chars", "y"]).alias("num_missing"))
+
+
+@query("safe_ratio", f"""WITH t AS ({S.TASKS['imb']})
+SELECT id, round(CAST(CAST(n_chars / (CAST(y AS DOUBLE) + 1e-6) AS FLOAT) AS DOUBLE), 6) AS n_chars_over_y FROM t""")
+def q_safe_ratio(spark, sf):
+    from foldwise.operators.features import safe_ratio
+    t = T.imb_task(spark, sf)
+    return t.select("id", r6(safe_ratio("n_chars", "y").cast("double")).alias("n_chars_over_y"))
+
+
+@query("label_encode", f"""WITH {S.mc_ctes()}
+SELECT id, code FROM tc""")
+def q_label_encode(spark, sf):
+    t = T.mc_task(spark, sf)
+    lm = fit_label_map(spark, T.train_rows(t))
+    return lm.encode(t).select("id", "code")
+
+
+@query("argmax_label", f"""WITH {S.mc_ctes()}
+SELECT mm.member, mm.id, lm.label AS label FROM mm JOIN lm ON list_position(mm.probs, list_max(mm.probs)) - 1 = lm.code""")
+def q_argmax_label(spark, sf):
+    _, lm, tc, _ = _mc_oof(spark, sf)
+    mm = MB.multiclass_members(tc, lm.n_classes).withColumn("pred_code", X.argmax_code("probs"))
+    return lm.decode(mm, "pred_code", "label").select("member", "id", "label")
+
+
+@query("fold_slice", f"""WITH {S.folded('bin')}, k AS (SELECT CAST(range AS INTEGER) AS k FROM range(5))
+SELECT k.k, count(*) FILTER (WHERE f.fold <> k.k) AS n_train, count(*) FILTER (WHERE f.fold = k.k) AS n_valid,
+  round(avg(CAST(f.y AS DOUBLE)) FILTER (WHERE f.fold <> k.k), 6) AS train_rate
+FROM k CROSS JOIN f GROUP BY k.k""")
+def q_fold_slice(spark, sf):
+    f, spec, _ = _folded(spark, sf, "bin")
+    per = f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_fold"), F.sum("y").alias("pos_fold"))
+    tot = per.agg(F.sum("n_fold").alias("n_all"), F.sum("pos_fold").alias("pos_all"))  # one row
+    r = per.crossJoin(F.broadcast(tot))
+    n_train = F.col("n_all") - F.col("n_fold")
+    return r.select(F.col("fold").alias("k"), n_train.alias("n_train"), F.col("n_fold").alias("n_valid"),
+                    r6((F.col("pos_all") - F.col("pos_fold")) / n_train).alias("train_rate"))
+
+
+@query("screening_folds", f"""WITH {S.folded('bin')}
+SELECT id, fold FROM f WHERE fold < 2""")
+def q_screening_folds(spark, sf):
+    f, _, _ = _folded(spark, sf, "bin")
+    return FO.screening_folds(f, 2).select("id", "fold")
+
+
+@query("logit", f"""WITH {S.folded('syn')}, m AS ({S.bin_members('f')})
+SELECT member, id, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))), 6) AS z FROM m""")
+def q_logit(spark, sf):
+    f, _, _ = _folded(spark, sf, "syn")
+    m = MB.binary_members(f)
+    return m.select("member", "id", r6(X.logit("p")).alias("z"))
+
+
+@query("rank_mean", f"""WITH {S.folded('syn')}, m AS ({S.bin_members('f')}),
+mo AS (SELECT m.member, m.id, f.fold, m.p FROM m JOIN f ON m.id = f.id),
+r AS (SELECT member, id, fold, (rank() OVER (PARTITION BY fold, member ORDER BY p) - 1
+        + (count(*) OVER (PARTITION BY fold, member, p) + 1) / 2.0) / count(*) OVER (PARTITION BY fold, member) AS rr FROM mo)
+SELECT id, round(avg(rr), 6) AS oof FROM r GROUP BY id""")
+def q_rank_mean(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    return BL.rank_mean(mo, ["fold"]).select("id", r6("p").alias("oof"))
