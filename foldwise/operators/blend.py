@@ -42,7 +42,8 @@ def rank_mean(members: DataFrame, set_keys: Sequence[str], id_col: str = "id", m
     r = average_rank(members, [*K, member_col], p, out="_rank")
     n = members.groupBy(*K, member_col).agg(F.count(F.lit(1)).alias("_n"))
     r = r.join(n, [*K, member_col]).withColumn("_rr", F.col("_rank") / F.col("_n"))
-    return r.groupBy(*K, id_col).agg(F.avg("_rr").alias(out))
+    # rounded to 12 digits: equal rank means must tie whatever the addition order
+    return r.groupBy(*K, id_col).agg(F.round(F.avg("_rr"), 12).alias(out))
 
 
 def mc_blend_equal(members: DataFrame, n_classes: int, id_col: str = "id", probs: str = "probs",

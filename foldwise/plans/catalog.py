@@ -481,7 +481,260 @@ def q_logit(spark, sf):
 mo AS (SELECT m.member, m.id, f.fold, m.p FROM m JOIN f ON m.id = f.id),
 r AS (SELECT member, id, fold, (rank() OVER (PARTITION BY fold, member ORDER BY p) - 1
         + (count(*) OVER (PARTITION BY fold, member, p) + 1) / 2.0) / count(*) OVER (PARTITION BY fold, member) AS rr FROM mo)
-SELECT id, round(avg(rr), 6) AS oof FROM r GROUP BY id""")
+SELECT id, round(round(avg(rr), 12), 6) AS oof FROM r GROUP BY id""")
 def q_rank_mean(spark, sf):
     mo, _, _ = _syn_oof(spark, sf, ties=False)
     return BL.rank_mean(mo, ["fold"]).select("id", r6("p").alias("oof"))
+
+
+# ---------------------------------------------------------------- members / simple blends
+from foldwise.operators import members as MM  # noqa: E402
+from foldwise.functions.scalar import uniform  # noqa: E402
+import numpy as np  # noqa: E402
+
+MEMBERS3 = ["p1", "p2", "p3"]
+
+
+@query("member_matrix", f"""WITH {SYN_OOF}
+SELECT id, round(max(p) FILTER (WHERE member = 'p1'), 6) AS p1, round(max(p) FILTER (WHERE member = 'p2'), 6) AS p2,
+  round(max(p) FILTER (WHERE member = 'p3'), 6) AS p3 FROM mo WHERE member <> 'p1r' GROUP BY id""")
+def q_member_matrix(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    mx = MM.member_matrix(mo, MEMBERS3)
+    return mx.select("id", *[r6(m).alias(m) for m in MEMBERS3])
+
+
+def _misaligned(f, t):
+    """p1 clean; p2 with ~1% ids twice; p3 without ~1% ids and with ~1% test ids."""
+    m = MB.binary_members(f)
+    dup = m.where((F.col("member") == "p2") & (uniform("id", "dup") < 0.01))
+    p3 = m.where((F.col("member") != "p3") | (uniform("id", "miss") >= 0.01))
+    extra = MB.binary_members(T.test_rows(t), names=("p3",)).where(uniform("id", "extra") < 0.01)
+    return p3.unionByName(dup).unionByName(extra)
+
+
+@query("id_align_check", f"""WITH {S.folded('syn')}, m0 AS ({S.bin_members('f')}),
+m AS (SELECT * FROM m0 WHERE member <> 'p3' OR {S.U('id', 'miss')} >= 0.01
+      UNION ALL SELECT * FROM m0 WHERE member = 'p2' AND {S.U('id', 'dup')} < 0.01
+      UNION ALL SELECT 'p3' AS member, id, {S.BIN_MEMBERS['p3']} AS p FROM t WHERE part = 'test' AND {S.U('id', 'extra')} < 0.01),
+pi AS (SELECT member, id, count(*) AS c FROM m GROUP BY member, id),
+ml AS (SELECT * FROM (VALUES ('p1'), ('p2'), ('p3')) v(member))
+SELECT ml.member,
+  CAST(coalesce((SELECT sum(c) FROM pi WHERE pi.member = ml.member), 0) AS BIGINT) AS n_rows,
+  CAST((SELECT count(*) FROM pi WHERE pi.member = ml.member AND c > 1) AS BIGINT) AS n_dup_ids,
+  CAST((SELECT count(*) FROM f WHERE NOT EXISTS (SELECT 1 FROM pi WHERE pi.member = ml.member AND pi.id = f.id)) AS BIGINT) AS n_missing,
+  CAST((SELECT count(*) FROM pi WHERE pi.member = ml.member AND NOT EXISTS (SELECT 1 FROM f WHERE f.id = pi.id)) AS BIGINT) AS n_extra
+FROM ml""")
+def q_id_align_check(spark, sf):
+    f, _, t = _folded(spark, sf, "syn")
+    return MM.alignment_report(_misaligned(f, t), f.select("id"), MEMBERS3)
+
+
+def _corr_sql(members, src="w"):
+    rows = []
+    for a in members:
+        for b in members:
+            v = ("CASE WHEN stddev_pop({a}) > 0 THEN 1.0 END".format(a=a) if a == b else
+                 f"CASE WHEN stddev_pop({a}) * stddev_pop({b}) > 0 THEN covar_pop({a}, {b}) / (stddev_pop({a}) * stddev_pop({b})) END")
+            rows.append(f"SELECT '{a}' AS member_a, '{b}' AS member_b, round({v}, 4) AS corr FROM {src}")
+    return " UNION ALL ".join(rows)
+
+
+@query("oof_corr", f"""WITH {SYN_OOF},
+w AS (SELECT id, max(p) FILTER (WHERE member = 'p1') AS p1, max(p) FILTER (WHERE member = 'p2') AS p2,
+  max(p) FILTER (WHERE member = 'p3') AS p3, 0.5 AS p5 FROM mo GROUP BY id)
+{_corr_sql(['p1', 'p2', 'p3', 'p5'])}""")
+def q_oof_corr(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    mx = MM.member_matrix(mo, MEMBERS3).withColumn("p5", F.lit(0.5))
+    return MM.correlation(mx, MEMBERS3 + ["p5"])
+
+
+@query("member_scores", f"""WITH {SYN_OOF}, a AS (SELECT * FROM {S.auc_sql('mo', 'member')})
+SELECT a.member, round(a.auc, 6) AS auc, round(l.logloss, 6) AS logloss FROM a JOIN
+ (SELECT member, avg(-(y * ln(least(greatest(p, {EPS}), 1 - {EPS})) + (1 - y) * ln(1 - least(greatest(p, {EPS}), 1 - {EPS})))) AS logloss
+  FROM mo GROUP BY member) l ON a.member = l.member""")
+def q_member_scores(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf)
+    s = M.auc(mo, ["member"]).join(M.logloss(mo, ["member"]), "member")
+    return s.select("member", r6("auc").alias("auc"), r6("logloss").alias("logloss"))
+
+
+@query("blend_equal", f"""WITH {SYN_OOF}
+SELECT id, round(avg(p), 6) AS oof FROM mo WHERE member <> 'p1r' GROUP BY id""")
+def q_blend_equal(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    return BL.blend_equal(mo, out="oof").select("id", r6("oof").alias("oof"))
+
+
+@query("mc_blend_equal", f"""WITH {MC_OOF},
+e AS (SELECT mo.id, u.k, u.v FROM mo, unnest(mo.probs) WITH ORDINALITY AS u(v, k)),
+a AS (SELECT id, k, avg(v) AS a FROM e GROUP BY id, k)
+SELECT id, CAST(k - 1 AS INTEGER) AS code, round(a / sum(a) OVER (PARTITION BY id), 6) AS p FROM a""")
+def q_mc_blend_equal(spark, sf):
+    mo, lm, _, _ = _mc_oof(spark, sf)
+    b = BL.mc_blend_equal(mo, lm.n_classes)
+    return b.select("id", F.posexplode("probs").alias("code", "p")).select("id", "code", r6("p").alias("p"))
+
+
+@query("test_pred_mean", f"""WITH t AS ({S.TASKS['syn']}), k AS (SELECT range AS k FROM range(5)),
+tp AS (SELECT t.id, 0.5 * {S.U('t.id', 'a')} + 0.5 * (('0x' || substring(md5(CAST(t.id AS VARCHAR) || ':' || CAST(k.k AS VARCHAR) || ':tp'), 1, 8))::BIGINT / 4294967296.0) AS p
+       FROM t CROSS JOIN k WHERE t.part = 'test')
+SELECT id, round(avg(p), 6) AS p FROM tp GROUP BY id""")
+def q_test_pred_mean(spark, sf):
+    t = T.syn_task(spark, sf)
+    te = T.test_rows(t).select("id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    key = F.concat(F.col("id").cast("string"), F.lit(":"), F.col("k").cast("string"))
+    tp = te.select("id", "k", (0.5 * uniform("id", "a") + 0.5 * uniform(key, "tp")).alias("p"))
+    return tp.groupBy("id").agg(r6(F.avg("p")).alias("p"))
+
+
+# ---------------------------------------------------------------- fitted blends / stacking
+from foldwise.plans import stack as ST  # noqa: E402
+from foldwise.operators import solvers as SV  # noqa: E402
+
+
+def _syn_stack_inputs(spark, sf, names=("p1", "p2", "p3")):
+    f, spec, t = _folded(spark, sf, "syn")
+    oof_long = MB.binary_members(f, names=names)
+    test_long = MB.binary_members(T.test_rows(t), names=names)
+    return oof_long, test_long, f.select("id", "fold", "y"), spec
+
+
+def _reg_stack_inputs(spark, sf):
+    f, spec, t = _folded(spark, sf, "reg")
+    return MB.regression_members(f), MB.regression_members(T.test_rows(t)), f.select("id", "fold", "y"), spec
+
+
+def _mc_stack_inputs(spark, sf):
+    t, spec = T.load_task(spark, sf, "mc")
+    lm = fit_label_map(spark, T.train_rows(t))
+    tc = lm.encode(t)
+    f = FO.assign_folds(T.train_rows(tc), spec)
+    return (MB.multiclass_members(f, lm.n_classes), MB.multiclass_members(T.test_rows(tc), lm.n_classes),
+            f.select("id", "fold", "code"), spec, lm)
+
+
+def _weights_df(spark, W, members, kind="w"):
+    rows = [(q, m, float(W[q][j])) for q in range(len(W)) for j, m in enumerate(members)]
+    return spark.createDataFrame(rows, f"problem int, member string, {kind} double")
+
+
+META_OOF_SQL = f"""WITH {SYN_OOF},
+eq AS (SELECT id, fold, any_value(y) AS y, avg(p) AS p FROM mo WHERE member <> 'p1r' GROUP BY id, fold),
+r AS (SELECT member, id, fold, y, (rank() OVER (PARTITION BY fold, member ORDER BY p) - 1
+        + (count(*) OVER (PARTITION BY fold, member, p) + 1) / 2.0) / count(*) OVER (PARTITION BY fold, member) AS rr
+      FROM mo WHERE member <> 'p1r'),
+rm AS (SELECT id, any_value(y) AS y, round(avg(rr), 12) AS p FROM r GROUP BY id),
+sc AS (SELECT 'equal' AS meta, auc AS oof_score FROM {S.auc_sql('eq', '')}
+       UNION ALL SELECT 'rank_mean' AS meta, auc AS oof_score FROM {S.auc_sql('rm', '')})"""
+
+
+def _meta_oof_scores(spark, sf):
+    oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
+    rows = []
+    for name in ("equal", "rank_mean"):
+        oof, _, _ = ST.meta_binary_or_regression(name, oof_long, test_long, train, MEMBERS3, 5, "binary")
+        rows.append(M.auc(oof, []).select(F.lit(name).alias("meta"), F.col("auc").alias("oof_score")))
+    return rows[0].unionByName(rows[1])
+
+
+@query("meta_oof", META_OOF_SQL + "\nSELECT meta, round(oof_score, 6) AS oof_score FROM sc")
+def q_meta_oof(spark, sf):
+    return _meta_oof_scores(spark, sf).select("meta", r6("oof_score").alias("oof_score"))
+
+
+@query("best_meta", META_OOF_SQL + "\nSELECT arg_max(meta, oof_score) AS best_meta, round(max(oof_score), 6) AS oof_score FROM sc")
+def q_best_meta(spark, sf):
+    s = _meta_oof_scores(spark, sf)
+    return s.agg(F.max_by("meta", "oof_score").alias("best_meta"), r6(F.max("oof_score")).alias("oof_score"))
+
+
+@query("meta_scores")
+def q_meta_scores(spark, sf):
+    oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
+    res = ST.stack(oof_long, test_long, train, MEMBERS3, 5, "binary", "auc", spec.cv_label())
+    return spark.createDataFrame([(n, round(s, 6)) for n, s in res.scores], "meta string, oof_score double")
+
+
+@query("blend_convex_logloss")
+def q_blend_convex_logloss(spark, sf):
+    oof_long, _, train, _ = _syn_stack_inputs(spark, sf)
+    X = MM.member_matrix(oof_long, MEMBERS3).join(train, "id")
+    W, loss, grad, passes = SV.convex_logloss_fit(X, MEMBERS3, "y", "fold", 5, kind="binary")
+    return _weights_df(spark, np.round(W, 6), MEMBERS3)
+
+
+@query("blend_convex_mse")
+def q_blend_convex_mse(spark, sf):
+    oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
+    ms = ["r1", "r2", "r3"]
+    X = MM.member_matrix(oof_long, ms).join(train, "id")
+    S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
+    W = np.array([SV.mse_simplex_fit(S[q], 3) for q in range(6)])
+    return _weights_df(spark, np.round(W, 6), ms)
+
+
+@query("blend_linear")
+def q_blend_linear(spark, sf):
+    oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
+    ms = ["r1", "r2", "r3"]
+    X = MM.member_matrix(oof_long, ms).join(train, "id")
+    S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
+    B = np.array([SV.ols_fit(S[q], 3) for q in range(6)])
+    return _weights_df(spark, np.round(B, 6), ["intercept"] + ms, "coef")
+
+
+@query("blend_logistic")
+def q_blend_logistic(spark, sf):
+    oof_long, _, train, _ = _syn_stack_inputs(spark, sf)
+    X = MM.member_matrix(oof_long, MEMBERS3).join(train, "id")
+    zs = [f"z_{m}" for m in MEMBERS3]
+    Xz = X.select("id", "fold", "y", *[X_logit(m).alias(z) for m, z in zip(MEMBERS3, zs)])
+    B, grad, passes = SV.logistic_fit(Xz, zs, "y", "fold", 5, C=1.0)
+    return _weights_df(spark, np.round(B, 6), ["intercept"] + MEMBERS3, "coef")
+
+
+X_logit = X.logit
+
+
+@query("mc_blend_convex")
+def q_mc_blend_convex(spark, sf):
+    oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
+    oof, test, det = ST.meta_multiclass("nnls", oof_long, test_long, train, ["c1", "c2", "c3"], 5, lm.n_classes)
+    return _weights_df(spark, np.round(det["weights"], 6), ["c1", "c2", "c3"])
+
+
+@query("mc_blend_multinomial")
+def q_mc_blend_multinomial(spark, sf):
+    oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
+    oof, test, det = ST.meta_multiclass("multinomial", oof_long, test_long, train, ["c1", "c2", "c3"], 5, lm.n_classes)
+    return oof.select("id", "fold", F.posexplode("probs").alias("code", "p"))
+
+
+def _stack_q(spark, res, mc=False):
+    b = res.best
+    if mc:
+        return b.oof.select("id", F.posexplode("probs").alias("code", "p")).withColumn("meta", F.lit(b.name))
+    return b.oof.select("id", F.col("p").alias("oof"), F.lit(b.name).alias("meta"))
+
+
+@query("stack_binary")
+def q_stack_binary(spark, sf):
+    oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
+    return _stack_q(spark, ST.stack(oof_long, test_long, train, MEMBERS3, 5, "binary", "auc", spec.cv_label()))
+
+
+@query("stack_regression")
+def q_stack_regression(spark, sf):
+    oof_long, test_long, train, spec = _reg_stack_inputs(spark, sf)
+    return _stack_q(spark, ST.stack(oof_long, test_long, train, ["r1", "r2", "r3"], 5, "regression", "rmse",
+                                    spec.cv_label()))
+
+
+@query("stack_multiclass")
+def q_stack_multiclass(spark, sf):
+    oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
+    res = ST.stack(oof_long, test_long, train, ["c1", "c2", "c3"], 5, "multiclass", "logloss", spec.cv_label(),
+                   n_classes=lm.n_classes)
+    return _stack_q(spark, res, mc=True)
