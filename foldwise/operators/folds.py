@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.rank import global_row_number
+from foldwise.operators.rank import default_hex_digits, global_row_number
 from foldwise.spec import TaskSpec
 
 
@@ -48,13 +48,14 @@ def rank_folds(
     partition_by: Sequence[str] = (),
     salt: Sequence = (),
     fold_col: str = "fold",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Add ``fold`` = (row number over (strata, md5(id:seed[:salt]), id) - 1) mod n.
 
     ``partition_by`` ranks independently inside each partition (used by the
     inner folds of nested encoding, partitioned by outer fold k).
     """
+    digits = digits or default_hex_digits(df.sparkSession)
     h = seeded_hash(id_col, seed, *salt)
     tmp = df.withColumn("_h", h).withColumn("_hb", F.substring("_h", 1, digits))
     bucket = ([strata] if strata else []) + ["_hb"]
@@ -69,7 +70,7 @@ def group_folds(
     *,
     partition_by: Sequence[str] = (),
     fold_col: str = "fold",
-    digits: int = 3,
+    digits: int | None = None,
 ) -> DataFrame:
     """Group k-fold: whole groups per fold, balanced by dealing large groups first.
 
@@ -80,6 +81,7 @@ def group_folds(
     missing = [k for k in group_keys if k not in df.columns]
     if missing:
         raise ValueError(f"group keys missing from the table: {missing}")
+    digits = digits or default_hex_digits(df.sparkSession)
     P, G = list(partition_by), list(group_keys)
     sizes = df.groupBy(*P, *G).agg(F.count(F.lit(1)).alias("_gn"))
     sizes = (

@@ -23,7 +23,7 @@ DIRECTIONS = {"auc": True, "logloss": False, "rmse": False, "mae": False, "accur
 
 
 def auc(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", out: str = "auc",
-        n_buckets: int = 1024) -> DataFrame:
+        n_buckets: int | None = None) -> DataFrame:
     """Area under the ROC curve per key; NULL when a group has one class."""
     K = list(keys)
     g = df.groupBy(*K, p).agg(

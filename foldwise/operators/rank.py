@@ -28,6 +28,29 @@ def maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
     return df
 
 
+def default_buckets(spark, per_partition: int = 8, lo: int = 64, hi: int = 65536) -> int:
+    """Power-of-two bucket count scaled with the configured shuffle parallelism.
+
+    Buckets are the units of parallel work of the second-level windows, so
+    a cluster configured for more shuffle partitions gets more (smaller)
+    buckets; the small per-bucket tables stay far below broadcast size.
+    """
+    sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = lo
+    while n < min(hi, sp * per_partition):
+        n *= 2
+    return n
+
+
+def default_hex_digits(spark) -> int:
+    """Hex digits of a hash prefix giving about 32 buckets per shuffle partition."""
+    target = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    d = 2
+    while 16 ** d < target and d < 6:
+        d += 1
+    return d
+
+
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
@@ -93,7 +116,7 @@ def quantile_bucket(
     df: DataFrame,
     value: str,
     partition_by: Sequence[str] = (),
-    n_buckets: int = 1024,
+    n_buckets: int | None = None,
     out: str = "_qb",
     accuracy: int = 10000,
     bound_partitions: int | None = None,
@@ -106,6 +129,7 @@ def quantile_bucket(
     bucket is a valid coarsening of the value order; approximate edges only
     affect bucket balance, never correctness.
     """
+    n_buckets = n_buckets or default_buckets(df.sparkSession)
     if n_buckets & (n_buckets - 1):
         raise ValueError("n_buckets must be a power of two")
     P = list(partition_by)

@@ -738,3 +738,124 @@ def q_stack_multiclass(spark, sf):
     res = ST.stack(oof_long, test_long, train, ["c1", "c2", "c3"], 5, "multiclass", "logloss", spec.cv_label(),
                    n_classes=lm.n_classes)
     return _stack_q(spark, res, mc=True)
+
+
+# ---------------------------------------------------------------- run logs / ledger / views
+from foldwise.operators import runs as RU  # noqa: E402
+from foldwise.plans import experiments as EX  # noqa: E402
+
+RUNS = S.runs_ctes()
+
+
+@query("log_table", f"""WITH {RUNS}
+SELECT exp_id, model, cv_mean, cv_std, lb_score, CAST(n_feat AS INTEGER) AS n_feat, feature_builder,
+  substring(notes, 1, 60) AS notes, timestamp FROM logs""")
+def q_log_table(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return RU.flatten_logs(raw)
+
+
+@query("log_record", f"""WITH {RUNS}
+SELECT exp_id, cv_strategy, cv_mean, cv_std, len(cv_scores) AS k, round(list_sum(cv_scores), 6) AS sum_scores,
+  list_max(best_iters) AS max_iter FROM rec""")
+def q_log_record(spark, sf):
+    rec = RU.log_records(EX.run_fold_scores(spark, sf), EX.run_table(spark))
+    return rec.select("exp_id", "cv_strategy", "cv_mean", "cv_std", F.size("cv_scores").alias("k"),
+                      r6(F.aggregate("cv_scores", F.lit(0.0), lambda a, x: a + x)).alias("sum_scores"),
+                      F.array_max("best_iters").alias("max_iter"))
+
+
+@query("ledger_sync", f"""WITH {RUNS}
+SELECT exp_id, lb_score FROM logs""")
+def q_ledger_sync(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return raw.select("exp_id", "lb_score")
+
+
+@query("leaderboard", f"""WITH {RUNS}
+SELECT exp_id, cv_mean, lb_score, CAST(row_number() OVER (ORDER BY cv_mean DESC NULLS LAST, exp_id) AS INTEGER) AS position FROM logs""")
+def q_leaderboard(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    lb = RU.leaderboard(RU.flatten_logs(raw), "cv_mean", "auc")
+    return lb.select("exp_id", "cv_mean", "lb_score", "position")
+
+
+@query("log_filter", f"""WITH {RUNS}
+SELECT exp_id, model FROM logs WHERE lower(model) = 'lgbm' AND contains(exp_id, 'exp_') AND exp_id <> 'exp_006'""")
+def q_log_filter(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return RU.log_filter(raw, "LgBm", "exp_", exclude="exp_006").select("exp_id", "model")
+
+
+@query("recent_runs", f"""WITH {RUNS}
+SELECT exp_id, timestamp FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
+ORDER BY timestamp DESC NULLS LAST, exp_id LIMIT 3""")
+def q_recent_runs(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return RU.recent_runs(RU.log_filter(raw, "lgbm", exclude="exp_007"), 3).select("exp_id", "timestamp")
+
+
+@query("anchor_run", f"""WITH {RUNS}
+SELECT exp_id, 'named' AS kind FROM logs WHERE exp_id = 'exp_003'
+UNION ALL
+(SELECT exp_id, 'recent' AS kind FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
+ ORDER BY timestamp DESC NULLS LAST, exp_id LIMIT 1)""")
+def q_anchor_run(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    group = RU.log_filter(raw, "lgbm", exclude="exp_007")
+    named = RU.anchor_run(raw, group, "exp_003").select("exp_id", F.lit("named").alias("kind"))
+    recent = RU.anchor_run(raw, group, "no_such_run").select("exp_id", F.lit("recent").alias("kind"))
+    return named.unionByName(recent)
+
+
+@query("fold_noise", f"""WITH {RUNS},
+e AS (SELECT exp_id, unnest(cv_scores) AS s FROM logs)
+SELECT exp_id, count(s) AS k, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS std,
+  round(stddev_samp(s) / sqrt(count(s)), 6) AS se FROM e GROUP BY exp_id HAVING count(s) >= 2""")
+def q_fold_noise(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    n = RU.fold_noise(raw)
+    return n.select("exp_id", "k", r6("mean").alias("mean"), r6("std").alias("std"), r6("se").alias("se"))
+
+
+@query("noise_floor", f"""WITH {RUNS},
+e AS (SELECT exp_id, unnest(cv_scores) AS s FROM logs WHERE exp_id = 'exp_001'),
+a AS (SELECT count(s) AS k, stddev_samp(s) / sqrt(count(s)) AS se FROM e),
+g AS (SELECT count(cv_mean) AS n_group, min(cv_mean) AS g_min, max(cv_mean) AS g_max, stddev_samp(cv_mean) AS g_std
+      FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_001' AND cv_mean IS NOT NULL)
+SELECT 'exp_001' AS anchor, a.k, round(a.se, 6) AS se, round(2 * a.se, 6) AS two_se, g.n_group,
+  round(g.g_max - g.g_min, 6) AS g_spread, round(g.g_std, 6) AS g_std FROM a, g""")
+def q_noise_floor(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    anchor = raw.where(F.col("exp_id") == "exp_001")
+    group = RU.log_filter(raw, "lgbm", exclude="exp_001")
+    nf = RU.noise_floor(anchor, group)
+    return nf.select("anchor", "k", r6("se").alias("se"), r6("two_se").alias("two_se"), "n_group",
+                     r6("g_spread").alias("g_spread"), r6("g_std").alias("g_std"))
+
+
+@query("unconverged_folds", f"""WITH {RUNS},
+e AS (SELECT exp_id, unnest(best_iters) AS best_iter, unnest(range(len(best_iters))) AS fold FROM logs)
+SELECT exp_id, CAST(fold AS INTEGER) AS fold, best_iter FROM e WHERE best_iter >= {EX.ITER_CAP - 1}""")
+def q_unconverged_folds(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return RU.unconverged_folds(raw, EX.ITER_CAP).select("exp_id", "fold", "best_iter")
+
+
+@query("regime_check", f"""WITH {RUNS},
+sets AS (SELECT * FROM (VALUES ('a', 'exp_001'), ('a', 'exp_002'), ('b', 'exp_001'), ('b', 'exp_003'),
+  ('c', 'exp_001'), ('c', 'exp_005'), ('d', 'exp_001'), ('d', 'exp_404')) v(s, exp_id)),
+j AS (SELECT sets.s, logs.cv_strategy FROM sets LEFT JOIN logs ON sets.exp_id = logs.exp_id),
+a AS (SELECT s, count(*) FILTER (WHERE cv_strategy IS NULL) AS n_missing, count(DISTINCT coalesce(cv_strategy, '')) AS n_labels,
+        any_value(cv_strategy) AS label FROM j GROUP BY s)
+SELECT s AS member_set, CASE WHEN n_missing > 0 THEN 'fallback' WHEN n_labels > 1 THEN 'mismatch'
+  WHEN regexp_matches(label, '^(StratifiedKFold|KFold|GroupKFold)_[0-9]+$') THEN 'ok' ELSE 'fallback' END AS status FROM a""")
+def q_regime_check(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    sets = {"a": ["exp_001", "exp_002"], "b": ["exp_001", "exp_003"], "c": ["exp_001", "exp_005"],
+            "d": ["exp_001", "exp_404"]}
+    out = None
+    for name, ms in sets.items():
+        r = RU.resolve_regime(raw, ms, ("StratifiedKFold", 5)).select(F.lit(name).alias("member_set"), "status")
+        out = r if out is None else out.unionByName(r)
+    return out

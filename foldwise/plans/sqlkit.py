@@ -134,3 +134,52 @@ def auc_sql(src: str, keys: str) -> str:
 r AS (SELECT *, coalesce(sum(neg) OVER ({part}ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM g)
 SELECT {k}CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (nb + neg / 2.0)) / (sum(pos) * sum(neg)) END AS auc
 FROM r {grp})"""
+
+
+RUN_PLAN_SQL_COLS = "exp_id, model, member, n_folds, folds_run, ts, notes, fb"
+
+
+def runs_ctes() -> str:
+    """CTEs: fs (exp_id, fold, score, best_iter), rp (run plan), logs (flat raw), led (ledger)."""
+    from foldwise.plans.experiments import ITER_CAP, LEDGER_PLAN, RUN_PLAN
+
+    def q(x):
+        return "NULL" if x is None else ("'" + str(x).replace("'", "''") + "'" if isinstance(x, str) else str(x))
+    rp = ", ".join("(" + ", ".join(q(v) for v in r) + ")" for r in RUN_PLAN)
+    lp = ", ".join("(" + ", ".join(q(v) if not isinstance(v, bool) else str(v).upper() for v in r) + ")"
+                   for r in LEDGER_PLAN)
+    mem = " UNION ALL ".join(
+        [f"SELECT '{n}' AS member, id, {BIN_MEMBERS[n]} AS p FROM {{src}}" for n in ("p1", "p2", "p3", "p4")]
+        + [f"SELECT 'equal' AS member, id, ({BIN_MEMBERS['p1']} + {BIN_MEMBERS['p2']}) / 2 AS p FROM {{src}}"])
+    return f"""t AS ({TASKS['syn']}),
+tr AS (SELECT * FROM t WHERE part = 'train'),
+f5 AS (SELECT id, y, {strat_fold(5)} AS fold, 5 AS n_folds FROM tr),
+f7 AS (SELECT id, y, {strat_fold(7)} AS fold, 7 AS n_folds FROM tr),
+ff AS (SELECT * FROM f5 UNION ALL SELECT * FROM f7),
+ml AS ({mem.format(src='tr')}),
+mo AS (SELECT ml.member, ff.n_folds, ff.fold, ff.y, ml.p FROM ml JOIN ff ON ml.id = ff.id),
+pf AS (SELECT * FROM {auc_sql("(SELECT * FROM mo WHERE member <> 'equal')", 'member, n_folds, fold')}),
+pe AS (SELECT member, n_folds, 0 AS fold, auc FROM {auc_sql("(SELECT * FROM mo WHERE member = 'equal')", 'member, n_folds')}),
+sc AS (SELECT * FROM pf UNION ALL SELECT * FROM pe),
+rp AS (SELECT * FROM (VALUES {rp}) v({RUN_PLAN_SQL_COLS})),
+fs AS (SELECT rp.exp_id, sc.fold, sc.auc AS score,
+         CASE WHEN NOT starts_with(rp.model, 'stack') THEN CAST(least(floor(sc.auc * 1200), {ITER_CAP - 1}) AS INTEGER) END AS best_iter
+       FROM rp JOIN sc ON rp.member = sc.member AND rp.n_folds = sc.n_folds
+       WHERE rp.folds_run IS NULL OR sc.fold < rp.folds_run),
+rec AS (SELECT rp.exp_id, rp.model, rp.ts AS timestamp, rp.notes, rp.fb AS feature_builder,
+          'StratifiedKFold_' || rp.n_folds || CASE WHEN rp.folds_run IS NOT NULL THEN '_partial' || rp.folds_run ELSE '' END AS cv_strategy,
+          list(round(fs.score, 6) ORDER BY fs.fold) AS cv_scores, list(fs.best_iter ORDER BY fs.fold) AS best_iters,
+          round(avg(fs.score), 6) AS cv_mean, round(stddev_pop(fs.score), 6) AS cv_std, 2 AS n_feat
+        FROM rp JOIN fs ON rp.exp_id = fs.exp_id
+        GROUP BY rp.exp_id, rp.model, rp.ts, rp.notes, rp.fb, rp.n_folds, rp.folds_run),
+te AS (SELECT id, y, CASE WHEN {U('id', 'pub')} < 0.5 THEN 'public' ELSE 'private' END AS half FROM t WHERE part = 'test'),
+tm AS (SELECT ml.member, te.half, te.y, ml.p FROM ({mem.format(src='te')}) ml JOIN te ON ml.id = te.id),
+th AS (SELECT * FROM {auc_sql('tm', 'member, half')}),
+lp AS (SELECT * FROM (VALUES {lp}) v(timestamp, exp_id, message, member, with_private)),
+led AS (SELECT lp.timestamp, lp.exp_id, lp.message,
+          round((SELECT auc FROM th WHERE th.member = lp.member AND half = 'public'), 6) AS lb_public,
+          CASE WHEN with_private THEN round((SELECT auc FROM th WHERE th.member = lp.member AND half = 'private'), 6) END AS lb_private
+        FROM lp),
+lat AS (SELECT exp_id, coalesce(lb_private, lb_public) AS lb FROM
+        (SELECT *, row_number() OVER (PARTITION BY exp_id ORDER BY timestamp DESC, message DESC) AS rn FROM led) WHERE rn = 1),
+logs AS (SELECT rec.*, lat.lb AS lb_score FROM rec LEFT JOIN lat ON rec.exp_id = lat.exp_id)"""
