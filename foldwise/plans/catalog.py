@@ -859,3 +859,157 @@ def q_regime_check(spark, sf):
         r = RU.resolve_regime(raw, ms, ("StratifiedKFold", 5)).select(F.lit(name).alias("member_set"), "status")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+# ---------------------------------------------------------------- integrity
+from foldwise.operators import integrity as IG  # noqa: E402
+from foldwise.session import scratch_path  # noqa: E402
+
+
+@query("split_check", f"""WITH {S.folded('bin')}
+SELECT count(*) AS n_split, count(*) AS n_data, min(fold) AS min_fold, max(fold) AS max_fold,
+  count(DISTINCT fold) AS n_labels, 0 AS n_extra, 0 AS n_missing, 0 AS n_target_changed, true AS ok FROM f""")
+def q_split_check(spark, sf):
+    t, spec = T.load_task(spark, sf, "bin")
+    tr = T.train_rows(t)
+    root = scratch_path(spark, "splits")
+    split = IG.get_or_create_split(spark, tr, spec, root)          # creates and stores
+    again = IG.get_or_create_split(spark, tr, spec, root)          # loads and self-checks
+    path = IG.regime_path(root, spec.cv_strategy, spec.n_folds, spec.seed)
+    rep = IG.split_report(spark.read.parquet(path), tr, spec.n_folds)
+    return rep.select(*[F.col(c).cast("long").alias(c) if c not in ("min_fold", "max_fold", "ok") else F.col(c)
+                        for c in rep.columns]).where(F.lit(split is not None and again is not None))
+
+
+@query("attach_split", f"""WITH {S.folded('bin')}
+SELECT t.id, f.fold, round(t.value, 6) AS value FROM t JOIN f ON t.id = f.id""")
+def q_attach_split(spark, sf):
+    t, spec = T.load_task(spark, sf, "bin")
+    tr = T.train_rows(t)
+    split = IG.get_or_create_split(spark, tr, spec, scratch_path(spark, "splits"))
+    return IG.attach_split(t, split).select("id", "fold", r6("value").alias("value"))
+
+
+def _fp_sql(src_cols):
+    parts = " || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '\\N') || ';'" for c in sorted(src_cols))
+    return f"('0x' || substring(md5({parts}), 1, 8))::BIGINT"
+
+
+@query("fold_fingerprint", f"""WITH {S.folded('imb')},
+r AS (SELECT fold AS k, 'fit' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source', 'y'])} AS h FROM f
+      UNION ALL SELECT f.fold AS k, 'valid' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source'])} AS h FROM f)
+SELECT k, role, count(*) AS n, bit_xor(h) AS x, CAST(sum(h) AS BIGINT) AS s FROM r GROUP BY k, role""")
+def q_fold_fingerprint(spark, sf):
+    f, _, _ = _folded(spark, sf, "imb")
+    fit = IG.fingerprint(f.withColumn("k", F.col("fold")).withColumn("role", F.lit("fit")), ["k", "role"],
+                         ["id", "lang", "n_chars", "source", "y"])
+    val = IG.fingerprint(f.withColumn("k", F.col("fold")).withColumn("role", F.lit("valid")), ["k", "role"],
+                         ["id", "lang", "n_chars", "source"])
+    return fit.unionByName(val).select("k", "role", "n", "x", F.col("s").cast("long").alias("s"))
+
+
+@query("fingerprint_diff", f"""WITH {S.folded('imb')},
+a AS (SELECT fold AS k, count(*) AS n, bit_xor(h) AS x, sum(h) AS s FROM (SELECT fold, {_fp_sql(['id', 'lang', 'source', 'y'])} AS h FROM f) GROUP BY fold),
+b AS (SELECT fold AS k, count(*) AS n, bit_xor(h) AS x, sum(h) AS s FROM (SELECT fold, {_fp_sql(['id', 'lang', 'source', 'y'])} AS h FROM f
+      WHERE NOT (fold = 2 AND {S.U('id', 'drop')} < 0.05)) GROUP BY fold)
+SELECT coalesce(a.k, b.k) AS k, a.n AS n_before, b.n AS n_after FROM a FULL OUTER JOIN b ON a.k = b.k
+WHERE NOT coalesce(a.n = b.n AND a.x = b.x AND a.s = b.s, false)""")
+def q_fingerprint_diff(spark, sf):
+    f, _, _ = _folded(spark, sf, "imb")
+    cols = ["id", "lang", "source", "y"]
+    before = IG.fingerprint(f.withColumn("k", F.col("fold")), ["k"], cols)
+    changed = f.where(~((F.col("fold") == 2) & (uniform("id", "drop") < 0.05)))
+    after = IG.fingerprint(changed.withColumn("k", F.col("fold")), ["k"], cols)
+    return IG.fingerprint_diff(before, after, ["k"])
+
+
+# ---------------------------------------------------------------- model training (property checks)
+from dataclasses import replace as _replace  # noqa: E402
+
+from foldwise.plans import oof as OOF  # noqa: E402
+from foldwise.plans.trainers import get_trainer  # noqa: E402
+
+
+def _syn_model_task(spark, sf):
+    t = T.with_planted_features(T.syn_task(spark, sf))
+    spec = _replace(T.SPECS["syn"], te_cols=("user_id",))
+    return t, spec
+
+
+@query("oof_binary")
+def q_oof_binary(spark, sf):
+    t, spec = _syn_model_task(spark, sf)
+    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3), ["value", "s_a", "s_n"])
+    return OOF.oof_table(run)
+
+
+@query("oof_gbt")
+def q_oof_gbt(spark, sf):
+    t, spec = _syn_model_task(spark, sf)
+    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=40, maxDepth=3, validationTol=0.0),
+                      ["value", "s_a", "s_n"], early_stopping=True)
+    return run.fold_scores
+
+
+@query("oof_rf")
+def q_oof_rf(spark, sf):
+    t, spec = _syn_model_task(spark, sf)
+    return OOF.run_oof(spark, t, spec, get_trainer("rf", numTrees=30), ["value", "s_a", "s_n"]).fold_scores
+
+
+@query("oof_linear")
+def q_oof_linear(spark, sf):
+    t, spec = _syn_model_task(spark, sf)
+    return OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a", "s_n"]).fold_scores
+
+
+@query("oof_regression")
+def q_oof_regression(spark, sf):
+    t, spec = T.load_task(spark, sf, "reg")
+    t = T.with_order_features(spark, sf, t)
+    run = OOF.run_oof(spark, t, spec, get_trainer("rf", numTrees=20), ["n_lines", "net_value", "hint"])
+    return OOF.oof_table(run)
+
+
+@query("oof_multiclass")
+def q_oof_multiclass(spark, sf):
+    t, spec = T.load_task(spark, sf, "vec")
+    run = OOF.run_oof(spark, t, spec, get_trainer("linear", regParam=0.01), [], vector_col="embedding")
+    return OOF.oof_table(run)
+
+
+@query("sweep_scores")
+def q_sweep_scores(spark, sf):
+    t, spec = _syn_model_task(spark, sf)
+    rows = []
+    for reg in (0.0, 0.05):
+        run = OOF.run_oof(spark, t, spec, get_trainer("linear", regParam=reg), ["value", "s_a", "s_n"])
+        rows.append((f"regParam={reg}", run.cv_label, float(np.mean(run.cv_scores)), float(np.std(run.cv_scores))))
+    return spark.createDataFrame(rows, "params string, cv_strategy string, cv_mean double, cv_std double")
+
+
+@query("oof_write_shape", f"""WITH {S.mc_ctes()},
+c1 AS (SELECT id, probs FROM mm WHERE member = 'c1' AND id IN (SELECT id FROM tc WHERE part = 'train'))
+SELECT id, {', '.join(f'round(probs[{i + 1}], 6) AS "oof_{c}"' for i, c in enumerate(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']))}
+FROM c1""")
+def q_oof_write_shape(spark, sf):
+    t = T.mc_task(spark, sf)
+    lm = fit_label_map(spark, T.train_rows(t))
+    tc = lm.encode(T.train_rows(t))
+    c1 = MB.multiclass_members(tc, lm.n_classes).where(F.col("member") == "c1")
+    wide = OOF.probs_wide(c1, lm.classes, "oof_")
+    path = scratch_path(spark, "oof")
+    OOF.write_table(wide, path)
+    back = spark.read.parquet(path)
+    return back.select("id", *[r6(F.col(f"`oof_{c}`")).alias(f"oof_{c}") for c in lm.classes])
+
+
+@query("submission", f"""WITH t AS ({S.TASKS['syn']})
+SELECT id, round({S.BIN_MEMBERS['p1']}, 6) AS y FROM t WHERE part = 'test'""")
+def q_submission(spark, sf):
+    t = T.syn_task(spark, sf)
+    template = T.test_rows(t).select("id", F.lit(0.0).alias("y"))
+    pred = MB.binary_members(T.test_rows(t), names=("p1",)).select("id", F.col("p").alias("pred"))
+    sub = OOF.submission(template, pred, "id", "y")
+    OOF.check_submission(sub, template, "id", "y")
+    return sub.select("id", r6("y").alias("y"))

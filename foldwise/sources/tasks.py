@@ -119,3 +119,19 @@ BUILDERS = {"bin": bin_task, "syn": syn_task, "grp": bin_task, "reg": reg_task,
 
 def load_task(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, TaskSpec]:
     return BUILDERS[name](spark, sf_dir), SPECS[name]
+
+
+def with_planted_features(task: DataFrame) -> DataFrame:
+    """Binary planted-signal features: s_a carries the signal of y, s_n is noise."""
+    return task.withColumn("s_a", uniform("id", "a")).withColumn("s_n", uniform("id", "m2"))
+
+
+def with_order_features(spark: SparkSession, sf_dir: str, task: DataFrame) -> DataFrame:
+    """Regression features: line count and net value of the order's lineitems (aggregate +
+    key join), plus a planted noisy hint of the target."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_extendedprice", "l_discount", "l_tax"])
+    agg = li.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n_lines"),
+        F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("net_value"))
+    out = task.join(agg, task["id"] == agg["l_orderkey"], "left").drop("l_orderkey")
+    return out.withColumn("hint", F.col("y") * (0.8 + 0.4 * uniform("id", "m1")))
