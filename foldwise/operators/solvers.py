@@ -190,7 +190,7 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
             cols += [d2 * F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
             return cols
         S = fold_sums(df, fold_col, n_folds, f)
-        n = S[:, 0]
+        n = np.where(S[:, 0] > 0, S[:, 0], 1.0)  # an empty problem stays at its start
         loss = S[:, 1] / n
         grad = S[:, 2:2 + M] / n[:, None]
         hess = np.array([_sym(S[q, 2 + M:], M) / n[q] for q in range(Q)])
@@ -198,7 +198,7 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
 
     loss, grad, hess = stats(W)
     passes = 1
-    done = np.zeros(Q, dtype=bool)
+    done = np.array([not np.any(hess[q]) and not np.any(grad[q]) for q in range(Q)])
     while passes < max_passes:
         for q in range(Q):
             if kkt_residual(W[q], grad[q]) < tol:
