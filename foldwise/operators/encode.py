@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from foldwise.operators.folds import group_folds, rank_folds
 from foldwise.operators.rank import maybe_broadcast
+from foldwise.session import materialize
 
 
 @dataclass
@@ -85,6 +86,8 @@ def fit_target_encoding(
     else:
         L = rank_folds(L, n_inner, seed=seed, id_col=id_col, strata=y_col, partition_by=["k"],
                        salt=[F.col("k")], fold_col="j")
+    # L feeds the priors, one aggregate per column and the join back: compute it once
+    L = materialize(L)
     priors = L.groupBy("k").agg(F.avg(F.col(y_col).cast("double")).alias("prior"))
     L = L.join(maybe_broadcast(priors, n_folds), "k")
     sm = F.lit(float(smoothing))

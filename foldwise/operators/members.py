@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.rank import maybe_broadcast
+from foldwise.session import with_scalars
 
 
 def member_matrix(long: DataFrame, members: Sequence[str], id_col: str = "id", member_col: str = "member",
@@ -32,11 +32,13 @@ def alignment_report(long: DataFrame, reference_ids: DataFrame, members: Sequenc
     dup = per_id.groupBy(member_col).agg(
         F.sum("_c").alias("n_rows"), F.count_if(F.col("_c") > 1).alias("n_dup_ids"))
     ref = reference_ids.select(id_col).distinct()
-    expected = ref.crossJoin(maybe_broadcast(mlist, len(members)))
-    missing = expected.join(per_id, [member_col, id_col], "left_anti").groupBy(member_col).agg(
-        F.count(F.lit(1)).alias("n_missing"))
+    n_ref = ref.agg(F.count(F.lit(1)).alias("_n_ref"))  # one row
+    # ids of each member found in the reference (semi join): missing = |ref| - found
+    found = per_id.join(ref, id_col, "left_semi").groupBy(member_col).agg(F.count(F.lit(1)).alias("_found"))
     extra = per_id.join(ref, id_col, "left_anti").groupBy(member_col).agg(F.count(F.lit(1)).alias("n_extra"))
-    out = mlist.join(dup, member_col, "left").join(missing, member_col, "left").join(extra, member_col, "left")
+    out = with_scalars(mlist.join(dup, member_col, "left").join(found, member_col, "left")
+                       .join(extra, member_col, "left"), n_ref)
+    out = out.withColumn("n_missing", F.col("_n_ref") - F.coalesce(F.col("_found"), F.lit(0)))
     return out.select(member_col, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                     for c in ("n_rows", "n_dup_ids", "n_missing", "n_extra")])
 

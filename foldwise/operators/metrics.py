@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import LOGLOSS_EPS, argmax_code, clip, hard_label
 from foldwise.operators.rank import prefix_sums, quantile_bucket
+from foldwise.session import materialize
 
 DIRECTIONS = {"auc": True, "logloss": False, "rmse": False, "mae": False, "accuracy": True,
               "balanced_accuracy": True}
@@ -29,6 +30,7 @@ def auc(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", out
     g = df.groupBy(*K, p).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg")
     )
+    g = materialize(g)  # read by the quantile pass, the bucket totals and the window
     g = quantile_bucket(g, p, K, n_buckets=n_buckets)
     g = prefix_sums(g, ["_neg"], bucket=["_qb"], order=[p], partition_by=K)
     res = g.groupBy(*K).agg(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.session import with_scalars
+
 
 def cat_target_rate(df: DataFrame, col: str, y: str = "y") -> DataFrame:
     """Target mean and count per observed category, plus the overall mean."""
@@ -14,7 +16,7 @@ def cat_target_rate(df: DataFrame, col: str, y: str = "y") -> DataFrame:
     per = df.where(F.col(col).isNotNull()).groupBy(col).agg(
         F.avg(F.col(y).cast("double")).alias("rate"), F.count(F.lit(1)).alias("n")
     )
-    return per.crossJoin(F.broadcast(overall))
+    return with_scalars(per, overall)
 
 
 def num_hist_by_class(df: DataFrame, x: str, y: str = "y", bins: int = 50) -> DataFrame:
@@ -24,7 +26,7 @@ def num_hist_by_class(df: DataFrame, x: str, y: str = "y", bins: int = 50) -> Da
     bin is closed on the right. Returns (class, bin, lo, count, density).
     """
     rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))  # one row
-    d = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(rng))
+    d = with_scalars(df.where(F.col(x).isNotNull()), rng)
     width = (F.col("_hi") - F.col("_lo")) / bins
     pos = F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(pos, F.lit(bins - 1))).cast("int")
@@ -55,7 +57,7 @@ def profile(df: DataFrame, id_col: str = "id", columns: Sequence[str] | None = N
         *[F.max_by(f"{c}__v", id_col).alias(f"{c}__last2") for c in cols],
         F.count(F.lit(1)).alias("_k"),
     )
-    wide = stats.crossJoin(firsts)
+    wide = with_scalars(stats, firsts)
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     rows = [
         F.struct(

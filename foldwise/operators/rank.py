@@ -141,7 +141,11 @@ def quantile_bucket(
         steps.append(s)
         s //= 2
     bound = None if bound_partitions is None else bound_partitions
-    joined = df.join(maybe_broadcast(edges, bound), on=P, how="inner") if P else df.crossJoin(F.broadcast(edges))
+    if P:
+        joined = df.join(maybe_broadcast(edges, bound), on=P, how="inner")
+    else:
+        from foldwise.session import with_scalars
+        joined = with_scalars(df, edges)
     v = F.col(value)
     search = F.aggregate(
         F.array(*[F.lit(x) for x in steps]),

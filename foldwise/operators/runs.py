@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.functions.scalar import parse_regime
+from foldwise.session import with_scalars
 from foldwise.spec import STRATEGIES, greater_is_better
 
 RECIPE = T.StructType([
@@ -174,7 +175,7 @@ def noise_floor(anchor: DataFrame, group: DataFrame) -> DataFrame:
         F.stddev_samp("cv_mean").alias("g_std"))
     g = g.select("n_group", *[F.when(F.col("n_group") >= 2, F.col(c)).alias(c) for c in ("g_min", "g_max", "g_std")])
     g = g.withColumn("g_spread", F.col("g_max") - F.col("g_min"))
-    return a.crossJoin(g)
+    return with_scalars(a, g)
 
 
 def unconverged_folds(raw: DataFrame, cap: int) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import BLEND_EPS, clip
+from foldwise.session import materialize
 
 
 def fold_sums(df: DataFrame, fold_col: str, n_folds: int,
@@ -169,6 +170,7 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
     problems. Returns (weights (K+1, M), losses, passes).
     """
     M, Q = len(xs), n_folds + 1
+    df = materialize(df.select(fold_col, *xs, *([y] if y else [])))  # every Newton pass reads it
     W = np.full((Q, M), 1.0 / M)
     hi = 1 - BLEND_EPS if kind == "binary" else 1.0
 
@@ -235,6 +237,7 @@ def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_fold
     for all K+1 problems by damped Newton; one aggregate per pass.
     Returns (coef (K+1, M+1) with intercept first, passes)."""
     M, Q = len(xs), n_folds + 1
+    df = materialize(df.select(fold_col, y, *xs))  # every Newton pass reads it
     B = np.zeros((Q, M + 1))
 
     def stats(Bc):

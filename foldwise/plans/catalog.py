@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from foldwise.plans import sqlkit as S
 from foldwise.sources import tasks as T
 from foldwise.operators import folds as FO
+from foldwise.session import with_scalars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -385,9 +386,10 @@ UNION ALL SELECT k.k, NULL AS id, s.y, 0.5 AS w FROM s CROSS JOIN k""")
 def q_augment_train(spark, sf):
     f, spec, t = _folded(spark, sf, "bin")
     src = VO.align_source(T.source_rows(t), ["user_id", "value"], "y")
-    ks = spark.range(spec.n_folds).select(F.col("id").cast("int").alias("k"))
-    trk = f.join(F.broadcast(ks), f["fold"] != ks["k"])
-    aug = VO.augment_train(trk.select("k", "id", "y", "user_id", "value"), src.crossJoin(F.broadcast(ks)), weight=0.5)
+    ks = F.sequence(F.lit(0), F.lit(spec.n_folds - 1))
+    trk = f.withColumn("k", F.explode(F.filter(ks, lambda k: k != F.col("fold"))))   # train part of every fold
+    srk = src.withColumn("k", F.explode(ks))                                           # source rows join each
+    aug = VO.augment_train(trk.select("k", "id", "y", "user_id", "value"), srk, weight=0.5)
     return aug.select("k", "id", "y", "w")
 
 
@@ -456,7 +458,7 @@ def q_fold_slice(spark, sf):
     f, spec, _ = _folded(spark, sf, "bin")
     per = f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_fold"), F.sum("y").alias("pos_fold"))
     tot = per.agg(F.sum("n_fold").alias("n_all"), F.sum("pos_fold").alias("pos_all"))  # one row
-    r = per.crossJoin(F.broadcast(tot))
+    r = with_scalars(per, tot)
     n_train = F.col("n_all") - F.col("n_fold")
     return r.select(F.col("fold").alias("k"), n_train.alias("n_train"), F.col("n_fold").alias("n_valid"),
                     r6((F.col("pos_all") - F.col("pos_fold")) / n_train).alias("train_rate"))
@@ -722,7 +724,9 @@ def _stack_q(spark, res, mc=False):
 @query("stack_binary")
 def q_stack_binary(spark, sf):
     oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
-    return _stack_q(spark, ST.stack(oof_long, test_long, train, MEMBERS3, 5, "binary", "auc", spec.cv_label()))
+    t = T.syn_task(spark, sf)
+    job = ST.stack_job(spark, oof_long, test_long, train, T.test_rows(t).select("id"), MEMBERS3, spec)
+    return job.oof_table.withColumn("meta", F.lit(f"stack:{job.result.best.name}"))
 
 
 @query("stack_regression")
@@ -863,7 +867,7 @@ def q_regime_check(spark, sf):
 
 # ---------------------------------------------------------------- integrity
 from foldwise.operators import integrity as IG  # noqa: E402
-from foldwise.session import scratch_path  # noqa: E402
+from foldwise.session import scratch_path, with_scalars  # noqa: E402
 
 
 @query("split_check", f"""WITH {S.folded('bin')}

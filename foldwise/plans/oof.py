@@ -23,6 +23,7 @@ from foldwise.operators import integrity as IG
 from foldwise.operators import metrics as MT
 from foldwise.operators.encode import fit_target_encoding
 from foldwise.operators.labels import LabelMap, fit_label_map
+from foldwise.operators.vocab import category_codes, category_vocab
 from foldwise.plans.trainers import Trainer
 from foldwise.spec import TaskSpec
 
@@ -53,7 +54,10 @@ def _assemble(df: DataFrame, numeric: Sequence[str], vector_col: str | None) ->
 
 def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Trainer, numeric: Sequence[str],
             *, vector_col: str | None = None, n_folds: int | None = None, max_folds: int | None = None,
-            aug_weight: float | None = None, early_stopping: bool = False, split: DataFrame | None = None) -> OOFRun:
+            aug_weight: float | None = None, early_stopping: bool = False, split: DataFrame | None = None,
+            categorical: Sequence[str] = ()) -> OOFRun:
+    """``categorical`` columns get fixed codes from one vocabulary over train, test and
+    source (the same codes before and after the augmentation union)."""
     spec.validate()
     n = n_folds or spec.n_folds
     pt = spec.problem_type
@@ -76,7 +80,15 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
     folded = IG.attach_split(train, split) if split is not None else FO.assign_folds(train, spec, n)
     folded = folded.withColumn("label", label).persist(StorageLevel.MEMORY_AND_DISK)
     te_cols = list(spec.te_cols)
-    feats = list(numeric) + [f"{c}_te" for c in te_cols]
+    cats = [c for c in categorical if c not in te_cols]
+    if cats:
+        vocab = category_vocab([task], cats)
+        task = category_codes(task, vocab, cats)
+        train = category_codes(train, vocab, cats)
+        test = category_codes(test, vocab, cats)
+        folded = category_codes(folded, vocab, cats)
+        source = category_codes(source, vocab, cats) if source is not None else None
+    feats = list(numeric) + [f"{c}_code" for c in cats] + [f"{c}_te" for c in te_cols]
     enc = None
     if te_cols:
         enc = fit_target_encoding(folded, te_cols, n, smoothing=spec.te_smoothing, seed=spec.seed,

@@ -218,3 +218,56 @@ def stack(oof_long: DataFrame, test_long: DataFrame, train: DataFrame, members:
     full_w = results["nnls"].detail.get("weights") if "nnls" in results else None
     weights = {m: round(float(w), 4) for m, w in zip(members, full_w[n_folds])} if full_w is not None else {}
     return StackResult([(r.name, r.oof_score) for r in ordered], best, weights, regime, results)
+
+
+@dataclass
+class StackJob:
+    result: StackResult
+    member_scores: DataFrame
+    correlation: DataFrame | None
+    oof_table: DataFrame
+    test_table: DataFrame
+    log: DataFrame
+
+
+def stack_job(spark, oof_long: DataFrame, test_long: DataFrame, train: DataFrame, template_ids: DataFrame,
+              members: list[str], spec, raw_logs: DataFrame | None = None, tag: str = "stack",
+              n_classes: int | None = None, classes: list | None = None) -> StackJob:
+    """Align -> resolve the members' regime -> member scores and correlation -> metas
+    -> best by direction -> contract tables (the stack is itself a valid member) -> log."""
+    from foldwise.operators import members as MM
+    from foldwise.operators import runs as RU
+
+    MM.check_alignment(MM.alignment_report(oof_long, train.select("id"), members))
+    MM.check_alignment(MM.alignment_report(test_long, template_ids, members))
+    n_folds = spec.n_folds
+    regime = spec.cv_label()
+    if raw_logs is not None:
+        r = RU.resolve_regime(raw_logs, members, (spec.cv_strategy, spec.n_folds)).first()
+        strategy, n_folds = RU.check_regime(r)
+        regime = f"{strategy}_{n_folds}"
+    mc = spec.problem_type == "multiclass"
+    y = "code" if mc else "y"
+    o = oof_long.join(train.select("id", y), "id")
+    ms = MT.score(o, spec.metric, ["member"], y=y, p="probs" if mc else "p", multiclass=mc, out="score")
+    corr = None if mc else MM.correlation(member_matrix(oof_long, members), members)
+    res = stack(oof_long, test_long, train, members, n_folds, spec.problem_type, spec.metric, regime,
+                n_classes=n_classes)
+    best = res.best
+    name = f"{tag}_{best.name}"
+    if mc:
+        from foldwise.plans.oof import probs_wide
+        oof_tab = probs_wide(best.oof, classes, "oof_")
+        test_tab = probs_wide(best.test, [str(c) for c in classes], "")
+    else:
+        oof_tab = best.oof.select("id", F.col("p").alias("oof"))
+        test_tab = best.test.select("id", F.col("p").alias(spec.target_col))
+    params = {"seed": spec.seed, "feature_recipe": None, "members": members, "meta_winner": best.name,
+              "meta_oof": {n: round(float(s), 6) for n, s in res.scores}, "nnls_weights": res.weights}
+    runs = spark.createDataFrame(
+        [(name, f"stack:{best.name}", members, regime, params, f"stack over {len(members)} members; meta={best.name}")],
+        "exp_id string, model string, features array<string>, cv_strategy string, params "
+        + RU.PARAMS.simpleString() + ", notes string")
+    scores = spark.createDataFrame([(name, 0, float(best.oof_score))], "exp_id string, fold int, score double")
+    log = RU.log_records(scores, runs, iter_col=None)
+    return StackJob(res, ms, corr, oof_tab, test_tab, log)

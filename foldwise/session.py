@@ -61,3 +61,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique sub-path of the shared checkpoint folder."""
     return f"{checkpoint_dir(spark).rstrip('/')}/foldwise/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
+
+    Used for intermediate tables that several branches of a plan read (a
+    multi-pass operator would otherwise recompute the whole upstream per
+    branch). The files survive the loss of executors, unlike cached blocks.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def with_scalars(df, one_row):
+    """Attach the columns of a one-row aggregate to every row (broadcast of one row).
+
+    ``one_row`` must be a global aggregate (no grouping), so the join emits
+    exactly one partner per row.
+    """
+    from pyspark.sql import functions as F
+
+    return df.crossJoin(F.broadcast(one_row))
