@@ -1017,3 +1017,117 @@ def q_submission(spark, sf):
     sub = OOF.submission(template, pred, "id", "y")
     OOF.check_submission(sub, template, "id", "y")
     return sub.select("id", r6("y").alias("y"))
+
+
+# ---------------------------------------------------------------- diagnostics (described procedures)
+from foldwise.operators import diagnostics as DG  # noqa: E402
+
+
+@query("freq_encoding", f"""WITH t AS ({S.TASKS['bin']}),
+c AS (SELECT user_id, count(*) AS user_id_freq FROM t WHERE part IN ('train', 'test') AND user_id IS NOT NULL GROUP BY user_id)
+SELECT t.id, c.user_id_freq FROM t LEFT JOIN c ON t.user_id = c.user_id WHERE t.part = 'train'""")
+def q_freq_encoding(spark, sf):
+    t = T.bin_task(spark, sf)
+    fr = DG.frequency_encoding([T.train_rows(t), T.test_rows(t)], "user_id")
+    return T.train_rows(t).join(fr, "user_id", "left").select("id", "user_id_freq")
+
+
+@query("group_overlap", f"""WITH {S.folded('bin')}
+SELECT 'StratifiedKFold' AS strategy, count(*) AS n_groups FROM (SELECT user_id FROM f GROUP BY user_id HAVING count(DISTINCT fold) > 1)""")
+def q_group_overlap(spark, sf):
+    f, _, _ = _folded(spark, sf, "bin")
+    g, _, _ = _folded(spark, sf, "grp")
+    assert DG.group_overlap(g, ["user_id"]).limit(1).count() == 0
+    return DG.group_overlap(f, ["user_id"]).agg(F.lit("StratifiedKFold").alias("strategy"),
+                                                 F.count(F.lit(1)).alias("n_groups"))
+
+
+@query("residual_corr", f"""WITH {SYN_OOF},
+w AS (SELECT id, any_value(y) - max(p) FILTER (WHERE member = 'p1') AS p1, any_value(y) - max(p) FILTER (WHERE member = 'p2') AS p2,
+  any_value(y) - max(p) FILTER (WHERE member = 'p3') AS p3 FROM mo GROUP BY id)
+{_corr_sql(['p1', 'p2', 'p3'])}""")
+def q_residual_corr(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    res = mo.select("member", "id", (F.col("y") - F.col("p")).alias("r"))
+    return MM.correlation(MM.member_matrix(res, MEMBERS3, p="r"), MEMBERS3)
+
+
+@query("seed_average", f"""WITH t AS ({S.TASKS['syn']}), s AS (SELECT range AS seed FROM range(3)),
+sp AS (SELECT t.id, 0.5 * {S.U('t.id', 'a')} + 0.5 * (('0x' || substring(md5(CAST(t.id AS VARCHAR) || ':' || CAST(s.seed AS VARCHAR) || ':seed'), 1, 8))::BIGINT / 4294967296.0) AS p
+       FROM t CROSS JOIN s WHERE t.part = 'train')
+SELECT id, round(avg(p), 6) AS p FROM sp GROUP BY id""")
+def q_seed_average(spark, sf):
+    t = T.train_rows(T.syn_task(spark, sf)).select("id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    key = F.concat(F.col("id").cast("string"), F.lit(":"), F.col("seed").cast("string"))
+    sp = t.select("id", (0.5 * uniform("id", "a") + 0.5 * uniform(key, "seed")).alias("p"))
+    return sp.groupBy("id").agg(r6(F.avg("p")).alias("p"))
+
+
+@query("oof_lb_gap", f"""WITH {RUNS}
+SELECT exp_id, round(cv_mean - lb_score, 6) AS gap FROM logs WHERE lb_score IS NOT NULL""")
+def q_oof_lb_gap(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    return raw.where(F.col("lb_score").isNotNull()).select("exp_id", r6(F.col("cv_mean") - F.col("lb_score")).alias("gap"))
+
+
+@query("verdict", f"""WITH {RUNS},
+e AS (SELECT exp_id, unnest(cv_scores) AS s FROM logs WHERE exp_id = 'exp_001'),
+a AS (SELECT 2 * stddev_samp(s) / sqrt(count(s)) AS two_se FROM e),
+b AS (SELECT cv_mean AS a_mean FROM logs WHERE exp_id = 'exp_001')
+SELECT exp_id, round(cv_mean - a_mean, 6) AS delta,
+  CASE WHEN cv_mean IS NULL THEN 'no score' WHEN abs(cv_mean - a_mean) < two_se THEN 'inconclusive'
+       WHEN cv_mean - a_mean > 0 THEN 'better' ELSE 'worse' END AS verdict
+FROM logs, a, b WHERE exp_id <> 'exp_001'""")
+def q_verdict(spark, sf):
+    raw, _ = EX.load_runs(spark, sf)
+    v = DG.verdicts(RU.fold_noise(raw), "exp_001", raw)
+    return v.select("exp_id", r6("delta").alias("delta"), "verdict")
+
+
+@query("drift_psi", f"""WITH t AS ({S.TASKS['bin']}),
+rg AS (SELECT min(value) AS lo, max(value) AS hi FROM t WHERE part IN ('train', 'test')),
+b AS (SELECT part, CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 10), 9) END AS b FROM t, rg
+      WHERE value IS NOT NULL AND part IN ('train', 'test')),
+c AS (SELECT b, count(*) FILTER (WHERE part = 'train') AS nb, count(*) FILTER (WHERE part = 'test') AS no FROM b GROUP BY b),
+tt AS (SELECT sum(nb) AS tb, sum(no) AS tn FROM c)
+SELECT round(sum((greatest(nb / tb, 1e-4) - greatest(no / tn, 1e-4)) * ln(greatest(nb / tb, 1e-4) / greatest(no / tn, 1e-4))), 6) AS psi FROM c, tt""")
+def q_drift_psi(spark, sf):
+    t = T.bin_task(spark, sf).where(F.col("part").isin("train", "test"))
+    return DG.psi(t, "value", "part", "train", "test").select(r6("psi").alias("psi"))
+
+
+@query("adversarial_auc")
+def q_adversarial_auc(spark, sf):
+    """Train/test drift by adversarial validation: OOF AUC of a classifier for is_test."""
+    t = T.bin_task(spark, sf).where(F.col("part").isin("train", "test"))
+    adv = t.select("id", (F.col("part") == "test").cast("int").alias("y"), "value", "user_id",
+                   F.lit("train").alias("part"))
+    spec = _replace(T.SPECS["syn"])
+    run = OOF.run_oof(spark, adv, spec, get_trainer("rf", numTrees=20), ["value", "user_id"])
+    return run.fold_scores
+
+
+@query("masking_invariance", f"""WITH t AS ({S.TASKS['bin']})
+SELECT count(*) AS n_before_cut, 0 AS n_changed FROM t
+WHERE ts < (SELECT ts FROM t WHERE id = (SELECT quantile_disc(id, 0.5) FROM t))""")
+def q_masking_invariance(spark, sf):
+    t = T.bin_task(spark, sf)
+    mid = t.select(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY id)").alias("c")).first()["c"]
+    cut_ts = t.where(F.col("id") == mid).select("ts").first()["ts"]  # the cut: one event's time
+    cols = [f"value_past_{a}" for a in ("mean", "std", "max", "min", "sum")]
+    full = past_features(t, "value", ["user_id"], "ts", exact_scale=6)
+    trunc = past_features(t.where(F.col("ts") < F.lit(cut_ts)), "value", ["user_id"], "ts", exact_scale=6)
+    diff = DG.masking_invariance(full, trunc, "id", cols)
+    n = t.where(F.col("ts") < F.lit(cut_ts)).agg(F.count(F.lit(1)).alias("n_before_cut"))
+    return with_scalars(n, diff.agg(F.count(F.lit(1)).cast("int").alias("n_changed")))
+
+
+@query("stack_add", f"""WITH {SYN_OOF},
+w3 AS (SELECT id, any_value(y) AS y, avg(p) AS p FROM mo WHERE member IN ('p1', 'p2', 'p3') GROUP BY id),
+w2 AS (SELECT id, any_value(y) AS y, avg(p) AS p FROM mo WHERE member IN ('p1', 'p2') GROUP BY id)
+SELECT 'p3' AS candidate, round((SELECT auc FROM {S.auc_sql('w3', '')}) - (SELECT auc FROM {S.auc_sql('w2', '')}), 6) AS delta_auc""")
+def q_stack_add(spark, sf):
+    mo, _, _ = _syn_oof(spark, sf, ties=False)
+    with_c = M.auc(BL.blend_equal(mo).join(mo.select("id", "y").distinct(), "id"), []).withColumnRenamed("auc", "a3")
+    without = M.auc(BL.blend_equal(mo.where(F.col("member") != "p3")).join(mo.select("id", "y").distinct(), "id"), [])
+    return with_scalars(with_c, without).select(F.lit("p3").alias("candidate"), r6(F.col("a3") - F.col("auc")).alias("delta_auc"))
