@@ -381,8 +381,8 @@ def q_category_codes(spark, sf):
 @query("augment_train", f"""WITH {S.folded('bin')},
 s AS (SELECT y, user_id, value FROM t WHERE part = 'source'),
 k AS (SELECT CAST(range AS INTEGER) AS k FROM range(5))
-SELECT k.k, f.id, f.y, 1.0 AS w FROM f JOIN k ON f.fold <> k.k
-UNION ALL SELECT k.k, NULL AS id, s.y, 0.5 AS w FROM s CROSS JOIN k""")
+SELECT k.k, f.id, f.y, CAST(1.0 AS DOUBLE) AS w FROM f JOIN k ON f.fold <> k.k
+UNION ALL SELECT k.k, NULL AS id, s.y, CAST(0.5 AS DOUBLE) AS w FROM s CROSS JOIN k""")
 def q_augment_train(spark, sf):
     f, spec, t = _folded(spark, sf, "bin")
     src = VO.align_source(T.source_rows(t), ["user_id", "value"], "y")
@@ -760,7 +760,7 @@ def q_log_table(spark, sf):
 
 
 @query("log_record", f"""WITH {RUNS}
-SELECT exp_id, cv_strategy, cv_mean, cv_std, len(cv_scores) AS k, round(list_sum(cv_scores), 6) AS sum_scores,
+SELECT exp_id, cv_strategy, cv_mean, cv_std, CAST(len(cv_scores) AS INTEGER) AS k, round(list_sum(cv_scores), 6) AS sum_scores,
   list_max(best_iters) AS max_iter FROM rec""")
 def q_log_record(spark, sf):
     rec = RU.log_records(EX.run_fold_scores(spark, sf), EX.run_table(spark))
@@ -872,7 +872,8 @@ from foldwise.session import scratch_path, with_scalars  # noqa: E402
 
 @query("split_check", f"""WITH {S.folded('bin')}
 SELECT count(*) AS n_split, count(*) AS n_data, min(fold) AS min_fold, max(fold) AS max_fold,
-  count(DISTINCT fold) AS n_labels, 0 AS n_extra, 0 AS n_missing, 0 AS n_target_changed, true AS ok FROM f""")
+  count(DISTINCT fold) AS n_labels, CAST(0 AS BIGINT) AS n_extra, CAST(0 AS BIGINT) AS n_missing,
+  CAST(0 AS BIGINT) AS n_target_changed, true AS ok FROM f""")
 def q_split_check(spark, sf):
     t, spec = T.load_task(spark, sf, "bin")
     tr = T.train_rows(t)
