@@ -35,6 +35,7 @@ class TargetEncoding:
     priors: DataFrame           # (k, prior)
     cols: list[str]
     n_folds: int
+    folds: list[int] | None = None  # outer folds fitted (None = all)
 
     def apply(self, df: DataFrame, k_col: str = "k") -> DataFrame:
         """Encode rows that carry an outer fold id ``k_col`` (valid/test/source)."""
@@ -53,7 +54,8 @@ class TargetEncoding:
 
     def test(self, rows: DataFrame) -> DataFrame:
         """Every test row once per outer fold k."""
-        ks = F.sequence(F.lit(0), F.lit(self.n_folds - 1))
+        fitted = self.folds if self.folds is not None else list(range(self.n_folds))
+        ks = F.array(*[F.lit(k) for k in fitted])
         return self.apply(rows.withColumn("k", F.explode(ks)))
 
 
@@ -70,13 +72,16 @@ def fit_target_encoding(
     id_col: str = "id",
     y_col: str = "y",
     fold_col: str = "fold",
+    outer_folds: Sequence[int] | None = None,
 ) -> TargetEncoding:
+    """``outer_folds`` restricts the fit to those outer folds (screening runs)."""
     if problem_type == "multiclass":
         raise ValueError("target encoding of a multiclass target is not supported")
     cols, G = list(cols), list(group_keys)
     keep = list(dict.fromkeys([id_col, y_col, fold_col, *cols, *G]))
     base = folded.select(*keep)
-    other_folds = F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda k: k != F.col(fold_col))
+    ks = F.array(*[F.lit(k) for k in (outer_folds if outer_folds is not None else range(n_folds))])
+    other_folds = F.filter(ks, lambda k: k != F.col(fold_col))
     L = base.withColumn("k", F.explode(other_folds))
     # inner folds of (row, k): partitioned by the outer fold, k in the hash
     if G:
@@ -118,4 +123,5 @@ def fit_target_encoding(
             "_wk", "_wc", "_encs"
         )
     train = L.select(id_col, fold_col, "k", "j", *[f"{c}_te" for c in cols])
-    return TargetEncoding(train=train, maps=maps, priors=priors, cols=cols, n_folds=n_folds)
+    return TargetEncoding(train=train, maps=maps, priors=priors, cols=cols, n_folds=n_folds,
+                          folds=list(outer_folds) if outer_folds is not None else None)

@@ -79,6 +79,7 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
         label = F.col(spec.target_col).cast("double")
     folded = IG.attach_split(train, split) if split is not None else FO.assign_folds(train, spec, n)
     folded = folded.withColumn("label", label).persist(StorageLevel.MEMORY_AND_DISK)
+    folds_run = list(range(n if max_folds is None else min(max_folds, n)))
     te_cols = list(spec.te_cols)
     cats = [c for c in categorical if c not in te_cols]
     if cats:
@@ -92,12 +93,11 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
     enc = None
     if te_cols:
         enc = fit_target_encoding(folded, te_cols, n, smoothing=spec.te_smoothing, seed=spec.seed,
-                                  problem_type=pt)
+                                  problem_type=pt, outer_folds=folds_run)
         tr_enc = enc.train.select("id", "k", *[f"{c}_te" for c in te_cols]).persist(StorageLevel.MEMORY_AND_DISK)
         te_enc_cache = True
         va_enc = enc.valid(folded).select("id", *[f"{c}_te" for c in te_cols])
         te_enc = enc.test(test.select("id", *te_cols)).select("id", "k", *[f"{c}_te" for c in te_cols])
-    folds_run = list(range(n if max_folds is None else min(max_folds, n)))
     valid_preds, test_preds, meta, models = [], [], [], []
     ycol = "code" if pt == "multiclass" else spec.target_col
     out_col = "probs" if pt == "multiclass" else "p"

@@ -6,7 +6,8 @@ regression value) or ``probs`` (array of K class probabilities).
 Differences to native GBT libraries that cannot be hidden: Spark trees do
 not take missing values (features are null-filled before assembly), GBT is
 binary only, and early stopping uses a tolerance (``validationTol``)
-instead of a patience.
+instead of a patience. Tree binning samples rows in partition order, so
+tree models can differ in the last digits between runs after a shuffle.
 """
 
 from __future__ import annotations
