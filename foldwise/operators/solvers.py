@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import BLEND_EPS, clip
-from foldwise.session import materialize
+from foldwise.session import materialize, with_scalars
 
 
 def fold_sums(df: DataFrame, fold_col: str, n_folds: int,
@@ -152,6 +152,24 @@ def mse_simplex_fit(v: np.ndarray, M: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ iterative fits
+def _with_weights(df: DataFrame, W: np.ndarray, prefix: str = "_w") -> DataFrame:
+    """Attach the current weights as columns of a one-row table.
+
+    As columns (not literals) the generated code of the pass is the same
+    every iteration, so Spark's code cache is hit instead of recompiling.
+    """
+    names = [f"{prefix}_{q}_{j}" for q in range(W.shape[0]) for j in range(W.shape[1])]
+    row = df.sparkSession.createDataFrame([tuple(float(x) for x in W.flatten())], ", ".join(f"{n} double" for n in names))
+    return with_scalars(df, row)
+
+
+def _col_expr(xs: Sequence[str], q: int, prefix: str = "_w", intercept: bool = False) -> Column:
+    e = F.col(f"{prefix}_{q}_0") if intercept else F.lit(0.0)
+    for j, x in enumerate(xs):
+        e = e + F.col(f"{prefix}_{q}_{j + (1 if intercept else 0)}") * F.col(x)
+    return e
+
+
 def linear_expr(xs: Sequence[str], w: np.ndarray, intercept: float = 0.0) -> Column:
     e = F.lit(float(intercept))
     for x, c in zip(xs, w):
@@ -175,10 +193,17 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
     hi = 1 - BLEND_EPS if kind == "binary" else 1.0
 
     def stats(Wc):
+        cur = _with_weights(df, Wc)
+        # each problem's blend computed once as a column; the aggregates only reference it
+        proj = []
+        for q in range(Q):
+            raw = _col_expr(xs, q)
+            proj += [clip(raw, BLEND_EPS, hi).alias(f"_p{q}"), ((raw > BLEND_EPS) & (raw < hi)).cast("double").alias(f"_in{q}")]
+        cur = cur.select(fold_col, *xs, *([y] if y else []), *proj)
+
         def f(q):
-            p_raw = linear_expr(xs, Wc[q])
-            p = clip(p_raw, BLEND_EPS, hi)
-            inside = ((p_raw > BLEND_EPS) & (p_raw < hi)).cast("double")
+            p = F.col(f"_p{q}")
+            inside = F.col(f"_in{q}")
             if kind == "binary":
                 yy = F.col(y).cast("double")
                 loss = -(yy * F.ln(p) + (1 - yy) * F.ln(1 - p))
@@ -191,7 +216,7 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
             cols = [F.lit(1.0), loss] + [d1 * F.col(x) for x in xs]
             cols += [d2 * F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
             return cols
-        S = fold_sums(df, fold_col, n_folds, f)
+        S = fold_sums(cur, fold_col, n_folds, f)
         n = np.where(S[:, 0] > 0, S[:, 0], 1.0)  # an empty problem stays at its start
         loss = S[:, 1] / n
         grad = S[:, 2:2 + M] / n[:, None]
@@ -241,9 +266,13 @@ def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_fold
     B = np.zeros((Q, M + 1))
 
     def stats(Bc):
+        cur = _with_weights(df, Bc)
+        cur = cur.select(fold_col, y, *xs, *[_col_expr(xs, q, intercept=True).alias(f"_z{q}") for q in range(Q)])
+        cur = cur.select("*", *[(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_z{q}")))).alias(f"_p{q}") for q in range(Q)])
+
         def f(q):
-            z = linear_expr(xs, Bc[q][1:], Bc[q][0])
-            p = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+            z = F.col(f"_z{q}")
+            p = F.col(f"_p{q}")
             yy = F.col(y).cast("double")
             # stable log loss: log(1+e^z) - y z
             ll = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - yy * z
@@ -253,7 +282,7 @@ def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_fold
             cols = [ll] + [r * x for x in feats]
             cols += [wgt * feats[i] * feats[j] for i, j in _tri(M + 1)]
             return cols
-        S = fold_sums(df, fold_col, n_folds, f)
+        S = fold_sums(cur, fold_col, n_folds, f)
         reg = np.ones(M + 1)
         reg[0] = 0.0
         obj = C * S[:, 0] + 0.5 * np.sum(reg * Bc * Bc, axis=1)

@@ -1132,3 +1132,15 @@ def q_stack_add(spark, sf):
     with_c = M.auc(BL.blend_equal(mo).join(mo.select("id", "y").distinct(), "id"), []).withColumnRenamed("auc", "a3")
     without = M.auc(BL.blend_equal(mo.where(F.col("member") != "p3")).join(mo.select("id", "y").distinct(), "id"), [])
     return with_scalars(with_c, without).select(F.lit("p3").alias("candidate"), r6(F.col("a3") - F.col("auc")).alias("delta_auc"))
+
+
+@query("fold_input_check")
+def q_fold_input_check(spark, sf):
+    """Input-equivalence gate: fingerprints of every model input (fold x role) of two
+    runs of the same recipe; the diff must be empty."""
+    t, spec = _syn_model_task(spark, sf)
+    a = OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a", "s_n"], capture_inputs=True)
+    b = OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a", "s_n"], capture_inputs=True)
+    diff = IG.fingerprint_diff(a.input_fingerprints, b.input_fingerprints, ["fold", "role"])
+    return a.input_fingerprints.join(diff.select("fold", "role", F.lit(True).alias("changed")), ["fold", "role"], "left") \
+        .select("fold", "role", "n", F.coalesce("changed", F.lit(False)).alias("changed"))

@@ -23,6 +23,7 @@ from foldwise.operators import integrity as IG
 from foldwise.operators import metrics as MT
 from foldwise.operators.encode import fit_target_encoding
 from foldwise.operators.labels import LabelMap, fit_label_map
+from foldwise.operators.integrity import fingerprint
 from foldwise.operators.vocab import category_codes, category_vocab
 from foldwise.plans.trainers import Trainer
 from foldwise.spec import TaskSpec
@@ -39,6 +40,7 @@ class OOFRun:
     cv_label: str
     label_map: LabelMap | None
     models: list
+    input_fingerprints: DataFrame | None = None  # (fold, role, n, x, s) when captured
 
 
 def _assemble(df: DataFrame, numeric: Sequence[str], vector_col: str | None) -> DataFrame:
@@ -55,7 +57,7 @@ def _assemble(df: DataFrame, numeric: Sequence[str], vector_col: str | None) ->
 def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Trainer, numeric: Sequence[str],
             *, vector_col: str | None = None, n_folds: int | None = None, max_folds: int | None = None,
             aug_weight: float | None = None, early_stopping: bool = False, split: DataFrame | None = None,
-            categorical: Sequence[str] = ()) -> OOFRun:
+            categorical: Sequence[str] = (), capture_inputs: bool = False) -> OOFRun:
     """``categorical`` columns get fixed codes from one vocabulary over train, test and
     source (the same codes before and after the augmentation union)."""
     spec.validate()
@@ -98,7 +100,7 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
         te_enc_cache = True
         va_enc = enc.valid(folded).select("id", *[f"{c}_te" for c in te_cols])
         te_enc = enc.test(test.select("id", *te_cols)).select("id", "k", *[f"{c}_te" for c in te_cols])
-    valid_preds, test_preds, meta, models = [], [], [], []
+    valid_preds, test_preds, meta, models, prints = [], [], [], [], []
     ycol = "code" if pt == "multiclass" else spec.target_col
     out_col = "probs" if pt == "multiclass" else "p"
     k_classes = lm.n_classes if lm else None
@@ -120,6 +122,13 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
                 fit_df = fit_df.unionByName(src.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
             if early_stopping:
                 fit_df = fit_df.unionByName(va.withColumn("w", F.lit(1.0)).withColumn("_is_val", F.lit(True)))
+            if capture_inputs:
+                # content fingerprint of what each model sees, per fold and role (input-equivalence gate)
+                fcols = sorted(set(feats) | {"label"})
+                for role, d, cols in (("fit", fit_df.where(~F.col("_is_val")), fcols + ["w"]),
+                                      ("valid", va, feats), ("predict", te, feats)):
+                    prints.append(fingerprint(d.withColumn("fold", F.lit(k)).withColumn("role", F.lit(role)),
+                                              ["fold", "role"], cols + (["id"] if role != "fit" else [])))
             fit_in = _assemble(fit_df, feats, vector_col).select("features", "label", "w", "_is_val")
             fit_in = fit_in.persist(StorageLevel.MEMORY_AND_DISK)  # iterative learners scan it many times
             model = trainer.fit(fit_in, pt, seed=spec.model_seed,
@@ -156,8 +165,14 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
         fs = spark.createDataFrame([(k, s, b) for k, s, b in zip(folds_run, cv_scores, meta)],
                                    "fold int, score double, best_iter int")
         label_txt = f"{spec.cv_strategy}_{n}" + (f"_partial{len(folds_run)}" if partial else "")
+        fp = None
+        if prints:
+            fp = prints[0]
+            for d in prints[1:]:
+                fp = fp.unionByName(d)
+            fp = fp.checkpoint(eager=True)  # computed while the encoded inputs are still cached
         return OOFRun(None if partial else oof, None if partial else test_mean, fs, cv_scores, meta, oof_score,
-                      label_txt, lm, models)
+                      label_txt, lm, models, fp)
     finally:
         folded.unpersist()
         if enc is not None:

@@ -72,3 +72,34 @@ def test_multiclass_oof_shape(spark):
 def test_unknown_trainer_lists_known():
     with pytest.raises(ValueError, match="gbt"):
         get_trainer("catboost")
+
+
+def test_fold_input_fingerprints_are_reproducible_and_sensitive(spark, syn):
+    from foldwise.operators.integrity import fingerprint_diff
+
+    t, spec = syn
+    a = OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a"], max_folds=2, capture_inputs=True)
+    b = OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a"], max_folds=2, capture_inputs=True)
+    assert fingerprint_diff(a.input_fingerprints, b.input_fingerprints, ["fold", "role"]).count() == 0
+    assert a.input_fingerprints.count() == 6  # 2 folds x (fit, valid, predict)
+    c = OOF.run_oof(spark, t, replace(spec, te_smoothing=5.0), get_trainer("linear"), ["value", "s_a"],
+                    max_folds=2, capture_inputs=True)
+    changed = fingerprint_diff(a.input_fingerprints, c.input_fingerprints, ["fold", "role"]).count()
+    assert changed == 6  # the encoding enters every role
+
+
+def test_save_models_and_row_count_check(spark, syn, tmp_path):
+    from foldwise.operators.integrity import check_row_count
+    from foldwise.session import scratch_path
+
+    t, spec = syn
+    run = OOF.run_oof(spark, t, replace(spec, te_cols=()), get_trainer("linear"), ["value"], max_folds=1)
+    root = scratch_path(spark, "models")
+    OOF.save_models(run.models, root, "exp_x")
+    from pyspark.ml.classification import LogisticRegressionModel
+    assert LogisticRegressionModel.load(f"{root}/exp_x_fold0").numFeatures == 1
+    src = t.where("part = 'source'")
+    n = src.count()
+    assert check_row_count(src, n, "source") == n
+    with pytest.raises(ValueError):
+        check_row_count(src, n + 1, "source")

@@ -116,3 +116,23 @@ def test_case_insensitive_duplicate_columns_are_rejected(spark):
     check_columns(df)
     with pytest.raises(ValueError):
         check_columns(["x", "X"])
+
+
+def test_roles_fill_and_seeds(spark):
+    from foldwise.operators.history import fill_past
+    from foldwise.operators import folds as FO
+
+    spec = TaskSpec(categorical_cols=("a", "b", "t"), te_cols=("t", "zz"), extra_categorical_cols=("c", "a"),
+                    drop_cols=("d",))
+    te, cat = spec.roles(["id", "y", "a", "b", "c", "d", "t"])
+    assert te == ["t"] and cat == ["a", "b", "c"]
+    assert spec.feature_cols(["id", "y", "a", "d"]) == ["a"]
+    df = spark.createDataFrame([(1, None), (2, 2.5)], "id long, f double")
+    got = {r["id"]: r["f"] for r in fill_past(df, ["f"]).collect()}
+    assert got == {1: 0.0, 2: 2.5} and dict(fill_past(df, ["f"]).dtypes)["f"] == "float"
+    rows = spark.createDataFrame([(i, i % 2) for i in range(100)], "id long, y int")
+    a = FO.assign_folds(rows, TaskSpec(model_seed=1)).collect()
+    b = FO.assign_folds(rows, TaskSpec(model_seed=2)).collect()
+    assert sorted(a) == sorted(b)          # the run seed never changes the split
+    c = FO.assign_folds(rows, TaskSpec(seed=7)).collect()
+    assert sorted(a) != sorted(c)
