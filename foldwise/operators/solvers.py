@@ -19,14 +19,21 @@ from foldwise.functions.scalar import BLEND_EPS, clip
 from foldwise.session import materialize, with_scalars
 
 
-def fold_sums(df: DataFrame, fold_col: str, n_folds: int,
-              exprs: Callable[[int], Sequence[Column]]) -> np.ndarray:
-    """Array (K+1, E): sums of ``exprs(q)`` over the training rows of problem q."""
-    aggs, width = [], None
+def fold_aggs(n_folds: int, exprs: Callable[[int], Sequence[Column]]) -> tuple[list[Column], int]:
+    """The aggregate columns of ``fold_sums`` (build once, reuse across passes)."""
+    aggs, width = [], 0
     for q in range(n_folds + 1):
         es = list(exprs(q))
         width = len(es)
         aggs += [F.sum(e).alias(f"_q{q}_{i}") for i, e in enumerate(es)]
+    return aggs, width
+
+
+def fold_sums(df: DataFrame, fold_col: str, n_folds: int,
+              exprs: Callable[[int], Sequence[Column]] | None = None,
+              prepared: tuple[list[Column], int] | None = None) -> np.ndarray:
+    """Array (K+1, E): sums of ``exprs(q)`` over the training rows of problem q."""
+    aggs, width = prepared if prepared is not None else fold_aggs(n_folds, exprs)
     rows = df.groupBy(fold_col).agg(*aggs).collect()  # at most K rows
     A = np.zeros((n_folds, n_folds + 1, width))
     for r in rows:
@@ -192,31 +199,34 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
     W = np.full((Q, M), 1.0 / M)
     hi = 1 - BLEND_EPS if kind == "binary" else 1.0
 
+    # each problem's blend is one projected column; the aggregates only reference it. The
+    # weights are columns of a one-row table, so projection and aggregates are built once.
+    proj = []
+    for q in range(Q):
+        raw = _col_expr(xs, q)
+        proj += [clip(raw, BLEND_EPS, hi).alias(f"_p{q}"), ((raw > BLEND_EPS) & (raw < hi)).cast("double").alias(f"_in{q}")]
+
+    def f(q):
+        p = F.col(f"_p{q}")
+        inside = F.col(f"_in{q}")
+        if kind == "binary":
+            yy = F.col(y).cast("double")
+            loss = -(yy * F.ln(p) + (1 - yy) * F.ln(1 - p))
+            d1 = -(yy / p - (1 - yy) / (1 - p)) * inside
+            d2 = (yy / (p * p) + (1 - yy) / ((1 - p) * (1 - p))) * inside
+        else:
+            loss = -F.ln(p)
+            d1 = -(F.lit(1.0) / p) * inside
+            d2 = (F.lit(1.0) / (p * p)) * inside
+        cols = [F.lit(1.0), loss] + [d1 * F.col(x) for x in xs]
+        cols += [d2 * F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
+        return cols
+    prepared = fold_aggs(n_folds, f)
+    keep = [fold_col, *xs, *([y] if y else [])]
+
     def stats(Wc):
-        cur = _with_weights(df, Wc)
-        # each problem's blend computed once as a column; the aggregates only reference it
-        proj = []
-        for q in range(Q):
-            raw = _col_expr(xs, q)
-            proj += [clip(raw, BLEND_EPS, hi).alias(f"_p{q}"), ((raw > BLEND_EPS) & (raw < hi)).cast("double").alias(f"_in{q}")]
-        cur = cur.select(fold_col, *xs, *([y] if y else []), *proj)
-
-        def f(q):
-            p = F.col(f"_p{q}")
-            inside = F.col(f"_in{q}")
-            if kind == "binary":
-                yy = F.col(y).cast("double")
-                loss = -(yy * F.ln(p) + (1 - yy) * F.ln(1 - p))
-                d1 = -(yy / p - (1 - yy) / (1 - p)) * inside
-                d2 = (yy / (p * p) + (1 - yy) / ((1 - p) * (1 - p))) * inside
-            else:
-                loss = -F.ln(p)
-                d1 = -(F.lit(1.0) / p) * inside
-                d2 = (F.lit(1.0) / (p * p)) * inside
-            cols = [F.lit(1.0), loss] + [d1 * F.col(x) for x in xs]
-            cols += [d2 * F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
-            return cols
-        S = fold_sums(cur, fold_col, n_folds, f)
+        cur = _with_weights(df, Wc).select(*keep, *proj)
+        S = fold_sums(cur, fold_col, n_folds, prepared=prepared)
         n = np.where(S[:, 0] > 0, S[:, 0], 1.0)  # an empty problem stays at its start
         loss = S[:, 1] / n
         grad = S[:, 2:2 + M] / n[:, None]
@@ -265,24 +275,26 @@ def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_fold
     df = materialize(df.select(fold_col, y, *xs))  # every Newton pass reads it
     B = np.zeros((Q, M + 1))
 
-    def stats(Bc):
-        cur = _with_weights(df, Bc)
-        cur = cur.select(fold_col, y, *xs, *[_col_expr(xs, q, intercept=True).alias(f"_z{q}") for q in range(Q)])
-        cur = cur.select("*", *[(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_z{q}")))).alias(f"_p{q}") for q in range(Q)])
+    zproj = [_col_expr(xs, q, intercept=True).alias(f"_z{q}") for q in range(Q)]
+    pproj = [(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_z{q}")))).alias(f"_p{q}") for q in range(Q)]
 
-        def f(q):
-            z = F.col(f"_z{q}")
-            p = F.col(f"_p{q}")
-            yy = F.col(y).cast("double")
-            # stable log loss: log(1+e^z) - y z
-            ll = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - yy * z
-            r = p - yy
-            wgt = p * (1 - p)
-            feats = [F.lit(1.0)] + [F.col(x) for x in xs]
-            cols = [ll] + [r * x for x in feats]
-            cols += [wgt * feats[i] * feats[j] for i, j in _tri(M + 1)]
-            return cols
-        S = fold_sums(cur, fold_col, n_folds, f)
+    def f(q):
+        z = F.col(f"_z{q}")
+        p = F.col(f"_p{q}")
+        yy = F.col(y).cast("double")
+        # stable log loss: log(1+e^z) - y z
+        ll = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - yy * z
+        r = p - yy
+        wgt = p * (1 - p)
+        feats = [F.lit(1.0)] + [F.col(x) for x in xs]
+        cols = [ll] + [r * x for x in feats]
+        cols += [wgt * feats[i] * feats[j] for i, j in _tri(M + 1)]
+        return cols
+    prepared = fold_aggs(n_folds, f)
+
+    def stats(Bc):
+        cur = _with_weights(df, Bc).select(fold_col, y, *xs, *zproj).select("*", *pproj)
+        S = fold_sums(cur, fold_col, n_folds, prepared=prepared)
         reg = np.ones(M + 1)
         reg[0] = 0.0
         obj = C * S[:, 0] + 0.5 * np.sum(reg * Bc * Bc, axis=1)
