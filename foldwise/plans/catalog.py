@@ -951,7 +951,7 @@ def q_oof_binary(spark, sf):
 @query("oof_gbt")
 def q_oof_gbt(spark, sf):
     t, spec = _syn_model_task(spark, sf)
-    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=40, maxDepth=3, validationTol=0.0),
+    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3, validationTol=0.0),
                       ["value", "s_a", "s_n"], early_stopping=True)
     return run.fold_scores
 

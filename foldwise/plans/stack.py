@@ -161,7 +161,7 @@ def _multinomial(oof_long, test_long, train, members, n_folds, K):
             n_tr = n_all if q == n_folds else n_all - n_q.get(q, 0)
             lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial",
                                     regParam=1.0 / n_tr, elasticNetParam=0.0, standardization=False,
-                                    maxIter=200, tol=1e-10)
+                                    maxIter=100, tol=1e-7)
             model = lr.fit(tr.withColumn("_label", F.col("code").cast("double")))
             models.append(model)
             if q < n_folds:
