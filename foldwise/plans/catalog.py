@@ -442,6 +442,15 @@ def q_label_encode(spark, sf):
     return lm.encode(t).select("id", "code")
 
 
+@query("label_decode", f"""WITH {S.mc_ctes()}
+SELECT tc.id, lm.label FROM tc JOIN lm ON tc.code = lm.code""")
+def q_label_decode(spark, sf):
+    t = T.mc_task(spark, sf)
+    lm = fit_label_map(spark, T.train_rows(t))
+    coded = lm.encode(t).select("id", "code")
+    return lm.decode(coded, "code", "label").select("id", "label")
+
+
 @query("argmax_label", f"""WITH {S.mc_ctes()}
 SELECT mm.member, mm.id, lm.label AS label FROM mm JOIN lm ON list_position(mm.probs, list_max(mm.probs)) - 1 = lm.code""")
 def q_argmax_label(spark, sf):
