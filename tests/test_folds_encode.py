@@ -101,3 +101,14 @@ def test_greedy_group_folds_balance_better_than_dealing(spark):
     assert greedy.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
     assert spread(greedy) <= spread(dealt)
     assert greedy.count() == df.count()
+
+
+def test_nested_encoding_does_not_depend_on_partitioning(spark):
+    t, spec = T.load_task(spark, SF_MID, "bin")
+    tr = T.train_rows(t).select("id", "y", "user_id")
+    outs = []
+    for n in (1, 17):
+        f = FO.assign_folds(tr.repartition(n), spec)
+        e = fit_target_encoding(f, ["user_id"], 5)
+        outs.append(e.train.select("id", "k", F.round("user_id_te", 12).alias("te")))
+    assert outs[0].exceptAll(outs[1]).count() == 0 and outs[1].exceptAll(outs[0]).count() == 0
