@@ -94,8 +94,10 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
     feats = list(numeric) + [f"{c}_code" for c in cats] + [f"{c}_te" for c in te_cols]
     enc = None
     if te_cols:
+        # group folds outside -> group inner folds too, so no group spans both inner parts
+        inner_groups = spec.group_keys if spec.cv_strategy == "GroupKFold" else ()
         enc = fit_target_encoding(folded, te_cols, n, smoothing=spec.te_smoothing, seed=spec.seed,
-                                  problem_type=pt, outer_folds=folds_run)
+                                  problem_type=pt, outer_folds=folds_run, group_keys=inner_groups)
         tr_enc = enc.train.select("id", "k", *[f"{c}_te" for c in te_cols]).persist(StorageLevel.MEMORY_AND_DISK)
         te_enc_cache = True
         va_enc = enc.valid(folded).select("id", *[f"{c}_te" for c in te_cols])

@@ -103,3 +103,10 @@ def test_save_models_and_row_count_check(spark, syn, tmp_path):
     assert check_row_count(src, n, "source") == n
     with pytest.raises(ValueError):
         check_row_count(src, n + 1, "source")
+
+
+def test_group_task_uses_group_inner_folds(spark):
+    t = T.with_planted_features(T.bin_task(spark, SF_SMALL))
+    spec = replace(T.SPECS["grp"])
+    run = OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a"], max_folds=1)
+    assert run.cv_label == "GroupKFold_5_partial1" and len(run.cv_scores) == 1
