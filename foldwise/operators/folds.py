@@ -57,11 +57,12 @@ def rank_folds(
     inner folds of nested encoding, partitioned by outer fold k).
     """
     digits = digits or default_hex_digits(df.sparkSession)
-    h = seeded_hash(id_col, seed, *salt)
-    tmp = df.withColumn("_h", h).withColumn("_hb", F.substring("_h", 1, digits))
+    tmp = df.withColumn("_hb", F.substring(seeded_hash(id_col, seed, *salt), 1, digits))
     bucket = ([strata] if strata else []) + ["_hb"]
-    ranked = global_row_number(tmp, bucket=bucket, order=["_h", id_col], partition_by=partition_by, out="_rn")
-    return ranked.withColumn(fold_col, ((F.col("_rn") - 1) % n_folds).cast("int")).drop("_h", "_hb", "_rn")
+    # the full hash is recomputed after the exchange as the sort key (not shuffled)
+    ranked = global_row_number(tmp, bucket=bucket, order=[seeded_hash(id_col, seed, *salt), F.col(id_col)],
+                               partition_by=partition_by, out="_rn")
+    return ranked.withColumn(fold_col, ((F.col("_rn") - 1) % n_folds).cast("int")).drop("_hb", "_rn")
 
 
 def group_folds(

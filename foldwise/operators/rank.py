@@ -76,6 +76,9 @@ def global_row_number(
     )
     offsets = counts.select(*P, *B, F.coalesce(F.sum("_bucket_n").over(w_off), F.lit(0)).alias("_bucket_off"))
     joined = df.join(maybe_broadcast(offsets, bound_rows), on=P + B, how="inner")
+    # distribute on (partition, bucket) first: order expressions (e.g. a hash) are then
+    # evaluated after the exchange instead of being shuffled with every row
+    joined = joined.repartition(*[F.col(c) for c in P + B])
     w_in = Window.partitionBy(*P, *B).orderBy(*_cols(order))
     return joined.withColumn(out, (F.row_number().over(w_in) + F.col("_bucket_off")).cast("long")).drop(
         "_bucket_off"
