@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, packing
-from foldwise.llm.common import table
+from foldwise.llm import (bpe, chat, embed_dedup, langid, line_dedup, ngram_join, outliers, packing, quality, spans)
+from foldwise.llm.common import table, text_crc
 
 END_ID = 2
 
@@ -23,13 +23,66 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans_text = F.array_join(F.transform("loss_spans", lambda s: F.concat_ws(":", s["begin"], s["end"])), ",")
+    return out.select("conv_id", "speaker", "block", F.col("n_turns").cast("long"), "char_start",
+                      F.md5("text").alias("text_md5"), spans_text.alias("loss_spans"))
+
+
+def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "text", "n_sentences", "n_removed")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = text_crc("doc_id") % 3 == 1
+    out = langid.identify(docs, langid.fit(docs, ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = text_crc("doc_id") % 5 == 0
+    out = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return out.select("doc_id", held_out.alias("held_out"), "score",
+                      (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.similarity_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_line_dedup": op2_line_dedup,
+    "op3_chat": op3_chat,
+    "op4_span_dedup": op4_span_dedup,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality": op8_quality,
+    "op9_ngram_join": op9_ngram_join,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {}
