@@ -85,4 +85,51 @@ QUERIES = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+# Words of a text in DuckDB: A-Z lower-cased, runs of anything but ASCII white space.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
+
+ORACLES: dict[str, str] = {
+    "op2_line_dedup": f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i + 1:i + {line_dedup.MIN_LINES}] ORDER BY doc_id, i) AS nth
+      FROM (SELECT doc_id, l, unnest(range(0, len(l) - {line_dedup.MIN_LINES - 1})) AS i FROM d)),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w, range({line_dedup.MIN_LINES}) r(k) WHERE nth > 1),
+line AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(len(l), 0) AS n_lines, coalesce(n, 0) AS n_removed,
+       CASE WHEN text IS NULL THEN NULL ELSE md5(coalesce(t, '')) END AS text_md5
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)""",
+    "op3_chat": f"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '{chat.NO_ROLE}') AS role, replace(coalesce(text, ''), '<|', '< |') AS body,
+                  coalesce(floor(turn / {chat.BLOCK_TURNS})::BIGINT, -1) AS block FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS speaker FROM m),
+p AS (SELECT m.*, speaker, role = speaker AS own,
+             '{chat.OPEN}' || CASE WHEN role = speaker THEN 'assistant' ELSE 'user name=' || replace(role, '<|', '< |') END
+             || chr(10) AS head, body || '{chat.CLOSE}' || chr(10) AS tail
+      FROM m JOIN s ON m.conv_id IS NOT DISTINCT FROM s.conv_id),
+q AS (SELECT *, length(head) + length(tail) AS size,
+             coalesce(sum(length(head) + length(tail)) OVER (PARTITION BY conv_id, speaker, block
+                      ORDER BY turn NULLS FIRST, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+      FROM p),
+b AS (SELECT conv_id, speaker, block, count(*) AS n_turns, sum(size) AS total,
+             md5(string_agg(head || tail, '' ORDER BY pos)) AS text_md5,
+             coalesce(string_agg((pos + length(head)) || ':' || (pos + size - 1), ',' ORDER BY pos) FILTER (own), '') AS loss_spans
+      FROM q GROUP BY conv_id, speaker, block)
+SELECT conv_id, speaker, block, n_turns,
+       coalesce(sum(total) OVER (PARTITION BY conv_id, speaker ORDER BY block
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_start, text_md5, loss_spans FROM b""",
+    "op9_ngram_join": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+             ELSE array_to_string(w[i:i + 2], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
+}
