@@ -47,3 +47,11 @@ def slices(texts: Iterable[str | None], max_chars: int = 1_000_000) -> Iterator[
             size += len(piece)
     if batch:
         yield batch
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import stash
+from foldwise.llm.common import stash, unused
 from foldwise.operators.rank import prefix_sums
 
 MIN_LINES = 3
@@ -117,9 +117,10 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "do
         "d", "t", F.transform("x", lambda x: x["r"]).cast("array<struct<gap:int,len:int>>").alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id",
-                text_col: str = "text") -> DataFrame:
-    """``docs`` with the cleaned text, n_lines and n_removed; every row and column is kept.
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_id", text_col: str = "text",
+                counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with the cleaned text, n_lines and n_removed; every row and column is kept, but
+    for columns of the names ``counts``, which are replaced.
 
     A line goes when it lies in a run of at least ``min_lines`` lines that also starts at an
     earlier place (documents in the order of their key, nulls first, then the hash of the text).
@@ -128,18 +129,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     loses nothing keeps its text as it was; one that loses every line becomes empty.
     """
     runs = repeated_runs(docs, min_lines, id_col, text_col)
-    names = set(docs.columns)
-    mark = {c: next(n for n in (c, f"_{c}", f"__{c}", f"___{c}") if n not in names) for c in ("d", "t", "runs", "lines", "gone")}
-    keyed = docs.withColumn(mark["t"], F.xxhash64(docs[text_col].cast("string")))
-    runs = runs.select(F.col("d").alias(mark["d"]), F.col("t").alias("_run_t"), F.col("runs").alias(mark["runs"]))
-    j = keyed.join(runs, keyed[id_col].eqNullSafe(runs[mark["d"]]) & (keyed[mark["t"]] == runs["_run_t"]), "left")
+    d, t, r = (unused(c, docs.columns) for c in ("_d", "_t", "_runs"))
+    keyed = docs.withColumn(t, F.xxhash64(docs[text_col].cast("string")))
+    runs = runs.select(F.col("d").alias(d), F.col("t").alias(f"{t}_2"), F.col("runs").alias(r))
+    j = keyed.join(runs, keyed[id_col].eqNullSafe(runs[d]) & (keyed[t] == runs[f"{t}_2"]), "left")
     lines = F.split(F.col(text_col).cast("string"), "\n")
-    gone = F.flatten(F.transform(mark["runs"], lambda r: F.concat(
-        F.array_repeat(F.lit(False), r["gap"]), F.array_repeat(F.lit(True), r["len"]))))
+    gone = F.flatten(F.transform(r, lambda x: F.concat(F.array_repeat(F.lit(False), x["gap"]), F.array_repeat(F.lit(True), x["len"]))))
     kept = F.transform(F.array(F.struct(lines.alias("l"), gone.alias("g"))), lambda x: F.filter(
         x["l"], lambda line, i: ~F.coalesce(F.get(x["g"], i), F.lit(False))))[0]
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    removed = F.coalesce(F.aggregate(F.col(mark["runs"]), F.lit(0), lambda a, r: a + r["len"]), F.lit(0)).cast("long")
-    text = F.when(F.col(mark["runs"]).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    keep = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    return j.select(*keep, text.alias(text_col), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    removed = F.coalesce(F.aggregate(F.col(r), F.lit(0), lambda a, x: a + x["len"]), F.lit(0)).cast("long")
+    text = F.when(F.col(r).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    return j.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in counts],
+                    n_lines.alias(counts[0]), removed.alias(counts[1]))

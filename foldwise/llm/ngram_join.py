@@ -28,11 +28,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import stash
+from foldwise.llm.common import stash, unused
 from foldwise.llm.components import connected
 from foldwise.llm.words import Words, grouped, mix, run_hash
 
@@ -205,7 +205,8 @@ class CountTree:
 
 # ------------------------------------------------------------ join
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].alias("d"), docs[text_col].cast("string").alias("text"))
+    text = docs[text_col].cast("string")
+    return docs.select(docs[id_col].alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -213,16 +214,17 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def set_table(rows: DataFrame, n: int) -> DataFrame:
-    """(d, c, n): the id and size of each text's set; size 0 for a null text or one without words."""
-    schema = T.StructType([rows.schema["d"], T.StructField("c", T.LongType()), T.StructField("n", T.LongType())])
+    """(d, t, c, n): the id and size of each text's set; size 0 for a null text or one without words."""
+    schema = T.StructType([rows.schema["d"], rows.schema["t"], T.StructField("c", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in grouped(texts):
                 s = ShingleSets(texts[a:b], n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), _long(s.ids()), pa.array(s.size)],
-                                                 names=["d", "c", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), _long(s.ids()), pa.array(s.size)],
+                    names=["d", "t", "c", "n"])
 
     return rows.mapInArrow(run, schema)
 
@@ -315,6 +317,33 @@ def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: i
     are never the smallest unless a component has no other. Sets are compared as 64-bit
     hashes of shingles and identified by 64-bit hashes.
     """
+    out = _components(docs, words, num, den, id_col, text_col)
+    return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"),
+                      F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("d")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
+             text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: the one of the smallest key (nulls last), of
+    equal keys the one of the smallest text hash, of repeated rows one. Rows without a word stay.
+    """
+    out = _components(docs, words, num, den, id_col, text_col)
+    key = F.coalesce(F.col("d").cast("string"), F.lit(""))
+    order = F.struct(F.col("d").isNull().alias("x"), F.col("d").alias("d"), F.col("t").alias("t"))
+    chosen = out.where("n > 0").groupBy("component").agg(F.min(order).alias("o")).select(
+        F.coalesce(F.col("o.d").cast("string"), F.lit("")).alias("_key"), F.col("o.t").alias("_hash"), F.lit(True).alias("_one"))
+    wordless = out.where("n = 0").select(key.alias("_key"), F.col("t").alias("_hash"), F.lit(False).alias("_one")).distinct()
+    k, t, nth = (unused(c, docs.columns) for c in ("_key", "_hash", "_nth"))
+    rows = docs.withColumns({k: F.coalesce(docs[id_col].cast("string"), F.lit("")), t: F.xxhash64(docs[text_col].cast("string"))})
+    kept = chosen.unionByName(wordless).withColumnsRenamed({"_key": f"{k}_2", "_hash": f"{t}_2", "_one": f"{nth}_1"})
+    j = rows.join(kept, (rows[k] == kept[f"{k}_2"]) & (rows[t] == kept[f"{t}_2"]))
+    j = j.withColumn(nth, F.row_number().over(Window.partitionBy(k, t).orderBy(F.lit(1))))
+    return j.where((F.col(nth) == 1) | ~F.col(f"{nth}_1")).select(*docs.columns)
+
+
+def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """(d, t, c, n, component, low) of every row: key, text hash, class and size of the set, the
+    component's smallest class, its smallest key; the last two are null where n is 0."""
     rows = _texts(docs, id_col, text_col)
     sets = stash(set_table(rows, words), "sets")
     placed = partition_table(rows, words, num, den)
@@ -361,14 +390,12 @@ def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: i
         component = members.select("c").distinct().join(found.select(F.col("node").alias("c"), "component"), "c", "left").select(
             "c", F.coalesce("component", "c").alias("component"))
     if links is None:
-        named = low.select("c", F.col("d").alias("component_id"))
+        named = low.select("c", F.col("c").alias("component"), F.col("d").alias("low"))
     else:
         label = low.join(stash(connected(links), "label").select(F.col("node").alias("c"), "component"), "c", "left").select(
             "c", "d", F.coalesce("component", "c").alias("component"))
         label = stash(label, "class-component")
-        least = stash(label.groupBy("component").agg(F.min("d").alias("component_id")), "component-low")
-        named = label.join(least, "component").select("c", "component_id")
+        least = stash(label.groupBy("component").agg(F.min("d").alias("low")), "component-low")
+        named = label.join(least, "component").select("c", "component", "low")
     named = stash(named, "class-name").withColumnRenamed("c", "_c")
-    out = sets.join(named, (F.col("n") > 0) & (F.col("c") == F.col("_c")), "left")
-    return out.select(F.col("d").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("class_id"),
-                      F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("d")).alias("component_id"))
+    return sets.join(named, (F.col("n") > 0) & (F.col("c") == F.col("_c")), "left").drop("_c")

@@ -198,14 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     return train(parts, label, weight)
 
 
-def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "doc_id",
-          text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """(id, kept columns, score) of every row; 0.5 where nothing was learned.
+def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "doc_id", text_col: str = "text",
+          keep: Sequence[str] = (), out: str = "score") -> DataFrame:
+    """(id, kept columns, ``out``) of every row; 0.5 where nothing was learned.
 
     A null text scores as the empty text. Repeated rows are kept one by one.
     """
-    cols = [c for c in keep if c != id_col]
-    schema = T.StructType([*[docs.schema[c] for c in [id_col, *cols]], T.StructField("score", T.DoubleType())])
+    cols = [id_col, *[c for c in keep if c != id_col]]
+    text = cols.index(text_col) if text_col in cols else len(cols)
+    rows = docs.select(*[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in cols],
+                       *([] if text_col in cols else [F.col(text_col).cast("string").alias("_text")]))
+    schema = T.StructType([*[rows.schema[c] for c in cols], T.StructField(out, T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,9 +216,9 @@ def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "do
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                texts = part.column(part.num_columns - 1).to_pylist()
+                texts = part.column(text).to_pylist()
                 s = m.score([stats_and_words(t) for t in texts]) if m else np.full(len(texts), 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64())],
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(s, pa.float64())],
                                                  names=[f.name for f in schema.fields])
 
-    return docs.select(id_col, *cols, docs[text_col].cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

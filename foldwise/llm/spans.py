@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import stash
+from foldwise.llm.common import stash, unused
 from foldwise.llm.words import Words, grouped, mix, run_hash
 
 SPAN = 2         # consecutive sentences of a span
@@ -137,8 +137,10 @@ def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return later.groupBy("d", "t").agg(F.collect_list("pos").alias("gone"))
 
 
-def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the cleaned text, n_sentences and n_removed; every row and column is kept.
+def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                counts: tuple[str, str] = ("n_sentences", "n_removed")) -> DataFrame:
+    """``docs`` with the cleaned text, n_sentences and n_removed; every row and column is kept,
+    but for columns of the names ``counts``, which are replaced.
 
     The first place of a span is the one in the row with the lowest key (nulls first, then by
     a hash of the text) and the lowest position. Words are compared without ASCII case and
@@ -147,21 +149,13 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     byte for byte.
     """
     gone = repeated_sentences(docs, id_col, text_col)
-    names = set(docs.columns)
-
-    def fresh(name: str) -> str:
-        while name in names:
-            name = f"_{name}"
-        return name
-
-    d, t, g = fresh("_d"), fresh("_t"), fresh("_gone")
+    d, t, g = (unused(c, docs.columns) for c in ("_d", "_t", "_gone"))
     keyed = docs.withColumn(t, F.shiftright(F.xxhash64(docs[text_col].cast("string")), 32))
-    gone = gone.select(F.col("d").alias(d), F.col("t").alias("_gone_t"), F.col("gone").alias(g))
-    cols = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    j = keyed.join(gone, keyed[id_col].eqNullSafe(gone[d]) & (keyed[t] == gone["_gone_t"]), "left").select(
+    gone = gone.select(F.col("d").alias(d), F.col("t").alias(f"{t}_2"), F.col("gone").alias(g))
+    cols = [c for c in docs.columns if c not in counts]
+    j = keyed.join(gone, keyed[id_col].eqNullSafe(gone[d]) & (keyed[t] == gone[f"{t}_2"]), "left").select(
         *[F.col(c).cast("string").alias(c) if c == text_col else F.col(c) for c in cols], F.col(g))
-    schema = T.StructType([*[j.schema[c] for c in cols], T.StructField("n_sentences", T.LongType()),
-                           T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*[j.schema[c] for c in cols], *[T.StructField(c, T.LongType()) for c in counts]])
     at_text = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,7 +33,7 @@ def test_random_documents(spark, h):
     docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA).repartition(5)
     want = brute(rows, h)
     out = dedup_lines(docs, h)
-    assert out.columns == ["doc_id", "d", "t", "runs", "text", "n_lines", "n_removed"]
+    assert out.columns == ["doc_id", "text", "d", "t", "runs", "n_lines", "n_removed"]
     got = out.collect()
     assert len(got) == len(rows)
     texts = {}
