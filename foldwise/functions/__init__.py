@@ -3,9 +3,8 @@ from foldwise.functions.scalar import (
     clip,
     hard_label,
     logit,
-    normalise_probs,
     parse_regime,
     uniform,
 )
 
-__all__ = ["argmax_code", "clip", "hard_label", "logit", "normalise_probs", "parse_regime", "uniform"]
+__all__ = ["argmax_code", "clip", "hard_label", "logit", "parse_regime", "uniform"]

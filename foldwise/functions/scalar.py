@@ -44,13 +44,6 @@ def argmax_code(probs) -> Column:
     return (F.array_position(a, F.array_max(a)) - F.lit(1)).cast("int")
 
 
-def normalise_probs(probs) -> Column:
-    """Divide every element by the row sum (NULL when the sum is 0)."""
-    a = _c(probs)
-    s = F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(a, lambda x: F.try_divide(x, s))
-
-
 def parse_regime(label) -> tuple[Column, Column]:
     """Split ``<strategy>_<n>`` from the right; partial labels give ''."""
     lab = _c(label)

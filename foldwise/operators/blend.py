@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalar import BLEND_EPS, clip
 from foldwise.operators.rank import prefix_sums, quantile_bucket
 
 
@@ -56,25 +55,13 @@ def mc_blend_equal(members: DataFrame, n_classes: int, id_col: str = "id", probs
     return avg.select(id_col, F.array(*[F.try_divide(F.col(f"_a{k}"), s) for k in range(n_classes)]).alias(out))
 
 
-def weighted_blend(members: DataFrame, weights: dict[str, float], id_col: str = "id", member_col: str = "member",
-                   p: str = "p", out: str = "p", clip_to: tuple[float, float] | None = None) -> DataFrame:
-    """Σ_m w_m p_m per id (weights are a small driver-side dict)."""
-    w = F.lit(0.0)
-    for m, x in weights.items():
-        w = F.when(F.col(member_col) == m, F.lit(float(x))).otherwise(w)
-    b = members.groupBy(id_col).agg(F.sum(w * F.col(p)).alias(out))
-    if clip_to:
-        b = b.withColumn(out, clip(out, *clip_to))
-    return b
-
-
 def mc_weighted_blend(members: DataFrame, weights: dict[str, float], n_classes: int, id_col: str = "id",
                       member_col: str = "member", probs: str = "probs", out: str = "probs") -> DataFrame:
-    """Member-weighted probability rows, renormalised and clipped to [1e-7, 1]."""
+    """Member-weighted probability rows, renormalised (clipping belongs to the loss only)."""
     w = F.lit(0.0)
     for m, x in weights.items():
         w = F.when(F.col(member_col) == m, F.lit(float(x))).otherwise(w)
     agg = members.groupBy(id_col).agg(*[F.sum(w * F.element_at(probs, k + 1)).alias(f"_b{k}") for k in range(n_classes)])
     s = sum((F.col(f"_b{k}") for k in range(n_classes)), F.lit(0.0))
-    arr = F.array(*[clip(F.try_divide(F.col(f"_b{k}"), s), BLEND_EPS, 1.0) for k in range(n_classes)])
+    arr = F.array(*[F.try_divide(F.col(f"_b{k}"), s) for k in range(n_classes)])
     return agg.select(id_col, arr.alias(out))

@@ -16,7 +16,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foldwise.operators.rank import default_hex_digits, global_row_number
 from foldwise.spec import TaskSpec
@@ -100,35 +99,6 @@ def group_folds(
     return df.join(gf, cond, "inner").select(df["*"], gf[fold_col])
 
 
-# Group tables up to this many groups may use the sequential greedy balance on the driver.
-MAX_GREEDY_GROUPS = 200_000
-
-
-def greedy_group_folds(df: DataFrame, n_folds: int, group_keys: Sequence[str], fold_col: str = "fold") -> DataFrame:
-    """Group k-fold by the sequential greedy rule: groups in descending size, each to the
-    currently lightest fold (first such fold on ties; equal sizes ordered by key).
-
-    Tighter balance than dealing round-robin, but sequential: it runs on the driver over
-    the (group, size) table, so it is refused above MAX_GREEDY_GROUPS groups.
-    """
-    G = list(group_keys)
-    sizes = df.groupBy(*G).agg(F.count(F.lit(1)).alias("_gn"))
-    rows = sizes.limit(MAX_GREEDY_GROUPS + 1).collect()
-    if len(rows) > MAX_GREEDY_GROUPS:
-        raise ValueError(f"more than {MAX_GREEDY_GROUPS} groups: use the distributed group_folds")
-    key = lambda r: (-r["_gn"], tuple((r[k] is not None, r[k]) for k in G))
-    load = [0] * n_folds
-    out = []
-    for r in sorted(rows, key=key):
-        f = min(range(n_folds), key=lambda i: (load[i], i))
-        load[f] += r["_gn"]
-        out.append((*[r[k] for k in G], f))
-    schema = sizes.select(*G).schema.add(fold_col, T.IntegerType(), False)
-    gf = df.sparkSession.createDataFrame(out, schema)
-    cond = [df[k].eqNullSafe(gf[k]) for k in G]
-    return df.join(F.broadcast(gf) if len(out) <= 1_000_000 else gf, cond, "inner").select(df["*"], gf[fold_col])
-
-
 def assign_folds(train: DataFrame, spec: TaskSpec, n_folds: int | None = None) -> DataFrame:
     """Fold per train row for the task's CV strategy: ``train`` + ``fold``."""
     n = n_folds or spec.n_folds
@@ -137,8 +107,6 @@ def assign_folds(train: DataFrame, spec: TaskSpec, n_folds: int | None = None) -
     if spec.cv_strategy == "KFold":
         return rank_folds(train, n, seed=spec.seed, id_col=spec.id_col)
     if spec.cv_strategy == "GroupKFold":
-        if spec.group_balance == "greedy":
-            return greedy_group_folds(train, n, spec.group_keys)
         return group_folds(train, n, spec.group_keys)
     raise ValueError(f"unknown CV strategy {spec.cv_strategy!r}")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,18 +12,40 @@ from foldwise.spec import TaskSpec
 
 
 # ------------------------------------------------------------------ split tables
-def regime_path(root: str, strategy: str, n_folds: int, seed: int, group_hash: str | None = None) -> str:
-    name = f"{strategy}_{n_folds}fold_seed{seed}"
-    if strategy == "GroupKFold" and group_hash:
-        name += f"_{group_hash}"
-    return f"{root.rstrip('/')}/splits/{name}"
+SPLIT_KEYS = ("strategy", "n_folds", "seed", "groups")
 
 
-def group_set_hash(df: DataFrame, keys: Sequence[str], id_col: str = "id") -> str:
-    """Order-free content hash of the (id, group key) set: 8 hex digits."""
-    h = F.xxhash64(F.col(id_col), *[F.col(k) for k in keys])
-    row = df.agg(F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    return format((hash((row["x"], str(row["s"]), row["n"])) & 0xFFFFFFFF), "08x")
+def content_hash(df: DataFrame, cols: Sequence[str]) -> str:
+    """Order-free hash of a row set: sha2 over its count, xor and sum of row hashes.
+
+    Computed by Spark alone, so every session and process gets the same value.
+    """
+    h = F.xxhash64(*[F.col(c) for c in cols])
+    parts = F.concat_ws(":", F.count(F.lit(1)), F.coalesce(F.bit_xor(h), F.lit(0)),
+                        F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")))
+    return df.agg(F.substring(F.sha2(parts, 256), 1, 16).alias("h")).first()["h"]
+
+
+def split_regime(train: DataFrame, spec: TaskSpec, n_folds: int | None = None) -> dict:
+    """The partition values of a split in the split table. Group splits depend on which rows
+    share a group, so they also carry the hash of the (id, group) set."""
+    grouped = spec.cv_strategy == "GroupKFold"
+    return {"strategy": spec.cv_strategy, "n_folds": n_folds or spec.n_folds, "seed": spec.seed,
+            "groups": content_hash(train, [spec.id_col, *spec.group_keys]) if grouped else "none"}
+
+
+def read_split(spark: SparkSession, store: str, regime: dict) -> DataFrame | None:
+    """The stored split of a regime, or None when it (or the whole table) is not there yet."""
+    try:
+        table = spark.read.parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    for k, v in regime.items():
+        table = table.where(F.col(k).cast("string") == str(v))
+    split = table.drop(*SPLIT_KEYS)
+    return None if split.isEmpty() else split
 
 
 def split_table(folded: DataFrame, id_col: str = "id", y_col: str = "y", fold_col: str = "fold") -> DataFrame:
@@ -30,11 +53,14 @@ def split_table(folded: DataFrame, id_col: str = "id", y_col: str = "y", fold_co
     return folded.select(id_col, F.col(fold_col).cast("int").alias("fold"), F.xxhash64(F.col(y_col)).alias("y_fp"))
 
 
-def save_split(split: DataFrame, path: str) -> None:
-    """Write once (error if it exists); refuse a split with a row in no fold."""
+def save_split(split: DataFrame, store: str, regime: dict) -> None:
+    """Add a split to the table, once; refuse a split with a row in no fold."""
     if split.where(F.col("fold").isNull()).limit(1).count():
         raise ValueError("some rows are in no validation fold; not a partition, not written")
-    split.write.mode("errorifexists").parquet(path)
+    if read_split(split.sparkSession, store, regime) is not None:
+        raise ValueError(f"a split for {regime} is stored already")
+    keyed = split.withColumns({k: F.lit(v) for k, v in regime.items()})
+    keyed.write.mode("append").partitionBy(*SPLIT_KEYS).parquet(store)
 
 
 def split_report(split: DataFrame, data: DataFrame, n_folds: int, id_col: str = "id", y_col: str = "y") -> DataFrame:
@@ -54,33 +80,30 @@ def split_report(split: DataFrame, data: DataFrame, n_folds: int, id_col: str =
                  & (F.col("n_extra") == 0) & (F.col("n_missing") == 0) & (F.col("n_target_changed") == 0))
 
 
-def load_split(spark: SparkSession, path: str, data: DataFrame, n_folds: int, id_col: str = "id",
+def load_split(spark: SparkSession, store: str, regime: dict, data: DataFrame, id_col: str = "id",
                y_col: str = "y") -> DataFrame:
     """Read a stored split and self-check it; on mismatch fail, never regenerate."""
-    split = spark.read.parquet(path)
-    rep = split_report(split, data, n_folds, id_col, y_col).first()
+    split = read_split(spark, store, regime)
+    if split is None:
+        raise ValueError(f"no split stored for {regime}")
+    rep = split_report(split, data, regime["n_folds"], id_col, y_col).first()
     if not rep["ok"]:
-        raise ValueError(f"stored split {path} does not match the data: {rep.asDict()}; "
+        raise ValueError(f"the split stored for {regime} does not match the data: {rep.asDict()}; "
                          "delete it deliberately to regenerate")
     return split.select(id_col, "fold")
 
 
-def get_or_create_split(spark: SparkSession, train: DataFrame, spec: TaskSpec, root: str,
+def get_or_create_split(spark: SparkSession, train: DataFrame, spec: TaskSpec, store: str,
                         n_folds: int | None = None) -> DataFrame:
     """Load the split of this regime if stored, else assign folds and store them once."""
     from foldwise.operators.folds import assign_folds
 
     n = n_folds or spec.n_folds
-    gh = group_set_hash(train, spec.group_keys, spec.id_col) if spec.cv_strategy == "GroupKFold" else None
-    path = regime_path(root, spec.cv_strategy, n, spec.seed, gh)
-    try:
-        spark.read.parquet(path).schema
-        exists = True
-    except Exception:  # noqa: BLE001 - path absent
-        exists = False
-    if not exists:
-        save_split(split_table(assign_folds(train, spec, n), spec.id_col, spec.target_col), path)
-    return load_split(spark, path, train, n, spec.id_col, spec.target_col)
+    regime = split_regime(train, spec, n)
+    if read_split(spark, store, regime) is None:
+        narrow = train.select(*dict.fromkeys([spec.id_col, spec.target_col, *spec.group_keys]))
+        save_split(split_table(assign_folds(narrow, spec, n), spec.id_col, spec.target_col), store, regime)
+    return load_split(spark, store, regime, train, spec.id_col, spec.target_col)
 
 
 def attach_split(data: DataFrame, split: DataFrame, id_col: str = "id") -> DataFrame:

@@ -21,15 +21,15 @@ class LabelMap:
         return len(self.classes)
 
     def encode(self, df: DataFrame, y: str = "y", out: str = "code") -> DataFrame:
-        """Inner join on the label; a label outside the map fails the check."""
-        coded = df.join(F.broadcast(self.table), df[y] == self.table["label"], "left").drop("label")
+        """Codes of the labels. A null label has none; a label outside the map is an error,
+        raised by the rows that hold it."""
+        table = self.table.select(F.col("label").alias("_label"), "code")
+        coded = df.join(F.broadcast(table), df[y] == F.col("_label"), "left").drop("_label")
+        unseen = F.raise_error(F.concat(F.lit("label outside the fitted label map: "), F.col(y).cast("string")))
+        coded = coded.withColumn("code", F.when(F.col("code").isNull() & F.col(y).isNotNull(), unseen.cast("int"))
+                                 .otherwise(F.col("code")))
         return coded.withColumnRenamed("code", out) if out != "code" else coded
 
-    def check_encoded(self, coded: DataFrame, out: str = "code") -> None:
-        bad = coded.where(F.col(out).isNull()).limit(1).count()
-        if bad:
-            raise ValueError("labels outside the fitted label map")
-
     def decode(self, df: DataFrame, code: str = "code", out: str = "label") -> DataFrame:
         t = self.table.select(F.col("code").alias("_code"), F.col("label").alias(out))
         return df.join(F.broadcast(t), df[code] == t["_code"], "left").drop("_code")

@@ -34,10 +34,10 @@ def auc(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", out
     g = quantile_bucket(g, p, K, n_buckets=n_buckets)
     g = prefix_sums(g, ["_neg"], bucket=["_qb"], order=[p], partition_by=K)
     res = g.groupBy(*K).agg(
-        F.sum(F.col("_pos") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_num"),
+        F.sum(F.col("_pos").cast("double") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_num"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
     )
-    val = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_num") / (F.col("_P") * F.col("_N")))
+    val = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_num") / (F.col("_P").cast("double") * F.col("_N")))
     return res.select(*K, val.alias(out))
 
 

@@ -88,15 +88,30 @@ def write_logs(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def read_raw_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Scan logs with the explicit schema; unreadable records are dropped.
+def scan_logs(spark: SparkSession, path: str) -> DataFrame:
+    """Every record of a log folder with the explicit schema, plus ``_corrupt_record``.
 
-    ``multi_line=True`` reads pretty-printed one-record-per-file JSON.
+    A file may hold one pretty-printed record or one record per line. Each file is read as
+    one text (log files are small) and split at line ends only when it is no single record.
     """
+    whole = spark.read.text(path, wholetext=True)
     schema = T.StructType(LOG_SCHEMA.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(schema).option("multiLine", multi_line).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(path))
-    return df.where(F.col("_corrupt_record").isNull() & F.col("exp_id").isNotNull()).drop("_corrupt_record")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parse = lambda c: F.from_json(c, schema, options)
+    lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
+    per_line = F.forall(lines, lambda x: x.rlike(r"^\s*\{.*\}\s*$"))
+    texts = whole.select(F.explode(F.when(per_line, lines).otherwise(F.array("value"))).alias("value"))
+    return texts.where(F.trim("value") != "").select(parse(F.col("value")).alias("r")).select("r.*")
+
+
+def read_raw_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The readable records of a log folder."""
+    return scan_logs(spark, path).where(F.col("_corrupt_record").isNull() & F.col("exp_id").isNotNull()).drop("_corrupt_record")
+
+
+def unreadable_logs(spark: SparkSession, path: str) -> int:
+    """Records that ``read_raw_logs`` leaves out."""
+    return scan_logs(spark, path).where(F.col("_corrupt_record").isNotNull() | F.col("exp_id").isNull()).count()
 
 
 def flatten_logs(raw: DataFrame) -> DataFrame:
@@ -209,7 +224,10 @@ def resolve_regime(raw: DataFrame, members: Sequence[str], default: tuple[str, i
         status.alias("status"))
 
 
-def check_regime(regime_row) -> tuple[str, int]:
+def check_regime(regime_row, allow_fallback: bool = False) -> tuple[str, int]:
+    """(strategy, folds) of the members; without logs of full runs only when the caller allows it."""
     if regime_row["status"] == "mismatch":
         raise ValueError("member runs use different CV regimes; stack only members of one split")
+    if regime_row["status"] == "fallback" and not allow_fallback:
+        raise ValueError("a member has no log of a full run; its CV regime is unknown")
     return regime_row["strategy"], int(regime_row["n_folds"])

@@ -465,12 +465,13 @@ SELECT k.k, count(*) FILTER (WHERE f.fold <> k.k) AS n_train, count(*) FILTER (W
 FROM k CROSS JOIN f GROUP BY k.k""")
 def q_fold_slice(spark, sf):
     f, spec, _ = _folded(spark, sf, "bin")
-    per = f.groupBy("fold").agg(F.count(F.lit(1)).alias("n_fold"), F.sum("y").alias("pos_fold"))
-    tot = per.agg(F.sum("n_fold").alias("n_all"), F.sum("pos_fold").alias("pos_all"))  # one row
-    r = with_scalars(per, tot)
-    n_train = F.col("n_all") - F.col("n_fold")
-    return r.select(F.col("fold").alias("k"), n_train.alias("n_train"), F.col("n_fold").alias("n_valid"),
-                    r6((F.col("pos_all") - F.col("pos_fold")) / n_train).alias("train_rate"))
+    out = None
+    for k in range(spec.n_folds):
+        train, valid = FO.fold_slice(f, k)
+        r = with_scalars(train.agg(F.lit(k).alias("k"), F.count(F.lit(1)).alias("n_train"), r6(F.avg("y")).alias("train_rate")),
+                         valid.agg(F.count(F.lit(1)).alias("n_valid")))
+        out = r if out is None else out.unionByName(r)
+    return out.select("k", "n_train", "n_valid", "train_rate")
 
 
 @query("screening_folds", f"""WITH {S.folded('bin')}
@@ -889,8 +890,8 @@ def q_split_check(spark, sf):
     root = scratch_path(spark, "splits")
     split = IG.get_or_create_split(spark, tr, spec, root)          # creates and stores
     again = IG.get_or_create_split(spark, tr, spec, root)          # loads and self-checks
-    path = IG.regime_path(root, spec.cv_strategy, spec.n_folds, spec.seed)
-    rep = IG.split_report(spark.read.parquet(path), tr, spec.n_folds)
+    stored = IG.read_split(spark, root, IG.split_regime(tr, spec))
+    rep = IG.split_report(stored, tr, spec.n_folds)
     return rep.select(*[F.col(c).cast("long").alias(c) if c not in ("min_fold", "max_fold", "ok") else F.col(c)
                         for c in rep.columns]).where(F.lit(split is not None and again is not None))
 
@@ -904,22 +905,37 @@ def q_attach_split(spark, sf):
     return IG.attach_split(t, split).select("id", "fold", r6("value").alias("value"))
 
 
+@query("group_split_roundtrip", f"""WITH {S.folded('grp', strategy='GroupKFold')}
+SELECT id, user_id, fold FROM f""")
+def q_group_split_roundtrip(spark, sf):
+    t, spec = T.load_task(spark, sf, "grp")
+    tr = T.train_rows(t)
+    store = scratch_path(spark, "splits")
+    IG.get_or_create_split(spark, tr, spec, store)
+    loaded = IG.load_split(spark, store, IG.split_regime(tr.repartition(5), spec), tr)
+    return IG.attach_split(tr, loaded).select("id", "user_id", "fold")
+
+
 def _fp_sql(src_cols):
     parts = " || ".join(f"'{c}=' || coalesce(CAST({c} AS VARCHAR), '\\N') || ';'" for c in sorted(src_cols))
     return f"('0x' || substring(md5({parts}), 1, 8))::BIGINT"
 
 
 @query("fold_fingerprint", f"""WITH {S.folded('imb')},
-r AS (SELECT fold AS k, 'fit' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source', 'y'])} AS h FROM f
-      UNION ALL SELECT f.fold AS k, 'valid' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source'])} AS h FROM f)
+ks AS (SELECT CAST(range AS INTEGER) AS k FROM range(5)),
+r AS (SELECT ks.k, 'fit' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source', 'y'])} AS h FROM f JOIN ks ON f.fold <> ks.k
+      UNION ALL SELECT f.fold AS k, 'valid' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source'])} AS h FROM f
+      UNION ALL SELECT ks.k, 'predict' AS role, {_fp_sql(['id', 'lang', 'n_chars', 'source'])} AS h FROM t CROSS JOIN ks WHERE part = 'test')
 SELECT k, role, count(*) AS n, bit_xor(h) AS x, CAST(sum(h) AS BIGINT) AS s FROM r GROUP BY k, role""")
 def q_fold_fingerprint(spark, sf):
-    f, _, _ = _folded(spark, sf, "imb")
-    fit = IG.fingerprint(f.withColumn("k", F.col("fold")).withColumn("role", F.lit("fit")), ["k", "role"],
-                         ["id", "lang", "n_chars", "source", "y"])
-    val = IG.fingerprint(f.withColumn("k", F.col("fold")).withColumn("role", F.lit("valid")), ["k", "role"],
-                         ["id", "lang", "n_chars", "source"])
-    return fit.unionByName(val).select("k", "role", "n", "x", F.col("s").cast("long").alias("s"))
+    f, spec, t = _folded(spark, sf, "imb")
+    ks = F.sequence(F.lit(0), F.lit(spec.n_folds - 1))
+    feats = ["id", "lang", "n_chars", "source"]
+    fit = f.withColumn("k", F.explode(F.filter(ks, lambda k: k != F.col("fold"))))
+    predict = T.test_rows(t).withColumn("k", F.explode(ks))
+    parts = [("fit", fit, [*feats, "y"]), ("valid", f.withColumn("k", F.col("fold")), feats), ("predict", predict, feats)]
+    prints = [IG.fingerprint(d.withColumn("role", F.lit(role)), ["k", "role"], cols) for role, d, cols in parts]
+    return prints[0].unionByName(prints[1]).unionByName(prints[2]).select("k", "role", "n", "x", F.col("s").cast("long").alias("s"))
 
 
 @query("fingerprint_diff", f"""WITH {S.folded('imb')},
@@ -1002,6 +1018,76 @@ def q_sweep_scores(spark, sf):
     return spark.createDataFrame(rows, "params string, cv_strategy string, cv_mean double, cv_std double")
 
 
+from foldwise.plans import job as JOB  # noqa: E402
+
+
+def _named_job(spark, sf, store, exp_id="run_a", **kw):
+    """A training job over a task whose key and target are not called id and y."""
+    t = T.with_planted_features(T.syn_task(spark, sf)).withColumnsRenamed({"id": "row_key", "y": "target"})
+    spec = _replace(T.SPECS["syn"], id_col="row_key", target_col="target", te_cols=("user_id",), drop_cols=("ts",))
+    args = {"numeric": ["value", "s_a"], "ratio": ("s_a", "s_n")}
+    return t, spec, JOB.train_job(spark, t, spec, get_trainer("linear", **kw), store, exp_id, builder="row_example", builder_args=args)
+
+
+@query("oof_contract", f"""WITH {S.folded('syn')}
+SELECT id AS row_key, fold, true AS in_range FROM f""")
+def q_oof_contract(spark, sf):
+    store = scratch_path(spark, "job")
+    t, spec, job = _named_job(spark, sf, store)
+    train = t.where(F.col("part") == "train")
+    split = IG.get_or_create_split(spark, train, spec, f"{store}/splits")
+    oof = spark.read.parquet(job.path("oof"))
+    return oof.join(split, "row_key").select("row_key", "fold", F.col("oof").between(0, 1).alias("in_range"))
+
+
+@query("job_log", f"""WITH {S.folded('syn')}
+SELECT 'run_a' AS exp_id, 'StratifiedKFold_5' AS cv_strategy, fold, count(*) AS n, true AS equal, true AS above_gate FROM f GROUP BY fold""")
+def q_job_log(spark, sf):
+    """The logged fold scores, read back, against the AUC of the stored OOF table on the stored split."""
+    store = scratch_path(spark, "job")
+    t, spec, job = _named_job(spark, sf, store)
+    train = t.where(F.col("part") == "train").select("row_key", "target")
+    split = IG.get_or_create_split(spark, train, spec, f"{store}/splits")
+    rows = spark.read.parquet(job.path("oof")).join(split, "row_key").join(train, "row_key")
+    auc = M.auc(rows, ["fold"], y="target", p="oof").join(rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold")
+    logged = RU.read_raw_logs(spark, job.path("logs")).select(
+        "exp_id", "cv_strategy", F.posexplode("cv_scores").alias("fold", "score"))
+    return logged.join(auc, "fold").select("exp_id", "cv_strategy", "fold", "n", (F.abs(F.col("score") - F.col("auc")) < 1e-6).alias("equal"),
+                                           (F.col("auc") > 0.8).alias("above_gate"))
+
+
+@query("job_submission", f"""WITH t AS ({S.TASKS['syn']})
+SELECT id AS row_key, true AS in_range FROM t WHERE part = 'test'""")
+def q_job_submission(spark, sf):
+    _, _, job = _named_job(spark, sf, scratch_path(spark, "job"))
+    return spark.read.parquet(job.path("submission")).select("row_key", F.col("target").between(0, 1).alias("in_range"))
+
+
+@query("oof_categorical", f"""WITH {S.folded('imb')}
+SELECT id, true AS in_range FROM f""")
+def q_oof_categorical(spark, sf):
+    """Trees over nominal categories, with missing values in a category and a number."""
+    t, spec = T.load_task(spark, sf, "imb")
+    t = t.withColumns({"lang": F.when(uniform("id", "gap") >= 0.1, F.col("lang")),
+                       "n_chars": F.when(uniform("id", "gap2") >= 0.1, F.col("n_chars"))})
+    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=3, maxDepth=3), ["n_chars"], categorical=["lang", "source"])
+    return OOF.oof_table(run).select("id", F.col("oof").between(0, 1).alias("in_range"))
+
+
+@query("mc_missing_class", f"""WITH {S.mc_ctes()}
+SELECT id, true AS sums_to_one FROM tc WHERE part = 'train'""")
+def q_mc_missing_class(spark, sf):
+    """A class all of whose rows are in one fold: the model of that fold never sees it."""
+    t, spec = T.load_task(spark, sf, "mc")
+    tr = T.train_rows(t)
+    split = FO.assign_folds(tr, spec).select("id", "y", "fold")
+    split = split.select("id", F.when(F.col("y") == "5-LOW", F.lit(0)).otherwise(F.col("fold")).alias("fold"))
+    run = OOF.run_oof(spark, t, spec, get_trainer("linear", maxIter=5), ["o_totalprice"], split=split)
+    wide = OOF.oof_table(run)
+    total = sum((F.col(f"`{c}`") for c in wide.columns[1:]), F.lit(0.0))
+    return wide.select("id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
 @query("oof_write_shape", f"""WITH {S.mc_ctes()},
 c1 AS (SELECT id, probs FROM mm WHERE member = 'c1' AND id IN (SELECT id FROM tc WHERE part = 'train'))
 SELECT id, {', '.join(f'round(probs[{i + 1}], 6) AS "oof_{c}"' for i, c in enumerate(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']))}
@@ -1119,11 +1205,11 @@ def q_adversarial_auc(spark, sf):
 
 @query("masking_invariance", f"""WITH t AS ({S.TASKS['bin']})
 SELECT count(*) AS n_before_cut, 0 AS n_changed FROM t
-WHERE ts < (SELECT ts FROM t WHERE id = (SELECT quantile_disc(id, 0.5) FROM t))""")
+WHERE ts < (SELECT arg_min(ts, id) FROM t WHERE id >= (SELECT floor(avg(id)) FROM t))""")
 def q_masking_invariance(spark, sf):
     t = T.bin_task(spark, sf)
-    mid = t.select(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY id)").alias("c")).first()["c"]
-    cut_ts = t.where(F.col("id") == mid).select("ts").first()["ts"]  # the cut: one event's time
+    mean = t.agg(F.floor(F.avg("id")).alias("c")).first()["c"]
+    cut_ts = t.where(F.col("id") >= mean).agg(F.min_by("ts", "id").alias("ts")).first()["ts"]  # the cut: one event's time
     cols = [f"value_past_{a}" for a in ("mean", "std", "max", "min", "sum")]
     full = past_features(t, "value", ["user_id"], "ts", exact_scale=6)
     trunc = past_features(t.where(F.col("ts") < F.lit(cut_ts)), "value", ["user_id"], "ts", exact_scale=6)

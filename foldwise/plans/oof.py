@@ -10,7 +10,7 @@ persisted across the folds.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
@@ -20,15 +20,20 @@ from pyspark.sql import functions as F
 
 from foldwise.operators import folds as FO
 from foldwise.operators import integrity as IG
+from foldwise.functions.scalar import argmax_code
 from foldwise.operators import metrics as MT
 from foldwise.operators.encode import fit_target_encoding
 from foldwise.operators.labels import LabelMap, fit_label_map
 from foldwise.operators.integrity import fingerprint
-from foldwise.operators.vocab import category_codes, category_vocab
+from foldwise.operators.vocab import augment_train, category_codes, category_vocab
 from foldwise.plans.trainers import Trainer
+from foldwise.session import materialize
 from foldwise.spec import TaskSpec
 
 
+MAX_TREE_CATEGORIES = 10_000  # a vocabulary above this belongs to target encoding
+
+
 @dataclass
 class OOFRun:
     oof: DataFrame | None       # (id, fold, y|code, p|probs); None for screening runs
@@ -41,125 +46,195 @@ class OOFRun:
     label_map: LabelMap | None
     models: list
     input_fingerprints: DataFrame | None = None  # (fold, role, n, x, s) when captured
+    id_col: str = "id"          # the task's own names; the tables here use id and y
+    target_col: str = "y"
+    features: tuple[str, ...] = ()
+
+
+def own_names(task: DataFrame, spec: TaskSpec) -> tuple[DataFrame, TaskSpec, dict[str, str]]:
+    """The task with key and target renamed to ``id`` and ``y``, the spec to match, and the
+    renaming. Another column of such a name becomes ``<name>_feature``."""
+    missing = [c for c in (spec.id_col, spec.target_col) if c not in task.columns]
+    if missing:
+        raise ValueError(f"task table lacks {missing}")
+    roles = {spec.id_col: "id", spec.target_col: "y"}
+    names = {c: roles.get(c, f"{c}_feature" if c in ("id", "y") else c) for c in task.columns}
+    told = lambda cols: tuple(names.get(c, c) for c in cols)
+    inner = replace(spec, id_col="id", target_col="y", te_cols=told(spec.te_cols), group_keys=told(spec.group_keys),
+                    categorical_cols=told(spec.categorical_cols), drop_cols=told(spec.drop_cols),
+                    numeric_cols=told(spec.numeric_cols), extra_categorical_cols=told(spec.extra_categorical_cols),
+                    sequence_col=names.get(spec.sequence_col, spec.sequence_col))
+    return task.toDF(*[names[c] for c in task.columns]), inner, names
+
+
+class Inputs:
+    """Turns rows into feature vectors: numbers with the train part's mean for missing values and
+    an indicator of them, category codes with nominal metadata and a code for missing values."""
+
+    def __init__(self, folded: DataFrame, numeric: Sequence[str], encoded: Sequence[str], categories: dict[str, int],
+                 vector_col: str | None, folds: Sequence[int]):
+        self.numeric, self.encoded, self.categories, self.vector_col = list(numeric), list(encoded), categories, vector_col
+        sums = [F.sum(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(self.numeric)]
+        counts = [F.count(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(self.numeric)]
+        rows = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *sums, *counts).collect() if numeric else []
+        self.means = {k: [_mean([(r[f"s{i}"] or 0.0, r[f"c{i}"]) for r in rows if r["fold"] != k])
+                          for i in range(len(self.numeric))] for k in folds}
+        self.flagged = [c for i, c in enumerate(self.numeric) if sum(r["n"] - r[f"c{i}"] for r in rows)]
+
+    def assemble(self, df: DataFrame, k: int) -> DataFrame:
+        cols, names = [], []
+
+        def add(col, name, meta=None):
+            cols.append(col.alias(f"_f_{name}", metadata=meta) if meta else col.alias(f"_f_{name}"))
+            names.append(f"_f_{name}")
 
+        for c, m in zip(self.numeric, self.means[k]):
+            add(F.coalesce(F.col(c).cast("double"), F.lit(m)), c)
+        for c in self.flagged:
+            add(F.col(c).isNull().cast("double"), f"{c}_missing")
+        for c in self.encoded:
+            add(F.col(c).cast("double"), c)
+        for c, n in self.categories.items():
+            add(F.coalesce(F.col(f"{c}_code").cast("double"), F.lit(float(n))), c,
+                {"ml_attr": {"type": "nominal", "name": c, "num_vals": n + 1}})
+        if self.vector_col:
+            add(array_to_vector(F.col(self.vector_col)), "vec")
+        return VectorAssembler(inputCols=names, outputCol="features").transform(df.select("*", *cols))
 
-def _assemble(df: DataFrame, numeric: Sequence[str], vector_col: str | None) -> DataFrame:
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_f_{c}") for c in numeric]
-    d = df.select("*", *cols)
-    inputs = [f"_f_{c}" for c in numeric]
-    if vector_col:
-        d = d.withColumn("_vec", array_to_vector(F.col(vector_col)))
-        inputs.append("_vec")
-    # numeric inputs are null-filled above; a missing vector is an error (trees take no NaN)
-    return VectorAssembler(inputCols=inputs, outputCol="features").transform(d)
+    @property
+    def max_categories(self) -> int:
+        return max(self.categories.values(), default=0) + 1
+
+
+def _mean(parts: list[tuple[float, int]]) -> float:
+    n = sum(c for _, c in parts)
+    return float(sum(s for s, _ in parts)) / n if n else 0.0
+
+
+def _wide(enc: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row per id: the encodings of all outer folds as maps k -> value."""
+    return enc.groupBy("id").agg(*[F.map_from_entries(F.collect_list(F.struct("k", f"{c}_te"))).alias(f"_te_{c}") for c in cols])
 
 
 def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Trainer, numeric: Sequence[str],
             *, vector_col: str | None = None, n_folds: int | None = None, max_folds: int | None = None,
             aug_weight: float | None = None, early_stopping: bool = False, split: DataFrame | None = None,
             categorical: Sequence[str] = (), capture_inputs: bool = False) -> OOFRun:
-    """``categorical`` columns get fixed codes from one vocabulary over train, test and
-    source (the same codes before and after the augmentation union)."""
-    spec.validate()
+    """One model per fold over a keyed task with a ``part`` column (train, test, source).
+
+    Key and target may have any name (``spec``). ``categorical`` columns get fixed codes from
+    one vocabulary over train, test and source. ``split`` is a (key, fold) table; without it
+    the folds are dealt by the spec.
+    """
+    spec.validate(trainer.problem_types)
+    own_id, own_target = spec.id_col, spec.target_col
+    task, spec, names = own_names(task, spec)
+    numeric, categorical = [names.get(c, c) for c in numeric], [names.get(c, c) for c in categorical]
+    vector_col = names.get(vector_col, vector_col)
     n = n_folds or spec.n_folds
     pt = spec.problem_type
     if aug_weight is not None and aug_weight != 1.0 and not trainer.supports_weight:
         raise ValueError(f"trainer {trainer.name} takes no weights; augmentation weight must be 1.0")
-    missing = [c for c in (spec.id_col, spec.target_col) if c not in task.columns]
-    if missing:
-        raise ValueError(f"task table lacks {missing}")
-    train = task.where(F.col("part") == "train")
-    test = task.where(F.col("part") == "test")
-    source = task.where(F.col("part") == "source") if aug_weight is not None else None
+    te_cols = list(spec.te_cols)
+    cats = [c for c in categorical if c not in te_cols]
+    sizes: dict[str, int] = {}
+    if cats:
+        vocab = materialize(category_vocab([task], cats))
+        sizes = {c: 0 for c in cats} | {r["col"]: r["count"] for r in vocab.groupBy("col").count().collect()}
+        large = [c for c, x in sizes.items() if x > MAX_TREE_CATEGORIES]
+        if large:
+            raise ValueError(f"{large} have more than {MAX_TREE_CATEGORIES} values; use target encoding")
+        task = category_codes(task, vocab, cats)
     lm = None
     if pt == "multiclass":
-        lm = fit_label_map(spark, train, spec.target_col, spec.n_classes)
-        train, test = lm.encode(train), lm.encode(test)
-        source = lm.encode(source) if source is not None else None
-        label = F.col("code").cast("double")
+        lm = fit_label_map(spark, task.where(F.col("part") == "train"), "y", spec.n_classes)
+        task = lm.encode(task.withColumn("y", F.when(F.col("part") != "test", F.col("y"))))
     else:
-        label = F.col(spec.target_col).cast("double")
-    folded = IG.attach_split(train, split) if split is not None else FO.assign_folds(train, spec, n)
+        task = task.withColumn("y", spec.cast_target("y"))
+    label = F.col("code" if lm else "y").cast("double")
+    train = task.where(F.col("part") == "train")
+    test = task.where(F.col("part") == "test")
+    source = task.where(F.col("part") == "source") if aug_weight is not None else None
+    if split is not None:
+        folded = IG.attach_split(train, split.withColumnRenamed(own_id, "id"))
+    else:  # the split is dealt over the key and target only and joined once
+        narrow = train.select(*dict.fromkeys(["id", "y", *spec.group_keys]))
+        folded = IG.attach_split(train, FO.assign_folds(narrow, spec, n))
     folded = folded.withColumn("label", label).persist(StorageLevel.MEMORY_AND_DISK)
     folds_run = list(range(n if max_folds is None else min(max_folds, n)))
-    te_cols = list(spec.te_cols)
-    cats = [c for c in categorical if c not in te_cols]
-    if cats:
-        vocab = category_vocab([task], cats)
-        task = category_codes(task, vocab, cats)
-        train = category_codes(train, vocab, cats)
-        test = category_codes(test, vocab, cats)
-        folded = category_codes(folded, vocab, cats)
-        source = category_codes(source, vocab, cats) if source is not None else None
-    feats = list(numeric) + [f"{c}_code" for c in cats] + [f"{c}_te" for c in te_cols]
-    enc = None
-    if te_cols:
-        # group folds outside -> group inner folds too, so no group spans both inner parts
-        inner_groups = spec.group_keys if spec.cv_strategy == "GroupKFold" else ()
-        enc = fit_target_encoding(folded, te_cols, n, smoothing=spec.te_smoothing, seed=spec.seed,
-                                  problem_type=pt, outer_folds=folds_run, group_keys=inner_groups)
-        tr_enc = enc.train.select("id", "k", *[f"{c}_te" for c in te_cols]).persist(StorageLevel.MEMORY_AND_DISK)
-        te_enc_cache = True
-        va_enc = enc.valid(folded).select("id", *[f"{c}_te" for c in te_cols])
-        te_enc = enc.test(test.select("id", *te_cols)).select("id", "k", *[f"{c}_te" for c in te_cols])
-    valid_preds, test_preds, meta, models, prints = [], [], [], [], []
-    ycol = "code" if pt == "multiclass" else spec.target_col
-    out_col = "probs" if pt == "multiclass" else "p"
+    ycol, out_col = ("code" if lm else "y"), ("probs" if lm else "p")
     k_classes = lm.n_classes if lm else None
+    encoded = [f"{c}_te" for c in te_cols]
+    held = [folded]
+    valid_preds, test_preds, meta, models, prints = [], [], [], [], []
     try:
+        rows, test_rows, enc = folded, test, None
+        if te_cols:
+            # group folds outside -> group inner folds too, so no group spans both inner parts
+            inner_groups = spec.group_keys if spec.cv_strategy == "GroupKFold" else ()
+            enc = fit_target_encoding(folded, te_cols, n, smoothing=spec.te_smoothing, seed=spec.seed,
+                                      problem_type=pt, outer_folds=folds_run, group_keys=inner_groups)
+            valid = enc.valid(folded.where(F.col("fold").isin(folds_run)).select("id", "fold", *te_cols)).select(
+                "id", *[F.col(f"{c}_te").alias(f"_own_{c}") for c in te_cols])
+            rows = folded.join(_wide(enc.train, te_cols), "id", "left").join(valid, "id", "left")
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            test_rows = test.join(_wide(enc.test(test.select("id", *te_cols)), te_cols), "id").persist(StorageLevel.MEMORY_AND_DISK)
+            held += [rows, test_rows]
+        inputs = Inputs(folded, numeric, encoded, sizes, vector_col, folds_run)
+        fcols = [*numeric, *[f"{c}_code" for c in sizes], *encoded]
+
+        def encode(df: DataFrame, k: int, own: bool = False) -> DataFrame:
+            return df.withColumns({f"{c}_te": F.col(f"_own_{c}") if own else F.element_at(f"_te_{c}", F.lit(k)) for c in te_cols})
+
         for k in folds_run:
-            tr = folded.where(F.col("fold") != k)
-            va = folded.where(F.col("fold") == k)
-            te = test.withColumn("label", F.lit(0.0))
-            if enc is not None:
-                tr = tr.join(tr_enc.where(F.col("k") == k).drop("k"), "id")
-                va = va.join(va_enc, "id")
-                te = te.join(te_enc.where(F.col("k") == k).drop("k"), "id")
-            fit_df = tr.withColumn("w", F.lit(1.0)).withColumn("_is_val", F.lit(False))
+            tr = encode(rows.where(F.col("fold") != k), k)
+            va = encode(rows.where(F.col("fold") == k), k, own=True)
+            te = encode(test_rows.withColumn("label", F.lit(0.0)), k)
+            fit_df = tr.withColumn("_is_val", F.lit(False))
             if source is not None:
-                src = source.withColumn("label", label)
+                src = source.withColumn("label", label).withColumns({"fold": F.lit(-1), "_is_val": F.lit(False)})
                 if enc is not None:
                     src = enc.apply(src.withColumn("k", F.lit(k))).drop("k")
-                src = src.withColumn("w", F.lit(float(aug_weight))).withColumn("_is_val", F.lit(False))
-                fit_df = fit_df.unionByName(src.withColumn("fold", F.lit(-1)), allowMissingColumns=True)
+                fit_df = augment_train(fit_df, src, float(aug_weight), trainer.supports_weight).drop("is_source")
+            else:
+                fit_df = fit_df.withColumn("w", F.lit(1.0))
             if early_stopping:
-                fit_df = fit_df.unionByName(va.withColumn("w", F.lit(1.0)).withColumn("_is_val", F.lit(True)))
+                fit_df = fit_df.unionByName(va.withColumn("w", F.lit(1.0)).withColumn("_is_val", F.lit(True)),
+                                            allowMissingColumns=True)
             if capture_inputs:
                 # content fingerprint of what each model sees, per fold and role (input-equivalence gate)
-                fcols = sorted(set(feats) | {"label"})
-                for role, d, cols in (("fit", fit_df.where(~F.col("_is_val")), fcols + ["w"]),
-                                      ("valid", va, feats), ("predict", te, feats)):
+                for role, d, cols in (("fit", fit_df.where(~F.col("_is_val")), [*sorted(fcols), "label", "w"]),
+                                      ("valid", va, [*sorted(fcols), "id"]), ("predict", te, [*sorted(fcols), "id"])):
                     prints.append(fingerprint(d.withColumn("fold", F.lit(k)).withColumn("role", F.lit(role)),
-                                              ["fold", "role"], cols + (["id"] if role != "fit" else [])))
-            fit_in = _assemble(fit_df, feats, vector_col).select("features", "label", "w", "_is_val")
+                                              ["fold", "role"], cols))
+            fit_in = inputs.assemble(fit_df, k).select("features", "label", "w", "_is_val")
             fit_in = fit_in.persist(StorageLevel.MEMORY_AND_DISK)  # iterative learners scan it many times
             model = trainer.fit(fit_in, pt, seed=spec.model_seed,
                                 weight_col="w" if trainer.supports_weight else None,
-                                validation_col="_is_val" if early_stopping else None)
+                                validation_col="_is_val" if early_stopping else None,
+                                max_categories=inputs.max_categories)
             fit_in.unpersist()
             models.append(model)
             meta.append(trainer.metadata(model).get("best_iter"))
-            pv = trainer.predict(model, _assemble(va, feats, vector_col), pt, k_classes)
+            pv = trainer.predict(model, inputs.assemble(va, k), pt, k_classes)
             valid_preds.append(pv.select("id", "fold", ycol, out_col))
-            pt_df = trainer.predict(model, _assemble(te, feats, vector_col), pt, k_classes)
+            pt_df = trainer.predict(model, inputs.assemble(te, k), pt, k_classes)
             test_preds.append(pt_df.select("id", F.lit(k).alias("k"), out_col))
         oof = valid_preds[0]
         for d in valid_preds[1:]:
             oof = oof.unionByName(d)
-        oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
-        tp = test_preds[0]
-        for d in test_preds[1:]:
-            tp = tp.unionByName(d)
-        if pt == "multiclass":
-            test_mean = tp.groupBy("id").agg(*[F.avg(F.element_at("probs", i + 1)).alias(f"_c{i}") for i in range(k_classes)])
-            test_mean = test_mean.select("id", F.array(*[f"_c{i}" for i in range(k_classes)]).alias("probs"))
-        else:
-            test_mean = tp.groupBy("id").agg(F.avg("p").alias("p"))
+        oof = materialize(oof)  # later reads need no model and no cached input
+        partial = max_folds is not None
+        test_mean = None
+        if not partial:
+            tp = test_preds[0]
+            for d in test_preds[1:]:
+                tp = tp.unionByName(d)
+            test_mean = materialize(mean_prediction(tp, out_col, k_classes))
         mc = pt == "multiclass"
         scores = MT.score(oof, spec.metric, ["fold"], y=ycol, p=out_col, multiclass=mc).collect()  # K rows
         sdict = {r["fold"]: r["score"] for r in scores}
         cv_scores = [float(sdict[k]) if sdict.get(k) is not None else float("nan") for k in folds_run]
-        partial = max_folds is not None
         oof_score = None
         if not partial:
             row = MT.score(oof, spec.metric, [], y=ycol, p=out_col, multiclass=mc).first()
@@ -172,13 +247,20 @@ def run_oof(spark: SparkSession, task: DataFrame, spec: TaskSpec, trainer: Train
             fp = prints[0]
             for d in prints[1:]:
                 fp = fp.unionByName(d)
-            fp = fp.checkpoint(eager=True)  # computed while the encoded inputs are still cached
-        return OOFRun(None if partial else oof, None if partial else test_mean, fs, cv_scores, meta, oof_score,
-                      label_txt, lm, models, fp)
+            fp = materialize(fp)  # computed while the encoded inputs are still cached
+        return OOFRun(None if partial else oof, test_mean, fs, cv_scores, meta, oof_score,
+                      label_txt, lm, models, fp, own_id, own_target, tuple(fcols) + ((vector_col,) if vector_col else ()))
     finally:
-        folded.unpersist()
-        if enc is not None:
-            tr_enc.unpersist()
+        for d in held:
+            d.unpersist()
+
+
+def mean_prediction(preds: DataFrame, out_col: str = "p", n_classes: int | None = None) -> DataFrame:
+    """Mean over models (folds or seeds) of the predictions of each id."""
+    if n_classes is None:
+        return preds.groupBy("id").agg(F.avg(out_col).alias(out_col))
+    mean = preds.groupBy("id").agg(*[F.avg(F.element_at(out_col, i + 1)).alias(f"_c{i}") for i in range(n_classes)])
+    return mean.select("id", F.array(*[f"_c{i}" for i in range(n_classes)]).alias(out_col))
 
 
 # ------------------------------------------------------------------ sinks (prediction contract)
@@ -189,8 +271,9 @@ def probs_wide(df: DataFrame, classes: Sequence, prefix: str = "", id_col: str =
                                                   for i, c in enumerate(classes)])
 
 
-def oof_table(run: OOFRun, id_col: str = "id") -> DataFrame:
-    """[id, oof] or [id, oof_<label>...] (classes in label-map order)."""
+def oof_table(run: OOFRun, id_col: str | None = None) -> DataFrame:
+    """[id, oof] or [id, oof_<label>...] (classes in label-map order); the key under its own name."""
+    id_col = id_col or run.id_col
     if run.oof is None:
         raise ValueError("screening runs write no OOF table")
     if run.label_map is None:
@@ -198,9 +281,28 @@ def oof_table(run: OOFRun, id_col: str = "id") -> DataFrame:
     return probs_wide(run.oof, run.label_map.classes, "oof_", id_col)
 
 
-def test_prob_table(run: OOFRun, id_col: str = "id") -> DataFrame:
+def test_prob_table(run: OOFRun, id_col: str | None = None) -> DataFrame:
     """Multiclass only: [id, <label>...] test probabilities (argmax drops them)."""
-    return probs_wide(run.test, [str(c) for c in run.label_map.classes], "", id_col)
+    return probs_wide(run.test, [str(c) for c in run.label_map.classes], "", id_col or run.id_col)
+
+
+def test_predictions(run: OOFRun) -> DataFrame:
+    """(id, pred): the mean test prediction; for multiclass the label of the highest probability."""
+    if run.label_map is None:
+        return run.test.select(F.col("id"), F.col("p").alias("pred"))
+    coded = run.test.select("id", argmax_code("probs").alias("code"))
+    return run.label_map.decode(coded, "code", "pred").select("id", "pred")
+
+
+def read_template(spark: SparkSession, path: str, id_col: str) -> DataFrame:
+    """A submission template: its key column and order of columns; keys must be unique."""
+    t = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") \
+        else spark.read.parquet(path)
+    if id_col not in t.columns:
+        raise ValueError(f"the template has no column {id_col!r}")
+    if t.groupBy(id_col).count().where("count > 1").limit(1).count():
+        raise ValueError("the template repeats a key")
+    return t
 
 
 def submission(template: DataFrame, pred: DataFrame, id_col: str, target_col: str) -> DataFrame:
@@ -223,4 +325,5 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 def save_models(models, root: str, exp_id: str) -> None:
     for k, m in enumerate(models):
-        m.write().overwrite().save(f"{root.rstrip('/')}/{exp_id}_fold{k}")
+        for name, one in ([(f"_class{c}", x) for c, x in m.items()] if isinstance(m, dict) else [("", m)]):
+            one.write().overwrite().save(f"{root.rstrip('/')}/{exp_id}_fold{k}{name}")

@@ -8,14 +8,14 @@ folds of one meta are fitted in shared passes (see operators.solvers).
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalar import BLEND_EPS, clip, logit
+from foldwise.functions.scalar import logit
 from foldwise.operators import blend as BL
 from foldwise.operators import metrics as MT
 from foldwise.operators import solvers as SV
@@ -130,8 +130,7 @@ def meta_multiclass(name: str, oof_long: DataFrame, test_long: DataFrame, train:
         agg = o.groupBy("id", "fold", "code").agg(
             *[F.sum(w * F.element_at("probs", k + 1)).alias(f"_b{k}") for k in range(K)])
         s = sum((F.col(f"_b{k}") for k in range(K)), F.lit(0.0))
-        oof = agg.select("id", "fold", "code", F.array(*[clip(F.try_divide(F.col(f"_b{k}"), s), BLEND_EPS, 1.0)
-                                                         for k in range(K)]).alias("probs"))
+        oof = agg.select("id", "fold", "code", F.array(*[F.try_divide(F.col(f"_b{k}"), s) for k in range(K)]).alias("probs"))
         test = BL.mc_weighted_blend(test_long, dict(zip(members, W[n_folds])), K)
         return oof, test, {"weights": W, "loss": loss, "grad": grad, "passes": passes}
     if name == "multinomial":
@@ -172,7 +171,7 @@ def _multinomial(oof_long, test_long, train, members, n_folds, K):
 
         def pad(df):
             arr = vector_to_array("probability")
-            return F.array(*[F.coalesce(F.element_at(arr, k + 1), F.lit(0.0)) if True else None for k in range(K)])
+            return F.array(*[F.coalesce(F.get(arr, F.lit(k)), F.lit(0.0)) for k in range(K)])
         oof = oof_df.select("id", "fold", "code", pad(oof_df).alias("probs")).persist(StorageLevel.MEMORY_AND_DISK)
         oof.count()
         test = models[n_folds].transform(Xt)
@@ -232,9 +231,15 @@ class StackJob:
 
 def stack_job(spark, oof_long: DataFrame, test_long: DataFrame, train: DataFrame, template_ids: DataFrame,
               members: list[str], spec, raw_logs: DataFrame | None = None, tag: str = "stack",
-              n_classes: int | None = None, classes: list | None = None) -> StackJob:
+              n_classes: int | None = None, classes: list | None = None, split_store: str | None = None,
+              allow_fallback: bool = False) -> StackJob:
     """Align -> resolve the members' regime -> member scores and correlation -> metas
-    -> best by direction -> contract tables (the stack is itself a valid member) -> log."""
+    -> best by direction -> contract tables (the stack is itself a valid member) -> log.
+
+    With ``raw_logs`` the folds are those of the members' logged regime: loaded from
+    ``split_store`` if given, else the fold column of ``train`` must be that split.
+    """
+    from foldwise.operators import integrity as IG
     from foldwise.operators import members as MM
     from foldwise.operators import runs as RU
 
@@ -244,8 +249,14 @@ def stack_job(spark, oof_long: DataFrame, test_long: DataFrame, train: DataFrame
     regime = spec.cv_label()
     if raw_logs is not None:
         r = RU.resolve_regime(raw_logs, members, (spec.cv_strategy, spec.n_folds)).first()
-        strategy, n_folds = RU.check_regime(r)
+        strategy, n_folds = RU.check_regime(r, allow_fallback)
         regime = f"{strategy}_{n_folds}"
+        if split_store is not None:
+            key = IG.split_regime(train, replace(spec, cv_strategy=strategy), n_folds)
+            train = IG.attach_split(train.drop("fold"), IG.load_split(spark, split_store, key, train, y_col="y"))
+    top = train.agg(F.max("fold").alias("m")).first()["m"]
+    if top != n_folds - 1:
+        raise ValueError(f"the fold column ends at {top}, the regime {regime} has {n_folds} folds; pass its split")
     mc = spec.problem_type == "multiclass"
     y = "code" if mc else "y"
     o = oof_long.join(train.select("id", y), "id")

@@ -4,8 +4,8 @@ A trainer turns (train part, optional validation part) into a fitted
 model and a model into predictions: ``p`` (binary probability or
 regression value) or ``probs`` (array of K class probabilities).
 Differences to native GBT libraries that cannot be hidden: Spark trees do
-not take missing values (features are null-filled before assembly), GBT is
-binary only, and early stopping uses a tolerance (``validationTol``)
+not take missing values (features are filled and flagged before assembly),
+GBT takes several classes as one model per class, and early stopping uses a tolerance (``validationTol``)
 instead of a patience. Tree binning samples rows in partition order, so
 tree models can differ in the last digits between runs after a shuffle.
 """
@@ -24,13 +24,16 @@ class Trainer:
     name: str
     supports_weight: bool = True
     params: dict = field(default_factory=dict)
+    problem_types = ("binary", "regression", "multiclass")
 
     def estimator(self, problem_type: str, seed: int, weight_col: str | None, validation_col: str | None):
         raise NotImplementedError
 
     def fit(self, df: DataFrame, problem_type: str, seed: int = 42, weight_col: str | None = None,
-            validation_col: str | None = None):
+            validation_col: str | None = None, max_categories: int = 0):
         est = self.estimator(problem_type, seed, weight_col, validation_col)
+        if est.hasParam("maxBins"):  # a nominal feature needs a bin for each of its values
+            est = est.copy({est.getParam("maxBins"): max(est.getOrDefault("maxBins"), max_categories)})
         return est.fit(df)
 
     def predict(self, model, df: DataFrame, problem_type: str, n_classes: int | None = None) -> DataFrame:
@@ -41,19 +44,19 @@ class Trainer:
         if problem_type == "binary":
             return out.withColumn("p", F.element_at(arr, 2))
         k = n_classes or 0
-        return out.withColumn("probs", F.array(*[F.coalesce(F.element_at(arr, i + 1), F.lit(0.0)) for i in range(k)]))
+        return out.withColumn("probs", F.array(*[F.coalesce(F.get(arr, F.lit(i)), F.lit(0.0)) for i in range(k)]))
 
     def metadata(self, model) -> dict:
         return {}
 
 
 class GBTTrainer(Trainer):
+    """Boosted trees; several classes by one model per class, probabilities normalised."""
+
     def estimator(self, problem_type, seed, weight_col, validation_col):
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.regression import GBTRegressor
 
-        if problem_type == "multiclass":
-            raise ValueError("Spark GBT is binary only; use the rf or linear trainer for multiclass")
         kw = dict(featuresCol="features", labelCol="label", seed=seed, maxIter=self.params.get("maxIter", 30),
                   maxDepth=self.params.get("maxDepth", 4), stepSize=self.params.get("stepSize", 0.2),
                   validationTol=self.params.get("validationTol", 0.0))
@@ -63,8 +66,28 @@ class GBTTrainer(Trainer):
             kw["validationIndicatorCol"] = validation_col
         return (GBTClassifier if problem_type == "binary" else GBTRegressor)(**kw)
 
+    def fit(self, df, problem_type, seed=42, weight_col=None, validation_col=None, max_categories=0):
+        if problem_type != "multiclass":
+            return super().fit(df, problem_type, seed, weight_col, validation_col, max_categories)
+        classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
+        return {c: super(GBTTrainer, self).fit(df.withColumn("label", (F.col("label") == c).cast("double")), "binary", seed,
+                                               weight_col, validation_col, max_categories) for c in classes}
+
+    def predict(self, model, df, problem_type, n_classes=None):
+        if problem_type != "multiclass":
+            return super().predict(model, df, problem_type, n_classes)
+        out = df
+        for c, m in model.items():
+            scored = m.transform(out)
+            out = scored.withColumn(f"_p{c}", F.element_at(vector_to_array("probability"), 2)).drop(
+                "rawPrediction", "probability", "prediction")
+        one = [F.col(f"_p{i}") if i in model else F.lit(0.0) for i in range(n_classes or 0)]
+        total = sum(one, F.lit(0.0))
+        return out.withColumn("probs", F.array(*[x / total for x in one]))
+
     def metadata(self, model) -> dict:
-        return {"best_iter": int(model.getNumTrees)}
+        models = model.values() if isinstance(model, dict) else [model]
+        return {"best_iter": max(int(m.getNumTrees) for m in models)}
 
 
 class RandomForestTrainer(Trainer):

@@ -37,16 +37,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def apply_sql_conf(spark: SparkSession) -> None:
-    for k, v in SQL_CONF.items():
-        spark.conf.set(k, v)
-
-
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
-    Uses what the cluster names in ``spark.checkpoint.dir``; only when it is
-    unset (local tests) a private temporary folder is created.
+    Uses what the cluster names in ``spark.checkpoint.dir``; only a local
+    session that names none (tests) gets a private temporary folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="foldwise-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

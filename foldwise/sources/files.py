@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,9 @@ def read_pred(spark: SparkSession, directory: str, name: str) -> DataFrame:
     base = f"{directory.rstrip('/')}/{name}"
     try:
         df = spark.read.parquet(f"{base}.parquet")
-        df.schema  # noqa: B018 - forces the existence check
-    except Exception:  # noqa: BLE001 - fall back to CSV
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         df = spark.read.option("header", True).option("inferSchema", True).csv(f"{base}.csv")
     first = df.columns[0]
     return df.select(first, *[F.col(f"`{c}`").cast("double").alias(c) for c in df.columns[1:]])

@@ -92,17 +92,6 @@ def test_group_aware_inner_folds_keep_groups_together(spark):
     assert j.groupBy("k", "g").agg(F.countDistinct("j").alias("n")).where("n > 1").count() == 0
 
 
-def test_greedy_group_folds_balance_better_than_dealing(spark):
-    rows = [(i, g) for g in range(40) for i in range(g * 1000, g * 1000 + (g % 9) * 7 + 3)]
-    df = spark.createDataFrame(rows, "id long, g long")
-    greedy = FO.greedy_group_folds(df, 5, ["g"])
-    dealt = FO.group_folds(df, 5, ["g"])
-    spread = lambda d: (lambda c: max(c) - min(c))([r["count"] for r in d.groupBy("fold").count().collect()])
-    assert greedy.groupBy("g").agg(F.countDistinct("fold").alias("n")).where("n > 1").count() == 0
-    assert spread(greedy) <= spread(dealt)
-    assert greedy.count() == df.count()
-
-
 def test_nested_encoding_does_not_depend_on_partitioning(spark):
     t, spec = T.load_task(spark, SF_MID, "bin")
     tr = T.train_rows(t).select("id", "y", "user_id")

@@ -27,8 +27,10 @@ def test_logs_skip_unreadable_and_fallback_regimes(spark):
     _write(d, "b.json", {"exp_id": "b", "model": "LGBM", "cv_strategy": "StratifiedKFold_5_partial1"})
     _write(d, "c.json", {"exp_id": "c", "model": "xgb", "cv_strategy": "StratifiedKFold_7", "cv_scores": [0.7, 0.71, 0.69]})
     _write(d, "broken.json", "{not json")
-    raw = RU.read_raw_logs(spark, d, multi_line=True)
-    assert sorted(r["exp_id"] for r in raw.collect()) == ["a", "b", "c"]
+    _write(d, "lines.json", '{"exp_id": "l1", "model": "m"}\n{"exp_id": "l2", "model": "m"}\n')
+    raw = RU.read_raw_logs(spark, d)
+    assert sorted(r["exp_id"] for r in raw.collect()) == ["a", "b", "c", "l1", "l2"]
+    assert RU.unreadable_logs(spark, d) == 1
     flat = {r["exp_id"]: r for r in RU.flatten_logs(raw).collect()}
     assert flat["b"]["n_feat"] == 0 and len(flat["a"]["notes"]) == 60
     noise = {r["exp_id"]: r for r in RU.fold_noise(raw).collect()}
@@ -41,6 +43,9 @@ def test_logs_skip_unreadable_and_fallback_regimes(spark):
     assert r["status"] == "mismatch"
     with pytest.raises(ValueError):
         RU.check_regime(r)
+    with pytest.raises(ValueError):
+        RU.check_regime(status(["b"]))
+    assert RU.check_regime(status(["b"]), allow_fallback=True) == ("StratifiedKFold", 5)
 
 
 def test_ledger_latest_private_then_public(spark):
@@ -60,14 +65,44 @@ def test_split_store_fails_instead_of_regenerating(spark):
     s1 = IG.get_or_create_split(spark, tr, spec, root)
     s2 = IG.get_or_create_split(spark, tr, spec, root)
     assert s1.exceptAll(s2).count() == 0
-    path = IG.regime_path(root, spec.cv_strategy, spec.n_folds, spec.seed)
-    with pytest.raises(ValueError):
-        IG.load_split(spark, path, tr.limit(10), spec.n_folds)            # other row count
-    with pytest.raises(ValueError):
-        IG.load_split(spark, path, tr, spec.n_folds + 1)                  # other labels
-    with pytest.raises(ValueError):
-        IG.load_split(spark, path, tr.withColumn("y", 1 - F.col("y")), spec.n_folds)  # changed target
-    assert IG.load_split(spark, path, tr, spec.n_folds).count() == tr.count()  # file untouched
+    regime = IG.split_regime(tr, spec)
+    with pytest.raises(ValueError, match="match"):
+        IG.load_split(spark, root, regime, tr.limit(10))                              # other row count
+    with pytest.raises(ValueError, match="no split"):
+        IG.load_split(spark, root, {**regime, "n_folds": spec.n_folds + 1}, tr)       # other regime
+    with pytest.raises(ValueError, match="match"):
+        IG.load_split(spark, root, regime, tr.withColumn("y", 1 - F.col("y")))        # changed target
+    with pytest.raises(ValueError, match="already"):
+        IG.save_split(IG.split_table(s1.join(tr.select("id", "y"), "id")), root, regime)
+    assert IG.load_split(spark, root, regime, tr).count() == tr.count()               # table untouched
+
+
+GROUP_SPLIT = """
+import sys
+sys.path.insert(0, {repo!r})
+from foldwise.session import local_session
+from foldwise.operators import integrity as IG
+from foldwise.sources import tasks as T
+spark = local_session(2, shuffle_partitions=3)
+t, spec = T.load_task(spark, {sf!r}, "grp")
+tr = T.train_rows(t).repartition({parts})
+if {parts} == 2:
+    IG.get_or_create_split(spark, tr, spec, {store!r})
+split = IG.load_split(spark, {store!r}, IG.split_regime(tr, spec), tr)
+print("SPLIT", IG.content_hash(split, ["id", "fold"]), split.count())
+"""
+
+
+def test_group_split_is_found_by_another_process(tmp_path):
+    import subprocess
+    import sys
+
+    out = []
+    for parts in (2, 7):
+        code = GROUP_SPLIT.format(repo=str(Path(__file__).resolve().parents[1]), sf=SF_SMALL, store=str(tmp_path / "s"), parts=parts)
+        got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+        out += [line for line in got.stdout.splitlines() if line.startswith("SPLIT")]
+    assert len(out) == 2 and out[0] == out[1]
 
 
 def test_alignment_report_flags_each_defect(spark):
@@ -105,7 +140,7 @@ def test_spec_preconditions():
     with pytest.raises(ValueError):
         TaskSpec(problem_type="multiclass", metric="logloss", te_cols=("c",))
     with pytest.raises(ValueError):
-        TaskSpec().validate(model_objective="regression")
+        TaskSpec().validate(trainable=("regression",))
     assert TaskSpec().cv_label(2) == "StratifiedKFold_5_partial2"
 
 
