@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.rank import prefix_sums, quantile_bucket
+from foldwise.session import materialize
 
 
 def blend_equal(members: DataFrame, id_col: str = "id", p: str = "p", out: str = "p") -> DataFrame:
@@ -27,7 +28,7 @@ def average_rank(df: DataFrame, set_keys: Sequence[str], p: str = "p", out: str
     comes from the two-level prefix sum over value-quantile buckets.
     """
     K = list(set_keys)
-    g = df.groupBy(*K, p).agg(F.count(F.lit(1)).alias("_cnt"))
+    g = materialize(df.groupBy(*K, p).agg(F.count(F.lit(1)).alias("_cnt")))  # read by edges, totals and window
     g = quantile_bucket(g, p, K)
     g = prefix_sums(g, ["_cnt"], bucket=["_qb"], order=[p], partition_by=K)
     g = g.select(*K, p, (F.col("before__cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))

@@ -20,14 +20,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.operators.folds import group_folds, rank_folds
-from foldwise.operators.rank import maybe_broadcast
 from foldwise.session import materialize
 
 
+def null_part(df: DataFrame, c: str, parts: int = 1024) -> Column:
+    """0 for a value; for a null, which finds no partner anyway, one of many parts by the row's
+    hash, so that the null rows of a join on ``c`` do not meet in one task."""
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.TimestampType, T.DateType))]
+    row = F.pmod(F.xxhash64(*[F.col(x) for x in plain]), F.lit(parts))
+    return F.when(F.col(c).isNull(), 1 + row).otherwise(F.lit(0)).cast("int")
+
+
 @dataclass
 class TargetEncoding:
     train: DataFrame            # (id, fold, k, <c>_te...) for train rows, k != fold
@@ -39,13 +47,12 @@ class TargetEncoding:
 
     def apply(self, df: DataFrame, k_col: str = "k") -> DataFrame:
         """Encode rows that carry an outer fold id ``k_col`` (valid/test/source)."""
-        out = df.join(maybe_broadcast(self.priors, self.n_folds), df[k_col] == self.priors["k"], "inner").drop(
-            self.priors["k"]
-        )
+        out = df.join(F.broadcast(self.priors), df[k_col] == self.priors["k"], "inner").drop(self.priors["k"])  # K rows
         for c in self.cols:
-            m = self.maps[c].select(F.col("k").alias("_mk"), F.col(c).alias("_mc"), F.col("enc").alias("_menc"))
-            out = out.join(m, (out[k_col] == m["_mk"]) & (out[c] == m["_mc"]), "left")
-            out = out.withColumn(f"{c}_te", F.coalesce(F.col("_menc"), F.col("prior"))).drop("_mk", "_mc", "_menc")
+            m = self.maps[c].select(F.col("k").alias("_mk"), F.col(c).alias("_mc"), F.lit(0).alias("_ms"), F.col("enc").alias("_menc"))
+            out = out.withColumn("_null_part", null_part(out, c))
+            out = out.join(m, (out[k_col] == m["_mk"]) & (out[c] == m["_mc"]) & (out["_null_part"] == m["_ms"]), "left")
+            out = out.withColumn(f"{c}_te", F.coalesce(F.col("_menc"), F.col("prior"))).drop("_mk", "_mc", "_ms", "_menc", "_null_part")
         return out.drop("prior")
 
     def valid(self, folded: DataFrame, fold_col: str = "fold") -> DataFrame:
@@ -94,7 +101,7 @@ def fit_target_encoding(
     # L feeds the priors, one aggregate per column and the join back: compute it once
     L = materialize(L)
     priors = L.groupBy("k").agg(F.avg(F.col(y_col).cast("double")).alias("prior"))
-    L = L.join(maybe_broadcast(priors, n_folds), "k")
+    L = L.join(F.broadcast(priors), "k")  # K rows
     sm = F.lit(float(smoothing))
     maps: dict[str, DataFrame] = {}
     for c in cols:
@@ -117,10 +124,11 @@ def fit_target_encoding(
         cell = cell.select("k", c, F.array(*encs).alias("_encs"), enc(S_all, N_all).alias("enc"),
                            N_all.cast("long").alias("n"))
         maps[c] = cell.select("k", c, "enc", "n")
-        w = cell.select(F.col("k").alias("_wk"), F.col(c).alias("_wc"), "_encs")
-        L = L.join(w, (L["k"] == w["_wk"]) & (L[c] == w["_wc"]), "left")
+        w = cell.select(F.col("k").alias("_wk"), F.col(c).alias("_wc"), F.lit(0).alias("_ws"), "_encs")
+        L = L.withColumn("_null_part", null_part(L, c))
+        L = L.join(w, (L["k"] == w["_wk"]) & (L[c] == w["_wc"]) & (L["_null_part"] == w["_ws"]), "left")
         L = L.withColumn(f"{c}_te", F.coalesce(F.element_at("_encs", F.col("j") + 1), F.col("prior"))).drop(
-            "_wk", "_wc", "_encs"
+            "_wk", "_wc", "_ws", "_encs", "_null_part"
         )
     train = L.select(id_col, fold_col, "k", "j", *[f"{c}_te" for c in cols])
     return TargetEncoding(train=train, maps=maps, priors=priors, cols=cols, n_folds=n_folds,

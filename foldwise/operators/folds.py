@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.rank import default_hex_digits, global_row_number
@@ -90,11 +90,15 @@ def group_folds(
         .withColumn("_gh", group_hash_key(G))
         .withColumn("_ghb", F.substring("_gh", 1, digits))
     )
+    # groups before this size, over the few distinct sizes; then the rank within the size
+    before = Window.partitionBy(*P).orderBy("_neg_n").rowsBetween(Window.unboundedPreceding, -1)
+    by_size = sizes.groupBy(*P, "_neg_n").agg(F.count(F.lit(1)).alias("_m")).select(
+        *P, "_neg_n", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_larger"))
     ranked = global_row_number(
-        sizes, bucket=["_neg_n", "_ghb"], order=["_gh", *[F.col(k).asc_nulls_first() for k in G]],
-        partition_by=P, out="_grn",
-    )
-    gf = ranked.select(*P, *G, ((F.col("_grn") - 1) % n_folds).cast("int").alias(fold_col))
+        sizes, bucket=["_ghb"], order=["_gh", *[F.col(k).asc_nulls_first() for k in G]],
+        partition_by=[*P, "_neg_n"], out="_grn",
+    ).join(by_size, [*P, "_neg_n"])
+    gf = ranked.select(*P, *G, ((F.col("_larger") + F.col("_grn") - 1) % n_folds).cast("int").alias(fold_col))
     cond = [df[c] == gf[c] for c in P] + [df[k].eqNullSafe(gf[k]) for k in G]
     return df.join(gf, cond, "inner").select(df["*"], gf[fold_col])
 

@@ -6,9 +6,9 @@ current row is excluded; no past -> NULL; a NULL group key -> NULL.
 A plain ``Window.partitionBy(group)`` sends a whole group through one task,
 so a group holding a third of the rows would stall the job. Instead:
 
-1. cut the rows into chunks that are contiguous ranges of (group,
-   sequence, id): bounds come from a bounded key sample, so a hot group is
-   cut into many chunks, and the chunk id is a pure function of the row;
+1. cut the rows into a bounded number of chunks that are contiguous ranges
+   of (group, sequence, id): bounds come from a bounded key sample, so a hot
+   group is cut into many chunks, and the chunk id is a pure function of the row;
 2. aggregate every (chunk, group) once: row count, value count, shifted
    sums, max, min (a table of about #groups + #chunks rows);
 3. carry = exclusive running totals over the chunks of each group (a window
@@ -29,7 +29,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.rank import range_chunk
+from foldwise.operators.rank import with_range_chunk
+from foldwise.session import materialize
 
 AGGS = ("mean", "std", "max", "min", "sum")
 
@@ -69,15 +70,13 @@ def past_features(
     if (aggs or lags) and value is None:
         raise ValueError("a value column is needed for aggregates and lags")
     pre = prefix or (value or "")
-    spark = df.sparkSession
-    n = n_chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     out_cols = [f"{pre}_past_{a}" for a in aggs] + [f"{pre}_lag{L}" for L in lags] + (["cumcount"] if cumcount else [])
 
     ok = df.where(_all_not_null(keys))
     bad = df.where(~_all_not_null(keys))
     order = [F.col(seq).asc_nulls_last(), F.col(id_col).asc()]
-    chunk = range_chunk(ok, [*[F.col(k) for k in keys], F.col(seq).isNull(), F.col(seq), F.col(id_col)], n)
-    r = ok.withColumn("_chunk", chunk)
+    chunk_key = [*[F.col(k) for k in keys], F.col(seq).isNull(), F.col(seq), F.col(id_col)]
+    r = materialize(with_range_chunk(ok, chunk_key, "_chunk", n_chunks))  # read by the totals and the windows
 
     v = F.col(value).cast("double") if value else F.lit(None).cast("double")
     raw = v.cast(f"decimal(38,{exact_scale})") if exact_scale is not None else v
@@ -133,8 +132,10 @@ def past_features(
     rows = rows.withColumns(feats) if feats else rows
     base_cols = df.columns
     rows = rows.select(*base_cols, "_pos", *feats.keys())
+    if lags:  # every lag reads the placed rows once more, not the plan behind them
+        rows = base = materialize(rows)
     for L in lags:
-        prev = rows.select(*[F.col(k).alias(f"_l_{k}") for k in keys], (F.col("_pos") + L).alias("_l_pos"),
+        prev = base.select(*[F.col(k).alias(f"_l_{k}") for k in keys], (F.col("_pos") + L).alias("_l_pos"),
                            F.col(value).alias(f"{pre}_lag{L}"))
         cond = [rows[k] == prev[f"_l_{k}"] for k in keys] + [rows["_pos"] == prev["_l_pos"]]
         rows = rows.join(prev, cond, "left").drop(*[f"_l_{k}" for k in keys], "_l_pos")

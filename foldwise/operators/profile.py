@@ -45,12 +45,17 @@ def profile(df: DataFrame, id_col: str = "id", columns: Sequence[str] | None = N
     """One row per column: type, null count, distinct count (nulls excluded),
     first and second value in id order. One aggregate pass + a top-2 by id."""
     cols = list(columns or df.columns)
-    aggs = []
-    for c in cols:
-        aggs.append(F.count_if(F.col(c).isNull()).alias(f"{c}__null"))
-        dc = F.approx_count_distinct(c) if approx else F.countDistinct(c)
-        aggs.append(dc.alias(f"{c}__distinct"))
-    stats = df.agg(*aggs)
+    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"{c}__null") for c in cols],
+                    *[F.approx_count_distinct(c).alias(f"{c}__distinct") for c in cols if approx])
+    if approx:
+        stats = counts
+    else:  # distinct (column, value) pairs once, instead of every row once per column
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+        pairs = df.select(F.explode(pairs).alias("p")).where(F.col("p.v").isNotNull()).select("p.*").distinct()
+        per = pairs.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        wide = per.agg(*[F.coalesce(F.max(F.when(F.col("i") == i, F.col("n"))), F.lit(0)).alias(f"{c}__distinct")
+                         for i, c in enumerate(cols)])
+        stats = with_scalars(counts, wide)
     first2 = df.select(id_col, *[F.col(c).cast("string").alias(f"{c}__v") for c in cols]).orderBy(id_col).limit(2)
     firsts = first2.agg(
         *[F.min_by(f"{c}__v", id_col).alias(f"{c}__first") for c in cols],

@@ -4,7 +4,7 @@ A window with no partition key (or with a key that holds a third of the
 rows) moves that whole set through one task. Instead every operator here
 splits the ordered set into *buckets* that are consistent with the order
 (a hash prefix, or approximate quantile edges of a value), computes
-per-bucket totals (a table whose size does not depend on the data), turns
+per-bucket totals (a table of bounded size per partition), turns
 them into offsets with a window over that small table, and finishes with a
 window partitioned by (key, bucket). The result equals the global window.
 """
@@ -15,25 +15,23 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Largest structural row bound for which an explicit broadcast hint is given;
-# above it the join is left to AQE, which broadcasts only after measuring.
-BROADCAST_ROWS = 1_000_000
+from foldwise.session import materialize, with_scalars
 
+# An explicit broadcast hint is given only to a table whose measured size is below this.
+BROADCAST_BYTES = 32 << 20
+MAX_BUCKETS = 4096
+MAX_CHUNKS = 4096
+SALTS = 64
 
-def maybe_broadcast(df: DataFrame, bound_rows: int | None) -> DataFrame:
-    """Broadcast hint only for a side whose row count has a known bound."""
-    if bound_rows is not None and bound_rows <= BROADCAST_ROWS:
-        return F.broadcast(df)
-    return df
 
-
-def default_buckets(spark, per_partition: int = 8, lo: int = 64, hi: int = 65536) -> int:
-    """Power-of-two bucket count scaled with the configured shuffle parallelism.
+def default_buckets(spark, per_partition: int = 8, lo: int = 64, hi: int = MAX_BUCKETS) -> int:
+    """Power-of-two bucket count scaled with the configured shuffle parallelism, bounded.
 
     Buckets are the units of parallel work of the second-level windows, so
     a cluster configured for more shuffle partitions gets more (smaller)
-    buckets; the small per-bucket tables stay far below broadcast size.
+    buckets, up to ``hi``: the per-bucket tables have a fixed largest size.
     """
     sp = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = lo
@@ -43,10 +41,10 @@ def default_buckets(spark, per_partition: int = 8, lo: int = 64, hi: int = 65536
 
 
 def default_hex_digits(spark) -> int:
-    """Hex digits of a hash prefix giving about 32 buckets per shuffle partition."""
+    """Hex digits of a hash prefix giving about 32 buckets per shuffle partition, 65,536 at most."""
     target = 32 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = 2
-    while 16 ** d < target and d < 6:
+    while 16 ** d < target and d < 4:
         d += 1
     return d
 
@@ -61,13 +59,12 @@ def global_row_number(
     order: Sequence,
     partition_by: Sequence[str] = (),
     out: str = "rn",
-    bound_rows: int | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by P order by bucket..., order...)``.
 
     ``bucket`` are existing columns (ascending) that coarsen the order, e.g. a
-    hash prefix of the hash in ``order``. ``bound_rows`` bounds the number of
-    distinct (partition, bucket) combinations.
+    hash prefix of the hash in ``order``; within a partition there must be a
+    bounded number of them, as the offsets are one window per partition.
     """
     P, B = list(partition_by), list(bucket)
     counts = df.groupBy(*P, *B).agg(F.count(F.lit(1)).alias("_bucket_n"))
@@ -75,7 +72,7 @@ def global_row_number(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(*P, *B, F.coalesce(F.sum("_bucket_n").over(w_off), F.lit(0)).alias("_bucket_off"))
-    joined = df.join(maybe_broadcast(offsets, bound_rows), on=P + B, how="inner")
+    joined = df.join(offsets, on=P + B, how="inner")
     # distribute on (partition, bucket) first: order expressions (e.g. a hash) are then
     # evaluated after the exchange instead of being shuffled with every row
     joined = joined.repartition(*[F.col(c) for c in P + B])
@@ -92,7 +89,6 @@ def prefix_sums(
     order: Sequence,
     partition_by: Sequence[str] = (),
     prefix: str = "before_",
-    bound_rows: int | None = None,
 ) -> DataFrame:
     """Exclusive running sums of ``weights`` in (partition, bucket, order) order.
 
@@ -107,7 +103,7 @@ def prefix_sums(
     offsets = totals.select(
         *P, *B, *[F.coalesce(F.sum(f"_bt_{w}").over(w_off), F.lit(0)).alias(f"_bo_{w}") for w in weights]
     )
-    joined = df.join(maybe_broadcast(offsets, bound_rows), on=P + B, how="inner")
+    joined = df.join(offsets, on=P + B, how="inner")
     w_in = Window.partitionBy(*P, *B).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
     out = joined
     for w in weights:
@@ -122,7 +118,6 @@ def quantile_bucket(
     n_buckets: int | None = None,
     out: str = "_qb",
     accuracy: int = 10000,
-    bound_partitions: int | None = None,
 ) -> DataFrame:
     """Bucket id that is non-decreasing in ``value`` within each partition.
 
@@ -143,11 +138,17 @@ def quantile_bucket(
     while s >= 1:
         steps.append(s)
         s //= 2
-    bound = None if bound_partitions is None else bound_partitions
     if P:
-        joined = df.join(maybe_broadcast(edges, bound), on=P, how="inner")
+        # every row reads the edges of its partition: broadcast them while they are measured to be
+        # small; else spread the few hot partition keys with a salt on both sides
+        edges = materialize(edges)
+        if edges.count() * n_buckets * 8 <= BROADCAST_BYTES:
+            joined = df.join(F.broadcast(edges), on=P, how="inner")
+        else:
+            salted = edges.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            joined = df.withColumn("_salt", F.pmod(F.xxhash64(value), F.lit(SALTS)).cast("int")).join(
+                salted, on=[*P, "_salt"], how="inner").drop("_salt")
     else:
-        from foldwise.session import with_scalars
         joined = with_scalars(df, edges)
     v = F.col(value)
     search = F.aggregate(
@@ -158,57 +159,47 @@ def quantile_bucket(
     return joined.withColumn(out, search).drop("_edges")
 
 
-def range_chunk(
+def with_range_chunk(
     df: DataFrame,
     key: Sequence[Column],
-    n_chunks: int,
+    out: str = "_chunk",
+    n_chunks: int | None = None,
     oversample: int = 20,
     seed: int = 17,
-) -> Column:
-    """Chunk id in [0, n_chunks) that is non-decreasing in the composite ``key``.
-
-    Bounds are taken from a bounded sample of keys (about n_chunks *
-    oversample rows reach the driver), so a key range holding many rows is
-    cut into many chunks. Unlike ``spark_partition_id()`` after a range
-    shuffle, the id is a pure function of the row: every branch of a plan
-    that recomputes it gets the same chunk.
+) -> DataFrame:
+    """``df`` with a chunk id that is non-decreasing in the composite ``key``.
+
+    Bounds come from a random sample of about n_chunks * oversample keys, and n_chunks is at
+    most ``MAX_CHUNKS`` whatever the number of partitions, so what reaches the driver is
+    bounded. A key range that holds many rows is cut into many chunks. The bounds are one row
+    of a table, and the id is a pure function of the row: every branch of a plan that
+    recomputes it gets the same chunk.
     """
+    n_chunks = min(MAX_CHUNKS, n_chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     kstruct = F.struct(*[k.alias(f"c{i}") for i, k in enumerate(key)])
+    keys = df.select(kstruct.alias("k"))
     n_rows = df.count()
     if n_rows == 0 or n_chunks <= 1:
-        return F.lit(0)
-    frac = min(1.0, n_chunks * oversample / n_rows)
-    sample = df.select(kstruct.alias("k")).sample(False, frac, seed).limit(n_chunks * oversample * 2).collect()
-    keys = sorted((tuple(r["k"]) for r in sample), key=_sort_key)
-    if not keys:
-        return F.lit(0)
+        return df.withColumn(out, F.lit(0))
+    sample = keys.sample(False, min(1.0, n_chunks * oversample / n_rows), seed).collect()
+    found = sorted((tuple(r["k"]) for r in sample), key=_sort_key)
     bounds = []
     for i in range(1, n_chunks):
-        b = keys[min(len(keys) - 1, (i * len(keys)) // n_chunks)]
-        if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
-            bounds.append(b)
+        if found:
+            b = found[min(len(found) - 1, (i * len(found)) // n_chunks)]
+            if not bounds or _sort_key(b) > _sort_key(bounds[-1]):
+                bounds.append(b)
     if not bounds:
-        return F.lit(0)
-    types = [f.dataType for f in df.select(kstruct.alias("k")).schema["k"].dataType.fields]
-    lits = F.array(*[
-        F.struct(*[F.lit(v).cast(t).alias(f"c{i}") for i, (v, t) in enumerate(zip(b, types))]) for b in bounds
-    ])
-    m = 1
-    while m < len(bounds) + 1:
-        m *= 2
-    steps = []
-    s = m // 2
-    while s >= 1:
-        steps.append(s)
-        s //= 2
+        return df.withColumn(out, F.lit(0))
+    schema = T.StructType([T.StructField("_bounds", T.ArrayType(keys.schema["k"].dataType))])
+    row = df.sparkSession.createDataFrame([(bounds,)], schema)
     size = len(bounds)
-    # number of bounds <= key, by binary search over the sorted literal array
-    return F.aggregate(
-        F.array(*[F.lit(x) for x in steps]),
-        F.lit(0),
-        lambda pos, st: F.when((pos + st <= size) & (F.element_at(lits, F.least(pos + st, F.lit(size))) <= kstruct),
-                               pos + st).otherwise(pos),
-    )
+    steps = [1 << i for i in range(size.bit_length(), -1, -1)]
+    # number of bounds <= key, by binary search
+    at = F.aggregate(
+        F.array(*[F.lit(x) for x in steps]), F.lit(0),
+        lambda pos, st: F.when((pos + st <= size) & (F.get(F.col("_bounds"), pos + st - 1) <= kstruct), pos + st).otherwise(pos))
+    return with_scalars(df, row).withColumn(out, at).drop("_bounds")
 
 
 def _sort_key(t):

@@ -158,6 +158,10 @@ def mse_simplex_fit(v: np.ndarray, M: int) -> np.ndarray:
     return simplex_qp(2 * G / n, -2 * sxy / n)
 
 
+class NotConverged(RuntimeError):
+    """An iterative fit used up its passes; its weights are not returned as if they were the optimum."""
+
+
 # ------------------------------------------------------------------ iterative fits
 def _with_weights(df: DataFrame, W: np.ndarray, prefix: str = "_w") -> DataFrame:
     """Attach the current weights as columns of a one-row table.
@@ -185,7 +189,7 @@ def linear_expr(xs: Sequence[str], w: np.ndarray, intercept: float = 0.0) -> Col
 
 
 def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col: str, n_folds: int,
-                       kind: str = "binary", max_passes: int = 40, tol: float = 1e-9):
+                       kind: str = "binary", max_passes: int = 40, tol: float = 1e-9, accept_tol: float = 1e-6):
     """Simplex-constrained minimum of mean log loss of clip(x.w) for all K+1 problems.
 
     kind='binary': p = clip(x.w, 1e-7, 1-1e-7), y in {0,1}.
@@ -263,11 +267,14 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
         loss[accept], grad[accept], hess[accept] = c_loss[accept], c_grad[accept], c_hess[accept]
         if np.max(np.abs(D[accept]) * step[accept, None], initial=0.0) < 1e-14:
             break
+    worst = max((kkt_residual(W[q], grad[q]) for q in range(Q) if np.any(hess[q]) or np.any(grad[q])), default=0.0)
+    if worst > max(accept_tol, tol):
+        raise NotConverged(f"convex blend: optimality residual {worst:.2e} after {passes} passes")
     return W, loss, grad, passes
 
 
 def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_folds: int, C: float = 1.0,
-                 max_passes: int = 30, tol: float = 1e-10):
+                 max_passes: int = 30, tol: float = 1e-10, accept_tol: float = 1e-6):
     """L2 logistic regression (penalty 0.5||w||^2 + C * sum logloss, intercept free)
     for all K+1 problems by damped Newton; one aggregate per pass.
     Returns (coef (K+1, M+1) with intercept first, passes)."""
@@ -321,6 +328,9 @@ def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_fold
         obj[ok], grad[ok], hess[ok] = c_obj[ok], c_grad[ok], c_hess[ok]
         if np.max(np.abs(D * step[:, None])) < 1e-13:
             break
+    scale = np.maximum(1.0, np.abs(obj))
+    if np.max(np.abs(grad) / scale[:, None]) > accept_tol:
+        raise NotConverged(f"logistic fit: relative gradient {np.max(np.abs(grad) / scale[:, None]):.2e} after {passes} passes")
     return B, grad, passes
 
 

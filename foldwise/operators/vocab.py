@@ -7,19 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.rank import global_row_number, maybe_broadcast
-
-# Categorical columns go to tree learners, which need maxBins >= cardinality;
-# larger vocabularies belong to target encoding instead.
-MAX_VOCAB = 100_000
+from foldwise.operators.rank import global_row_number, with_range_chunk
+from foldwise.session import materialize
 
 
 def category_vocab(frames: Sequence[DataFrame | None], cols: Sequence[str]) -> DataFrame:
     """(col, value, code): sorted distinct non-null values per column, codes 0..n-1.
 
     All columns are unpivoted into one (col, value) table, so one distinct
-    and one ranked pass serve every column. The rank is a two-level rank on
-    a value prefix, so a large vocabulary is not ranked in one task.
+    and one ranked pass serve every column. The rank is a two-level rank over
+    sampled ranges of the values, so a large vocabulary is not ranked in one
+    task whatever its values have in common.
     """
     cols = list(cols)
     parts = [f for f in frames if f is not None]
@@ -30,18 +28,16 @@ def category_vocab(frames: Sequence[DataFrame | None], cols: Sequence[str]) -> D
         union = union.unionByName(f.select(*cols))
     pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value")) for c in cols])
     long = union.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
-    long = long.withColumn("_vb", F.substring("value", 1, 2))
+    long = with_range_chunk(materialize(long), [F.col("col"), F.col("value")], "_vb")
     ranked = global_row_number(long, bucket=["_vb"], order=["value"], partition_by=["col"], out="_rn")
     return ranked.select("col", "value", (F.col("_rn") - 1).cast("int").alias("code"))
 
 
-def category_codes(df: DataFrame, vocab: DataFrame, cols: Sequence[str], suffix: str = "_code",
-                   vocab_rows: int | None = None) -> DataFrame:
+def category_codes(df: DataFrame, vocab: DataFrame, cols: Sequence[str], suffix: str = "_code") -> DataFrame:
     """Recast to the fixed vocabulary: value -> code; outside the vocabulary or NULL -> NULL."""
     out = df
     for c in cols:
         v = vocab.where(F.col("col") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}{suffix}"))
-        v = maybe_broadcast(v, vocab_rows)
         out = out.join(v, out[c].cast("string") == v[f"_v_{c}"], "left").drop(f"_v_{c}")
     return out
 
