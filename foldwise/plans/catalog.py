@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from foldwise.plans import sqlkit as S
 from foldwise.sources import tasks as T
 from foldwise.operators import folds as FO
+from foldwise.plans import oof as OOF
 from foldwise.session import with_scalars
+from foldwise.sources.files import read_task_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,11 +41,12 @@ def _folded(spark, sf, task="bin", n=5):
 
 
 # ---------------------------------------------------------------- sources
-@query("scan_task", f"""WITH t AS ({S.TASKS['bin']})
-SELECT id, y, user_id, round(value, 6) AS value, part FROM t""")
+@query("scan_task", """SELECT event_id AS id, CAST(user_id AS VARCHAR) AS user_id, event_type,
+  round(CASE WHEN isnan(value) THEN NULL ELSE value END, 6) AS value FROM events""")
 def q_scan_task(spark, sf):
-    t = T.bin_task(spark, sf)
-    return t.select("id", "y", "user_id", r6("value").alias("value"), "part")
+    """The file scan itself: declared categories as text, NaN as null."""
+    t = read_task_table(spark, f"{sf}/events.parquet", categorical=["user_id", "event_type", "not_there"])
+    return t.select(F.col("event_id").alias("id"), "user_id", "event_type", r6("value").alias("value"))
 
 
 # ---------------------------------------------------------------- folds
@@ -598,7 +601,7 @@ def q_test_pred_mean(spark, sf):
     te = T.test_rows(t).select("id").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4))))
     key = F.concat(F.col("id").cast("string"), F.lit(":"), F.col("k").cast("string"))
     tp = te.select("id", "k", (0.5 * uniform("id", "a") + 0.5 * uniform(key, "tp")).alias("p"))
-    return tp.groupBy("id").agg(r6(F.avg("p")).alias("p"))
+    return OOF.mean_prediction(tp).select("id", r6("p").alias("p"))
 
 
 # ---------------------------------------------------------------- fitted blends / stacking
@@ -1044,7 +1047,6 @@ def q_fingerprint_diff(spark, sf):
 # ---------------------------------------------------------------- model training (property checks)
 from dataclasses import replace as _replace  # noqa: E402
 
-from foldwise.plans import oof as OOF  # noqa: E402
 from foldwise.plans.trainers import get_trainer  # noqa: E402
 
 
@@ -1267,7 +1269,7 @@ def q_seed_average(spark, sf):
     t = T.train_rows(T.syn_task(spark, sf)).select("id").withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(2))))
     key = F.concat(F.col("id").cast("string"), F.lit(":"), F.col("seed").cast("string"))
     sp = t.select("id", (0.5 * uniform("id", "a") + 0.5 * uniform(key, "seed")).alias("p"))
-    return sp.groupBy("id").agg(r6(F.avg("p")).alias("p"))
+    return OOF.mean_prediction(sp).select("id", r6("p").alias("p"))
 
 
 @query("oof_lb_gap", f"""WITH {RUNS}
