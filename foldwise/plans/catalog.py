@@ -886,30 +886,30 @@ def q_leaderboard(spark, sf):
 
 
 @query("log_filter", f"""WITH {RUNS}
-SELECT exp_id, model FROM logs WHERE lower(model) = 'lgbm' AND contains(exp_id, 'exp_') AND exp_id <> 'exp_006'""")
+SELECT exp_id, model, cv_mean FROM logs WHERE lower(model) = 'lgbm' AND contains(exp_id, 'exp_') AND exp_id <> 'exp_006'""")
 def q_log_filter(spark, sf):
     raw, _ = EX.load_runs(spark, sf)
-    return RU.log_filter(raw, "LgBm", "exp_", exclude="exp_006").select("exp_id", "model")
+    return RU.log_filter(raw, "LgBm", "exp_", exclude="exp_006").select("exp_id", "model", "cv_mean")
 
 
 @query("recent_runs", f"""WITH {RUNS}
-SELECT exp_id, timestamp FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
+SELECT exp_id, timestamp, cv_mean, lb_score FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
 ORDER BY timestamp DESC NULLS LAST, exp_id LIMIT 3""")
 def q_recent_runs(spark, sf):
     raw, _ = EX.load_runs(spark, sf)
-    return RU.recent_runs(RU.log_filter(raw, "lgbm", exclude="exp_007"), 3).select("exp_id", "timestamp")
+    return RU.recent_runs(RU.log_filter(raw, "lgbm", exclude="exp_007"), 3).select("exp_id", "timestamp", "cv_mean", "lb_score")
 
 
 @query("anchor_run", f"""WITH {RUNS}
-SELECT exp_id, 'named' AS kind FROM logs WHERE exp_id = 'exp_003'
+SELECT exp_id, 'named' AS kind, cv_mean, cv_std FROM logs WHERE exp_id = 'exp_003'
 UNION ALL
-(SELECT exp_id, 'recent' AS kind FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
+(SELECT exp_id, 'recent' AS kind, cv_mean, cv_std FROM logs WHERE lower(model) = 'lgbm' AND exp_id <> 'exp_007'
  ORDER BY timestamp DESC NULLS LAST, exp_id LIMIT 1)""")
 def q_anchor_run(spark, sf):
     raw, _ = EX.load_runs(spark, sf)
     group = RU.log_filter(raw, "lgbm", exclude="exp_007")
-    named = RU.anchor_run(raw, group, "exp_003").select("exp_id", F.lit("named").alias("kind"))
-    recent = RU.anchor_run(raw, group, "no_such_run").select("exp_id", F.lit("recent").alias("kind"))
+    named = RU.anchor_run(raw, group, "exp_003").select("exp_id", F.lit("named").alias("kind"), "cv_mean", "cv_std")
+    recent = RU.anchor_run(raw, group, "no_such_run").select("exp_id", F.lit("recent").alias("kind"), "cv_mean", "cv_std")
     return named.unionByName(recent)
 
 
@@ -950,18 +950,20 @@ def q_unconverged_folds(spark, sf):
 @query("regime_check", f"""WITH {RUNS},
 sets AS (SELECT * FROM (VALUES ('a', 'exp_001'), ('a', 'exp_002'), ('b', 'exp_001'), ('b', 'exp_003'),
   ('c', 'exp_001'), ('c', 'exp_005'), ('d', 'exp_001'), ('d', 'exp_404')) v(s, exp_id)),
-j AS (SELECT sets.s, logs.cv_strategy FROM sets LEFT JOIN logs ON sets.exp_id = logs.exp_id),
+j AS (SELECT sets.s, logs.cv_strategy, logs.cv_mean FROM sets LEFT JOIN logs ON sets.exp_id = logs.exp_id),
 a AS (SELECT s, count(*) FILTER (WHERE cv_strategy IS NULL) AS n_missing, count(DISTINCT coalesce(cv_strategy, '')) AS n_labels,
-        any_value(cv_strategy) AS label FROM j GROUP BY s)
+        any_value(cv_strategy) AS label, max(cv_mean) AS best_member FROM j GROUP BY s)
 SELECT s AS member_set, CASE WHEN n_missing > 0 THEN 'fallback' WHEN n_labels > 1 THEN 'mismatch'
-  WHEN regexp_matches(label, '^(StratifiedKFold|KFold|GroupKFold)_[0-9]+$') THEN 'ok' ELSE 'fallback' END AS status FROM a""")
+  WHEN regexp_matches(label, '^(StratifiedKFold|KFold|GroupKFold)_[0-9]+$') THEN 'ok' ELSE 'fallback' END AS status, best_member FROM a""")
 def q_regime_check(spark, sf):
     raw, _ = EX.load_runs(spark, sf)
     sets = {"a": ["exp_001", "exp_002"], "b": ["exp_001", "exp_003"], "c": ["exp_001", "exp_005"],
             "d": ["exp_001", "exp_404"]}
     out = None
     for name, ms in sets.items():
-        r = RU.resolve_regime(raw, ms, ("StratifiedKFold", 5)).select(F.lit(name).alias("member_set"), "status")
+        best = raw.where(F.col("exp_id").isin(ms)).agg(F.max("cv_mean").alias("best_member"))
+        r = with_scalars(RU.resolve_regime(raw, ms, ("StratifiedKFold", 5)), best).select(
+            F.lit(name).alias("member_set"), "status", "best_member")
         out = r if out is None else out.unionByName(r)
     return out
 
