@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,21 @@ def unused(name: str, columns: Iterable[str]) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def chunks_of_groups(start: np.ndarray, size: np.ndarray, most: int):
+    """Runs of groups with about ``most`` pairs."""
+    if not len(start):
+        return
+    part = np.cumsum(size * (size - 1) // 2) // most
+    edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+    for a, b in zip(edge[:-1], edge[1:]):
+        yield start[a:b], size[a:b]
+
+
+def pairs_of_groups(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs x < y within each group."""
+    row = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(start + size, size) - row - 1  # later members of the group
+    x = np.repeat(row, left)
+    return x, x + 1 + np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left)

@@ -26,19 +26,20 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import stash, unused
+from foldwise.llm.common import chunks_of_groups, pairs_of_groups, stash, unused
 from foldwise.llm.components import connected
 from foldwise.llm.words import Words, grouped, mix, run_hash
 
-DIMS = 64          # groups of the count vectors in the R-trees
+DIMS = (64, 64, 64, 256, 1024, 4096)  # groups of the count vectors, by size band; the last for all above
 LEAF = 16          # vectors of a leaf, and nodes of an inner node
-BLOCK = 2000       # vectors of a block
+BLOCK = 500        # vectors of a block
+ELEMENTS = 4_000_000  # coordinates compared at a time
+SMALL_GROUP = 48   # groups up to this size are compared without a tree
 STARS = 3          # rounds of stars before the search for all pairs
 SMALL = 16         # sets below this size use each token as a group
 
@@ -87,10 +88,15 @@ class ShingleSets:
             out[has] = mix(one ^ mix(two + self.size[has].astype(np.uint64)))
         return out
 
-    def counts(self) -> np.ndarray:
-        """Tokens of each row per group."""
-        group = (mix(self.token ^ _GROUP) >> np.uint64(40)).astype(np.int64) % DIMS
-        return np.bincount(self.row * DIMS + group, minlength=len(self.size) * DIMS).reshape(-1, DIMS)
+    def counts(self) -> list[bytes]:
+        """Tokens of each row per group, as 16-bit numbers. The numbers of groups are powers of two
+        and a vector folds to fewer groups by adding its parts, so any two can be compared."""
+        group = (mix(self.token ^ _GROUP) >> np.uint64(40)).astype(np.int64)
+        dims = np.array(DIMS)[np.minimum(_band(self.size), len(DIMS) - 1)]
+        out = []
+        for a, n, d in zip(self.start, self.size, dims):
+            out.append(np.minimum(np.bincount(group[a:a + n] % d, minlength=d), 65535).astype("<u2").tobytes())
+        return out
 
 
 def _differ(a, b, num: int, den: int):
@@ -184,8 +190,9 @@ class CountTree:
         for level in range(len(self.levels) - 1, -1, -1):
             up, lo, hi = self.levels[level]
             keep = []
-            for a in range(0, len(q), 20_000):
-                qa, na = q[a:a + 20_000], node[a:a + 20_000]
+            step = max(1, ELEMENTS // points.shape[1])
+            for a in range(0, len(q), step):
+                qa, na = q[a:a + step], node[a:a + step]
                 n = sizes[qa]
                 most = np.minimum(points[qa], up[na]).sum(axis=1)
                 # J = i / (n + m - i) >= num / den with some m in lo..hi and i <= most
@@ -253,14 +260,12 @@ def vector_table(rows: DataFrame, n: int) -> DataFrame:
             for a, b in grouped(texts):
                 s = ShingleSets(texts[a:b], n)
                 ends = np.concatenate([s.start, [len(s.token)]]).astype(np.int32)
-                counts = s.counts().astype(np.int32)
-                at = np.arange(0, counts.size + 1, DIMS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [_long(s.ids()), pa.array(s.size.astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(ends), _long(s.token)),
-                     pa.ListArray.from_arrays(pa.array(at), pa.array(counts.ravel()))], names=["c", "n", "tokens", "counts"])
+                     pa.ListArray.from_arrays(pa.array(ends), _long(s.token)), pa.array(s.counts(), pa.binary())],
+                    names=["c", "n", "tokens", "counts"])
 
-    return rows.select("text").mapInArrow(run, "c long, n int, tokens array<bigint>, counts array<int>")
+    return rows.select("text").mapInArrow(run, "c long, n int, tokens array<bigint>, counts binary")
 
 
 def _verified(pairs: DataFrame, vectors: DataFrame, num: int, den: int) -> DataFrame:
@@ -277,6 +282,15 @@ def _sizes_allow(a: str, b: str, num: int, den: int):
         F.col(b).cast("long") * den >= F.col(a).cast("long") * num)
 
 
+def _distinct_partitions(members: DataFrame) -> DataFrame:
+    """``members`` without partitions that hold the same sets as another one."""
+    h = F.xxhash64("c")
+    same = members.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("x"),
+                                    F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
+    one = stash(same.groupBy("m", "x", "y").agg(F.min("p").alias("_p")).select("_p"), "distinct-partitions")
+    return stash(members.join(one, F.col("p") == F.col("_p")).drop("_p"), "members")
+
+
 def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b), a < b, of different components in one partition that pass the count bound.
 
@@ -291,19 +305,97 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
     m = m.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n",
                  "component", "counts")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        x, y = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": np.zeros(0, dtype=np.int64), "b": np.zeros(0, dtype=np.int64)})
-        tree = CountTree(np.stack(x["counts"].to_numpy()).astype(np.int32), x["n"].to_numpy().astype(np.int64))
-        q, at = tree.search(np.stack(y["counts"].to_numpy()).astype(np.int32), y["n"].to_numpy().astype(np.int64), num, den)
-        a, b = x["c"].to_numpy()[at], y["c"].to_numpy()[q]
-        other = x["component"].to_numpy()[at] != y["component"].to_numpy()[q]
-        a, b = a[other], b[other]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    schema = "a long, b long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            starts = _group_starts(rows)
+            if len(starts) > 1:  # the last group may go on in the next batch
+                yield from _search(rows.slice(0, starts[-1]), num, den)
+                rest = rows.slice(starts[-1])
+            else:
+                rest = rows
+        if rest is not None and len(rest):
+            yield from _search(rest, num, den)
+
+    return m.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema).distinct()
+
+
+def _group_starts(rows: pa.Table) -> np.ndarray:
+    key = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("p", "i", "j")])
+    return np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+
+
+class Vectors:
+    """Count vectors of rows, of several numbers of groups."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        raw = column.to_pylist()
+        self.dims = np.array([len(r) // 2 for r in raw])
+        self.place, self.grid = np.zeros(len(raw), dtype=np.int64), {}
+        for d in np.unique(self.dims):
+            at = np.flatnonzero(self.dims == d)
+            self.place[at] = np.arange(len(at))
+            self.grid[d] = np.frombuffer(b"".join([raw[i] for i in at]), dtype="<u2").reshape(-1, d)
+
+    def folded(self, rows: np.ndarray, dims: int) -> np.ndarray:
+        """Vectors of ``rows`` in ``dims`` groups, none of which has fewer."""
+        out = np.zeros((len(rows), dims), dtype=np.int32)
+        for d in np.unique(self.dims[rows]):
+            mine = self.dims[rows] == d
+            out[mine] = self.grid[d][self.place[rows[mine]]].reshape(-1, d // dims, dims).sum(axis=1, dtype=np.int32)
+        return out
+
+    def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sum of the coordinate-wise minima of each pair."""
+        out = np.zeros(len(x), dtype=np.int64)
+        low = np.minimum(self.dims[x], self.dims[y])
+        for d in np.unique(low):
+            at = np.flatnonzero(low == d)
+            step = max(1, ELEMENTS // int(d))
+            for k in range(0, len(at), step):
+                part = at[k:k + step]
+                out[part] = np.minimum(self.folded(x[part], d), self.folded(y[part], d)).sum(axis=1)
+        return out
+
 
-    return m.groupBy("p", "i", "j").applyInPandas(run, "a long, b long").distinct()
+def _search(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs within the groups of ``rows``: small groups are leaves of their own and are compared
+    directly, all of them at once; larger ones get an R-tree each."""
+    i, j, block, c, n, component = (rows.column(x).to_numpy().astype(np.int64) for x in ("i", "j", "block", "c", "n", "component"))
+    vectors = Vectors(rows.column("counts"))
+    start = _group_starts(rows)
+    size = np.diff(np.concatenate([start, [len(c)]]))
+
+    def found(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        a, b = c[x], c[y]
+        ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        ok = component[x] != component[y]
+        ok &= (i[x] == j[x]) | (block[x] != block[y])  # two blocks: only pairs between them
+        return ok & (den * n[x] >= num * n[y]) & (den * n[y] >= num * n[x])
+
+    small = size <= SMALL_GROUP
+    for at in chunks_of_groups(start[small], size[small], 400_000):
+        x, y = pairs_of_groups(*at)
+        ok = allowed(x, y)
+        x, y = x[ok], y[ok]
+        keep = (den + num) * vectors.overlap(x, y) >= num * (n[x] + n[y])
+        if keep.any():
+            yield found(x[keep], y[keep])
+    for s, m in zip(start[~small], size[~small]):
+        at = np.arange(s, s + m)
+        x, y = at[block[at] == i[s]], at[block[at] == j[s]]
+        if len(x) and len(y):
+            dims = vectors.dims[at].min()
+            q, p = CountTree(vectors.folded(x, dims), n[x]).search(vectors.folded(y, dims), n[y], num, den)
+            q, p = y[q], x[p]
+            ok = allowed(q, p)
+            yield found(q[ok], p[ok])
 
 
 def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
@@ -350,7 +442,7 @@ def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, te
     shared = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
     shared = stash(shared.select(F.col("p").alias("_p")), "partitions")
     members = placed.join(shared, F.col("p") == F.col("_p")).select("p", "c", "n").distinct()
-    members = stash(members, "members")
+    members = _distinct_partitions(stash(members, "members"))
 
     # the sets of the classes that share a partition, one text each
     low = stash(sets.where("n > 0").groupBy("c").agg(F.min("d").alias("d")), "classes")

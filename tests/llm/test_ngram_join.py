@@ -79,9 +79,9 @@ def test_linked_sets_share_a_partition():
 
 def test_tree_lists_every_pair_within_the_bound():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 6, (40, J.DIMS))
-    x = np.maximum(0, base[rng.integers(0, 40, 500)] + rng.integers(-1, 2, (500, J.DIMS)))
-    y = np.maximum(0, base[rng.integers(0, 40, 90)] + (rng.random((90, J.DIMS)) < 0.05))
+    base = rng.integers(0, 6, (40, 64))
+    x = np.maximum(0, base[rng.integers(0, 40, 500)] + rng.integers(-1, 2, (500, 64)))
+    y = np.maximum(0, base[rng.integers(0, 40, 90)] + (rng.random((90, 64)) < 0.05))
     nx, ny = x.sum(axis=1), y.sum(axis=1)
     q, at = J.CountTree(x, nx).search(y, ny, 9, 10)
     got = set(zip(q.tolist(), at.tolist()))
