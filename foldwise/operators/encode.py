@@ -47,7 +47,8 @@ class TargetEncoding:
 
     def apply(self, df: DataFrame, k_col: str = "k") -> DataFrame:
         """Encode rows that carry an outer fold id ``k_col`` (valid/test/source)."""
-        out = df.join(F.broadcast(self.priors), df[k_col] == self.priors["k"], "inner").drop(self.priors["k"])  # K rows
+        priors = self.priors.select(F.col("k").alias("_pk"), "prior")  # K rows
+        out = df.join(F.broadcast(priors), df[k_col] == priors["_pk"], "inner").drop("_pk")
         for c in self.cols:
             m = self.maps[c].select(F.col("k").alias("_mk"), F.col(c).alias("_mc"), F.lit(0).alias("_ms"), F.col("enc").alias("_menc"))
             out = out.withColumn("_null_part", null_part(out, c))
