@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from foldwise.llm.common import chunks_of_groups, pairs_of_groups, stash, unused
 from foldwise.llm.components import connected
-from foldwise.llm.words import Words, grouped, mix, run_hash
+from foldwise.llm.words import Words, mix, run_hash, text_ranges
 
 DIMS = (64, 64, 64, 256, 1024, 4096)  # groups of the count vectors, by size band; the last for all above
 LEAF = 16          # vectors of a leaf, and nodes of an inner node
@@ -226,9 +226,8 @@ def set_table(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in grouped(texts):
-                s = ShingleSets(texts[a:b], n)
+            for a, b, texts in text_ranges(batch.column(2)):
+                s = ShingleSets(texts, n)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), _long(s.ids()), pa.array(s.size)],
                     names=["d", "t", "c", "n"])
@@ -241,9 +240,8 @@ def partition_table(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in grouped(texts):
-                s = ShingleSets(texts[a:b], n)
+            for _, _, texts in text_ranges(batch.column(0)):
+                s = ShingleSets(texts, n)
                 row, key = partitions(s, num, den)
                 yield pa.RecordBatch.from_arrays([_long(key), _long(s.ids()[row]), pa.array(s.size[row].astype(np.int32))],
                                                  names=["p", "c", "n"])
@@ -256,9 +254,8 @@ def vector_table(rows: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in grouped(texts):
-                s = ShingleSets(texts[a:b], n)
+            for _, _, texts in text_ranges(batch.column(0)):
+                s = ShingleSets(texts, n)
                 ends = np.concatenate([s.start, [len(s.token)]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [_long(s.ids()), pa.array(s.size.astype(np.int32)),

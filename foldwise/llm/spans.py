@@ -2,10 +2,10 @@
 
 A text is cut into sentences: at marks that end a sentence and at line ends; in a long
 sentence also at its inner marks and after ``MAX_WORDS`` words, so a shared passage of few
-marks has several sentences and lines up again soon after its edge. Every run of ``SPAN``
-consecutive sentences of a text is hashed. A grouped count over all texts finds the hashes
-that occur more than once; the places of those are joined back, and the sentences of every
-place but the first are removed from the texts.
+marks has several sentences and lines up again soon after its edge. From every sentence on
+the shortest run of at least ``SPAN`` consecutive sentences and ``MIN_WORDS`` words is hashed.
+A grouped count over all texts finds the hashes that occur more than once; the places of
+those are joined back, and the sentences of every place but the first are removed.
 """
 
 from __future__ import annotations
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import stash, unused
-from foldwise.llm.words import Words, grouped, mix, run_hash
+from foldwise.llm.words import Words, mix, run_hash, text_ranges
 
-SPAN = 2         # consecutive sentences of a span
-MIN_WORDS = 13   # fewest words of a span that counts
+SPAN = 2         # fewest consecutive sentences of a span
+MIN_WORDS = 13   # fewest words of a span
 MAX_WORDS = 16   # words after which a sentence is cut
 INNER_FROM = 6   # an inner mark cuts a sentence that has this many words by then
 
@@ -68,18 +68,31 @@ class Sentences:
         ends = np.concatenate([new[1:], [True]])
         self.stop = np.where(ends, w.text_start[self.row + 1] - 1, self.stop)
 
+    def ends(self) -> np.ndarray:
+        """For each sentence the end (exclusive) of the span that begins there, 0 where the text
+        has not enough sentences or words left."""
+        n = len(self.row)
+        total = np.concatenate([[0], np.cumsum(self.words)])
+        end = np.searchsorted(total, total[:-1] + MIN_WORDS, side="left")
+        end = np.maximum(end, np.arange(n) + SPAN)
+        last = np.searchsorted(self.row, self.row, side="right")
+        return np.where(end <= last, end, 0)
+
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the first sentence, hash, second hash) of the spans that count."""
-        n = len(self.row) - SPAN + 1
-        if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
-        words, h, c = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
-        for k in range(SPAN):
-            words += self.words[k:n + k]
-            h = mix(h * np.uint64(3) + self.hash[k:n + k])
-            c = mix(c * np.uint64(5) + (self.hash[k:n + k] ^ np.uint64(0x5851F42D4C957F2D)))
-        at = np.flatnonzero((self.row[:n] == self.row[SPAN - 1:]) & (words >= MIN_WORDS))
-        return at, h[at], c[at]
+        """(index of the first sentence, hash, second hash) of the spans."""
+        end = self.ends()
+        at = np.flatnonzero(end)
+        end = end[at]
+        out = []
+        for base, seed in ((0x9E3779B97F4A7C15, 0), (0xD1B54A32D192ED03, 0x5851F42D4C957F2D)):
+            # the hash of a run is its polynomial, taken from running sums: sum of s_i * base^(i - begin)
+            up = np.full(len(self.hash) + 1, base, dtype=np.uint64)
+            down = np.full(len(self.hash) + 1, pow(base, -1, 1 << 64), dtype=np.uint64)
+            up[0] = down[0] = 1
+            up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+            run = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(self.hash ^ np.uint64(seed)) * up[:-1], dtype=np.uint64)])
+            out.append(mix((run[end] - run[at]) * down[at] + (end - at).astype(np.uint64)))
+        return at, out[0], out[1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -95,9 +108,8 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _span_hashes(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in grouped(texts):
-                yield pa.RecordBatch.from_arrays([_signed(Sentences(texts[a:b]).spans()[1])], names=["h"])
+            for _, _, texts in text_ranges(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([_signed(Sentences(texts).spans()[1])], names=["h"])
 
     return rows.select("text").mapInArrow(run, "h long")
 
@@ -109,9 +121,9 @@ def _span_places(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, t = batch.column(2).to_pylist(), batch.column(1).to_numpy()
-            for a, b in grouped(texts):
-                s = Sentences(texts[a:b])
+            t = batch.column(1).to_numpy()
+            for a, _, texts in text_ranges(batch.column(2)):
+                s = Sentences(texts)
                 at, h, c = s.spans()
                 row = s.row[at] + a
                 yield pa.RecordBatch.from_arrays(
@@ -122,7 +134,7 @@ def _span_places(rows: DataFrame) -> DataFrame:
 
 
 def repeated_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, t, gone): numbers of the sentences to remove from the texts that have some."""
+    """(d, t, gone): numbers of the sentences at which a later copy of a span begins."""
     rows = _texts(docs, id_col, text_col)
     often = _span_hashes(rows).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h").alias("_h"))
     often = stash(often, "span-hashes")
@@ -160,30 +172,26 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(at_text).to_pylist(), batch.column(len(cols))
+            marks = batch.column(len(cols))
             starts, flat = marks.offsets.to_numpy(), marks.values.to_numpy()
             null = marks.is_null().to_numpy(zero_copy_only=False)
-            total, removed = np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-            for a, b in grouped(texts):
-                s = Sentences(texts[a:b])
-                total[a:b] = np.bincount(s.row, minlength=b - a)
-                before = np.cumsum(total[a:b]) - total[a:b]
-                for i in range(a, b):
-                    if null[i] or texts[i] is None:
+            for a, b, texts in text_ranges(batch.column(at_text)):
+                s = Sentences(texts)
+                total, removed = np.bincount(s.row, minlength=b - a), np.zeros(b - a, dtype=np.int64)
+                before, end = np.cumsum(total) - total, s.ends()
+                for i in range(b - a):
+                    if null[a + i] or texts[i] is None:
                         continue
-                    mine = flat[starts[i]:starts[i + 1]]
-                    out = np.zeros(total[i] + SPAN, dtype=bool)
-                    for k in range(SPAN):
-                        out[mine + k] = True
-                    out = np.flatnonzero(out[:total[i]]) + before[i - a]
+                    begin = flat[starts[a + i]:starts[a + i + 1]] + before[i]
+                    out = np.unique(np.concatenate([np.arange(x, end[x]) for x in begin]))
                     removed[i] = len(out)
-                    left = np.ones(s.w.text_start[i - a + 1] - s.w.text_start[i - a] - 1, dtype=bool)
-                    base = s.w.text_start[i - a]
+                    base = s.w.text_start[i]
+                    left = np.ones(s.w.text_start[i + 1] - base - 1, dtype=bool)
                     for x in out:
                         left[s.begin[x] - base:s.stop[x] - base] = False
                     texts[i] = s.w.data[base:base + len(left)][left].tobytes().decode("utf-8", "replace")
-            columns = [*batch.columns[:len(cols)], pa.array(total), pa.array(removed)]
-            columns[at_text] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+                columns = [*(c.slice(a, b - a) for c in batch.columns[:len(cols)]), pa.array(total.astype(np.int64)), pa.array(removed)]
+                columns[at_text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
 
     return j.mapInArrow(run, schema)

@@ -6,10 +6,12 @@ polynomial over random 64-bit byte values, computed for all words together and m
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -66,14 +68,15 @@ class Words:
         return np.bincount(self.row, minlength=self.n_texts)
 
 
-def grouped(texts: Sequence[str | None], max_bytes: int = 1_500_000):
-    """Ranges of rows whose texts together have about ``max_bytes`` characters (one row at least)."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        n = len(t or "") + 1
-        if i > at and size + n > max_bytes:
-            yield at, i
-            at, size = i, 0
-        size += n
-    if at < len(texts):
-        yield at, len(texts)
+def text_ranges(column: pa.Array, max_bytes: int = 400_000) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(begin, end, texts) of consecutive rows that together have about ``max_bytes`` (one row at
+    least); only these texts are held as Python strings at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy()
+    at = total = 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and total + n > max_bytes:
+            yield at, i, column.slice(at, i - at).to_pylist()
+            at, total = i, 0
+        total += n + 1
+    if at < len(sizes):
+        yield at, len(sizes), column.slice(at).to_pylist()

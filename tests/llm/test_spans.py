@@ -37,11 +37,14 @@ def brute(rows):
     for k, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
         raw, cut = sentences(t)
         gone = set()
-        for i in range(len(cut) - S.SPAN + 1):
-            w = tuple(c[2] for c in cut[i:i + S.SPAN])
-            if sum(map(len, w)) >= S.MIN_WORDS:
+        for i in range(len(cut)):
+            e = i + S.SPAN
+            while e < len(cut) and sum(len(c[2]) for c in cut[i:e]) < S.MIN_WORDS:
+                e += 1
+            w = tuple(c[2] for c in cut[i:e])
+            if e <= len(cut) and sum(map(len, w)) >= S.MIN_WORDS:
                 if w in seen:
-                    gone.update(range(i, i + S.SPAN))
+                    gone.update(range(i, e))
                 seen.add(w)
         keep = bytearray()
         at = 0
