@@ -20,14 +20,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import stash
+from foldwise.llm.common import chunks_of_groups, pairs_of_groups, stash
 from foldwise.llm.components import connected
 
 COSINE = 0.98
@@ -37,7 +36,8 @@ COUNT_RECALL = 0.995
 TABLES = 16
 CELL_LINES = 16
 STRIP = 10.0          # width of a strip, in the same unit
-BLOCK = 1000          # vectors of a block
+BLOCK = 500           # vectors of a block
+SMALL_CELL = 48       # cells up to this size are compared without sorting
 SEED = 41
 
 
@@ -145,25 +145,104 @@ def window_counts(x: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
     return out
 
 
-def _block_links(x: pd.DataFrame, y: pd.DataFrame, table: int, same: bool, cosine: float) -> np.ndarray:
-    """Linked pairs (y row, x row) whose first common cell is this one."""
-    lx, ly = np.stack(x["lines"].to_numpy()), np.stack(y["lines"].to_numpy())
-    hit = window_counts(lx, ly, WINDOW) >= collision_bound()
-    cx, cy = np.stack(x["cells"].to_numpy()), np.stack(y["cells"].to_numpy())
+def _keys(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("cell", "i", "j")])
+
+
+def _starts(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+
+
+class Members:
+    """Rows of one or more cells as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        def grid(name: str, dtype) -> np.ndarray:
+            flat = rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            return flat.reshape(len(rows), -1).astype(dtype, copy=False)
+
+        self.key = _keys(rows)
+        self.table, self.block, self.c, self.weight = (rows.column(x).to_numpy().astype(np.int64) for x in ("t", "block", "c", "weight"))
+        self.lines, self.cells = grid("lines", np.float32), grid("cells", np.int64)
+        self.units = rows.column("unit")  # vectors of one cell have one length, those of different cells may not
+
+    def unit(self, rows: np.ndarray) -> np.ndarray:
+        return np.stack(self.units.take(pa.array(rows)).to_numpy())
+
+
+def _linked_pairs(m: Members, x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the pairs (x, y), each within one cell, collide often enough, share no earlier
+    cell and reach the cosine."""
+    hit = (np.abs(m.lines[x] - m.lines[y]) <= WINDOW).sum(axis=1) >= collision_bound()
+    earlier = np.arange(TABLES) < m.table[x][:, None]
+    hit &= ~((m.cells[x] == m.cells[y]) & earlier).any(axis=1)
+    at = np.flatnonzero(hit)
+    for k in range(0, len(at), 50_000):
+        part = at[k:k + 50_000]
+        one = [np.asarray(v) for v in m.units.take(pa.array(x[part])).to_numpy()]
+        two = [np.asarray(v) for v in m.units.take(pa.array(y[part])).to_numpy()]
+        hit[part] = [float(a @ b) >= cosine for a, b in zip(one, two)]
+    return hit
+
+
+def _large_cell(m: Members, rows: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of one block pair of a large cell, by sorted lines and query-centred windows."""
+    i, j, table = m.key[1, rows[0]], m.key[2, rows[0]], m.table[rows[0]]
+    x, y = rows[m.block[rows] == i], rows[m.block[rows] == j]
+    if not len(x) or not len(y):
+        return x[:0], y[:0]
+    hit = window_counts(m.lines[x], m.lines[y], WINDOW) >= collision_bound()
     for t in range(table):
-        hit &= cy[:, t, None] != cx[None, :, t]
-    if same:
-        np.fill_diagonal(hit, False)
-    qi, xi = np.nonzero(hit)
-    ux, uy = np.stack(x["unit"].to_numpy()), np.stack(y["unit"].to_numpy())
-    for a in range(0, len(qi), 200_000):
+        hit &= m.cells[y, t][:, None] != m.cells[x, t][None, :]
+    if i == j:
+        hit &= np.arange(len(y))[:, None] < np.arange(len(x))[None, :]
+    q, p = np.nonzero(hit)
+    ux, uy = m.unit(x), m.unit(y)
+    ok = np.ones(len(q), dtype=bool)
+    for a in range(0, len(q), 200_000):
         part = slice(a, a + 200_000)
-        hit[qi[part], xi[part]] = np.einsum("ij,ij->i", uy[qi[part]], ux[xi[part]]) >= cosine
-    return hit
+        ok[part] = np.einsum("ij,ij->i", uy[q[part]], ux[p[part]]) >= cosine
+    return x[p[ok]], y[q[ok]]
+
+
+def _search(rows: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
+    """(c, links, root) of the cells in ``rows``; small cells are compared directly, all at once."""
+    m = Members(rows)
+    start = _starts(m.key)
+    size = np.diff(np.concatenate([start, [len(rows)]]))
+    small = size <= SMALL_CELL
+    for s, n in chunks_of_groups(start[small], size[small], 200_000):
+        x, y = pairs_of_groups(s, n)
+        ok = (m.key[1, x] == m.key[2, x]) | (m.block[x] != m.block[y])  # two blocks: only pairs between them
+        x, y = x[ok], y[ok]
+        ok = _linked_pairs(m, x, y, cosine)
+        yield from _told(m, x[ok], y[ok])
+    for s, n in zip(start[~small], size[~small]):
+        yield from _told(m, *_large_cell(m, np.arange(s, s + n), cosine))
+
+
+def _told(m: Members, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Per row the weight of its partners and the smallest class that it reaches here."""
+    if not len(x):
+        return
+    rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    a, b = at[:len(x)], at[len(x):]
+    links = np.bincount(a, weights=m.weight[y], minlength=len(rows)) + np.bincount(b, weights=m.weight[x], minlength=len(rows))
+    root = m.c[rows]
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        if (new == root).all():
+            break
+        root = new
+    yield pa.RecordBatch.from_arrays([pa.array(m.c[rows]), pa.array(links.astype(np.int64)), pa.array(root)],
+                                     names=["c", "links", "root"])
 
 
 def _cell_links(members: DataFrame, vectors: DataFrame, cosine: float) -> DataFrame:
-    """(c, links, root): per block the weight of the linked classes, and a class of its component."""
+    """(c, links, root): per block pair the weight of the linked classes, and a class of its component."""
     k = members.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     k = stash(k.withColumnRenamed("cell", "_cell"), "cell-blocks")
     m = members.join(k, F.col("cell") == F.col("_cell")).drop("_cell")
@@ -173,34 +252,18 @@ def _cell_links(members: DataFrame, vectors: DataFrame, cosine: float) -> DataFr
                  F.col("c").alias("_c"))
     m = m.join(vectors, F.col("_c") == F.col("c")).drop("_c")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("c")
-        i, j, table = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0]), int(pdf["t"].iloc[0])
-        x, y = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        none = pd.DataFrame({"c": np.zeros(0, dtype=np.int64), "links": np.zeros(0, dtype=np.int64),
-                             "root": np.zeros(0, dtype=np.int64)})
-        if not len(x) or not len(y):
-            return none
-        hit = _block_links(x, y, table, i == j, cosine)
-        cx, cy = x["c"].to_numpy(), y["c"].to_numpy()
-        wx, wy = x["weight"].to_numpy(), y["weight"].to_numpy()
-        top = np.iinfo(np.int64).max
-        rx, ry = cx.copy(), (cx.copy() if i == j else cy.copy())
-        while True:  # the smallest class of each component of the block
-            ny = np.minimum(ry, np.where(hit, rx[None, :], top).min(axis=1))
-            nx = np.minimum(rx, np.where(hit, ny[:, None], top).min(axis=0))
-            if i == j:
-                nx = ny = np.minimum(nx, ny)
-            if (nx == rx).all() and (ny == ry).all():
-                break
-            rx, ry = nx, ny
-        out = [pd.DataFrame({"c": cy, "links": hit @ wx, "root": ry})]
-        if i != j:
-            out.append(pd.DataFrame({"c": cx, "links": wy @ hit, "root": rx}))
-        out = pd.concat(out)
-        return out[out["links"] > 0]
-
-    return m.groupBy("cell", "i", "j").applyInPandas(run, "c long, links long, root long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            last = _starts(_keys(rows))[-1] if len(rows) else 0  # the last cell may go on in the next batch
+            if last:
+                yield from _search(rows.slice(0, last), cosine)
+            rest = rows.slice(last)
+        if rest is not None and len(rest):
+            yield from _search(rest, cosine)
+
+    return m.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(run, "c long, links long, root long")
 
 
 def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -224,6 +287,12 @@ def near_dedup(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id
     shared = cells.groupBy("cell").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b")
     shared = stash(shared.select(F.col("cell").alias("_cell")), "shared-cells")
     members = stash(cells.join(shared, F.col("cell") == F.col("_cell")).select("cell", "t", "c"), "members")
+    # of cells with the same vectors the one of the first table is kept: their pairs belong to it
+    h = F.xxhash64("c")
+    alike = members.groupBy("cell", "t").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("x"),
+                                             F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
+    one = alike.groupBy("m", "x", "y").agg(F.min(F.struct("t", "cell")).alias("o")).select(F.col("o.cell").alias("_cell"))
+    members = stash(members.join(stash(one, "distinct-cells"), F.col("cell") == F.col("_cell")).drop("_cell"), "members")
     weight = classes.select(F.col("c").alias("_w"), "weight")
     weighted = found.join(members.select("c").distinct(), "c", "left_semi").join(weight, F.col("c") == F.col("_w")).drop("_w")
     weighted = stash(weighted, "member-vectors")
