@@ -22,7 +22,7 @@ from foldwise.llm.common import stash, unused
 from foldwise.llm.words import Words, mix, run_hash, text_ranges
 
 SPAN = 2         # fewest consecutive sentences of a span
-MIN_WORDS = 13   # fewest words of a span
+MIN_WORDS = 20   # fewest words of a span: above single lines that many documents share, below half a passage of 50
 MAX_WORDS = 16   # words after which a sentence is cut
 INNER_FROM = 6   # an inner mark cuts a sentence that has this many words by then
 
