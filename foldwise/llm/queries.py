@@ -132,4 +132,16 @@ reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l O
 low AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)""",
+    "op10_embedding_dedup": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+u AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE list_dot_product(x, x) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) / (a.norm * b.norm) >= {embed_dedup.COSINE}),
+n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)""",
 }

@@ -76,7 +76,7 @@ def test_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_chat", "op9_ngram_join"])
+@pytest.mark.parametrize("name", ["op2_line_dedup", "op3_chat", "op9_ngram_join", "op10_embedding_dedup"])
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_query_equals_sql(spark, name, sf):
     from oracle_check import compare, open_duckdb
