@@ -29,7 +29,7 @@ SEQUENCE_TOKENS = 4096
 MAX_SEGMENTS = 512
 MAX_LOSS_TOKENS = 4096
 GROUP_SIZE = 4096
-KNOWN_PARTS = 500_000     # distinct parts whose ids a worker keeps
+KNOWN_PARTS = 350_000     # distinct parts whose ids a worker keeps
 LATIN, MARKS = "\u0100", ".,;:!?"
 
 
@@ -121,8 +121,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, end_id: int, max_tokens: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, end_id)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 rows: list[tuple[int, int, int, bytes]] = []
                 for i, ids in enumerate(encode(part.column(1).to_pylist())):
                     total = len(ids) // 4

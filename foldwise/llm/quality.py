@@ -13,7 +13,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ RANK = 8
 SAMPLE_PER_CLASS = 4000   # labelled documents per class that training reads at most, in expectation
 EPOCHS = 12
 THRESHOLD = 0.3
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000     # words whose buckets a task keeps before it starts anew
 
 # Byte classes: 0 other, 1 upper case, 2 lower case, 3 digit, 4 space, 5 end of sentence, 6 mark, 7 symbol, 8 beyond ASCII
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -37,16 +36,12 @@ for _k, _s in ((1, range(65, 91)), (2, range(97, 123)), (3, range(48, 58)), (4,
 N_STATS = 16
 
 
-@lru_cache(maxsize=1)
-def word_ids() -> dict[bytes, int]:
-    return {}
-
-
-def stats_and_words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(statistics, distinct word buckets, their shares of the words) of one whole text."""
+def stats_and_words(text: str | None, known: dict[bytes, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics, distinct word buckets, their shares of the words) of one whole text;
+    ``known`` keeps the buckets of words met before."""
     raw = (text or "").encode("utf-8", "replace")
     words = raw.split()
-    known = word_ids()
+    known = {} if known is None else known
     if len(known) > KNOWN_WORDS:
         known.clear()
     ids = []
@@ -181,8 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, trainable: Column, id_col: str = "do
     schema = "h long, y int, stats array<double>, words array<int>, share array<float>"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
         for batch in batches:
-            got = [stats_and_words(t) for t in batch.column(1).to_pylist()]
+            got = [stats_and_words(t.as_py(), known) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([p[0] for p in got], pa.list_(pa.float64())),
                  pa.array([p[1] for p in got], pa.list_(pa.int32())), pa.array([p[2] for p in got], pa.list_(pa.float32()))],
@@ -212,12 +208,12 @@ def score(docs: DataFrame, model: FactorisationMachine | None, id_col: str = "do
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, known = shared.value, {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 texts = part.column(text).to_pylist()
-                s = m.score([stats_and_words(t) for t in texts]) if m else np.full(len(texts), 0.5)
+                s = m.score([stats_and_words(t, known) for t in texts]) if m else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns[:len(cols)], pa.array(s, pa.float64())],
                                                  names=[f.name for f in schema.fields])
 
