@@ -14,6 +14,8 @@ All but the last return the columns of ``documents``; ``n_chars`` follows a chan
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ def near_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def spans_deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _cleaned(docs, spans.dedup_spans)
+    return _cleaned(docs, partial(spans.dedup_spans, both_ends=True))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

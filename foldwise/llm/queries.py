@@ -36,7 +36,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spans.dedup_spans(table(spark, sf_dir, "documents"))
+    out = spans.dedup_spans(table(spark, sf_dir, "documents"), both_ends=True)
     return out.select("doc_id", "text", "n_sentences", "n_removed")
 
 

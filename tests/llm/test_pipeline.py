@@ -78,3 +78,13 @@ def test_edges(spark):
             assert sorted(map(str, got)) == sorted(map(str, [(1, rows[2][1]), (1, text), (2, None), (3, ""), (3, ""), (4, rows[-1][1])]))
             assert out.where("doc_id is null").count() == 0
     assert P.packed(spark, docs, SF).where("doc_id = 3").count() == 2
+
+
+def test_substring_stage_removes_passages_up_to_both_ends(spark):
+    rows = [r for r in test_spans.random_rows(5) if r[0] is not None and r[1]]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows if i != 5 and i != 6],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    before = rows_of(docs)
+    want = {d: t for (d, _), t in test_spans.brute_both_ends(before).items()}
+    assert want != {d: t for (d, _), t in test_spans.brute(before).items()}
+    assert rows_of(P.spans_deduped(spark, docs, SF)) == sorted((d, want[d]) for d, t in before if want[d] == t or want[d].strip())

@@ -101,3 +101,49 @@ def test_shared_passages_go_and_clean_documents_stay(spark):
 
 def test_empty_table(spark):
     assert S.dedup_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_both_ends(rows):
+    """``brute`` with the shortest runs that begin at and that end with each sentence."""
+    seen, out = set(), {}
+    for k, t in sorted({r for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0)):
+        raw, cut = sentences(t)
+        n = [len(c[2]) for c in cut]
+        fits = lambda i, e: 0 <= i and e <= len(cut) and e - i >= S.SPAN and sum(n[i:e]) >= S.MIN_WORDS
+        runs = {next(((i, e) for e in range(i + 1, len(cut) + 1) if fits(i, e)), None) for i in range(len(cut))}
+        runs |= {next(((i, e) for i in range(e - 1, -1, -1) if fits(i, e)), None) for e in range(1, len(cut) + 1)}
+        gone = set()
+        for i, e in sorted(runs - {None}):
+            w = tuple(c[2] for c in cut[i:e])
+            if w in seen:
+                gone.update(range(i, e))
+            seen.add(w)
+        keep = b"".join(raw[a:b] for i, (a, b, _) in enumerate(cut) if i not in gone)
+        out[(k, t)] = (keep + raw[cut[-1][1] if cut else 0:]).decode()
+    return out
+
+
+def test_both_ends_match_brute_force(spark):
+    rows = [r for r in random_rows(4) if r not in ((5, "x"), (6, "y"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_both_ends(rows)
+    for r in S.dedup_spans(docs, both_ends=True).collect():
+        assert r.text == want.get((r.doc_id, dict(rows)[r.doc_id]))
+
+
+def test_query_removes_whole_passages_and_copies(spark, tmp_path):
+    """Every sentence of a shared passage goes, short last ones too, and exact copies become empty."""
+    from foldwise.llm.queries import op4_span_dedup
+
+    rnd = random.Random(15)
+    sentence = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=8)) for _ in range(n)) + "."
+    shared = [[12, 12, 7], [13, 9, 4, 3], [7, 16, 16, 5], [11, 11]]
+    passages = [[sentence(n) for n in sizes] for sizes in shared]
+    own = [(sentence(9), sentence(14)) for _ in range(24)]
+    rows = [(i, f"{a} {' '.join(passages[i % 4])} {b}") for i, (a, b) in enumerate(own)]
+    rows += [(100 + i, t) for i, t in rows[:8]]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.text for r in op4_span_dedup(spark, str(tmp_path)).collect()}
+    for i, (a, b) in enumerate(own):
+        assert out[i] == (rows[i][1] if i < 4 else f"{a} {b}")
+    assert all(out[100 + i] == "" for i in range(8))
