@@ -9,8 +9,9 @@ Estimation (deterministic start, then concentration steps): the first subset hol
 documents nearest to the coordinate-wise median, scaled by the median absolute deviation;
 each step takes moments of the subset, factors the covariance (Cholesky, written out as
 column expressions), and forms the next subset from the share ``coverage`` of the group
-with the smallest distances. A step never raises the determinant, and ``STEPS`` steps are
-taken. A group's rows are only ever read by map-side combined aggregates, so a source with
+with the smallest distances. A step never raises the determinant but by the error of the
+approximate quantile; steps are taken until no group's determinant falls any more, ``STEPS``
+at least. A group's rows are only ever read by map-side combined aggregates, so a source with
 a third of all documents is spread over all tasks.
 """
 
@@ -29,8 +30,9 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 
-COVERAGE = 0.75        # share of a group in the subset
-STEPS = 4              # concentration steps
+COVERAGE = 0.5         # share of a group in the subset: up to half of a group may be outliers
+STEPS = 4              # concentration steps at least
+FALL = 1e-3            # a determinant falls when its logarithm goes this far below the lowest before
 PRIOR_WORDS = 50.0     # words of typical text added to a document's ratios, so short texts do not scatter
 MIN_GROUP = 40         # smaller groups borrow the estimate of their language, then of all documents
 CUTOFF = 80.0          # squared distance above which a document is rejected; far beyond chi-square(4), as tails are heavy
@@ -153,14 +155,24 @@ def mcd(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     est = mad.select(*keys, "m", *[f"mu{i}" for i in range(DIMS)],
                      *[((F.col(f"s{i}") * 1.4826) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
                        for i in range(DIMS) for j in range(i + 1)])
-    est = _factored(est, keys)
-    for _ in range(STEPS):
-        est = stash(est, "mcd")
+    est = stash(_factored(est, keys), "mcd")
+    step, low = 0, None
+    while True:
         d = _with_distance(rows, _renamed(est, keys), keys)
         cut = d.groupBy(*keys).agg(F.percentile_approx("d2", COVERAGE, 1000).alias("cut"))
         inside = _join(d, stash(cut, "mcd-cut"), keys)
-        est = _factored(inside.groupBy(*keys).agg(*_moments(keys, F.col("d2") <= F.col("cut"))), keys)
-    return stash(est, "mcd")
+        est = stash(_factored(inside.groupBy(*keys).agg(*_moments(keys, F.col("d2") <= F.col("cut"))), keys), "mcd")
+        step += 1
+        if step < STEPS - 1:
+            continue
+        now = est.select(*keys, sum(F.log(f"l{i}{i}") for i in range(DIMS)).alias("now"))
+        if low is None:
+            low = stash(now.withColumnRenamed("now", "low"), "mcd-low")
+            continue
+        both = _join(now, low, keys)
+        if both.where(2 * F.col("now") < 2 * F.col("low") - FALL).isEmpty():
+            return est
+        low = stash(both.select(*keys, F.least("now", "low").alias("low")), "mcd-low")
 
 
 def _join(rows: DataFrame, est: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -101,3 +101,21 @@ def test_partitions_do_not_matter(spark, parts):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     a = {tuple(r)[:7] for r in O.quality_rules(docs).collect()}
     assert a == {tuple(r)[:7] for r in O.quality_rules(docs.repartition(parts)).collect()}
+
+
+def test_outliers_up_to_almost_half_of_a_group(spark):
+    """Documents of many symbols that pass the base rules do not become the estimate."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9)))
+    rows = []
+    for source, share in (("a", 0.1), ("b", 0.3), ("c", 0.4), ("d", 0.45)):
+        for i in range(200):
+            words = [word() for _ in range(rnd.randint(60, 200))]
+            if i < 200 * share:
+                words = [w + "#" * (rnd.random() < 0.6) + "|" * (rnd.random() < 0.3) for w in words]
+            rows.append((len(rows), " ".join(words), "en", source, i < 200 * share))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, spam boolean")
+    out = O.quality_rules(docs).collect()
+    spam = {r[0]: r[4] for r in rows}
+    assert not any(r.base_failed for r in out)
+    assert all(r.kept != spam[r.doc_id] for r in out)
