@@ -2,10 +2,10 @@
 
 A fixed run plan (the kind of configuration a user keeps) names, per run,
 the member prediction it scores, the number of folds and whether it is a
-screening run. Every number in a record (fold scores, best iterations,
-leaderboard scores) is computed by Spark from the data: fold AUCs of the
-member on the run's split, public/private AUC on the two halves of the
-test part.
+screening run. Fold and leaderboard scores are computed by Spark from the
+data: fold AUCs of the member on the run's split, public/private AUC on the
+two halves of the test part. Best iterations are simulated: no model is
+trained, they are min(floor(AUC * 1200), 999) of the fold.
 """
 
 from __future__ import annotations
