@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.session import scratch_path
+from foldwise.session import checkpoint_dir, scratch_path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -23,6 +23,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table of ``stash`` that no later step reads."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        if f"{checkpoint_dir(spark).rstrip('/').split(':')[-1]}/foldwise/" in folder.toString():
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_crc(col: str) -> Column:
     """crc32 of a key written as text (a null key counts as the empty text)."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import (bpe, chat, embed_dedup, langid, line_dedup, ngram_join, outliers, packing, quality, spans)
+from foldwise.llm import (bpe, chat, embed_dedup, langid, line_dedup, ngram_join, outliers, packing, quality, spans, urls, variants,
+                          vector_codes)
 from foldwise.llm.common import table, text_crc
 
 END_ID = 2
@@ -72,6 +73,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("codebooks_sha256", F.lit(vector_codes.books_sha256(books)))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -83,12 +97,118 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_ngram_join": op9_ngram_join,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_url_filter": op13_url_filter,
 }
 
 # Words of a text in DuckDB: A-Z lower-cased, runs of anything but ASCII white space.
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"""
 
+
+def _vector_codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Rounds one after the other; distances as sums of integers that doubles hold."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, p, min((list_dot_product(p0.x, p0.x) + list_dot_product(c.x, c.x) - 2 * list_dot_product(p0.x, c.x))::BIGINT * {entries} + e) AS m
+  FROM p0 JOIN c{k} c USING (p) GROUP BY r, p)""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (
+  SELECT p, e, list(x ORDER BY i) AS x FROM (
+    SELECT p, m % {entries} AS e, i, floor(sum(p0.x[i]) / count(*)) AS x
+    FROM a{k} JOIN p0 USING (r, p), range(1, (SELECT max(len(x)) FROM p0) + 1) t(i) GROUP BY p, e, i) GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, embedding, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p0 AS MATERIALIZED (
+  SELECT r, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS x FROM v, range({parts}) t(p)),
+c0 AS MATERIALIZED (
+  SELECT p, e, p0.x FROM p0 JOIN (
+    SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS e FROM v) USING (r) WHERE e < {entries}),
+{", ".join(steps)},
+f AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY p) AS code, sum(m // {entries})::BIGINT AS error FROM a{rounds} GROUP BY r),
+s AS (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY p, e, i)) AS h
+      FROM (SELECT p, e, unnest(x) AS x, generate_subscripts(x, 1) AS i FROM c{rounds}))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256
+FROM f JOIN v USING (r), s"""
+
+
+_SPELLING_SQL = f"""
+WITH RECURSIVE crc_bits AS (SELECT list(list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+run AS (SELECT doc_id, translate(run, '{variants.UPPER}', '{variants.LOWER}') AS run FROM (
+  SELECT doc_id, unnest(regexp_extract_all(text, '{variants.RUN}')) AS run FROM documents) WHERE length(run) >= {variants.MIN_LENGTH}),
+seen AS MATERIALIZED (SELECT doc_id, run, count(*) AS n FROM run GROUP BY ALL),
+hash AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(
+    string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM seen, crc_bits),
+word AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (
+  SELECT CASE WHEN h % {variants.DELETE_EVERY} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hash) WHERE length(word) >= {variants.MIN_LENGTH} GROUP BY word HAVING sum(n) >= {variants.MIN_COUNT}),
+cut AS MATERIALIZED (SELECT DISTINCT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM word)),
+near AS (SELECT x.word, y.word AS v, y.n AS vn FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+         UNION SELECT x.word, y.word, y.n FROM cut x JOIN word y ON x.a || x.b = y.word
+         UNION SELECT y.word, x.word, x.n FROM cut x JOIN word y ON x.a || x.b = y.word),
+best AS (SELECT word, count(*) AS n_near, max(vn) AS vn, arg_min(v, (-vn, v)) AS v FROM near GROUP BY word),
+form AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN vn >= {variants.RATIO} * w.n THEN v END AS form,
+  CASE WHEN vn >= {variants.RATIO} * w.n THEN vn END AS form_n FROM word w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root FROM form
+         UNION ALL SELECT walk.word, form.form FROM walk JOIN form ON walk.root = form.word WHERE form.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n
+FROM form f JOIN (SELECT walk.word, root FROM walk JOIN form ON root = form.word WHERE form.form IS NULL) w ON w.word = f.word"""
+
+
+def _url_sql(order: int, rules) -> str:
+    longest = sorted(rules, key=lambda r: -len(r[0] + r[1]))
+
+    def chosen(value) -> str:
+        return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(h, p, v)}'"
+                                  for h, p, v in longest) + " END"
+
+    last = order + 1
+    # one level at a time, so that no expression repeats the ones below
+    levels = []
+    for k in range(last):
+        p = {c: "1.0::DOUBLE / size" if k == 0 else f"p{c}" for c in "ar"}
+        source = "(SELECT DISTINCT gram, size FROM target, size)" if k == 0 else f"l{k - 1}"
+        levels.append(f"""l{k} AS MATERIALIZED (SELECT gram, size, """ + ", ".join(
+            f"CASE WHEN t{c} > 0 THEN (coalesce(n{c}, 0)::DOUBLE + u{c}::DOUBLE * ({p[c]})) / (t{c}::DOUBLE + u{c}::DOUBLE) ELSE {p[c]} END AS p{c}"
+            for c in "ar") + f""" FROM {source} LEFT JOIN run ON run = substr(gram, {last - k}, {k + 1})
+  LEFT JOIN context ON context = substr(gram, {last - k}, {k}))""")
+    return f"""
+WITH u AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+    '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path,
+    translate(CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE url END,
+              '{urls.UPPER}{urls.DIGITS}', '{urls.LOWER}{"0" * 9}') AS text
+  FROM (SELECT page_id, coalesce(url, '') AS url FROM pages)),
+m AS MATERIALIZED (SELECT *, {chosen(lambda h, p, v: h + p)} AS rule, {chosen(lambda h, p, v: v)} AS ruled,
+  ('0x' || substr(md5(text), 1, 8))::BIGINT % {urls.HELD_OUT} = 0 AS held FROM u),
+g AS MATERIALIZED (SELECT r, ruled, held, substr(repeat(chr(2), {order}) || text || chr(3), i, {last}) AS gram
+  FROM (SELECT *, unnest(range(1, length(text) + 2)) AS i FROM m)),
+run AS MATERIALIZED (SELECT run, count(*) FILTER (ruled = 'allow') AS na, count(*) FILTER (ruled = 'block') AS nr
+  FROM (SELECT ruled, substr(gram, {last} - k, k + 1) AS run FROM g, range({last}) t(k) WHERE ruled IS NOT NULL AND NOT held) GROUP BY run),
+context AS MATERIALIZED (SELECT substr(run, 1, length(run) - 1) AS context, sum(na) AS ta, count(*) FILTER (na > 0) AS ua,
+  sum(nr) AS tr, count(*) FILTER (nr > 0) AS ur FROM run GROUP BY 1),
+size AS (SELECT count(*) FILTER (length(run) = 1) + 1 AS size FROM run),
+target AS MATERIALIZED (SELECT r, gram FROM g WHERE ruled IS NULL OR held),
+{", ".join(levels)},
+s AS MATERIALIZED (SELECT r, least(greatest(floor(sum(d) / (count(*) * {urls.STEP})), -{urls.STEPS}), {urls.STEPS})::INT AS step
+  FROM target JOIN (SELECT gram, round((ln(pa) - ln(pr)) * 1e6)::BIGINT AS d FROM l{order}) USING (gram) GROUP BY r),
+h AS MATERIALIZED (SELECT step, ruled = 'allow' AS good FROM s JOIN m USING (r) WHERE ruled IS NOT NULL),
+n AS (SELECT count(*) FILTER (good) AS a, count(*) FILTER (NOT good) AS r FROM h),
+t AS (SELECT t, count(*) FILTER (good AND step >= t) * any_value(n.r) + count(*) FILTER (NOT good AND step < t) * any_value(n.a) AS gain
+      FROM range(-{urls.STEPS}, {urls.STEPS + 1}) r(t), n, h WHERE n.a > 0 AND n.r > 0 GROUP BY t),
+best AS (SELECT coalesce((SELECT t FROM t ORDER BY gain DESC, abs(t), t LIMIT 1), 0) AS t)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN step >= t THEN 'allow' ELSE 'block' END) AS verdict
+FROM m LEFT JOIN s USING (r), best"""
+
+
 ORACLES: dict[str, str] = {
     "op2_line_dedup": f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
@@ -144,4 +264,7 @@ low AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
        e.vec_id <= coalesce(m, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN low USING (vec_id)""",
+    "op11_vector_codes": _vector_codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS),
+    "op12_spelling_variants": _SPELLING_SQL,
+    "op13_url_filter": _url_sql(urls.ORDER, urls.RULES),
 }
