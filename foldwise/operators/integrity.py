@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldwise.sources.stored import AlreadyPublished, publish, published
 from foldwise.spec import TaskSpec
 
 
 # ------------------------------------------------------------------ split tables
-SPLIT_KEYS = ("strategy", "n_folds", "seed", "groups")
-
-
 def content_hash(df: DataFrame, cols: Sequence[str]) -> str:
     """Order-free hash of a row set: sha2 over its count, xor and sum of row hashes.
 
@@ -27,25 +26,21 @@ def content_hash(df: DataFrame, cols: Sequence[str]) -> str:
 
 
 def split_regime(train: DataFrame, spec: TaskSpec, n_folds: int | None = None) -> dict:
-    """The partition values of a split in the split table. Group splits depend on which rows
-    share a group, so they also carry the hash of the (id, group) set."""
+    """What a stored split is found by. Group splits depend on which rows share a group, so they
+    also carry the hash of the (id, group) set."""
     grouped = spec.cv_strategy == "GroupKFold"
     return {"strategy": spec.cv_strategy, "n_folds": n_folds or spec.n_folds, "seed": spec.seed,
             "groups": content_hash(train, [spec.id_col, *spec.group_keys]) if grouped else "none"}
 
 
+def split_name(regime: dict) -> str:
+    """Name of a regime's table in the store."""
+    return "split-" + hashlib.sha256(json.dumps(regime, sort_keys=True).encode()).hexdigest()[:24]
+
+
 def read_split(spark: SparkSession, store: str, regime: dict) -> DataFrame | None:
-    """The stored split of a regime, or None when it (or the whole table) is not there yet."""
-    try:
-        table = spark.read.parquet(store)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    for k, v in regime.items():
-        table = table.where(F.col(k).cast("string") == str(v))
-    split = table.drop(*SPLIT_KEYS)
-    return None if split.isEmpty() else split
+    """The stored split of a regime, or None when it is not published yet."""
+    return published(spark, store, split_name(regime))
 
 
 def split_table(folded: DataFrame, id_col: str = "id", y_col: str = "y", fold_col: str = "fold") -> DataFrame:
@@ -53,14 +48,11 @@ def split_table(folded: DataFrame, id_col: str = "id", y_col: str = "y", fold_co
     return folded.select(id_col, F.col(fold_col).cast("int").alias("fold"), F.xxhash64(F.col(y_col)).alias("y_fp"))
 
 
-def save_split(split: DataFrame, store: str, regime: dict) -> None:
-    """Add a split to the table, once; refuse a split with a row in no fold."""
+def save_split(split: DataFrame, store: str, regime: dict, id_col: str = "id") -> None:
+    """Publish a split, once; refuse a split with a row in no fold."""
     if split.where(F.col("fold").isNull()).limit(1).count():
         raise ValueError("some rows are in no validation fold; not a partition, not written")
-    if read_split(split.sparkSession, store, regime) is not None:
-        raise ValueError(f"a split for {regime} is stored already")
-    keyed = split.withColumns({k: F.lit(v) for k, v in regime.items()})
-    keyed.write.mode("append").partitionBy(*SPLIT_KEYS).parquet(store)
+    publish(split, store, split_name(regime), id_col, regime)
 
 
 def split_report(split: DataFrame, data: DataFrame, n_folds: int, id_col: str = "id", y_col: str = "y") -> DataFrame:
@@ -95,14 +87,19 @@ def load_split(spark: SparkSession, store: str, regime: dict, data: DataFrame, i
 
 def get_or_create_split(spark: SparkSession, train: DataFrame, spec: TaskSpec, store: str,
                         n_folds: int | None = None) -> DataFrame:
-    """Load the split of this regime if stored, else assign folds and store them once."""
+    """Load the split of this regime if stored, else assign folds and publish them. Of several
+    processes that do so at once one publishes, and all go on with its split."""
     from foldwise.operators.folds import assign_folds
 
     n = n_folds or spec.n_folds
     regime = split_regime(train, spec, n)
     if read_split(spark, store, regime) is None:
         narrow = train.select(*dict.fromkeys([spec.id_col, spec.target_col, *spec.group_keys]))
-        save_split(split_table(assign_folds(narrow, spec, n), spec.id_col, spec.target_col), store, regime)
+        split = split_table(assign_folds(narrow, spec, n), spec.id_col, spec.target_col)
+        try:
+            save_split(split, store, regime, spec.id_col)
+        except AlreadyPublished:
+            pass  # another process was first: its split is the one
     return load_split(spark, store, regime, train, spec.id_col, spec.target_col)
 
 

@@ -12,6 +12,7 @@ from foldwise.operators import integrity as IG
 from foldwise.operators import runs as RU
 from foldwise.operators.members import alignment_report, check_alignment
 from foldwise.session import scratch_path
+from foldwise.sources import stored
 from foldwise.sources import tasks as T
 from foldwise.spec import TaskSpec
 
@@ -105,6 +106,88 @@ def test_group_split_is_found_by_another_process(tmp_path):
     assert len(out) == 2 and out[0] == out[1]
 
 
+def test_digests_that_look_like_numbers(spark):
+    """A group digest of digits, or of digits around one ``e``, names its split like any other."""
+    split = spark.createDataFrame([(i, i % 3, i) for i in range(9)], "id long, fold int, y_fp long")
+    store = scratch_path(spark, "splits-digest")
+    for digest in ("12345678e9012345", "1234567890123456", "0000000000000000"):
+        regime = {"strategy": "GroupKFold", "n_folds": 3, "seed": 42, "groups": digest}
+        assert IG.read_split(spark, store, regime) is None
+        IG.save_split(split, store, regime)
+        found = IG.read_split(spark, store, regime)
+        assert sorted(found.collect()) == sorted(split.collect()) and found.dtypes == split.dtypes
+        with pytest.raises(ValueError, match="already"):
+            IG.save_split(split, store, regime)
+
+
+RACE = """
+import pathlib, sys, time
+sys.path.insert(0, {repo!r})
+from foldwise.session import local_session
+from foldwise.operators import integrity as IG
+from foldwise.sources import stored, tasks as T
+spark = local_session(2, shuffle_partitions=3)
+t, spec = T.load_task(spark, {sf!r}, "bin")
+tr = T.train_rows(t)
+here = pathlib.Path({store!r})
+create = stored._create_once
+def together(*a):
+    (here / "{me}.ready").touch()
+    while not (here / "{other}.ready").exists():
+        time.sleep(0.01)
+    won = create(*a)
+    print("WON" if won else "LOST")
+    return won
+stored._create_once = together
+split = IG.get_or_create_split(spark, tr, spec, {store!r} + "/s")
+print("SPLIT", IG.content_hash(split, ["id", "fold"]), split.count())
+"""
+
+
+def test_two_processes_publish_one_split(tmp_path):
+    """Both have staged their split when the first of them publishes; both end with the same one."""
+    import subprocess
+    import sys
+
+    repo = str(Path(__file__).resolve().parents[1])
+    running = [subprocess.Popen([sys.executable, "-c", RACE.format(repo=repo, sf=SF_SMALL, store=str(tmp_path), me=me, other=other)],
+                                stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True) for me, other in ("ab", "ba")]
+    out = [line for p in running for line in p.communicate(timeout=300)[0].splitlines()]
+    assert sorted(x for x in out if not x.startswith("SPLIT")) == ["LOST", "WON"]
+    assert len({x for x in out if x.startswith("SPLIT")}) == 1 and sum(x.startswith("SPLIT") for x in out) == 2
+    assert len(list((tmp_path / "s/manifests").iterdir())) == 1 and len(list((tmp_path / "s/data").iterdir())) == 1
+
+
+def test_interrupted_and_damaged_stores(spark, tmp_path):
+    split = spark.createDataFrame([(i, i % 3, i) for i in range(9)], "id long, fold int, y_fp long")
+    store, regime = str(tmp_path / "s"), {"strategy": "KFold", "n_folds": 3, "seed": 1, "groups": "none"}
+    stored.write_bucketed(split, f"{store}/data/{IG.split_name(regime)}-left-behind", "id", 2)   # staged, never published
+    assert IG.read_split(spark, store, regime) is None
+    IG.save_split(split, store, regime)
+    assert IG.read_split(spark, store, regime).count() == 9
+    data = tmp_path / "s" / stored.manifest(spark, store, IG.split_name(regime))["data"]
+    next(f for f in data.iterdir() if f.suffix == ".parquet").unlink()
+    spark.catalog.clearCache()
+    with pytest.raises(Exception):
+        IG.read_split(spark, store, regime)
+
+
+def test_stored_tables_join_without_an_exchange(spark, tmp_path):
+    t, spec = T.load_task(spark, SF_SMALL, "bin")
+    tr = T.train_rows(t)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = IG.get_or_create_split(spark, tr, spec, str(tmp_path / "s"))
+        stored.publish(tr, str(tmp_path / "t"), "train", "id")
+        train = stored.published(spark, str(tmp_path / "t"), "train")
+        joined = IG.attach_split(train, split)
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == tr.count() and joined.exceptAll(IG.attach_split(tr, split)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_alignment_report_flags_each_defect(spark):
     ref = spark.createDataFrame([(i,) for i in range(10)], "id long")
     rows = [("a", i, 0.1) for i in range(10)] + [("b", i, 0.1) for i in range(10)] + [("b", 3, 0.2)]
