@@ -1,61 +1,77 @@
 """Fold-parallel fitting of small meta-models.
 
 Problem q in 0..K-1 is "fit on the rows with fold != q", problem K is "fit
-on all rows". One grouped aggregate (by the row's fold g) yields, for every
-problem, per-fold partial sums of the sufficient statistics; the statistic
-of problem q is the sum over g != q (no subtraction). The driver only ever
-holds K x (M^2) numbers and solves M-sized systems.
+on all rows". A pass reads the rows once: every task adds up the statistics
+of all problems over its Arrow batches as matrix products in one array, and
+the arrays of the tasks are added in a few merging tasks. What a pass plans
+is two columns however many members there are, and what it shuffles is one
+array per task. The driver holds the sum, K x (M^2) numbers, and solves
+M-sized systems.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.functions.scalar import BLEND_EPS, clip
-from foldwise.session import materialize, with_scalars
-
-
-def fold_aggs(n_folds: int, exprs: Callable[[int], Sequence[Column]]) -> tuple[list[Column], int]:
-    """The aggregate columns of ``fold_sums`` (build once, reuse across passes)."""
-    aggs, width = [], 0
-    for q in range(n_folds + 1):
-        es = list(exprs(q))
-        width = len(es)
-        aggs += [F.sum(e).alias(f"_q{q}_{i}") for i, e in enumerate(es)]
-    return aggs, width
-
-
-def fold_sums(df: DataFrame, fold_col: str, n_folds: int,
-              exprs: Callable[[int], Sequence[Column]] | None = None,
-              prepared: tuple[list[Column], int] | None = None) -> np.ndarray:
-    """Array (K+1, E): sums of ``exprs(q)`` over the training rows of problem q."""
-    aggs, width = prepared if prepared is not None else fold_aggs(n_folds, exprs)
-    rows = df.groupBy(fold_col).agg(*aggs).collect()  # at most K rows
-    A = np.zeros((n_folds, n_folds + 1, width))
-    for r in rows:
-        g = int(r[fold_col])
-        for q in range(n_folds + 1):
-            A[g, q] = [float(r[f"_q{q}_{i}"] or 0.0) for i in range(width)]
-    out = np.zeros((n_folds + 1, width))
-    for q in range(n_folds):
-        out[q] = A[[g for g in range(n_folds) if g != q], q].sum(axis=0)
-    out[n_folds] = A[:, n_folds].sum(axis=0)
-    return out
+from foldwise.functions.scalar import BLEND_EPS
+from foldwise.session import materialize
 
+MERGE_TASKS = 16    # tasks that add up the arrays of more tasks than ``DIRECT``
+DIRECT = 64         # so many arrays are added on the driver
 
-def _tri(M: int):
-    return [(i, j) for i in range(M) for j in range(i, M)]
 
+def block_sums(df: DataFrame, cols: Sequence[str], kernel: Callable[[np.ndarray], np.ndarray], width: int,
+               vector: str | None = None, partitions: int | None = None) -> np.ndarray:
+    """Sum of ``kernel`` over blocks of rows: an array of ``width`` numbers.
 
-def _sym(v, M):
-    H = np.zeros((M, M))
-    for (i, j), x in zip(_tri(M), v):
-        H[i, j] = H[j, i] = x
-    return H
+    ``kernel`` gets a block as a float matrix, one column per name in ``cols`` and then those of
+    the array column ``vector``. A null or NaN is an error: a fit would leave the row out silently.
+    """
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)],
+                     *([F.col(vector).cast("array<double>").alias("v")] if vector else []))
+    if partitions is None:
+        partitions = rows.rdd.getNumPartitions()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1)
+        for batch in batches:
+            n = batch.num_rows
+            x = [batch.column(i).to_numpy(zero_copy_only=False).reshape(n, 1) for i in range(len(cols))]
+            if vector:
+                if batch.column(len(cols)).null_count:
+                    total[width] += batch.column(len(cols)).null_count
+                    continue
+                x.append(batch.column(len(cols)).flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0)))
+            x = np.concatenate(x, axis=1)
+            bad = np.isnan(x).any(axis=1)
+            total[width] += bad.sum()
+            if n and not bad.any():
+                total[:width] += kernel(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width + 1)
+        for batch in batches:
+            total += batch.column(0).flatten().to_numpy().reshape(-1, width + 1).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+    sums = rows.mapInArrow(partial, "s array<double>")
+    if partitions > DIRECT:
+        sums = sums.repartition(MERGE_TASKS).mapInArrow(merge, "s array<double>")
+    total = np.array([r.s for r in sums.collect()]).reshape(-1, width + 1).sum(axis=0)
+    if total[width]:
+        raise ValueError(f"{int(total[width])} rows have a null or NaN prediction or target")
+    return total[:width]
+
+
+def _chosen(fold: np.ndarray, n_folds: int) -> np.ndarray:
+    """(rows, K+1): 1 where the row trains the problem."""
+    return np.concatenate([fold[:, None] != np.arange(n_folds), np.ones((len(fold), 1), dtype=bool)], axis=1).astype(np.float64)
 
 
 # ------------------------------------------------------------------ simplex QP
@@ -120,26 +136,26 @@ def kkt_residual(w: np.ndarray, grad: np.ndarray) -> float:
 
 
 # ------------------------------------------------------------------ moments (OLS, MSE blend)
-def moment_exprs(xs: Sequence[str], y: str):
-    M = len(xs)
+def fold_moments(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_folds: int) -> np.ndarray:
+    """(K+1, M+2, M+2): cross products of (1, target, members) over the rows of each problem,
+    added up over the other folds (no subtraction)."""
+    size = len(xs) + 2
 
-    def f(q):
-        cols = [F.lit(1.0), F.col(y).cast("double")]
-        cols += [F.col(x) for x in xs]
-        cols += [F.col(x) * F.col(y) for x in xs]
-        cols += [F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
-        cols += [F.col(y).cast("double") * F.col(y)]
-        return cols
-    return f
+    def kernel(x: np.ndarray) -> np.ndarray:
+        out = np.zeros((n_folds, size, size))
+        for g in np.unique(x[:, 0]).astype(int):
+            a = x[x[:, 0] == g].copy()
+            a[:, 0] = 1.0
+            out[g] += a.T @ a
+        return out.ravel()
+
+    by_fold = block_sums(df, [fold_col, y, *xs], kernel, n_folds * size * size).reshape(n_folds, size, size)
+    return np.array([by_fold[[g for g in range(n_folds) if g != q]].sum(axis=0) for q in range(n_folds + 1)])
 
 
 def unpack_moments(v: np.ndarray, M: int):
-    n, sy = v[0], v[1]
-    sx = v[2:2 + M]
-    sxy = v[2 + M:2 + 2 * M]
-    G = _sym(v[2 + 2 * M:2 + 2 * M + M * (M + 1) // 2], M)
-    syy = v[-1]
-    return n, sy, sx, sxy, G, syy
+    """(n, sum y, sums x, sums xy, sums xx, sum yy) of one problem."""
+    return v[0, 0], v[0, 1], v[0, 2:], v[1, 2:], v[2:, 2:], v[1, 1]
 
 
 def ols_fit(v: np.ndarray, M: int) -> np.ndarray:
@@ -163,24 +179,6 @@ class NotConverged(RuntimeError):
 
 
 # ------------------------------------------------------------------ iterative fits
-def _with_weights(df: DataFrame, W: np.ndarray, prefix: str = "_w") -> DataFrame:
-    """Attach the current weights as columns of a one-row table.
-
-    As columns (not literals) the generated code of the pass is the same
-    every iteration, so Spark's code cache is hit instead of recompiling.
-    """
-    names = [f"{prefix}_{q}_{j}" for q in range(W.shape[0]) for j in range(W.shape[1])]
-    row = df.sparkSession.createDataFrame([tuple(float(x) for x in W.flatten())], ", ".join(f"{n} double" for n in names))
-    return with_scalars(df, row)
-
-
-def _col_expr(xs: Sequence[str], q: int, prefix: str = "_w", intercept: bool = False) -> Column:
-    e = F.col(f"{prefix}_{q}_0") if intercept else F.lit(0.0)
-    for j, x in enumerate(xs):
-        e = e + F.col(f"{prefix}_{q}_{j + (1 if intercept else 0)}") * F.col(x)
-    return e
-
-
 def linear_expr(xs: Sequence[str], w: np.ndarray, intercept: float = 0.0) -> Column:
     e = F.lit(float(intercept))
     for x, c in zip(xs, w):
@@ -188,6 +186,12 @@ def linear_expr(xs: Sequence[str], w: np.ndarray, intercept: float = 0.0) -> Col
     return e
 
 
+def _stored(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, int]:
+    """The columns that every pass reads, computed once, and their number of partitions."""
+    df = materialize(df.select(*cols))
+    return df, df.rdd.getNumPartitions()
+
+
 def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col: str, n_folds: int,
                        kind: str = "binary", max_passes: int = 40, tol: float = 1e-9, accept_tol: float = 1e-6):
     """Simplex-constrained minimum of mean log loss of clip(x.w) for all K+1 problems.
@@ -195,47 +199,40 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
     kind='binary': p = clip(x.w, 1e-7, 1-1e-7), y in {0,1}.
     kind='true_class': x are the members' probabilities of the true class,
     p = clip(x.w, 1e-7, 1) (multiclass blend with one weight per member).
-    Projected Newton with backtracking; every pass is one aggregate for all
-    problems. Returns (weights (K+1, M), losses, passes).
+    Projected Newton with backtracking; every pass reads the rows once for all
+    problems. Returns (weights (K+1, M), losses, gradients, passes).
     """
     M, Q = len(xs), n_folds + 1
-    df = materialize(df.select(fold_col, *xs, *([y] if y else [])))  # every Newton pass reads it
+    binary = kind == "binary"
+    cols = [fold_col, *([y] if binary else []), *xs]
+    df, parts = _stored(df, cols)
     W = np.full((Q, M), 1.0 / M)
-    hi = 1 - BLEND_EPS if kind == "binary" else 1.0
-
-    # each problem's blend is one projected column; the aggregates only reference it. The
-    # weights are columns of a one-row table, so projection and aggregates are built once.
-    proj = []
-    for q in range(Q):
-        raw = _col_expr(xs, q)
-        proj += [clip(raw, BLEND_EPS, hi).alias(f"_p{q}"), ((raw > BLEND_EPS) & (raw < hi)).cast("double").alias(f"_in{q}")]
-
-    def f(q):
-        p = F.col(f"_p{q}")
-        inside = F.col(f"_in{q}")
-        if kind == "binary":
-            yy = F.col(y).cast("double")
-            loss = -(yy * F.ln(p) + (1 - yy) * F.ln(1 - p))
-            d1 = -(yy / p - (1 - yy) / (1 - p)) * inside
-            d2 = (yy / (p * p) + (1 - yy) / ((1 - p) * (1 - p))) * inside
-        else:
-            loss = -F.ln(p)
-            d1 = -(F.lit(1.0) / p) * inside
-            d2 = (F.lit(1.0) / (p * p)) * inside
-        cols = [F.lit(1.0), loss] + [d1 * F.col(x) for x in xs]
-        cols += [d2 * F.col(xs[i]) * F.col(xs[j]) for i, j in _tri(M)]
-        return cols
-    prepared = fold_aggs(n_folds, f)
-    keep = [fold_col, *xs, *([y] if y else [])]
+    hi = 1 - BLEND_EPS if binary else 1.0
+    width = 2 + M + M * M
 
     def stats(Wc):
-        cur = _with_weights(df, Wc).select(*keep, *proj)
-        S = fold_sums(cur, fold_col, n_folds, prepared=prepared)
+        def kernel(x: np.ndarray) -> np.ndarray:
+            use, m = _chosen(x[:, 0], n_folds), x[:, 2:] if binary else x[:, 1:]
+            raw = m @ Wc.T
+            p = np.clip(raw, BLEND_EPS, hi)
+            inside = (raw > BLEND_EPS) & (raw < hi)
+            if binary:
+                t = x[:, 1:2]
+                loss = -(t * np.log(p) + (1 - t) * np.log1p(-p))
+                d1 = -(t / p - (1 - t) / (1 - p)) * inside
+                d2 = (t / (p * p) + (1 - t) / ((1 - p) * (1 - p))) * inside
+            else:
+                loss, d1, d2 = -np.log(p), -inside / p, inside / (p * p)
+            out = np.zeros((Q, width))
+            out[:, 0], out[:, 1] = use.sum(axis=0), (use * loss).sum(axis=0)
+            out[:, 2:2 + M] = (use * d1).T @ m
+            for q in range(Q):
+                out[q, 2 + M:] = ((m * (use * d2)[:, q:q + 1]).T @ m).ravel()
+            return out.ravel()
+
+        S = block_sums(df, cols, kernel, Q * width, partitions=parts).reshape(Q, width)
         n = np.where(S[:, 0] > 0, S[:, 0], 1.0)  # an empty problem stays at its start
-        loss = S[:, 1] / n
-        grad = S[:, 2:2 + M] / n[:, None]
-        hess = np.array([_sym(S[q, 2 + M:], M) / n[q] for q in range(Q)])
-        return loss, grad, hess
+        return S[:, 1] / n, S[:, 2:2 + M] / n[:, None], S[:, 2 + M:].reshape(Q, M, M) / n[:, None, None]
 
     loss, grad, hess = stats(W)
     passes = 1
@@ -273,65 +270,180 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
     return W, loss, grad, passes
 
 
-def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_folds: int, C: float = 1.0,
-                 max_passes: int = 30, tol: float = 1e-10, accept_tol: float = 1e-6):
-    """L2 logistic regression (penalty 0.5||w||^2 + C * sum logloss, intercept free)
-    for all K+1 problems by damped Newton; one aggregate per pass.
-    Returns (coef (K+1, M+1) with intercept first, passes)."""
-    M, Q = len(xs), n_folds + 1
-    df = materialize(df.select(fold_col, y, *xs))  # every Newton pass reads it
-    B = np.zeros((Q, M + 1))
-
-    zproj = [_col_expr(xs, q, intercept=True).alias(f"_z{q}") for q in range(Q)]
-    pproj = [(F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col(f"_z{q}")))).alias(f"_p{q}") for q in range(Q)]
-
-    def f(q):
-        z = F.col(f"_z{q}")
-        p = F.col(f"_p{q}")
-        yy = F.col(y).cast("double")
-        # stable log loss: log(1+e^z) - y z
-        ll = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - yy * z
-        r = p - yy
-        wgt = p * (1 - p)
-        feats = [F.lit(1.0)] + [F.col(x) for x in xs]
-        cols = [ll] + [r * x for x in feats]
-        cols += [wgt * feats[i] * feats[j] for i, j in _tri(M + 1)]
-        return cols
-    prepared = fold_aggs(n_folds, f)
-
-    def stats(Bc):
-        cur = _with_weights(df, Bc).select(fold_col, y, *xs, *zproj).select("*", *pproj)
-        S = fold_sums(cur, fold_col, n_folds, prepared=prepared)
-        reg = np.ones(M + 1)
-        reg[0] = 0.0
-        obj = C * S[:, 0] + 0.5 * np.sum(reg * Bc * Bc, axis=1)
-        grad = C * S[:, 1:2 + M] + reg * Bc
-        hess = np.array([C * _sym(S[q, 2 + M:], M + 1) + np.diag(reg) for q in range(Q)])
-        return obj, grad, hess
-
-    obj, grad, hess = stats(B)
-    passes = 1
-    while passes < max_passes:
-        if np.max(np.abs(grad)) < tol:
-            break
-        D = np.array([-np.linalg.solve(hess[q] + 1e-12 * np.eye(M + 1), grad[q]) for q in range(Q)])
-        step = np.ones(Q)
+def _descend(stats, B: np.ndarray, direction, max_passes: int, tol: float, accept_tol: float, what: str):
+    """Minimise all problems side by side: ``stats(B)`` is (objectives, gradients, ...) of one pass,
+    ``direction(B, state, old)`` the next steps. Steps are halved until each objective falls enough."""
+    state, passes, old = stats(B), 1, None
+    while passes < max_passes and np.max(np.abs(state[1])) >= tol:
+        D = direction(B, state, old)
+        step = np.ones(len(B))
         while True:
             cand = B + step[:, None] * D
-            c_obj, c_grad, c_hess = stats(cand)
+            new = stats(cand)
             passes += 1
-            ok = c_obj <= obj + 1e-4 * step * np.einsum("qm,qm->q", grad, D) + 1e-12 * np.abs(obj)
+            ok = new[0] <= state[0] + 1e-4 * step * np.einsum("qm,qm->q", state[1], D) + 1e-12 * np.abs(state[0])
             if ok.all() or passes >= max_passes:
                 break
             step = np.where(ok, step, step / 2)
-        B[ok] = cand[ok]
-        obj[ok], grad[ok], hess[ok] = c_obj[ok], c_grad[ok], c_hess[ok]
+        old = (B.copy(), state[1].copy())
+        B = np.where(ok[:, None], cand, B)
+        state = tuple(np.where(ok.reshape(-1, *[1] * (n.ndim - 1)), n, s) for n, s in zip(new, state))
         if np.max(np.abs(D * step[:, None])) < 1e-13:
             break
-    scale = np.maximum(1.0, np.abs(obj))
-    if np.max(np.abs(grad) / scale[:, None]) > accept_tol:
-        raise NotConverged(f"logistic fit: relative gradient {np.max(np.abs(grad) / scale[:, None]):.2e} after {passes} passes")
-    return B, grad, passes
+    worst = np.max(np.abs(state[1]) / np.maximum(1.0, np.abs(state[0]))[:, None])
+    if worst > accept_tol:
+        raise NotConverged(f"{what}: relative gradient {worst:.2e} after {passes} passes")
+    return B, state, passes
+
+
+def logistic_fit(df: DataFrame, xs: Sequence[str], y: str, fold_col: str, n_folds: int, C: float = 1.0,
+                 max_passes: int = 30, tol: float = 1e-10, accept_tol: float = 1e-6):
+    """L2 logistic regression (penalty 0.5||w||^2 + C * sum logloss, intercept free)
+    for all K+1 problems by damped Newton; the rows are read once per pass.
+    Returns (coef (K+1, M+1) with intercept first, gradients, passes)."""
+    M, Q = len(xs), n_folds + 1
+    cols = [fold_col, y, *xs]
+    df, parts = _stored(df, cols)
+    d = M + 1
+    width = 1 + d + d * d
+    reg = np.ones(d)
+    reg[0] = 0.0
+
+    def stats(Bc):
+        def kernel(x: np.ndarray) -> np.ndarray:
+            use, t = _chosen(x[:, 0], n_folds), x[:, 1:2]
+            f = np.concatenate([np.ones((len(x), 1)), x[:, 2:]], axis=1)
+            z = f @ Bc.T
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -700, 700)))
+            out = np.zeros((Q, width))
+            out[:, 0] = (use * (np.logaddexp(0.0, z) - t * z)).sum(axis=0)
+            out[:, 1:1 + d] = (use * (p - t)).T @ f
+            w = use * p * (1 - p)
+            for q in range(Q):
+                out[q, 1 + d:] = ((f * w[:, q:q + 1]).T @ f).ravel()
+            return out.ravel()
+
+        S = block_sums(df, cols, kernel, Q * width, partitions=parts).reshape(Q, width)
+        return (C * S[:, 0] + 0.5 * np.sum(reg * Bc * Bc, axis=1), C * S[:, 1:1 + d] + reg * Bc,
+                C * S[:, 1 + d:].reshape(Q, d, d) + np.diag(reg))
+
+    def newton(B, state, _):
+        return np.array([-np.linalg.solve(h + 1e-12 * np.eye(d), g) for g, h in zip(state[1], state[2])])
+
+    B, state, passes = _descend(stats, np.zeros((Q, d)), newton, max_passes, tol, accept_tol, "logistic fit")
+    return B, state[1], passes
+
+
+# ------------------------------------------------------------------ multinomial
+NEWTON_MOST = 400   # weights of a problem up to which the full Hessian is added up
+MEMORY = 10         # remembered steps beyond
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=-1, keepdims=True))
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+class Remembered:
+    """Limited-memory quasi-Newton steps of problems side by side."""
+
+    def __init__(self, memory: int = MEMORY):
+        self.memory, self.pairs = memory, []
+
+    def __call__(self, B: np.ndarray, state, old) -> np.ndarray:
+        g = state[1]
+        if old is not None:
+            s, y = B - old[0], g - old[1]
+            sy = np.einsum("qm,qm->q", s, y)
+            self.pairs = [*self.pairs, (s, y, np.where(sy > 1e-300, sy, np.inf))][-self.memory:]  # a useless pair weighs nothing
+        r, kept = g.copy(), []
+        for s, y, sy in reversed(self.pairs):
+            a = np.einsum("qm,qm->q", s, r) / sy
+            kept.append(a)
+            r -= a[:, None] * y
+        if self.pairs:
+            s, y, sy = self.pairs[-1]
+            yy = np.einsum("qm,qm->q", y, y)
+            r *= np.where(np.isfinite(sy) & (yy > 0), sy / np.where(yy > 0, yy, 1.0), 1.0)[:, None]
+        else:
+            r /= np.maximum(1.0, np.linalg.norm(g, axis=1))[:, None]
+        for (s, y, sy), a in zip(self.pairs, reversed(kept)):
+            r += (a - np.einsum("qm,qm->q", y, r) / sy)[:, None] * s
+        return -r
+
+
+def multinomial_fit(df: DataFrame, features: str, n_features: int, code: str, n_classes: int, fold_col: str, n_folds: int,
+                    C: float = 1.0, max_passes: int = 400, tol: float = 1e-9, accept_tol: float = 1e-6):
+    """L2 multinomial logistic regression (penalty 0.5||w||^2 + C * sum logloss, intercepts free) on the
+    array column ``features`` for all K+1 problems in shared passes: damped Newton while a problem has at
+    most ``NEWTON_MOST`` weights, limited-memory steps beyond. ``NotConverged`` if the passes run out.
+    Returns (coef (K+1, classes, features + 1) with the intercept first, objectives, gradients, passes)."""
+    Q, d = n_folds + 1, n_features + 1
+    size = n_classes * d
+    df, parts = _stored(df, [fold_col, code, features])
+    full = size <= NEWTON_MOST
+    width = 1 + size + (size * size if full else 0)
+    reg = np.ones((n_classes, d))
+    reg[:, 0] = 0.0
+    reg = reg.ravel()
+
+    def stats(flat):
+        B = flat.reshape(Q, n_classes, d)
+
+        def kernel(x: np.ndarray) -> np.ndarray:
+            use, t = _chosen(x[:, 0], n_folds), x[:, 1].astype(int)
+            f = np.concatenate([np.ones((len(x), 1)), x[:, 2:]], axis=1)
+            out = np.zeros((Q, width))
+            hit = np.eye(n_classes)[t]
+            for q in range(Q):
+                z = f @ B[q].T
+                p = _softmax(z)
+                top = z.max(axis=1)
+                out[q, 0] = (use[:, q] * (top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(t)), t])).sum()
+                out[q, 1:1 + size] = (((p - hit) * use[:, q:q + 1]).T @ f).ravel()
+                if full:
+                    h = out[q, 1 + size:].reshape(n_classes, d, n_classes, d)
+                    for k in range(n_classes):
+                        for m in range(k, n_classes):
+                            w = use[:, q] * p[:, k] * ((k == m) - p[:, m])
+                            h[k, :, m, :] = h[m, :, k, :] = (f * w[:, None]).T @ f
+            return out.ravel()
+
+        S = block_sums(df, [fold_col, code], kernel, Q * width, vector=features, partitions=parts).reshape(Q, width)
+        state = (C * S[:, 0] + 0.5 * np.sum(reg * flat * flat, axis=1), C * S[:, 1:1 + size] + reg * flat)
+        return (*state, C * S[:, 1 + size:].reshape(Q, size, size) + np.diag(reg)) if full else state
+
+    shift = np.zeros((n_classes, d))
+    shift[:, 0] = 1.0  # all intercepts together change nothing
+
+    def newton(B, state, _):
+        s = shift.ravel()
+        return np.array([-np.linalg.solve(h + np.outer(s, s) + 1e-12 * np.eye(size), g) for g, h in zip(state[1], state[2])])
+
+    B, state, passes = _descend(stats, np.zeros((Q, size)), newton if full else Remembered(), max_passes, tol if full else accept_tol / 10,
+                                accept_tol, "multinomial fit")
+    return B.reshape(Q, n_classes, d), state[0], state[1], passes
+
+
+def multinomial_predict(df: DataFrame, coef: np.ndarray, features: str, keep: Sequence[str], problem: str | int, out: str = "probs") -> DataFrame:
+    """``keep`` columns and class probabilities by the weights of a problem, or of that in column ``problem``."""
+    by_row = isinstance(problem, str)
+    schema = df.select(*keep, F.lit(None).cast("array<double>").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = batch.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(n, coef.shape[2] - 1)
+            q = batch.column(len(keep) + 1).to_numpy() if by_row else np.full(n, problem)
+            p = np.zeros((n, coef.shape[1]))
+            for k in np.unique(q):
+                rows = q == k
+                p[rows] = _softmax(x[rows] @ coef[k, :, 1:].T + coef[k, :, 0])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.array(list(p), pa.list_(pa.float64()))],
+                                             names=[*keep, out])
+
+    chosen = [F.col(problem).cast("int").alias("_problem")] if by_row else []
+    return df.select(*keep, F.col(features).cast("array<double>").alias("_features"), *chosen).mapInArrow(run, schema)
 
 
 def per_fold_expr(fold_col: str, n_folds: int, make: Callable[[int], Column]) -> Column:

@@ -20,6 +20,7 @@ from foldwise.operators import blend as BL
 from foldwise.operators import metrics as MT
 from foldwise.operators import solvers as SV
 from foldwise.operators.members import member_matrix
+from foldwise.session import materialize
 from foldwise.spec import greater_is_better
 
 METAS = {
@@ -64,7 +65,7 @@ def meta_binary_or_regression(name: str, oof_long: DataFrame, test_long: DataFra
         if name == "linear":
             if problem_type != "regression":
                 raise ValueError("linear meta is for regression tasks")
-            S = SV.fold_sums(X, "fold", n_folds, SV.moment_exprs(members, "y"))
+            S = SV.fold_moments(X, members, "y", "fold", n_folds)
             B = np.array([SV.ols_fit(S[q], M) for q in range(n_folds + 1)])
             pred = SV.per_fold_expr("fold", n_folds, lambda q: SV.linear_expr(members, B[q][1:], B[q][0]))
             tpred = SV.linear_expr(members, B[n_folds][1:], B[n_folds][0])
@@ -87,7 +88,7 @@ def meta_binary_or_regression(name: str, oof_long: DataFrame, test_long: DataFra
             detail = {"coef": B, "grad": grad, "passes": passes}
         elif name == "nnls":
             if problem_type == "regression":
-                S = SV.fold_sums(X, "fold", n_folds, SV.moment_exprs(members, "y"))
+                S = SV.fold_moments(X, members, "y", "fold", n_folds)
                 W = np.array([SV.mse_simplex_fit(S[q], M) for q in range(n_folds + 1)])
                 detail = {"weights": W}
             else:
@@ -139,46 +140,19 @@ def meta_multiclass(name: str, oof_long: DataFrame, test_long: DataFrame, train:
 
 
 def _multinomial(oof_long, test_long, train, members, n_folds, K):
-    """L2 multinomial logistic (C=1) on the M*K raw probabilities, one Spark ML fit per problem."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """L2 multinomial logistic (C=1) on the M*K raw probabilities, all folds in shared passes."""
 
     def wide(long):
         parts = [F.first(F.when(F.col("member") == m, F.col("probs")), ignorenulls=True).alias(f"_a{i}")
                  for i, m in enumerate(members)]
         w = long.groupBy("id").agg(*parts)
-        return w.select("id", array_to_vector(F.concat(*[f"_a{i}" for i in range(len(members))])).alias("features"))
+        return w.select("id", F.concat(*[f"_a{i}" for i in range(len(members))]).alias("features"))
 
-    X = wide(oof_long).join(train.select("id", "fold", "code"), "id").persist(StorageLevel.MEMORY_AND_DISK)
-    Xt = wide(test_long)
-    n_q = {r["fold"]: r["count"] for r in X.groupBy("fold").count().collect()}
-    n_all = sum(n_q.values())
-    preds, models = [], []
-    try:
-        for q in range(n_folds + 1):
-            tr = X if q == n_folds else X.where(F.col("fold") != q)
-            n_tr = n_all if q == n_folds else n_all - n_q.get(q, 0)
-            lr = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial",
-                                    regParam=1.0 / n_tr, elasticNetParam=0.0, standardization=False,
-                                    maxIter=100, tol=1e-7)
-            model = lr.fit(tr.withColumn("_label", F.col("code").cast("double")))
-            models.append(model)
-            if q < n_folds:
-                preds.append(model.transform(X.where(F.col("fold") == q)))
-        oof_df = preds[0]
-        for p in preds[1:]:
-            oof_df = oof_df.unionByName(p)
-
-        def pad(df):
-            arr = vector_to_array("probability")
-            return F.array(*[F.coalesce(F.get(arr, F.lit(k)), F.lit(0.0)) for k in range(K)])
-        oof = oof_df.select("id", "fold", "code", pad(oof_df).alias("probs")).persist(StorageLevel.MEMORY_AND_DISK)
-        oof.count()
-        test = models[n_folds].transform(Xt)
-        test = test.select("id", pad(test).alias("probs"))
-    finally:
-        X.unpersist()
-    return oof, test, {"n_models": len(models)}
+    X = materialize(wide(oof_long).join(train.select("id", "fold", "code"), "id"))
+    B, obj, grad, passes = SV.multinomial_fit(X, "features", len(members) * K, "code", K, "fold", n_folds)
+    oof = SV.multinomial_predict(X, B, "features", ["id", "fold", "code"], "fold")
+    test = SV.multinomial_predict(wide(test_long), B, "features", ["id"], n_folds)
+    return oof, test, {"coef": B, "objective": obj, "grad": grad, "passes": passes}
 
 
 def score_oof(oof: DataFrame, metric: str, problem_type: str) -> float:
