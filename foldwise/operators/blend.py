@@ -12,8 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.rank import prefix_sums, quantile_bucket
-from foldwise.session import materialize
+from foldwise.operators.scan import average_ranks
 
 
 def blend_equal(members: DataFrame, id_col: str = "id", p: str = "p", out: str = "p") -> DataFrame:
@@ -22,17 +21,8 @@ def blend_equal(members: DataFrame, id_col: str = "id", p: str = "p", out: str =
 
 
 def average_rank(df: DataFrame, set_keys: Sequence[str], p: str = "p", out: str = "rank") -> DataFrame:
-    """Average rank (ties share the mean rank, 1-based) of ``p`` inside each set.
-
-    Ties are combined first, then the exclusive count of smaller values
-    comes from the two-level prefix sum over value-quantile buckets.
-    """
-    K = list(set_keys)
-    g = materialize(df.groupBy(*K, p).agg(F.count(F.lit(1)).alias("_cnt")))  # read by edges, totals and window
-    g = quantile_bucket(g, p, K)
-    g = prefix_sums(g, ["_cnt"], bucket=["_qb"], order=[p], partition_by=K)
-    g = g.select(*K, p, (F.col("before__cnt") + (F.col("_cnt") + 1) / 2.0).alias(out))
-    return df.join(g, [*K, p])
+    """Average rank (ties share the mean rank, 1-based) of ``p`` inside each set, by one ordered scan."""
+    return average_ranks(df, set_keys, p, out)
 
 
 def rank_mean(members: DataFrame, set_keys: Sequence[str], id_col: str = "id", member_col: str = "member",

@@ -2,10 +2,8 @@
 
 All take a long table with the grouping ``keys``, a target and a
 prediction, and return one row per key combination. AUC is exact (ties
-count one half): predictions are first combined per distinct value
-(map-side, so a hot value costs nothing), then the exclusive running count
-of negatives comes from the two-level prefix sum over value-quantile
-buckets instead of one window per fold.
+count one half): predictions are exchanged once by value ranges, scanned in
+order, and the counts of negatives carried over the tasks' boundaries.
 """
 
 from __future__ import annotations
@@ -16,29 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.scalar import LOGLOSS_EPS, argmax_code, clip, hard_label
-from foldwise.operators.rank import prefix_sums, quantile_bucket
-from foldwise.session import materialize
+from foldwise.operators.scan import pair_statistic
 
 DIRECTIONS = {"auc": True, "logloss": False, "rmse": False, "mae": False, "accuracy": True,
               "balanced_accuracy": True}
 
 
 def auc(df: DataFrame, keys: Sequence[str] = (), y: str = "y", p: str = "p", out: str = "auc",
-        n_buckets: int | None = None) -> DataFrame:
-    """Area under the ROC curve per key; NULL when a group has one class."""
+        degenerate: str | None = None) -> DataFrame:
+    """Area under the ROC curve per key; NULL when a group has one class. ``degenerate`` names a
+    flag of such groups. Every prediction is exchanged once (see operators.scan)."""
     K = list(keys)
-    g = df.groupBy(*K, p).agg(
-        F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg")
-    )
-    g = materialize(g)  # read by the quantile pass, the bucket totals and the window
-    g = quantile_bucket(g, p, K, n_buckets=n_buckets)
-    g = prefix_sums(g, ["_neg"], bucket=["_qb"], order=[p], partition_by=K)
-    res = g.groupBy(*K).agg(
-        F.sum(F.col("_pos").cast("double") * (F.col("before__neg") + F.col("_neg") / 2.0)).alias("_num"),
-        F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
-    )
-    val = F.when((F.col("_P") > 0) & (F.col("_N") > 0), F.col("_num") / (F.col("_P").cast("double") * F.col("_N")))
-    return res.select(*K, val.alias(out))
+    spread = [c for c in ("id",) if c in df.columns]  # equal predictions differ by their key
+    rows = df.select(*dict.fromkeys([*K, p, *spread]), F.col(y).cast("long").alias("_pos"), (1 - F.col(y)).cast("long").alias("_neg"))
+    res = pair_statistic(rows, K, p, low="_neg", high="_pos", spread_by=[*spread, "_pos"] if spread else ())
+    one_class = (F.col("n_low") == 0) | (F.col("n_high") == 0)
+    val = F.when(~one_class, F.col("pairs") / (F.col("n_high") * F.col("n_low")))
+    return res.select(*K, val.alias(out), *([one_class.alias(degenerate)] if degenerate else []))
 
 
 def _binary_logloss(y: Column, p: Column) -> Column:

@@ -5,8 +5,9 @@ rows) moves that whole set through one task. Instead every operator here
 splits the ordered set into *buckets* that are consistent with the order
 (a hash prefix, or approximate quantile edges of a value), computes
 per-bucket totals (a table of bounded size per partition), turns
-them into offsets with a window over that small table, and finishes with a
-window partitioned by (key, bucket). The result equals the global window.
+them into offsets, level by level of the bucket columns, with windows over
+that small table, and finishes with a window partitioned by (key, bucket).
+The result equals the global window.
 """
 
 from __future__ import annotations
@@ -53,6 +54,33 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
+def _offsets(totals: DataFrame, weights: Sequence[str], bucket: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
+    """(partition, bucket, ``_off_<w>``): what comes before each bucket, level by level.
+
+    The bucket columns are the levels of a tree: a window orders the children of one node only, so
+    it sees the classes of a partition, or the hash prefixes of a class, never their product.
+    """
+    P, B = list(partition_by), list(bucket)
+    names = {w: [f"_off{i}_{w}" for i in range(len(B))] for w in weights}
+    out = totals
+    for i in range(len(B) - 1, -1, -1):
+        path = P + B[:i + 1]
+        level = totals if i == len(B) - 1 else totals.groupBy(*path).agg(*[F.sum(w).alias(w) for w in weights])
+        before = Window.partitionBy(*P, *B[:i]).orderBy(F.col(B[i]).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        level = level.select(*path, *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(names[w][i]) for w in weights])
+        out = level if i == len(B) - 1 else _join_null_safe(out, level, path)
+    return out.select(*P, *B, *[sum((F.col(c) for c in names[w]), F.lit(0)).alias(f"_off_{w}") for w in weights])
+
+
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which null keys meet; the keys stay once."""
+    if not keys:
+        return with_scalars(left, right)
+    right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = [left[k].eqNullSafe(right[f"_r_{k}"]) for k in keys]
+    return left.join(right, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+
+
 def global_row_number(
     df: DataFrame,
     bucket: Sequence[str],
@@ -62,24 +90,18 @@ def global_row_number(
 ) -> DataFrame:
     """``row_number() over (partition by P order by bucket..., order...)``.
 
-    ``bucket`` are existing columns (ascending) that coarsen the order, e.g. a
-    hash prefix of the hash in ``order``; within a partition there must be a
-    bounded number of them, as the offsets are one window per partition.
+    ``bucket`` are existing columns (ascending) that coarsen the order, e.g. a class and then a
+    hash prefix of the hash in ``order``; each level must have a bounded number of values
+    within the one above, as their offsets are one window per node.
     """
     P, B = list(partition_by), list(bucket)
     counts = df.groupBy(*P, *B).agg(F.count(F.lit(1)).alias("_bucket_n"))
-    w_off = Window.partitionBy(*P).orderBy(*[F.col(b).asc_nulls_first() for b in B]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = counts.select(*P, *B, F.coalesce(F.sum("_bucket_n").over(w_off), F.lit(0)).alias("_bucket_off"))
-    joined = df.join(offsets, on=P + B, how="inner")
+    joined = _join_null_safe(df, _offsets(counts, ["_bucket_n"], B, P), P + B)
     # distribute on (partition, bucket) first: order expressions (e.g. a hash) are then
     # evaluated after the exchange instead of being shuffled with every row
     joined = joined.repartition(*[F.col(c) for c in P + B])
     w_in = Window.partitionBy(*P, *B).orderBy(*_cols(order))
-    return joined.withColumn(out, (F.row_number().over(w_in) + F.col("_bucket_off")).cast("long")).drop(
-        "_bucket_off"
-    )
+    return joined.withColumn(out, (F.row_number().over(w_in) + F.col("_off__bucket_n")).cast("long")).drop("_off__bucket_n")
 
 
 def prefix_sums(
@@ -96,19 +118,12 @@ def prefix_sums(
     first); each row gets ``before_<w>`` = sum of w over all earlier rows.
     """
     P, B = list(partition_by), list(bucket)
-    totals = df.groupBy(*P, *B).agg(*[F.sum(w).alias(f"_bt_{w}") for w in weights])
-    w_off = Window.partitionBy(*P).orderBy(*[F.col(b).asc_nulls_first() for b in B]).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *P, *B, *[F.coalesce(F.sum(f"_bt_{w}").over(w_off), F.lit(0)).alias(f"_bo_{w}") for w in weights]
-    )
-    joined = df.join(offsets, on=P + B, how="inner")
+    totals = df.groupBy(*P, *B).agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    out = _join_null_safe(df, _offsets(totals, [f"_t_{w}" for w in weights], B, P), P + B)
     w_in = Window.partitionBy(*P, *B).orderBy(*_cols(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = joined
     for w in weights:
-        out = out.withColumn(f"{prefix}{w}", F.coalesce(F.sum(w).over(w_in), F.lit(0)) + F.col(f"_bo_{w}"))
-    return out.drop(*[f"_bo_{w}" for w in weights])
+        out = out.withColumn(f"{prefix}{w}", F.coalesce(F.sum(w).over(w_in), F.lit(0)) + F.col(f"_off__t_{w}"))
+    return out.drop(*[f"_off__t_{w}" for w in weights])
 
 
 def quantile_bucket(
