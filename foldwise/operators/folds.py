@@ -82,11 +82,20 @@ def group_folds(
     missing = [k for k in group_keys if k not in df.columns]
     if missing:
         raise ValueError(f"group keys missing from the table: {missing}")
-    digits = digits or default_hex_digits(df.sparkSession)
     P, G = list(partition_by), list(group_keys)
     sizes = df.groupBy(*P, *G).agg(F.count(F.lit(1)).alias("_gn"))
+    gf = deal_groups(sizes, "_gn", n_folds, G, partition_by=P, fold_col=fold_col, digits=digits)
+    cond = [df[c] == gf[c] for c in P] + [df[k].eqNullSafe(gf[k]) for k in G]
+    return df.join(gf, cond, "inner").select(df["*"], gf[fold_col])
+
+
+def deal_groups(sizes: DataFrame, size_col: str, n_folds: int, group_keys: Sequence[str], *, partition_by: Sequence[str] = (),
+                fold_col: str = "fold", digits: int | None = None) -> DataFrame:
+    """(partition, group, fold) from a table of one row per group: dealt round-robin by size, then hash, then key."""
+    digits = digits or default_hex_digits(sizes.sparkSession)
+    P, G = list(partition_by), list(group_keys)
     sizes = (
-        sizes.withColumn("_neg_n", -F.col("_gn"))
+        sizes.withColumn("_neg_n", -F.col(size_col))
         .withColumn("_gh", group_hash_key(G))
         .withColumn("_ghb", F.substring("_gh", 1, digits))
     )
@@ -98,9 +107,7 @@ def group_folds(
         sizes, bucket=["_ghb"], order=["_gh", *[F.col(k).asc_nulls_first() for k in G]],
         partition_by=[*P, "_neg_n"], out="_grn",
     ).join(by_size, [*P, "_neg_n"])
-    gf = ranked.select(*P, *G, ((F.col("_larger") + F.col("_grn") - 1) % n_folds).cast("int").alias(fold_col))
-    cond = [df[c] == gf[c] for c in P] + [df[k].eqNullSafe(gf[k]) for k in G]
-    return df.join(gf, cond, "inner").select(df["*"], gf[fold_col])
+    return ranked.select(*P, *G, ((F.col("_larger") + F.col("_grn") - 1) % n_folds).cast("int").alias(fold_col))
 
 
 def assign_folds(train: DataFrame, spec: TaskSpec, n_folds: int | None = None) -> DataFrame:

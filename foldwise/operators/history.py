@@ -17,9 +17,9 @@ so a group holding a third of the rows would stall the job. Instead:
    (chunk, group), which is bounded by the chunk size.
 
 Sums are shifted by a per-group constant (the mean of the group's first
-chunk) so the variance does not cancel for large values. ``lag(n)`` is an
-equi-join of the row at position p with the row at position p - n of the
-same group, distributed by (group, position).
+chunk) so the variance does not cancel for large values. For ``lag(n)`` the
+carry also holds the group's last values before the chunk, as many as the
+longest lag; a row reads its lag inside the chunk's window, or from there.
 """
 
 from __future__ import annotations
@@ -105,6 +105,8 @@ def past_features(
         F.max("_mx").over(w_prev).alias("_c_mx"),
         F.min("_mn").over(w_prev).alias("_c_mn"),
     )
+    if lags:
+        carry = carry.join(_tails(r, keys, seq, id_col, value, max(lags)), ["_chunk", *keys], "left")
     rows = r.join(carry, ["_chunk", *keys], "inner")
     w_in = Window.partitionBy("_chunk", *keys).orderBy(*order)
     w_past = w_in.rowsBetween(Window.unboundedPreceding, -1)
@@ -114,8 +116,11 @@ def past_features(
     S2 = F.col("_c_s2") + F.coalesce(F.sum(dv * dv).over(w_past), F.lit(0.0))
     R = F.col("_c_raw") + F.coalesce(F.sum(raw).over(w_past), zero)
     rows = rows.withColumn("_N", N).withColumn("_S1", S1).withColumn("_S2", S2).withColumn("_R", R.cast("double"))
-    rows = rows.withColumn("_pos", F.col("_c_rows") + F.row_number().over(w_in) - 1)
+    rows = rows.withColumn("_nth", F.row_number().over(w_in)).withColumn("_pos", F.col("_c_rows") + F.col("_nth") - 1)
     feats = {}
+    for L in lags:
+        before = F.get("_tail", F.coalesce(F.size("_tail"), F.lit(0)) - L + F.col("_nth") - 1)
+        feats[f"{pre}_lag{L}"] = F.when(F.col("_nth") > L, F.lag(value, L).over(w_in)).otherwise(before)
     if "mean" in aggs:
         feats[f"{pre}_past_mean"] = F.when(F.col("_N") > 0, F.col("_R") / F.col("_N"))
     if "std" in aggs:
@@ -131,19 +136,25 @@ def past_features(
         feats["cumcount"] = F.col("_pos")
     rows = rows.withColumns(feats) if feats else rows
     base_cols = df.columns
-    rows = rows.select(*base_cols, "_pos", *feats.keys())
-    if lags:  # every lag reads the placed rows once more, not the plan behind them
-        rows = base = materialize(rows)
-    for L in lags:
-        prev = base.select(*[F.col(k).alias(f"_l_{k}") for k in keys], (F.col("_pos") + L).alias("_l_pos"),
-                           F.col(value).alias(f"{pre}_lag{L}"))
-        cond = [rows[k] == prev[f"_l_{k}"] for k in keys] + [rows["_pos"] == prev["_l_pos"]]
-        rows = rows.join(prev, cond, "left").drop(*[f"_l_{k}" for k in keys], "_l_pos")
     rows = rows.select(*base_cols, *out_cols)
     nulls = bad.select(*base_cols, *[F.lit(None).cast("double" if c != "cumcount" else "long").alias(c) for c in out_cols])
     return rows.unionByName(nulls)
 
 
+def _tails(r: DataFrame, keys: list[str], seq: str, id_col: str, value: str, longest: int) -> DataFrame:
+    """(chunk, group, ``_tail``): the group's last ``longest`` values before the chunk, oldest first.
+
+    Each chunk's last rows are found with a row limit per task before they are shuffled. Any
+    ``longest`` earlier chunks of a group hold as many rows, so a window over so many suffices.
+    """
+    back = Window.partitionBy("_chunk", *keys).orderBy(F.col(seq).desc_nulls_first(), F.col(id_col).desc())
+    last = r.select("_chunk", *keys, seq, id_col, F.col(value).alias("_v")).withColumn("_back", F.row_number().over(back))
+    last = last.where(F.col("_back") <= longest)
+    own = last.groupBy("_chunk", *keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("_back")).alias("b"), F.col("_v").alias("v")))).alias("_own"))
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(-longest, -1)
+    return own.withColumn("_tail", F.transform(F.flatten(F.collect_list("_own").over(earlier)), lambda x: x["v"])).drop("_own")
+
+
 def fill_past(df: DataFrame, cols: Sequence[str], default: float = 0.0) -> DataFrame:
     """Default fill and float32 cast of past features."""
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(default)).cast("float") for c in cols})

@@ -47,6 +47,39 @@ def test_reads_do_not_double_with_each_lag(spark):
     assert scans[1] <= scans[0] + 3
 
 
+def test_lags_over_many_small_chunks_need_no_join_of_rows(spark):
+    """Groups over many chunks, chunks shorter than the lag, ties and null order values."""
+    import random
+
+    rnd = random.Random(4)
+    rows = [(i, rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice([None, 1, 2, 3, 5, 8]), rnd.choice([None, float(i)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g long, s long, v double")
+    out = past_features(df, "v", ["g"], "s", aggs=[], lags=[1, 3, 9], cumcount=True, n_chunks=60)
+    got = {r.id: (r.v_lag1, r.v_lag3, r.v_lag9, r.cumcount) for r in out.collect()}
+    for g in (1, 2, 3):
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+        for n, r in enumerate(own):
+            assert got[r[0]] == (*[own[n - L][3] if n >= L else None for L in (1, 3, 9)], n)
+    assert all(got[r[0]] == (None, None, None, None) for r in rows if r[1] is None)
+    joins = [plan(past_features(df, "v", ["g"], "s", aggs=[], lags=lags, n_chunks=20)).count("Join") for lags in ([1], [1, 2, 3, 4])]
+    assert joins[0] == joins[1]
+
+
+def test_nested_encoding_copies_no_rows(spark, monkeypatch):
+    """What is written is one table as long as the train part; copies per outer fold hold keys only."""
+    from foldwise.operators import encode as E
+
+    written = []
+    keep = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df: written.append(keep(df)) or written[-1])
+    rows = [(i, i % 2, i % 5, f"c{i % 9}", "long text " * 20) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, y int, fold int, c string, other string")
+    enc = fit_target_encoding(df, ["c"], 5)
+    assert [w.count() for w in written] == [500, 500] and enc.train.count() == 2000
+    lines = plan(enc.rows).splitlines()
+    assert not any("Generate" in x for x in lines)
+
+
 def test_edges_are_broadcast_or_salted(spark, monkeypatch):
     from foldwise.operators import rank as R
 
