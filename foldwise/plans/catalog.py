@@ -745,7 +745,7 @@ def q_blend_convex_mse(spark, sf):
     oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
     ms = ["r1", "r2", "r3"]
     X = MM.member_matrix(oof_long, ms).join(train, "id")
-    S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
+    S = SV.fold_moments(X, ms, "y", "fold", 5)
     W = np.array([SV.mse_simplex_fit(S[q], 3) for q in range(6)])
     return _weights_df(spark, np.round(W, 4), ms)
 
@@ -755,7 +755,7 @@ def q_blend_linear(spark, sf):
     oof_long, _, train, _ = _reg_stack_inputs(spark, sf)
     ms = ["r1", "r2", "r3"]
     X = MM.member_matrix(oof_long, ms).join(train, "id")
-    S = SV.fold_sums(X, "fold", 5, SV.moment_exprs(ms, "y"))
+    S = SV.fold_moments(X, ms, "y", "fold", 5)
     B = np.array([SV.ols_fit(S[q], 3) for q in range(6)])
     B = np.concatenate([np.round(B[:, :1], 2), np.round(B[:, 1:], 4)], axis=1)  # the target is in the 100,000s
     return _weights_df(spark, B, ["intercept"] + ms, "coef")
@@ -802,13 +802,29 @@ def q_mc_blend_convex(spark, sf):
     return _weights_df(spark, np.round(det["weights"], 3), ["c1", "c2", "c3"])
 
 
-@query("mc_blend_multinomial", f"""WITH {MC_OOF}
-SELECT id, fold, true AS sums_to_one FROM f""")
+# The fit is strictly convex in the weights, so a zero gradient is the optimum.
+@query("mc_blend_multinomial", f"""WITH {MC_OOF}, c AS (SELECT DISTINCT code FROM f),
+x AS (SELECT unnest(range(0, 1 + 3 * (SELECT count(*) FROM c))) AS feature)
+SELECT CAST(p.range AS INTEGER) AS problem, c.code, CAST(x.feature AS INTEGER) AS feature, true AS gradient_is_zero FROM range(6) p, c, x""")
 def q_mc_blend_multinomial(spark, sf):
+    """The gradient of every fold's fit at its weights, added up anew from the predictions of its rows."""
     oof_long, test_long, train, spec, lm = _mc_stack_inputs(spark, sf)
-    oof, test, det = ST.meta_multiclass("multinomial", oof_long, test_long, train, ["c1", "c2", "c3"], 5, lm.n_classes)
-    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
-    return oof.select("id", "fold", (F.abs(total - 1) < 1e-9).alias("sums_to_one"))
+    ms, K = ["c1", "c2", "c3"], lm.n_classes
+    _, _, det = ST.meta_multiclass("multinomial", oof_long, test_long, train, ms, 5, K)
+    X = oof_long.groupBy("id").agg(*[F.first(F.when(F.col("member") == m, F.col("probs")), ignorenulls=True).alias(m) for m in ms])
+    X = X.select("id", F.concat(F.array(F.lit(1.0)), *ms).alias("x")).join(train, "id")
+    X = X.withColumn("problem", F.explode(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda q: q != F.col("fold"))))
+    w = spark.createDataFrame([(q, [[float(v) for v in row] for row in det["coef"][q]]) for q in range(6)], "problem int, w array<array<double>>")
+    dot = lambda row: F.aggregate(F.zip_with(row, "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    e = X.join(F.broadcast(w), "problem").withColumn("e", F.transform("w", lambda row: F.exp(dot(row))))
+    e = e.withColumn("p", F.transform("e", lambda v: v / F.aggregate("e", F.lit(0.0), lambda a, b: a + b)))
+    r = e.select("problem", "x", "w", F.posexplode(F.transform("p", lambda v, k: v - (k == F.col("code")).cast("double"))).alias("code", "r"), "e")
+    g = r.select("problem", "code", F.posexplode(F.transform("x", lambda v: v * F.col("r"))).alias("feature", "g")).groupBy(
+        "problem", "code", "feature").agg(F.sum("g").alias("g"))
+    penalty = w.select("problem", F.posexplode("w").alias("code", "row")).select("problem", "code", F.posexplode("row").alias("feature", "v"))
+    g = g.join(penalty, ["problem", "code", "feature"])
+    zero = F.abs(F.col("g") + F.when(F.col("feature") > 0, F.col("v")).otherwise(0.0)) < 1e-4
+    return g.select("problem", "code", "feature", zero.alias("gradient_is_zero"))
 
 
 def _stack_q(res, greater, mc=False):
@@ -861,13 +877,11 @@ def q_log_table(spark, sf):
 
 
 @query("log_record", f"""WITH {RUNS}
-SELECT exp_id, cv_strategy, cv_mean, cv_std, CAST(len(cv_scores) AS INTEGER) AS k, round(list_sum(cv_scores), 6) AS sum_scores,
-  list_max(best_iters) AS max_iter FROM rec""")
+SELECT exp_id, cv_strategy, cv_mean, cv_std, CAST(len(cv_scores) AS INTEGER) AS k, round(list_sum(cv_scores), 6) AS sum_scores FROM rec""")
 def q_log_record(spark, sf):
-    rec = RU.log_records(EX.run_fold_scores(spark, sf), EX.run_table(spark))
+    rec = RU.log_records(EX.run_fold_scores(spark, sf), EX.run_table(spark), iter_col=None)
     return rec.select("exp_id", "cv_strategy", "cv_mean", "cv_std", F.size("cv_scores").alias("k"),
-                      r6(F.aggregate("cv_scores", F.lit(0.0), lambda a, x: a + x)).alias("sum_scores"),
-                      F.array_max("best_iters").alias("max_iter"))
+                      r6(F.aggregate("cv_scores", F.lit(0.0), lambda a, x: a + x)).alias("sum_scores"))
 
 
 @query("ledger_sync", f"""WITH {RUNS}
@@ -939,14 +953,6 @@ def q_noise_floor(spark, sf):
                      r6("g_spread").alias("g_spread"), r6("g_std").alias("g_std"))
 
 
-@query("unconverged_folds", f"""WITH {RUNS},
-e AS (SELECT exp_id, unnest(best_iters) AS best_iter, unnest(range(len(best_iters))) AS fold FROM logs)
-SELECT exp_id, CAST(fold AS INTEGER) AS fold, best_iter FROM e WHERE best_iter >= {EX.ITER_CAP - 1}""")
-def q_unconverged_folds(spark, sf):
-    raw, _ = EX.load_runs(spark, sf)
-    return RU.unconverged_folds(raw, EX.ITER_CAP).select("exp_id", "fold", "best_iter")
-
-
 @query("regime_check", f"""WITH {RUNS},
 sets AS (SELECT * FROM (VALUES ('a', 'exp_001'), ('a', 'exp_002'), ('b', 'exp_001'), ('b', 'exp_003'),
   ('c', 'exp_001'), ('c', 'exp_005'), ('d', 'exp_001'), ('d', 'exp_404')) v(s, exp_id)),
@@ -1085,7 +1091,7 @@ def q_oof_binary(spark, sf):
 @query("oof_gbt", FOLD_GATE)
 def q_oof_gbt(spark, sf):
     t, spec = _syn_model_task(spark, sf)
-    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3, validationTol=0.0),
+    run = OOF.run_oof(spark, t, spec, get_trainer("gbt", maxIter=20, maxDepth=3, patience=5),
                       ["value", "s_a", "s_n"], early_stopping=True)
     return _fold_gate(run)
 
@@ -1120,19 +1126,6 @@ def q_oof_multiclass(spark, sf):
     return _sums_to_one(run.oof)
 
 
-@query("sweep_scores", f"""WITH {S.folded('syn')}
-SELECT params, 'StratifiedKFold_' || (max(fold) + 1) AS cv_strategy, true AS above_gate
-FROM f, (VALUES ('regParam=0.0'), ('regParam=0.05')) v(params) GROUP BY params""")
-def q_sweep_scores(spark, sf):
-    t, spec = _syn_model_task(spark, sf)
-    rows = []
-    for reg in (0.0, 0.05):
-        run = OOF.run_oof(spark, t, spec, get_trainer("linear", regParam=reg), ["value", "s_a", "s_n"])
-        rows.append((f"regParam={reg}", run.cv_label, float(np.mean(run.cv_scores))))
-    scores = spark.createDataFrame(rows, "params string, cv_strategy string, cv_mean double")
-    return scores.select("params", "cv_strategy", (F.col("cv_mean") > 0.8).alias("above_gate"))
-
-
 from foldwise.plans import job as JOB  # noqa: E402
 
 
@@ -1144,6 +1137,30 @@ def _named_job(spark, sf, store, exp_id="run_a", **kw):
     return t, spec, JOB.train_job(spark, t, spec, get_trainer("linear", **kw), store, exp_id, builder="row_example", builder_args=args)
 
 
+@query("sweep_scores", f"""WITH {S.folded('syn')}
+SELECT params, 'StratifiedKFold_' || (max(fold) + 1) AS cv_strategy, true AS above_gate
+FROM f, (VALUES ('regParam=0.0'), ('regParam=0.05')) v(params) GROUP BY params""")
+def q_sweep_scores(spark, sf):
+    """Two settings over one split and one encoding, each with its own log record."""
+    t, spec = _syn_model_task(spark, sf)
+    settings = {f"reg_{i}": get_trainer("linear", regParam=reg) for i, reg in enumerate((0.0, 0.05))}
+    jobs = JOB.sweep(spark, t, _replace(spec, drop_cols=("ts",)), settings, scratch_path(spark, "sweep"))
+    params = spark.createDataFrame([("reg_0", "regParam=0.0"), ("reg_1", "regParam=0.05")], "exp_id string, params string")
+    logs = RU.read_raw_logs(spark, jobs["reg_0"].path("logs"))
+    return logs.join(params, "exp_id").select("params", "cv_strategy", (F.col("cv_mean") > 0.8).alias("above_gate"))
+
+
+@query("unconverged_folds", f"""WITH {S.folded('syn')}
+SELECT DISTINCT 'two_rounds' AS exp_id, fold, 2 AS best_iter FROM f""")
+def q_unconverged_folds(spark, sf):
+    """From the logs of trained runs: two rounds are too few in every fold; a linear run has no rounds."""
+    t, spec = _syn_model_task(spark, sf)
+    t, spec, store = t.drop("ts"), _replace(spec, te_cols=(), drop_cols=("user_id",)), scratch_path(spark, "job")
+    JOB.train_job(spark, t, spec, get_trainer("gbt", maxIter=2, maxDepth=2), store, "two_rounds", early_stopping=True)
+    job = JOB.train_job(spark, t, spec, get_trainer("linear"), store, "linear", max_folds=1)
+    return RU.unconverged_folds(RU.read_raw_logs(spark, job.path("logs")), 2).select("exp_id", "fold", "best_iter")
+
+
 @query("oof_contract", f"""WITH {S.folded('syn')}
 SELECT id AS row_key, fold, true AS in_range FROM f""")
 def q_oof_contract(spark, sf):

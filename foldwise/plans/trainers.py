@@ -5,8 +5,9 @@ model and a model into predictions: ``p`` (binary probability or
 regression value) or ``probs`` (array of K class probabilities).
 Differences to native GBT libraries that cannot be hidden: Spark trees do
 not take missing values (features are filled and flagged before assembly),
-GBT takes several classes as one model per class, and early stopping uses a tolerance (``validationTol``)
-instead of a patience. Tree binning samples rows in partition order, so
+GBT takes several classes as one model per class, and with early stopping all
+rounds are fitted before the validation loss after each of them decides which
+are kept. Tree binning samples rows in partition order, so
 tree models can differ in the last digits between runs after a shuffle.
 """
 
@@ -14,10 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+PATIENCE = 50  # rounds without a better validation loss
+
 
 @dataclass
 class Trainer:
@@ -50,28 +54,68 @@ class Trainer:
         return {}
 
 
+def best_round(losses, patience: int) -> int:
+    """1-based round of the least loss, looking no further than ``patience`` rounds past the last
+    improvement; all rounds if no loss is a number."""
+    best = None
+    for i, x in enumerate(losses):
+        if x == x and (best is None or x < losses[best]):
+            best = i
+        elif best is not None and i - best >= patience:
+            break
+    return len(losses) if best is None else best + 1
+
+
+def first_rounds(model, rounds: int):
+    """A boosted model of the first ``rounds`` trees of ``model``."""
+    java, sc = model._java_obj, SparkContext._active_spark_context
+    ml = sc._jvm.org.apache.spark.ml
+    trees, weights = java.trees(), java.treeWeights()
+    kept = sc._gateway.new_array(ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = sc._gateway.new_array(sc._jvm.double, rounds)
+    for i in range(rounds):
+        kept[i], kept_weights[i] = trees[i], weights[i]
+    name = type(model).__name__
+    package = ml.regression if name.endswith("RegressionModel") else ml.classification
+    short = type(model)(getattr(package, name)(java.uid(), kept, kept_weights))
+    short._resetUid(model.uid)
+    for param, value in model.extractParamMap().items():
+        short._set(**{param.name: value})
+    return short
+
+
 class GBTTrainer(Trainer):
-    """Boosted trees; several classes by one model per class, probabilities normalised."""
+    """Boosted trees; several classes by one model per class, probabilities normalised.
+
+    With a validation part the loss on it is taken after every round, and the model keeps its
+    rounds up to the best one (``patience`` rounds without improvement end the search).
+    """
 
     def estimator(self, problem_type, seed, weight_col, validation_col):
         from pyspark.ml.classification import GBTClassifier
         from pyspark.ml.regression import GBTRegressor
 
         kw = dict(featuresCol="features", labelCol="label", seed=seed, maxIter=self.params.get("maxIter", 30),
-                  maxDepth=self.params.get("maxDepth", 4), stepSize=self.params.get("stepSize", 0.2),
-                  validationTol=self.params.get("validationTol", 0.0))
+                  maxDepth=self.params.get("maxDepth", 4), stepSize=self.params.get("stepSize", 0.2))
         if weight_col:
             kw["weightCol"] = weight_col
-        if validation_col:
-            kw["validationIndicatorCol"] = validation_col
         return (GBTClassifier if problem_type == "binary" else GBTRegressor)(**kw)
 
     def fit(self, df, problem_type, seed=42, weight_col=None, validation_col=None, max_categories=0):
         if problem_type != "multiclass":
-            return super().fit(df, problem_type, seed, weight_col, validation_col, max_categories)
-        classes = sorted(int(r[0]) for r in df.select("label").distinct().collect())
-        return {c: super(GBTTrainer, self).fit(df.withColumn("label", (F.col("label") == c).cast("double")), "binary", seed,
-                                               weight_col, validation_col, max_categories) for c in classes}
+            return self._fit_one(df, problem_type, seed, weight_col, validation_col, max_categories)
+        rows = df.where(~F.col(validation_col)) if validation_col else df
+        classes = sorted(int(r[0]) for r in rows.select("label").distinct().collect())
+        return {c: self._fit_one(df.withColumn("label", (F.col("label") == c).cast("double")), "binary", seed, weight_col,
+                                 validation_col, max_categories) for c in classes}
+
+    def _fit_one(self, df, problem_type, seed, weight_col, validation_col, max_categories):
+        if not validation_col:
+            return super().fit(df, problem_type, seed, weight_col, None, max_categories)
+        model = super().fit(df.where(~F.col(validation_col)), problem_type, seed, weight_col, None, max_categories)
+        held = df.where(F.col(validation_col))
+        losses = model.evaluateEachIteration(held, "squared") if problem_type == "regression" else model.evaluateEachIteration(held)
+        return first_rounds(model, best_round(losses, self.params.get("patience", PATIENCE)))
 
     def predict(self, model, df, problem_type, n_classes=None):
         if problem_type != "multiclass":
