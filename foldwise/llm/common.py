@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.session import checkpoint_dir, scratch_path
+from foldwise.session import scratch_path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -20,16 +20,17 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table of ``stash`` that no later step reads."""
-    spark = df.sparkSession
-    for f in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if f"{checkpoint_dir(spark).rstrip('/').split(':')[-1]}/foldwise/" in folder.toString():
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def discard(*spent: DataFrame) -> None:
+    """Delete the files of tables of ``stash`` whose successors are written and that nothing reads any more."""
+    for df in spent:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(df.stash_path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_crc(col: str) -> Column:

@@ -37,7 +37,7 @@ TABLES = 16
 CELL_LINES = 16
 STRIP = 10.0          # width of a strip, in the same unit
 BLOCK = 500           # vectors of a block
-SMALL_CELL = 48       # cells up to this size are compared without sorting
+TOGETHER = 48         # cells up to this size are sorted together, line by line
 SEED = 41
 
 
@@ -87,7 +87,7 @@ def _unit(rows: list[list[float] | None], labels: list[int | None]):
 
 def _class_ids(at: np.ndarray, raw: np.ndarray, labels: list[int | None]) -> list[int]:
     """Signed 64-bit hash of label and vector (minus zero is zero)."""
-    got = [xxhash.xxh3_64_intdigest(x.tobytes(), seed=labels[i] & 0xFFFFFFFF) for i, x in zip(at, raw + 0.0)]
+    got = [xxhash.xxh3_64_intdigest(labels[i].to_bytes(8, "little", signed=True) + x.tobytes()) for i, x in zip(at, raw + 0.0)]
     return np.array(got, dtype=np.uint64).view(np.int64).tolist()
 
 
@@ -145,6 +145,29 @@ def window_counts(x: np.ndarray, q: np.ndarray, window: float) -> np.ndarray:
     return out
 
 
+def group_counts(x: np.ndarray, size: np.ndarray, window: float) -> np.ndarray:
+    """Collisions of all pairs within consecutive groups of rows of ``x``, in the order of
+    ``pairs_of_groups``: a line sorts all groups at once, one after the other, and each vector
+    collides with those that follow it inside the window."""
+    n, start = len(x), np.cumsum(size) - size
+    group = np.repeat(np.arange(len(size)), size)
+    place = np.arange(n) - start[group]
+    pairs = size * (size - 1) // 2
+    first = (np.cumsum(pairs) - pairs)[group]
+    out = np.zeros(int(pairs.sum()), dtype=np.int16)
+    for k in range(x.shape[1]):
+        line = x[:, k].astype(np.float64)
+        order = np.lexsort((line, group))
+        width = line.max() - line.min() + 2 * window + 1.0
+        at = group[order] * width + (line[order] - line.min())
+        ahead = np.searchsorted(at, at + window, side="right") - np.arange(n) - 1
+        a = np.repeat(order, ahead)
+        b = order[np.repeat(np.arange(n) + 1 - (np.cumsum(ahead) - ahead), ahead) + np.arange(ahead.sum())]
+        lo, hi = np.minimum(place[a], place[b]), np.maximum(place[a], place[b])
+        out += np.bincount(first[a] + lo * size[group[a]] - lo * (lo + 1) // 2 + hi - lo - 1, minlength=len(out)).astype(np.int16)
+    return out
+
+
 def _keys(rows: pa.Table) -> np.ndarray:
     return np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("cell", "i", "j")])
 
@@ -171,11 +194,10 @@ class Members:
 
 
 def _linked_pairs(m: Members, x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
-    """Which of the pairs (x, y), each within one cell, collide often enough, share no earlier
+    """Which of the pairs (x, y), each within one cell and of enough collisions, share no earlier
     cell and reach the cosine."""
-    hit = (np.abs(m.lines[x] - m.lines[y]) <= WINDOW).sum(axis=1) >= collision_bound()
     earlier = np.arange(TABLES) < m.table[x][:, None]
-    hit &= ~((m.cells[x] == m.cells[y]) & earlier).any(axis=1)
+    hit = ~((m.cells[x] == m.cells[y]) & earlier).any(axis=1)
     at = np.flatnonzero(hit)
     for k in range(0, len(at), 50_000):
         part = at[k:k + 50_000]
@@ -206,14 +228,16 @@ def _large_cell(m: Members, rows: np.ndarray, cosine: float) -> tuple[np.ndarray
 
 
 def _search(rows: pa.Table, cosine: float) -> Iterator[pa.RecordBatch]:
-    """(c, links, root) of the cells in ``rows``; small cells are compared directly, all at once."""
+    """(c, links, root) of the cells in ``rows``; small cells are sorted together, larger ones by blocks."""
     m = Members(rows)
     start = _starts(m.key)
     size = np.diff(np.concatenate([start, [len(rows)]]))
-    small = size <= SMALL_CELL
+    small = size <= TOGETHER
     for s, n in chunks_of_groups(start[small], size[small], 200_000):
         x, y = pairs_of_groups(s, n)
-        ok = (m.key[1, x] == m.key[2, x]) | (m.block[x] != m.block[y])  # two blocks: only pairs between them
+        rows_of = np.repeat(s - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        ok = group_counts(m.lines[rows_of], n, WINDOW) >= collision_bound()
+        ok &= (m.key[1, x] == m.key[2, x]) | (m.block[x] != m.block[y])  # two blocks: only pairs between them
         x, y = x[ok], y[ok]
         ok = _linked_pairs(m, x, y, cosine)
         yield from _told(m, x[ok], y[ok])

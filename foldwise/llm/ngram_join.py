@@ -16,9 +16,11 @@ then by hash), the first D + 1 of both must share a group of equal content. So e
 joins only the partitions of its first D + 1 groups, and no linked pair is lost. Groups per
 set follow from its size band; sets just above a band's edge also join the band below.
 
-Within the partitions, classes are first tied to one member each (a star), which settles
-groups of near copies without listing their pairs. Only where different components remain
-in a partition are all pairs between them searched in R-trees, over blocks of bounded size.
+Within the partitions, classes are first tied to one member each (a star): to the one that meets
+most others in its partitions, which in a group of near copies is their common original. This
+settles such groups without listing their pairs. Only where different components remain in a
+partition are all pairs between them searched in R-trees, over blocks of bounded size, and
+verified where they are found: what leaves a partition are links, never sets.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import chunks_of_groups, pairs_of_groups, stash, unused
+from foldwise.llm.common import discard, stash, unused
 from foldwise.llm.components import connected
 from foldwise.llm.words import Words, mix, run_hash, text_ranges
 
@@ -39,7 +42,8 @@ DIMS = (64, 64, 64, 256, 1024, 4096)  # groups of the count vectors, by size ban
 LEAF = 16          # vectors of a leaf, and nodes of an inner node
 BLOCK = 500        # vectors of a block
 ELEMENTS = 4_000_000  # coordinates compared at a time
-SMALL_GROUP = 48   # groups up to this size are compared without a tree
+TOGETHER = 256     # groups up to this size share a forest of trees of one or two levels
+SLAB = 4096        # tokens of a matrix product
 STARS = 3          # rounds of stars before the search for all pairs
 SMALL = 16         # sets below this size use each token as a group
 
@@ -285,22 +289,26 @@ def _distinct_partitions(members: DataFrame) -> DataFrame:
     same = members.groupBy("p").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(h).alias("x"),
                                     F.bit_xor(F.xxhash64(h, F.lit(1))).alias("y"))
     one = stash(same.groupBy("m", "x", "y").agg(F.min("p").alias("_p")).select("_p"), "distinct-partitions")
-    return stash(members.join(one, F.col("p") == F.col("_p")).drop("_p"), "members")
+    out = stash(members.join(one, F.col("p") == F.col("_p")).drop("_p"), "members")
+    discard(one)
+    return out
 
 
-def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b, of different components in one partition that pass the count bound.
+def _tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b, of the linked sets of different components in one partition.
 
     A partition of m members is cut into blocks of about BLOCK; every pair of blocks is a
-    task of its own, with an R-tree over one and the other as queries.
+    task of its own, with an R-tree over one and the other as queries. ``members`` carry their
+    count vectors and tokens, so that pairs within the bound are verified right here.
     """
     sizes = members.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    sizes = stash(sizes, "partition-blocks").withColumnRenamed("p", "_p")
-    m = members.join(sizes, F.col("p") == F.col("_p")).drop("_p")
+    sizes = stash(sizes, "partition-blocks")
+    at = sizes.withColumnRenamed("p", "_p")
+    m = members.join(at, F.col("p") == F.col("_p")).drop("_p")
     m = m.withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     m = m.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n",
-                 "component", "counts")
+                 "component", "counts", "tokens")
 
     schema = "a long, b long"
 
@@ -317,7 +325,10 @@ def _tree_pairs(members: DataFrame, num: int, den: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _search(rest, num, den)
 
-    return m.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema).distinct()
+    links = m.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema).distinct()
+    out = stash(links, "tree-links")
+    discard(sizes)
+    return out
 
 
 def _group_starts(rows: pa.Table) -> np.ndarray:
@@ -345,45 +356,124 @@ class Vectors:
             out[mine] = self.grid[d][self.place[rows[mine]]].reshape(-1, d // dims, dims).sum(axis=1, dtype=np.int32)
         return out
 
-    def overlap(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Sum of the coordinate-wise minima of each pair."""
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The indexes start..start + size - 1 of all ranges, one after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Tokens:
+    """Sets of rows as sorted token hashes."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        self.values = lists.flatten().to_numpy()
+        self.size = pc.list_value_length(lists).to_numpy()
+        self.start = np.cumsum(self.size) - self.size
+
+    def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the pairs."""
+        rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        if len(x) > 8 * len(rows):
+            return self._by_products(rows, at[:len(x)], at[len(x):])
         out = np.zeros(len(x), dtype=np.int64)
-        low = np.minimum(self.dims[x], self.dims[y])
-        for d in np.unique(low):
-            at = np.flatnonzero(low == d)
-            step = max(1, ELEMENTS // int(d))
-            for k in range(0, len(at), step):
-                part = at[k:k + step]
-                out[part] = np.minimum(self.folded(x[part], d), self.folded(y[part], d)).sum(axis=1)
+        part = np.cumsum(self.size[x] + self.size[y]) // ELEMENTS
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(x) else np.zeros(1, dtype=int)
+        for a, b in zip(edge[:-1], edge[1:]):
+            both = np.concatenate([x[a:b], y[a:b]])
+            token = self.values[_ranges(self.start[both], self.size[both])]
+            pair = np.repeat(np.tile(np.arange(b - a), 2), self.size[both])
+            order = np.lexsort((token, pair))
+            token, pair = token[order], pair[order]
+            same = (token[1:] == token[:-1]) & (pair[1:] == pair[:-1])
+            out[a:b] = np.bincount(pair[1:][same], minlength=b - a)
         return out
 
+    def _by_products(self, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """For many pairs of few rows: products of their incidence with the tokens that rows share."""
+        size = self.size[rows]
+        own = np.repeat(np.arange(len(rows)), size)
+        _, token, count = np.unique(self.values[_ranges(self.start[rows], size)], return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        use = count[token] > 1
+        own, token = own[use], shared[token[use]]
+        order = np.argsort(token, kind="stable")
+        own, token = own[order], token[order]
+        total = np.zeros((len(rows), len(rows)), dtype=np.float32)  # exact: below 2^24 tokens a pair and slab
+        for a in range(0, int(token[-1]) + 1 if len(token) else 0, SLAB):
+            lo, hi = np.searchsorted(token, [a, a + SLAB])
+            m = np.zeros((len(rows), SLAB), dtype=np.float32)
+            m[own[lo:hi], token[lo:hi] - a] = 1.0
+            total += m @ m.T
+        return total[x, y].astype(np.int64)
+
+
+def forest_pairs(vectors: Vectors, n: np.ndarray, start: np.ndarray, size: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y) pairs of rows of one group within the bound, for many small groups at once.
+
+    Each group is a tree of leaves of ``LEAF`` rows in the order of their sizes under one root. A
+    leaf's upper corner bounds the overlap of a row with all its members before they are read.
+    """
+    rows = _ranges(start, size)
+    group = np.repeat(np.arange(len(start)), size)
+    order = np.lexsort((n[rows], group))
+    rows = rows[order]
+    begin = np.cumsum(size) - size
+    dims = np.minimum.reduceat(vectors.dims[rows], begin)
+    for d in np.unique(dims):
+        mine = np.flatnonzero(dims == d)
+        part = np.cumsum(size[mine]) * int(d) // ELEMENTS
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        for a, b in zip(edge[:-1], edge[1:]):
+            g = mine[a:b]
+            at = rows[_ranges(begin[g], size[g])]
+            grid, length = vectors.folded(at, int(d)), n[at]
+            ends = np.cumsum(size[g])
+            leaves = -(-size[g] // LEAF)
+            leaf = _ranges(np.zeros(len(g), dtype=np.int64), leaves) * LEAF + np.repeat(ends - size[g], leaves)
+            up, lo, hi = np.maximum.reduceat(grid, leaf), np.minimum.reduceat(length, leaf), np.maximum.reduceat(length, leaf)
+            last = np.append(leaf[1:], len(at))
+            asked = np.repeat(ends, leaves) - leaf  # rows from the leaf's first on: pairs are found once
+            node, q = np.repeat(np.arange(len(leaf)), asked), _ranges(leaf, asked)
+            for k in range(0, len(q), max(1, ELEMENTS // int(d))):
+                nk, qk = node[k:k + max(1, ELEMENTS // int(d))], q[k:k + max(1, ELEMENTS // int(d))]
+                ok = (den + num) * np.minimum(grid[qk], up[nk]).sum(axis=1) >= num * (length[qk] + lo[nk])
+                ok &= (den * hi[nk] >= num * length[qk]) & (den * length[qk] >= num * lo[nk])
+                nk, qk = nk[ok], qk[ok]
+                x, y = (leaf[nk][:, None] + np.arange(LEAF)).ravel(), np.repeat(qk, LEAF)
+                ok = (x < np.repeat(last[nk], LEAF)) & (x < y)
+                x, y = x[ok], y[ok]
+                ok = (den * length[x] >= num * length[y]) & (den * length[y] >= num * length[x])
+                x, y = x[ok], y[ok]
+                for z in range(0, len(x), max(1, ELEMENTS // int(d))):
+                    xz, yz = x[z:z + max(1, ELEMENTS // int(d))], y[z:z + max(1, ELEMENTS // int(d))]
+                    ok = (den + num) * np.minimum(grid[xz], grid[yz]).sum(axis=1) >= num * (length[xz] + length[yz])
+                    yield at[xz[ok]], at[yz[ok]]
+
 
 def _search(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs within the groups of ``rows``: small groups are leaves of their own and are compared
-    directly, all of them at once; larger ones get an R-tree each."""
+    """Linked pairs within the groups of ``rows``: small groups' trees stand side by side in a
+    forest, each larger group has a tree of its own."""
     i, j, block, c, n, component = (rows.column(x).to_numpy().astype(np.int64) for x in ("i", "j", "block", "c", "n", "component"))
-    vectors = Vectors(rows.column("counts"))
+    vectors, tokens = Vectors(rows.column("counts")), Tokens(rows.column("tokens"))
     start = _group_starts(rows)
     size = np.diff(np.concatenate([start, [len(c)]]))
 
-    def found(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        a, b = c[x], c[y]
-        ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
-
-    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def linked(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         ok = component[x] != component[y]
         ok &= (i[x] == j[x]) | (block[x] != block[y])  # two blocks: only pairs between them
-        return ok & (den * n[x] >= num * n[y]) & (den * n[y] >= num * n[x])
-
-    small = size <= SMALL_GROUP
-    for at in chunks_of_groups(start[small], size[small], 400_000):
-        x, y = pairs_of_groups(*at)
-        ok = allowed(x, y)
         x, y = x[ok], y[ok]
-        keep = (den + num) * vectors.overlap(x, y) >= num * (n[x] + n[y])
-        if keep.any():
-            yield found(x[keep], y[keep])
+        both = tokens.common(x, y)
+        ok = both * den >= (n[x] + n[y] - both) * num
+        if ok.any():
+            a, b = c[x[ok]], c[y[ok]]
+            ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
+
+    small = size <= TOGETHER
+    if small.any():
+        for x, y in forest_pairs(vectors, n, start[small], size[small], num, den):
+            yield from linked(x, y)
     for s, m in zip(start[~small], size[~small]):
         at = np.arange(s, s + m)
         x, y = at[block[at] == i[s]], at[block[at] == j[s]]
@@ -391,8 +481,9 @@ def _search(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
             dims = vectors.dims[at].min()
             q, p = CountTree(vectors.folded(x, dims), n[x]).search(vectors.folded(y, dims), n[y], num, den)
             q, p = y[q], x[p]
-            ok = allowed(q, p)
-            yield found(q[ok], p[ok])
+            if i[s] == j[s]:
+                q, p = q[q < p], p[q < p]
+            yield from linked(q, p)
 
 
 def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
@@ -414,20 +505,29 @@ def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: i
 def keep_one(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest key (nulls last), of
-    equal keys the one of the smallest text hash, of repeated rows one. Rows without a word stay.
+    equal keys the one of the smallest text hash, of rows equal in both the one whose columns,
+    written as JSON, come first. Rows without a word stay, all of them.
     """
     out = _components(docs, words, num, den, id_col, text_col)
     key = F.coalesce(F.col("d").cast("string"), F.lit(""))
     order = F.struct(F.col("d").isNull().alias("x"), F.col("d").alias("d"), F.col("t").alias("t"))
     chosen = out.where("n > 0").groupBy("component").agg(F.min(order).alias("o")).select(
-        F.coalesce(F.col("o.d").cast("string"), F.lit("")).alias("_key"), F.col("o.t").alias("_hash"), F.lit(True).alias("_one"))
-    wordless = out.where("n = 0").select(key.alias("_key"), F.col("t").alias("_hash"), F.lit(False).alias("_one")).distinct()
-    k, t, nth = (unused(c, docs.columns) for c in ("_key", "_hash", "_nth"))
+        F.coalesce(F.col("o.d").cast("string"), F.lit("")).alias("_key"), F.col("o.t").alias("_hash"))
+    # how often a row of the chosen key and text stands; wordless rows all stay
+    same = out.where("n > 0").groupBy(key.alias("_k"), F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_rows"))
+    chosen = chosen.join(same, (F.col("_key") == F.col("_k")) & (F.col("_hash") == F.col("_t"))).select("_key", "_hash", "_rows")
+    wordless = out.where("n = 0").select(key.alias("_key"), F.col("t").alias("_hash"), F.lit(0).cast("long").alias("_rows")).distinct()
+    k, t, m = (unused(c, docs.columns) for c in ("_key", "_hash", "_rows"))
     rows = docs.withColumns({k: F.coalesce(docs[id_col].cast("string"), F.lit("")), t: F.xxhash64(docs[text_col].cast("string"))})
-    kept = chosen.unionByName(wordless).withColumnsRenamed({"_key": f"{k}_2", "_hash": f"{t}_2", "_one": f"{nth}_1"})
-    j = rows.join(kept, (rows[k] == kept[f"{k}_2"]) & (rows[t] == kept[f"{t}_2"]))
-    j = j.withColumn(nth, F.row_number().over(Window.partitionBy(k, t).orderBy(F.lit(1))))
-    return j.where((F.col(nth) == 1) | ~F.col(f"{nth}_1")).select(*docs.columns)
+    kept = stash(chosen.unionByName(wordless), "kept").withColumnsRenamed({"_key": f"{k}_2", "_hash": f"{t}_2", "_rows": m})
+    on = (rows[k] == kept[f"{k}_2"]) & (rows[t] == kept[f"{t}_2"])
+    single = rows.join(kept.where(F.col(m) <= 1), on).select(*docs.columns)
+    if kept.where(F.col(m) > 1).isEmpty():
+        return single
+    # of rows equal in key and text the one whose columns, as JSON, come first
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    one = rows.join(kept.where(F.col(m) > 1), on).groupBy(k, t).agg(F.min_by(whole, F.to_json(whole)).alias(m))
+    return single.unionByName(one.select(f"{m}.*"))
 
 
 def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
@@ -438,53 +538,68 @@ def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, te
     placed = partition_table(rows, words, num, den)
     shared = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
     shared = stash(shared.select(F.col("p").alias("_p")), "partitions")
-    members = placed.join(shared, F.col("p") == F.col("_p")).select("p", "c", "n").distinct()
-    members = _distinct_partitions(stash(members, "members"))
+    together = stash(placed.join(shared, F.col("p") == F.col("_p")).select("p", "c", "n").distinct(), "members")
+    discard(shared)
+    members = _distinct_partitions(together)
+    # how many classes a class meets in its partitions: what the first star's hubs are chosen by
+    sizes = stash(together.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("p", "_p"), "partition-sizes")
+    meets = stash(together.join(sizes, F.col("p") == F.col("_p")).groupBy("c").agg(F.sum("m").alias("meets")), "meets")
+    discard(together, sizes)
 
     # the sets of the classes that share a partition, one text each
     low = stash(sets.where("n > 0").groupBy("c").agg(F.min("d").alias("d")), "classes")
-    wanted = low.join(members.select("c").distinct(), "c").where(F.col("d").isNotNull())
-    wanted = wanted.select(F.col("d").alias("_d"))
-    texts = rows.join(stash(wanted, "wanted"), F.col("d") == F.col("_d")).select("text")
+    wanted = low.join(meets.select("c"), "c").where(F.col("d").isNotNull())
+    wanted = stash(wanted.select(F.col("d").alias("_d")), "wanted")
+    texts = rows.join(wanted, F.col("d") == F.col("_d")).select("text")
     texts = texts.unionByName(rows.where(F.col("d").isNull()).select("text"))
-    vectors = vector_table(texts, words).join(members.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    vectors = vector_table(texts, words).join(meets.select("c"), "c", "left_semi").dropDuplicates(["c"])
     vectors = stash(vectors, "vectors")
+    discard(wanted)
 
-    component = members.select("c", F.col("c").alias("component")).distinct()
-    links = tested = None
+    component = stash(meets.select("c", F.col("c").alias("component")), "component")
+    links, tables = None, []
     for step in range(STARS + 1):
-        labelled = members.join(stash(component, "component").withColumnRenamed("c", "_c"), F.col("c") == F.col("_c")).drop("_c")
+        named = component.withColumnRenamed("c", "_c")
+        labelled = members.join(named, F.col("c") == F.col("_c")).drop("_c")
+        if step == 0:
+            score = meets.withColumnRenamed("c", "_c")
+            labelled = labelled.join(score, F.col("c") == F.col("_c")).drop("_c")
+        else:
+            labelled = labelled.withColumn("meets", F.xxhash64("c", F.lit(step)))
         open_ = labelled.groupBy("p").agg(
             F.min("component").alias("x"), F.max("component").alias("y"),
-            F.min_by(F.struct("c", "n", "component"), F.xxhash64("c", F.lit(step))).alias("hub")).where("x <> y")
+            F.max_by(F.struct("c", "n", "component"), F.struct("meets", "c")).alias("hub")).where("x <> y")
         open_ = stash(open_.select(F.col("p").alias("_p"), "hub"), "open-partitions")
         if open_.isEmpty():
             break
-        inside = labelled.join(open_, F.col("p") == F.col("_p"))
+        inside = labelled.join(open_, F.col("p") == F.col("_p")).drop("meets")
         if step < STARS:
             pairs = inside.where((F.col("component") != F.col("hub.component")) & _sizes_allow("n", "hub.n", num, den)).select(
                 F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
+            pairs = stash(pairs, "pairs")
+            found = stash(_verified(pairs, vectors, num, den).where("linked").select("a", "b"), "star-links")
+            discard(pairs)
         else:
-            counts = vectors.select(F.col("c").alias("_c"), "counts")
-            pairs = _tree_pairs(inside.drop("hub", "_p").join(counts, F.col("c") == F.col("_c")).drop("_c"), num, den)
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = stash(_verified(stash(pairs, "pairs"), vectors, num, den), "verified")
-        tested = done if tested is None else tested.unionByName(done)
-        found = done.where("linked").select("a", "b")
+            carried = vectors.select(F.col("c").alias("_c"), "counts", "tokens")
+            found = _tree_links(inside.drop("hub", "_p").join(carried, F.col("c") == F.col("_c")).drop("_c"), num, den)
+        discard(open_)
+        tables.append(found)
         if found.isEmpty():
             continue
         links = found if links is None else links.unionByName(found)
-        found = connected(links)
-        component = members.select("c").distinct().join(found.select(F.col("node").alias("c"), "component"), "c", "left").select(
-            "c", F.coalesce("component", "c").alias("component"))
+        reached = connected(links)
+        new = stash(meets.select("c").join(reached.select(F.col("node").alias("c"), "component"), "c", "left").select(
+            "c", F.coalesce("component", "c").alias("component")), "component")
+        discard(component)
+        component = new
     if links is None:
         named = low.select("c", F.col("c").alias("component"), F.col("d").alias("low"))
     else:
-        label = low.join(stash(connected(links), "label").select(F.col("node").alias("c"), "component"), "c", "left").select(
+        label = low.join(component.withColumnRenamed("c", "_c"), F.col("c") == F.col("_c"), "left").select(
             "c", "d", F.coalesce("component", "c").alias("component"))
-        label = stash(label, "class-component")
         least = stash(label.groupBy("component").agg(F.min("d").alias("low")), "component-low")
         named = label.join(least, "component").select("c", "component", "low")
-    named = stash(named, "class-name").withColumnRenamed("c", "_c")
+    named = stash(named, "class-name")
+    discard(members, meets, vectors, component, low, *tables)
+    named = named.withColumnRenamed("c", "_c")
     return sets.join(named, (F.col("n") > 0) & (F.col("c") == F.col("_c")), "left").drop("_c")

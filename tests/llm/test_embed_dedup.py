@@ -1,7 +1,9 @@
 """Embedding near-dedup against all cosines."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import embed_dedup as M
 from foldwise.llm.queries import op10_embedding_dedup
@@ -66,6 +68,42 @@ def test_hot_group_in_blocks(spark, monkeypatch):
     assert all(out[2000 + i].n_links == 0 for i in range(50))
 
 
+def test_groups_sorted_together_count_as_alone():
+    rng = np.random.default_rng(6)
+    size = np.array([1, 5, 48, 2, 17])
+    x = rng.normal(0, 2, (size.sum(), 9)).astype(np.float32)
+    got = M.group_counts(x, size, 1.0)
+    i, j = M.pairs_of_groups(np.cumsum(size) - size, size)
+    assert (got == (np.abs(x[i].astype(float) - x[j]) <= 1.0).sum(axis=1)).all()
+
+
+def test_labels_of_any_width_keep_apart(spark):
+    rows = [(k, [1.0, 2.0, 3.0], label) for k, label in enumerate((1, 1 + 2**32, -1, 2**32 - 1, 1))]
+    out = {r.vec_id: (r.n_links, r.component_id) for r in M.near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long")).collect()}
+    assert out == {0: (1, 0), 1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 0)}
+
+
+def test_lines_are_sorted_on_the_given_vectors(spark, monkeypatch):
+    """Every compared pair of sf0.01 comes out of sorted lines, of small cells and of large ones."""
+    from foldwise.llm.common import table
+
+    rows = table(spark, "/root/testdata/sf0.01", "embeddings").select(F.col("vec_id").alias("v"), F.col("embedding").cast("array<double>").alias("x"),
+                                                                     F.col("label").cast("long").alias("label"))
+    found = M._vectors(rows, M.COSINE).toPandas()
+    cells = {}
+    for c, unit, lines, own in found.itertuples(index=False):
+        for t, cell in enumerate(own):
+            cells.setdefault(cell, []).append((c, unit, lines, own, t))
+    shared = [(cell, m) for cell, m in cells.items() if len(m) > 1]
+    assert shared
+    data = [{"cell": cell, "i": 0, "j": 0, "t": t, "block": 0, "c": c, "weight": 1, "lines": lines, "cells": own, "unit": unit}
+            for cell, m in sorted(shared) for c, unit, lines, own, t in m]
+    counted, sort = [], M.group_counts
+    monkeypatch.setattr(M, "group_counts", lambda x, size, window: counted.append(size.sum()) or sort(x, size, window))
+    told = [r for b in M._search(pa.Table.from_pylist(data), M.COSINE) for r in b.to_pylist()]
+    assert sum(counted) == len(data) and told
+
+
 def test_window_counts_match_their_definition():
     rng = np.random.default_rng(2)
     x, q = rng.normal(size=(60, 8)).round(1), rng.normal(size=(20, 8)).round(1)

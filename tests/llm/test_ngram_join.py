@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldwise.llm import ngram_join as J
@@ -93,6 +94,76 @@ def test_tree_lists_every_pair_within_the_bound():
     assert len(got) < 0.5 * len(x) * len(y)
 
 
+def _rows_of(texts, n, num, den, group):
+    s = J.ShingleSets(texts, n)
+    counts, ids = s.counts(), s.ids().view(np.int64)
+    return pa.Table.from_pylist([
+        {"p": g, "i": 0, "j": 0, "block": 0, "c": int(ids[k]), "n": int(s.size[k]), "component": int(ids[k]), "counts": counts[k],
+         "tokens": s.token[s.start[k]:s.start[k] + s.size[k]].view(np.int64).tolist()} for g, k in group])
+
+
+@pytest.mark.parametrize("together", [256, 20])
+def test_search_of_groups_lists_their_links(monkeypatch, together):
+    """Groups of 1 to 150 sets, in the forest or in trees of their own, against all pairs."""
+    monkeypatch.setattr(J, "TOGETHER", together)
+    texts = sorted({t for _, t in near_copies(31, 300) if t.split()})
+    rnd = random.Random(2)
+    groups = [sorted(rnd.sample(range(len(texts)), min(k, len(texts)))) for k in (1, 2, 3, 15, 16, 17, 33, 60, 150)]
+    rows = _rows_of(texts, 3, 9, 10, [(g, k) for g, m in enumerate(groups) for k in m])
+    got = {(a, b) for batch in J._search(rows, 9, 10) for a, b in zip(*[c.to_pylist() for c in batch.columns])}
+    sets = [shingles(t, 3) for t in texts]
+    ids = J.ShingleSets(texts, 3).ids().view(np.int64)
+    want = set()
+    for m in groups:
+        for x in m:
+            for y in m:
+                k = len(sets[x] & sets[y])
+                if ids[x] < ids[y] and 10 * k >= 9 * (len(sets[x]) + len(sets[y]) - k):
+                    want.add((int(ids[x]), int(ids[y])))
+    assert len(want) > 20 and got == want
+
+
+def test_intersections_by_sorting_and_by_products(monkeypatch):
+    monkeypatch.setattr(J, "SLAB", 50)
+    monkeypatch.setattr(J, "ELEMENTS", 500)
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.choice(2000, rng.integers(1, 200), replace=False)) for _ in range(30)] + [np.zeros(0, dtype=np.int64)]
+    t = J.Tokens(pa.chunked_array([pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]))
+    x, y = np.divmod(np.arange(31 * 31), 31)
+    x, y = x[x != y], y[x != y]  # pairs are of different rows
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert len(x) > 8 * 31 and t.common(x, y).tolist() == want
+    assert [int(t.common(x[k:k + 20], y[k:k + 20])[3]) for k in range(0, 900, 20)] == [want[k + 3] for k in range(0, 900, 20)]
+
+
+def test_trees_are_built_on_the_given_documents(spark, monkeypatch):
+    """The partitions of sf0.01 are searched in trees: leaves bound rows before their members are read."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null").select("text").distinct()
+    texts = [r.text for r in docs.collect()]
+    s = J.ShingleSets(texts, 3)
+    row, key = J.partitions(s, 90, 100)
+    members = {}
+    for r, k in zip(row.tolist(), key.tolist()):
+        members.setdefault(k, set()).add(r)
+    group = [(g, k) for g, m in enumerate(m for m in members.values() if len(m) > 1) for k in sorted(m)]
+    rows = _rows_of(texts, 3, 90, 100, group)
+    seen, walk = [], J.forest_pairs
+    monkeypatch.setattr(J, "forest_pairs", lambda v, n, start, size, *a: seen.append(len(start)) or walk(v, n, start, size, *a))
+    links = sum(b.num_rows for b in J._search(rows, 90, 100))
+    assert sum(seen) == len({g for g, _ in group}) > 100 and links > 0
+
+
+def test_the_same_row_stays_whatever_the_partitions(spark):
+    rows = [(1, "the same words in some rows of it", k % 5, str(k)) for k in range(40)] + [(2, None, 0, "x"), (2, None, 0, "x"), (3, " ", 1, "y")]
+    kept = set()
+    for parts in (1, 3, 8):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, n int, source string").repartition(parts)
+        out = sorted(map(str, J.keep_one(docs, 3).collect()))
+        assert len(out) == 4
+        kept.add(tuple(out))
+    assert len(kept) == 1
+
+
 def test_all_pairs_without_stars(spark, monkeypatch):
     monkeypatch.setattr(J, "STARS", 0)
     monkeypatch.setattr(J, "BLOCK", 7)
