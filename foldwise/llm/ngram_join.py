@@ -19,8 +19,10 @@ set follow from its size band; sets just above a band's edge also join the band
 Within the partitions, classes are first tied to one member each (a star): to the one that meets
 most others in its partitions, which in a group of near copies is their common original. This
 settles such groups without listing their pairs. Only where different components remain in a
-partition are all pairs between them searched in R-trees, over blocks of bounded size, and
-verified where they are found: what leaves a partition are links, never sets.
+partition are all pairs between them searched in R-trees, over blocks of bounded size. In
+partitions of many members, where pairs just below the threshold would leave by the million,
+half of every token's hash goes along and the overlap is counted on these before a pair leaves.
+All pairs that leave are verified on the sets.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ BLOCK = 500        # vectors of a block
 ELEMENTS = 4_000_000  # coordinates compared at a time
 TOGETHER = 256     # groups up to this size share a forest of trees of one or two levels
 SLAB = 4096        # tokens of a matrix product
+MANY = 128         # members of a partition above which the overlap is counted before a pair leaves
 STARS = 3          # rounds of stars before the search for all pairs
 SMALL = 16         # sets below this size use each token as a group
 
@@ -294,21 +297,19 @@ def _distinct_partitions(members: DataFrame) -> DataFrame:
     return out
 
 
-def _tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a < b, of the linked sets of different components in one partition.
+def _tree_pairs(members: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b), a < b, of different components in one partition that pass the bounds.
 
-    A partition of m members is cut into blocks of about BLOCK; every pair of blocks is a
-    task of its own, with an R-tree over one and the other as queries. ``members`` carry their
-    count vectors and tokens, so that pairs within the bound are verified right here.
+    A partition of m members (``sizes``: p, m) is cut into blocks of about BLOCK; every pair of
+    blocks is a task of its own, with an R-tree over one and the other as queries. Where
+    ``members`` carry the halves of their tokens, the overlap on these is a second bound.
     """
-    sizes = members.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    sizes = stash(sizes, "partition-blocks")
-    at = sizes.withColumnRenamed("p", "_p")
+    at = sizes.select(F.col("p").alias("_p"), F.ceil(F.col("m") / BLOCK).cast("int").alias("k"))
     m = members.join(at, F.col("p") == F.col("_p")).drop("_p")
     m = m.withColumn("block", F.pmod(F.xxhash64("c"), F.col("k")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     m = m.select("p", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "c", "n",
-                 "component", "counts", "tokens")
+                 "component", "counts", *(["halves"] if "halves" in members.columns else []))
 
     schema = "a long, b long"
 
@@ -325,10 +326,7 @@ def _tree_links(members: DataFrame, num: int, den: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _search(rest, num, den)
 
-    links = m.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema).distinct()
-    out = stash(links, "tree-links")
-    discard(sizes)
-    return out
+    return m.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, schema).distinct()
 
 
 def _group_starts(rows: pa.Table) -> np.ndarray:
@@ -362,8 +360,8 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
-class Tokens:
-    """Sets of rows as sorted token hashes."""
+class Halves:
+    """Sets of rows as the upper halves of their sorted token hashes."""
 
     def __init__(self, column: pa.ChunkedArray):
         lists = column.combine_chunks()
@@ -372,7 +370,7 @@ class Tokens:
         self.start = np.cumsum(self.size) - self.size
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Sizes of the intersections of the pairs."""
+        """Sizes of the intersections of the pairs, or more where halves of different tokens are equal."""
         rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
         if len(x) > 8 * len(rows):
             return self._by_products(rows, at[:len(x)], at[len(x):])
@@ -403,7 +401,7 @@ class Tokens:
         for a in range(0, int(token[-1]) + 1 if len(token) else 0, SLAB):
             lo, hi = np.searchsorted(token, [a, a + SLAB])
             m = np.zeros((len(rows), SLAB), dtype=np.float32)
-            m[own[lo:hi], token[lo:hi] - a] = 1.0
+            np.add.at(m, (own[lo:hi], token[lo:hi] - a), 1.0)
             total += m @ m.T
         return total[x, y].astype(np.int64)
 
@@ -452,28 +450,31 @@ def forest_pairs(vectors: Vectors, n: np.ndarray, start: np.ndarray, size: np.nd
 
 
 def _search(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Linked pairs within the groups of ``rows``: small groups' trees stand side by side in a
-    forest, each larger group has a tree of its own."""
+    """Pairs within the groups of ``rows`` that pass the bounds: small groups' trees stand side by
+    side in a forest, each larger group has a tree of its own."""
     i, j, block, c, n, component = (rows.column(x).to_numpy().astype(np.int64) for x in ("i", "j", "block", "c", "n", "component"))
-    vectors, tokens = Vectors(rows.column("counts")), Tokens(rows.column("tokens"))
+    vectors = Vectors(rows.column("counts"))
+    halves = Halves(rows.column("halves")) if "halves" in rows.column_names else None
     start = _group_starts(rows)
     size = np.diff(np.concatenate([start, [len(c)]]))
 
-    def linked(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def told(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
         ok = component[x] != component[y]
         ok &= (i[x] == j[x]) | (block[x] != block[y])  # two blocks: only pairs between them
         x, y = x[ok], y[ok]
-        both = tokens.common(x, y)
-        ok = both * den >= (n[x] + n[y] - both) * num
-        if ok.any():
-            a, b = c[x[ok]], c[y[ok]]
+        if halves is not None:
+            both = halves.common(x, y)
+            ok = both * den >= (n[x] + n[y] - both) * num
+            x, y = x[ok], y[ok]
+        if len(x):
+            a, b = c[x], c[y]
             ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(ab[0]), pa.array(ab[1])], names=["a", "b"])
 
     small = size <= TOGETHER
     if small.any():
         for x, y in forest_pairs(vectors, n, start[small], size[small], num, den):
-            yield from linked(x, y)
+            yield from told(x, y)
     for s, m in zip(start[~small], size[~small]):
         at = np.arange(s, s + m)
         x, y = at[block[at] == i[s]], at[block[at] == j[s]]
@@ -483,7 +484,7 @@ def _search(rows: pa.Table, num: int, den: int) -> Iterator[pa.RecordBatch]:
             q, p = y[q], x[p]
             if i[s] == j[s]:
                 q, p = q[q < p], p[q < p]
-            yield from linked(q, p)
+            yield from told(q, p)
 
 
 def similarity_components(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
@@ -576,12 +577,22 @@ def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, te
         if step < STARS:
             pairs = inside.where((F.col("component") != F.col("hub.component")) & _sizes_allow("n", "hub.n", num, den)).select(
                 F.least("c", "hub.c").alias("a"), F.greatest("c", "hub.c").alias("b")).distinct()
-            pairs = stash(pairs, "pairs")
-            found = stash(_verified(pairs, vectors, num, den).where("linked").select("a", "b"), "star-links")
-            discard(pairs)
         else:
-            carried = vectors.select(F.col("c").alias("_c"), "counts", "tokens")
-            found = _tree_links(inside.drop("hub", "_p").join(carried, F.col("c") == F.col("_c")).drop("_c"), num, den)
+            inside = inside.drop("hub", "_p")
+            sizes = stash(inside.groupBy("p").agg(F.count(F.lit(1)).alias("m")), "open-sizes")
+            half = F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("halves")
+            found = []
+            for part, carried in ((F.col("m") <= MANY, ["counts"]), (F.col("m") > MANY, ["counts", half])):
+                some = sizes.where(part)
+                here = inside.join(some.select(F.col("p").alias("_p")), F.col("p") == F.col("_p")).drop("_p")
+                here = here.join(vectors.select(F.col("c").alias("_c"), *carried), F.col("c") == F.col("_c")).drop("_c")
+                found.append(_tree_pairs(here, some, num, den))
+            pairs = found[0].unionByName(found[1]).distinct()
+        pairs = stash(pairs, "pairs")
+        found = stash(_verified(pairs, vectors, num, den).where("linked").select("a", "b"), "links")
+        discard(pairs)
+        if step == STARS:
+            discard(sizes)
         discard(open_)
         tables.append(found)
         if found.isEmpty():

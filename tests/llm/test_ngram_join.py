@@ -99,7 +99,7 @@ def _rows_of(texts, n, num, den, group):
     counts, ids = s.counts(), s.ids().view(np.int64)
     return pa.Table.from_pylist([
         {"p": g, "i": 0, "j": 0, "block": 0, "c": int(ids[k]), "n": int(s.size[k]), "component": int(ids[k]), "counts": counts[k],
-         "tokens": s.token[s.start[k]:s.start[k] + s.size[k]].view(np.int64).tolist()} for g, k in group])
+         "halves": (s.token[s.start[k]:s.start[k] + s.size[k]].view(np.int64) >> 32).tolist()} for g, k in group])
 
 
 @pytest.mark.parametrize("together", [256, 20])
@@ -128,7 +128,7 @@ def test_intersections_by_sorting_and_by_products(monkeypatch):
     monkeypatch.setattr(J, "ELEMENTS", 500)
     rng = np.random.default_rng(9)
     sets = [np.sort(rng.choice(2000, rng.integers(1, 200), replace=False)) for _ in range(30)] + [np.zeros(0, dtype=np.int64)]
-    t = J.Tokens(pa.chunked_array([pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]))
+    t = J.Halves(pa.chunked_array([pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))]))
     x, y = np.divmod(np.arange(31 * 31), 31)
     x, y = x[x != y], y[x != y]  # pairs are of different rows
     want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
@@ -164,9 +164,11 @@ def test_the_same_row_stays_whatever_the_partitions(spark):
     assert len(kept) == 1
 
 
-def test_all_pairs_without_stars(spark, monkeypatch):
+@pytest.mark.parametrize("many", [4, 1000])
+def test_all_pairs_without_stars(spark, monkeypatch, many):
     monkeypatch.setattr(J, "STARS", 0)
     monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "MANY", many)
     rows = near_copies(11)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = J.similarity_components(docs, 3, 90, 100).collect()
