@@ -215,7 +215,7 @@ def convex_logloss_fit(df: DataFrame, xs: Sequence[str], y: str | None, fold_col
             use, m = _chosen(x[:, 0], n_folds), x[:, 2:] if binary else x[:, 1:]
             raw = m @ Wc.T
             p = np.clip(raw, BLEND_EPS, hi)
-            inside = (raw > BLEND_EPS) & (raw < hi)
+            inside = ((raw > BLEND_EPS) & (raw < hi)).astype(np.float64)
             if binary:
                 t = x[:, 1:2]
                 loss = -(t * np.log(p) + (1 - t) * np.log1p(-p))

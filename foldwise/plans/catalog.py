@@ -15,8 +15,9 @@ from foldwise.plans import sqlkit as S
 from foldwise.sources import tasks as T
 from foldwise.operators import folds as FO
 from foldwise.plans import oof as OOF
+from foldwise.functions.scalar import uniform
 from foldwise.session import with_scalars
-from foldwise.sources.files import read_task_table
+from foldwise.sources.files import read_pred, read_task_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +65,22 @@ def q_kfold(spark, sf):
     return f.select("id", "fold")
 
 
+# Two group columns, one of them with nulls: rows of one pair of values share a fold.
+_PAIR_TASK = f"""t AS (SELECT *, CASE WHEN {S.U('id', 'gap')} >= 0.2 THEN user_id END AS user, hour(ts) AS hour FROM ({S.TASKS['bin']})),
+tr AS (SELECT * FROM t WHERE part = 'train'),
+gs AS (SELECT "user", hour, count(*) AS gn FROM tr GROUP BY "user", hour),
+gr AS (SELECT "user", hour, CAST((row_number() OVER (ORDER BY gn DESC, md5(coalesce(CAST("user" AS VARCHAR), '') || '|' || CAST(hour AS VARCHAR)),
+        "user" NULLS FIRST, hour NULLS FIRST) - 1) % 5 AS INTEGER) AS fold FROM gs)"""
+
+
+@query("group_folds_two_keys", f"""WITH {_PAIR_TASK.replace(' AS user,', ' AS "user",')}
+SELECT tr.id, gr.fold FROM tr JOIN gr ON tr."user" IS NOT DISTINCT FROM gr."user" AND tr.hour = gr.hour""")
+def q_group_folds_two_keys(spark, sf):
+    t, spec = T.load_task(spark, sf, "bin")
+    tr = T.train_rows(t).withColumns({"user": F.when(uniform("id", "gap") >= 0.2, F.col("user_id")), "hour": F.hour("ts")})
+    return FO.group_folds(tr, 5, ["user", "hour"]).select("id", "fold")
+
+
 @query("group_folds", f"""WITH {S.folded('grp', strategy='GroupKFold')}
 SELECT id, user_id, fold FROM f""")
 def q_group_folds(spark, sf):
@@ -270,7 +287,7 @@ def q_slice_auc(spark, sf):
 
 
 # ---------------------------------------------------------------- past-only windows
-from foldwise.operators.history import past_features  # noqa: E402
+from foldwise.operators.history import fill_past, past_features  # noqa: E402
 
 _W_EV = "PARTITION BY user_id ORDER BY ts NULLS LAST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
@@ -297,6 +314,15 @@ for _agg, _fn in [("mean", "avg"), ("std", "stddev_samp"), ("max", "max"), ("min
 SELECT id, round({_EXACT[_agg]}, 6) AS value_past_{_agg} FROM t"""
     query(f"past_{_agg}", _sql)(lambda spark, sf, a=_agg: _past(spark, sf, a))
 
+@query("past_fill", f"""WITH t AS ({S.TASKS['bin']})
+SELECT id, round(CAST(CAST(coalesce({_EXACT['mean']}, -1.0) AS FLOAT) AS DOUBLE), 4) AS value_past_mean FROM t""")
+def q_past_fill(spark, sf):
+    """Past features as a model takes them: a default where there is no past, single precision."""
+    out = past_features(T.bin_task(spark, sf), "value", ["user_id"], "ts", aggs=["mean"], exact_scale=6)
+    out = fill_past(out, ["value_past_mean"], default=-1.0)
+    return out.select("id", F.round(F.col("value_past_mean").cast("double"), 4).alias("value_past_mean"))
+
+
 _W_ORD = "PARTITION BY o_custkey ORDER BY o_orderdate NULLS LAST, id"
 
 
@@ -504,7 +530,6 @@ def q_rank_mean(spark, sf):
 
 # ---------------------------------------------------------------- members / simple blends
 from foldwise.operators import members as MM  # noqa: E402
-from foldwise.functions.scalar import uniform  # noqa: E402
 import numpy as np  # noqa: E402
 
 MEMBERS3 = ["p1", "p2", "p3"]
@@ -635,14 +660,14 @@ def _weights_df(spark, W, members, kind="w"):
     return spark.createDataFrame(rows, f"problem int, member string, {kind} double")
 
 
-META_OOF_SQL = f"""WITH {SYN_OOF},
-eq AS (SELECT id, fold, any_value(y) AS y, avg(p) AS p FROM mo WHERE member <> 'p1r' GROUP BY id, fold),
+META_PLAIN = f"""eq AS (SELECT id, fold, any_value(y) AS y, avg(p) AS p FROM mo WHERE member <> 'p1r' GROUP BY id, fold),
 r AS (SELECT member, id, fold, y, (rank() OVER (PARTITION BY fold, member ORDER BY p) - 1
         + (count(*) OVER (PARTITION BY fold, member, p) + 1) / 2.0) / count(*) OVER (PARTITION BY fold, member) AS rr
       FROM mo WHERE member <> 'p1r'),
 rm AS (SELECT id, any_value(y) AS y, round(avg(rr), 12) AS p FROM r GROUP BY id),
 sc AS (SELECT 'equal' AS meta, auc AS oof_score FROM {S.auc_sql('eq', '')}
        UNION ALL SELECT 'rank_mean' AS meta, auc AS oof_score FROM {S.auc_sql('rm', '')})"""
+META_OOF_SQL = f"WITH {SYN_OOF},\n{META_PLAIN}"
 
 
 def _meta_oof_scores(spark, sf):
@@ -665,33 +690,30 @@ def q_best_meta(spark, sf):
     return s.agg(F.max_by("meta", "oof_score").alias("best_meta"), r6(F.max("oof_score")).alias("oof_score"))
 
 
-@query("meta_scores")
-def q_meta_scores(spark, sf):
-    oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
-    res = ST.stack(oof_long, test_long, train, MEMBERS3, 5, "binary", "auc", spec.cv_label())
-    return spark.createDataFrame([(n, round(s, 6)) for n, s in res.scores], "meta string, oof_score double")
-
-
 # With weights that add up to one the blend is a mixture, so its log loss is a mixture likelihood
 # and the update w <- mean(w q / sum(w q)) climbs to the optimum; q is a member's probability of
 # what happened.
-def _mixture_sql(rows: str, members: list[str], steps: int = 600) -> str:
-    names = ", ".join(f"('{m}', {i})" for i, m in enumerate(members))
-    return f"""WITH RECURSIVE {rows},
-pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
-pw AS (SELECT q, a, b, c FROM mix JOIN pr ON mix.fold <> pr.q),
+EM_LAST = 600
+EM_STEPS = f"""pw AS (SELECT q, a, b, c FROM mix JOIN pr ON mix.fold <> pr.q),
 em AS (SELECT 0 AS step, q, 1 / 3.0 AS wa, 1 / 3.0 AS wb, 1 / 3.0 AS wc FROM pr
   UNION ALL
   SELECT any_value(step) + 1, em.q, avg(wa * a / (wa * a + wb * b + wc * c)), avg(wb * b / (wa * a + wb * b + wc * c)),
-    avg(wc * c / (wa * a + wb * b + wc * c)) FROM em JOIN pw ON em.q = pw.q WHERE step < {steps} GROUP BY em.q)
+    avg(wc * c / (wa * a + wb * b + wc * c)) FROM em JOIN pw ON em.q = pw.q WHERE step < {EM_LAST} GROUP BY em.q)"""
+
+
+def _mixture_sql(rows: str, members: list[str]) -> str:
+    names = ", ".join(f"('{m}', {i})" for i, m in enumerate(members))
+    return f"""WITH RECURSIVE {rows},
+pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
+{EM_STEPS}
 SELECT q AS problem, v.member, round(CASE v.i WHEN 0 THEN wa WHEN 1 THEN wb ELSE wc END, 3) + 0.0 AS w
-FROM em, (VALUES {names}) v(member, i) WHERE step = {steps}"""
+FROM em, (VALUES {names}) v(member, i) WHERE step = {EM_LAST}"""
 
 
-SYN_MIX = f"""{SYN_OOF},
-mix AS (SELECT fold, max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p1') AS a,
+SYN_MIX_ROWS = """mix AS (SELECT fold, max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p1') AS a,
     max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p2') AS b,
     max(CASE WHEN y = 1 THEN p ELSE 1 - p END) FILTER (WHERE member = 'p3') AS c FROM mo GROUP BY id, fold)"""
+SYN_MIX = f"{SYN_OOF},\n{SYN_MIX_ROWS}"
 MC_MIX = f"""{MC_OOF},
 mix AS (SELECT fold, max(probs[code + 1]) FILTER (WHERE member = 'c1') AS a, max(probs[code + 1]) FILTER (WHERE member = 'c2') AS b,
     max(probs[code + 1]) FILTER (WHERE member = 'c3') AS c FROM mo GROUP BY id, fold)"""
@@ -705,6 +727,48 @@ def q_blend_convex_logloss(spark, sf):
     return _weights_df(spark, np.round(W, 3), MEMBERS3)
 
 
+# Newton steps on one coefficient after the other; the penalty spares the intercept.
+LOGISTIC_ROWS = f"""WITH RECURSIVE {SYN_OOF},
+z AS (SELECT id, fold, any_value(y) AS y, {', '.join(
+    f"max(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))) FILTER (WHERE member = 'p{i}') AS x{i}" for i in (1, 2, 3))}
+      FROM mo GROUP BY id, fold),
+pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
+pz AS (SELECT q, y, x1, x2, x3 FROM z JOIN pr ON z.fold <> pr.q),
+nt AS (SELECT 0 AS step, q, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM pr
+  UNION ALL
+  SELECT step + 1, q, CASE WHEN step % 4 = 0 THEN b0 - g / h ELSE b0 END, CASE WHEN step % 4 = 1 THEN b1 - g / h ELSE b1 END,
+    CASE WHEN step % 4 = 2 THEN b2 - g / h ELSE b2 END, CASE WHEN step % 4 = 3 THEN b3 - g / h ELSE b3 END
+  FROM (SELECT step, q, b0, b1, b2, b3,
+          sum((p - y) * x) + CASE step % 4 WHEN 0 THEN 0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END AS g,
+          sum(p * (1 - p) * x * x) + CASE step % 4 WHEN 0 THEN 0 ELSE 1 END AS h
+        FROM (SELECT step, nt.q, b0, b1, b2, b3, y, CASE step % 4 WHEN 0 THEN 1 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS x,
+                1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM nt JOIN pz ON nt.q = pz.q WHERE step < 800)
+        GROUP BY step, q, b0, b1, b2, b3))"""
+LOGISTIC_SQL = f"""{LOGISTIC_ROWS}
+SELECT q AS problem, v.member, round(CASE v.i WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, 3) + 0.0 AS coef
+FROM nt, (VALUES ('intercept', 0), ('p1', 1), ('p2', 2), ('p3', 3)) v(member, i) WHERE step = 800"""
+
+# Each row is scored by the fit of the problem that left its fold out; fitted weights agree to
+# three digits, so the scores are compared to four.
+META_SCORES_SQL = f"""{LOGISTIC_ROWS},
+{SYN_MIX_ROWS},
+{EM_STEPS},
+lp AS (SELECT y, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM z JOIN nt ON nt.q = z.fold WHERE step = 800),
+wide AS (SELECT fold, any_value(y) AS y, max(p) FILTER (WHERE member = 'p1') AS p1, max(p) FILTER (WHERE member = 'p2') AS p2,
+  max(p) FILTER (WHERE member = 'p3') AS p3 FROM mo GROUP BY id, fold),
+cp AS (SELECT y, wa * p1 + wb * p2 + wc * p3 AS p FROM wide JOIN em ON em.q = wide.fold WHERE step = {EM_LAST}),
+{META_PLAIN}
+SELECT meta, round(oof_score, 4) AS oof_score FROM (SELECT * FROM sc UNION ALL SELECT 'logistic', auc FROM {S.auc_sql('lp', '')}
+  UNION ALL SELECT 'nnls', auc FROM {S.auc_sql('cp', '')})"""
+
+
+@query("meta_scores", META_SCORES_SQL)
+def q_meta_scores(spark, sf):
+    oof_long, test_long, train, spec = _syn_stack_inputs(spark, sf)
+    res = ST.stack(oof_long, test_long, train, MEMBERS3, 5, "binary", "auc", spec.cv_label())
+    return spark.createDataFrame([(n, round(s, 4)) for n, s in res.scores], "meta string, oof_score double")
+
+
 #: Members side by side with fold and target; problem q leaves fold q out, problem 5 has all rows.
 REG_WIDE = f"""{REG_OOF},
 w AS (SELECT id, fold, any_value(y) AS y, max(p) FILTER (WHERE member = 'r1') AS a, max(p) FILTER (WHERE member = 'r2') AS b,
@@ -761,27 +825,6 @@ def q_blend_linear(spark, sf):
     return _weights_df(spark, B, ["intercept"] + ms, "coef")
 
 
-# Newton steps on one coefficient after the other; the penalty spares the intercept.
-LOGISTIC_SQL = f"""WITH RECURSIVE {SYN_OOF},
-z AS (SELECT id, fold, any_value(y) AS y, {', '.join(
-    f"max(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6)))) FILTER (WHERE member = 'p{i}') AS x{i}" for i in (1, 2, 3))}
-      FROM mo GROUP BY id, fold),
-pr AS (SELECT CAST(range AS INTEGER) AS q FROM range(6)),
-pz AS (SELECT q, y, x1, x2, x3 FROM z JOIN pr ON z.fold <> pr.q),
-nt AS (SELECT 0 AS step, q, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM pr
-  UNION ALL
-  SELECT step + 1, q, CASE WHEN step % 4 = 0 THEN b0 - g / h ELSE b0 END, CASE WHEN step % 4 = 1 THEN b1 - g / h ELSE b1 END,
-    CASE WHEN step % 4 = 2 THEN b2 - g / h ELSE b2 END, CASE WHEN step % 4 = 3 THEN b3 - g / h ELSE b3 END
-  FROM (SELECT step, q, b0, b1, b2, b3,
-          sum((p - y) * x) + CASE step % 4 WHEN 0 THEN 0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END AS g,
-          sum(p * (1 - p) * x * x) + CASE step % 4 WHEN 0 THEN 0 ELSE 1 END AS h
-        FROM (SELECT step, nt.q, b0, b1, b2, b3, y, CASE step % 4 WHEN 0 THEN 1 WHEN 1 THEN x1 WHEN 2 THEN x2 ELSE x3 END AS x,
-                1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2 + b3 * x3))) AS p FROM nt JOIN pz ON nt.q = pz.q WHERE step < 800)
-        GROUP BY step, q, b0, b1, b2, b3))
-SELECT q AS problem, v.member, round(CASE v.i WHEN 0 THEN b0 WHEN 1 THEN b1 WHEN 2 THEN b2 ELSE b3 END, 3) + 0.0 AS coef
-FROM nt, (VALUES ('intercept', 0), ('p1', 1), ('p2', 2), ('p3', 3)) v(member, i) WHERE step = 800"""
-
-
 @query("blend_logistic", LOGISTIC_SQL)
 def q_blend_logistic(spark, sf):
     oof_long, _, train, _ = _syn_stack_inputs(spark, sf)
@@ -1146,7 +1189,7 @@ def q_sweep_scores(spark, sf):
     settings = {f"reg_{i}": get_trainer("linear", regParam=reg) for i, reg in enumerate((0.0, 0.05))}
     jobs = JOB.sweep(spark, t, _replace(spec, drop_cols=("ts",)), settings, scratch_path(spark, "sweep"))
     params = spark.createDataFrame([("reg_0", "regParam=0.0"), ("reg_1", "regParam=0.05")], "exp_id string, params string")
-    logs = RU.read_raw_logs(spark, jobs["reg_0"].path("logs"))
+    logs = RU.read_raw_logs(spark, jobs["reg_0"].path("logs")).select("exp_id", "cv_strategy", "cv_mean")
     return logs.join(params, "exp_id").select("params", "cv_strategy", (F.col("cv_mean") > 0.8).alias("above_gate"))
 
 
@@ -1247,6 +1290,96 @@ def q_submission(spark, sf):
     return sub.select("id", r6("y").alias("y"))
 
 
+@query("submission_template", f"""WITH t AS ({S.TASKS['syn']})
+SELECT id, round({S.BIN_MEMBERS['p1']}, 6) AS y FROM t WHERE part = 'test'""")
+def q_submission_template(spark, sf):
+    """A template file in CSV says which keys a submission has."""
+    t, path = T.test_rows(T.syn_task(spark, sf)), f"{scratch_path(spark, 'template')}.csv"
+    t.select("id", F.lit(0.0).alias("y")).write.option("header", True).csv(path)
+    pred = MB.binary_members(t, names=("p1",)).select("id", F.col("p").alias("pred"))
+    return OOF.submission(OOF.read_template(spark, path, "id"), pred, "id", "y").select("id", r6("y").alias("y"))
+
+
+@query("read_pred", f"""WITH t AS ({S.TASKS['syn']})
+SELECT 'parquet' AS kind, id, round({S.BIN_MEMBERS['p1']}, 6) AS oof FROM t WHERE part = 'train'
+UNION ALL SELECT 'csv' AS kind, id, round({S.BIN_MEMBERS['p2']}, 6) AS oof FROM t WHERE part = 'train'""")
+def q_read_pred(spark, sf):
+    """Prediction tables by name, one stored as Parquet and one as CSV."""
+    t, folder = T.train_rows(T.syn_task(spark, sf)), scratch_path(spark, "preds")
+    p = {m: MB.binary_members(t, names=(m,)).select("id", F.col("p").alias("oof")) for m in ("p1", "p2")}
+    p["p1"].write.parquet(f"{folder}/one.parquet")
+    p["p2"].write.option("header", True).csv(f"{folder}/two.csv")
+    both = [read_pred(spark, folder, name).select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id"), r6("oof").alias("oof"))
+            for name, kind in (("one", "parquet"), ("two", "csv"))]
+    return both[0].unionByName(both[1])
+
+
+@query("source_rows", f"""WITH t AS ({S.TASKS['bin']})
+SELECT count(*) AS n_rows, (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_classes FROM t WHERE part = 'source'""")
+def q_source_rows(spark, sf):
+    """The checks of a run's inputs: the rows that a source should have, the classes that are declared."""
+    src = T.source_rows(T.bin_task(spark, sf))
+    n = IG.check_row_count(src, src.agg(F.count(F.lit(1)).alias("n")).first().n, "source")
+    lm = fit_label_map(spark, T.train_rows(T.mc_task(spark, sf)), n_classes=5)
+    return src.agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") == n).withColumn("n_classes", F.lit(lm.n_classes).cast("long"))
+
+
+@query("saved_models", f"""WITH {S.folded('syn')}
+SELECT id, fold, true AS equal FROM f""")
+def q_saved_models(spark, sf):
+    """The saved model of each fold, loaded again, predicts the stored OOF values."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    t, spec = _syn_model_task(spark, sf)
+    t, spec, store = t.drop("ts", "value"), _replace(spec, te_cols=(), drop_cols=("user_id",)), scratch_path(spark, "job")
+    job = JOB.train_job(spark, t, spec, get_trainer("linear"), store, "kept", keep_models=True)
+    split = IG.get_or_create_split(spark, T.train_rows(t), spec, f"{store}/splits")
+    rows = VectorAssembler(inputCols=["s_a", "s_n"], outputCol="features").transform(T.train_rows(t).join(split, "id"))
+    out = None
+    for k in range(spec.n_folds):
+        model = LogisticRegressionModel.load(f"{store}/models/kept_fold{k}")
+        p = model.transform(rows.where(F.col("fold") == k)).select("id", "fold", F.element_at(vector_to_array("probability"), 2).alias("p"))
+        out = p if out is None else out.unionByName(p)
+    oof = spark.read.parquet(job.path("oof"))
+    return out.join(oof, "id").select("id", "fold", (F.abs(F.col("p") - F.col("oof")) < 1e-12).alias("equal"))
+
+
+@query("test_probabilities", f"""WITH {S.mc_ctes()}
+SELECT id, true AS sums_to_one, true AS is_best FROM tc WHERE part = 'test'""")
+def q_test_probabilities(spark, sf):
+    """A multiclass run stores the test probabilities that its submitted labels are the highest of."""
+    t, spec = T.load_task(spark, sf, "mc")
+    job = JOB.train_job(spark, t.select("id", "y", "o_totalprice", "part"), spec, get_trainer("linear", maxIter=5), scratch_path(spark, "job"), "mc")
+    probs = spark.read.parquet(job.path("test"))
+    classes = [c for c in probs.columns if c != "id"]
+    best = F.greatest(*[F.col(f"`{c}`") for c in classes])
+    chosen = F.coalesce(*[F.when(F.col("y") == c, F.col(f"`{c}`")) for c in classes])
+    total = sum((F.col(f"`{c}`") for c in classes), F.lit(0.0))
+    sub = spark.read.parquet(job.path("submission"))
+    return probs.join(sub, "id").select("id", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), (chosen == best).alias("is_best"))
+
+
+@query("stack_of_stored_runs", f"""WITH {S.folded('syn')}
+SELECT 'stack_1' AS exp_id, 'StratifiedKFold_5' AS cv_strategy, id, fold, true AS in_range FROM f""")
+def q_stack_of_stored_runs(spark, sf):
+    """Two stored runs and a stack of them: folds by the runs' logged regime from the stored split, the
+    stack stored like a run."""
+    t, spec = _syn_model_task(spark, sf)
+    t, spec, store = t.drop("ts", "value"), _replace(spec, te_cols=(), drop_cols=("user_id",)), scratch_path(spark, "store")
+    jobs = JOB.sweep(spark, t, spec, {"a": get_trainer("linear"), "b": get_trainer("rf", numTrees=5)}, store)
+    logs = jobs["a"].path("logs")
+    oof, test = JOB.members_of(spark, store, ["a", "b"], "y")
+    train, ids = T.train_rows(t).select("id", "y", F.lit(None).cast("int").alias("fold")), T.test_rows(t).select("id")
+    stack = ST.stack_job(spark, oof, test, train, ids, ["a", "b"], spec, raw_logs=RU.read_raw_logs(spark, logs), split_store=f"{store}/splits")
+    JOB.record_stack(spark, stack, store, "stack_1")
+    kept = RU.read_raw_logs(spark, logs).where("exp_id = 'stack_1'").select("exp_id", "cv_strategy")
+    split = IG.get_or_create_split(spark, T.train_rows(t), spec, f"{store}/splits")
+    rows = spark.read.parquet(f"{store}/oof/stack_1").join(split, "id").crossJoin(F.broadcast(kept))  # one record
+    return rows.select("exp_id", "cv_strategy", "id", "fold", F.col("oof").between(0, 1).alias("in_range"))
+
+
 # ---------------------------------------------------------------- diagnostics (described procedures)
 from foldwise.operators import diagnostics as DG  # noqa: E402
 

@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foldwise.llm.packing import ChunkEncoder, pack, pack_documents, pack_items, tokenise
-from foldwise.llm.queries import END_ID, tokenizer
+from foldwise.llm.packing import MAX_LOSS_TOKENS, MAX_SEGMENTS, ChunkEncoder, pack, pack_documents, pack_items, tokenise
+from foldwise.llm.queries import END_ID, op6_packing, tokenizer
 
 PATH = tokenizer("word_bpe_49k.json")
 
@@ -71,6 +72,8 @@ def test_edges(spark):
                                  "doc_id long, text string, sequence_id int")
     got = tokenise(docs, PATH, END_ID).collect()
     assert sorted(r.length for r in got) == [1, 1, 1, 809, 4096, 4096]
+    sizes = {r.sequence_id: 0 for r in pack_documents(docs, PATH, END_ID).collect()}
+    assert len(sizes) == 3
     out = pack_documents(docs, PATH, END_ID).collect()
     assert len(out) == 6 and sum(r.length for r in out) == 9004
     assert pack_documents(docs.where("false"), PATH, END_ID).count() == 0
@@ -78,6 +81,51 @@ def test_edges(spark):
         pack(spark.createDataFrame([(1, 5000)], "id int, length long")).collect()
 
 
+def plain_packing(demand, limits):
+    """The heuristic, item by item: sequences as sorted lists of demands."""
+    left, out = [tuple(map(int, d)) for d in demand], []
+    while left:
+        room, here = list(map(int, limits)), []
+        while True:
+            fit = [d for d in left if all(a <= b for a, b in zip(d, room))]
+            if not fit:
+                break
+            best = max(fit, key=lambda d: (sum(x / m * (r / m) for x, m, r in zip(d, limits, room)), [-x for x in d]))
+            here.append(best)
+            left.remove(best)
+            room = [r - x for r, x in zip(room, best)]
+        out.append(here)
+    return out
+
+
+def test_placement_is_the_dot_product_heuristic():
+    rng = np.random.default_rng(5)
+    limits = np.array([97, 6, 41])
+    for n in (1, 30, 120):
+        demand = np.stack([rng.integers(0, 60, n), np.ones(n, int), rng.integers(0, 41, n)], axis=1)
+        seq, order = pack_items(demand, limits)
+        got = [[tuple(map(int, demand[i])) for i in sorted(np.flatnonzero(seq == s), key=lambda i: order[i])] for s in range(seq.max() + 1)]
+        assert got == plain_packing(demand, limits)
+
+
+def test_equal_rows_are_dealt_evenly(spark):
+    rows = spark.createDataFrame([(7, 3)] * 5000, "doc_id int, length long").repartition(5)
+    out = pack(rows, group_size=100)
+    sizes = [r["count"] for r in out.groupBy((F.col("sequence_id") / (1 << 24)).cast("long").alias("g")).count().collect()]
+    assert len(sizes) == 50 and max(sizes) <= 100
+    assert out.groupBy("sequence_id").agg(F.countDistinct("offset").alias("d"), F.count(F.lit(1)).alias("n")).where("d <> n").isEmpty()
+
+
+def test_all_three_limits_bind_in_the_query(spark):
+    out = op6_packing(spark, "/root/testdata/sf0.1").groupBy("sequence_id").agg(
+        F.sum("length").alias("tokens"), F.count(F.lit(1)).alias("segments"), F.sum(F.col("length") - 1).alias("loss")).collect()
+    assert all(r.tokens <= 4096 and r.segments <= MAX_SEGMENTS and r.loss <= MAX_LOSS_TOKENS for r in out)
+    assert any(r.tokens == 4096 for r in out)
+    assert any(r.segments == MAX_SEGMENTS for r in out)
+    assert any(r.loss == MAX_LOSS_TOKENS and r.tokens < 4096 for r in out)
+    assert sum(r.tokens for r in out) > 0.985 * 4096 * len(out)
+
+
 def test_loss_column_and_segments_bind(spark):
     items = spark.createDataFrame([(i, 10, 4) for i in range(100)], "id int, length long, loss long")
     out = pack(items, loss_col="loss", max_tokens=1000, max_segments=7, max_loss=20).collect()
