@@ -5,8 +5,8 @@ loss-bearing tokens. One sequence is open at a time. Among the items that fit un
 three limits the one whose demand has the largest dot product with the sequence's
 remaining capacities (both as shares of the limits) is placed, until none fits.
 
-Items are dealt at random to groups of bounded size and every group is packed by itself,
-so no task sees more than ``group_size`` items however many one source or document has.
+Items are numbered over all tasks and dealt by number to groups, and every group is packed by
+itself: no group holds more than ``group_size`` items, however many of them are equal.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.llm.common import stash
+from foldwise.llm.common import stash, unused
 
 SEQUENCE_TOKENS = 4096
-MAX_SEGMENTS = 512
-MAX_LOSS_TOKENS = 4096
+MAX_SEGMENTS = 32
+MAX_LOSS_TOKENS = 4080    # binds in sequences of few long segments, at the cost of 16 tokens of 4096 at most
 GROUP_SIZE = 4096
 KNOWN_PARTS = 350_000     # distinct parts whose ids a worker keeps
 LATIN, MARKS = "\u0100", ".,;:!?"
@@ -187,14 +187,23 @@ def pack(pieces: DataFrame, length_col: str = "length", loss_col: str | None = N
     length = F.greatest(F.coalesce(F.col(length_col).cast("long"), F.lit(0)), F.lit(0))
     loss = F.greatest(F.coalesce(F.col(loss_col).cast("long"), F.lit(0)), F.lit(0)) if loss_col else \
         F.greatest(length - 1, F.lit(0))
-    total = pieces.count()
+    row, place, group, len_, loss_ = (unused(c, cols) for c in ("_row", "_place", "_group", "_len", "_loss"))
+    # the numbers are written with the rows: whoever reads them again finds the same ones
+    kept = stash(pieces.withColumns({len_: length, loss_: loss, row: F.monotonically_increasing_id()}), "numbered")
+    task = F.shiftright(row, 33)
+    sizes = kept.groupBy(task.alias(place)).agg(F.count(F.lit(1)).alias(group)).collect()  # a row per task that wrote
+    before, total = {}, 0
+    for r in sorted(sizes):
+        before[r[0]], total = total, total + r[1]
     groups = max(1, -(-total // group_size))
-    h = F.xxhash64(F.lit(seed), *[F.col(c) for c in cols if not isinstance(pieces.schema[c].dataType, T.MapType)])
-    dealt = pieces.withColumns({"_len": length, "_loss": loss}).withColumn("_group", F.pmod(h, F.lit(groups)))
+    offsets = pieces.sparkSession.createDataFrame([(k, v) for k, v in before.items()], f"{place} long, {group} long")
+    dealt = kept.withColumn(place, task).join(F.broadcast(offsets), place)
+    number = F.col(group) + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = dealt.withColumn(group, F.pmod(number, F.lit(groups))).drop(place, row)
     limits = np.array([max_tokens, max_segments, max_loss])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        demand = np.stack([pdf["_len"].to_numpy(), np.ones(len(pdf), dtype=np.int64), pdf["_loss"].to_numpy()], axis=1)
+        demand = np.stack([pdf[len_].to_numpy(), np.ones(len(pdf), dtype=np.int64), pdf[loss_].to_numpy()], axis=1)
         if (demand > limits).any():
             raise ValueError(f"a piece is above the limits {limits.tolist()}")
         seq, order = pack_items(demand, limits)
@@ -206,13 +215,13 @@ def pack(pieces: DataFrame, length_col: str = "length", loss_col: str | None = N
         offset = np.empty(len(pdf), dtype=np.int64)
         offset[at] = begin - base
         out = pdf[cols].copy()
-        out["sequence_id"] = pdf["_group"].to_numpy() * (1 << 24) + seq
+        out["sequence_id"] = pdf[group].to_numpy() * (1 << 24) + seq
         out["offset"] = offset
         return out
 
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
-    return dealt.groupBy("_group").applyInPandas(run, schema)
+    return dealt.groupBy(group).applyInPandas(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id",
@@ -222,6 +231,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: st
     The token ids stay with the pieces only until their checksum is taken; what is
     shuffled and packed are rows of a few numbers.
     """
-    pieces = tokenise(docs, tokenizer_path, end_id, SEQUENCE_TOKENS, id_col, text_col)
-    slim = pieces.select(id_col, "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens")
-    return pack(stash(slim, "pieces"))
+    # a piece's first token bears no loss
+    pieces = tokenise(docs, tokenizer_path, end_id, min(SEQUENCE_TOKENS, MAX_LOSS_TOKENS + 1), id_col, text_col)
+    return pack(pieces.select(id_col, "start", "length", F.crc32("ids_le").alias("ids_crc32"), "doc_tokens"))
