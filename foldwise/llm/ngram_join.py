@@ -537,15 +537,14 @@ def _components(docs: DataFrame, words: int, num: int, den: int, id_col: str, te
     rows = _texts(docs, id_col, text_col)
     sets = stash(set_table(rows, words), "sets")
     placed = partition_table(rows, words, num, den)
-    shared = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-    shared = stash(shared.select(F.col("p").alias("_p")), "partitions")
-    together = stash(placed.join(shared, F.col("p") == F.col("_p")).select("p", "c", "n").distinct(), "members")
+    shared = placed.groupBy("p").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
+    shared = stash(shared.select(F.col("p").alias("_p"), F.least("m", F.lit((1 << 31) - 1)).cast("int").alias("m")), "partitions")
+    together = stash(placed.join(shared, F.col("p") == F.col("_p")).select("p", "c", "n", "m").distinct(), "members")
     discard(shared)
-    members = _distinct_partitions(together)
-    # how many classes a class meets in its partitions: what the first star's hubs are chosen by
-    sizes = stash(together.groupBy("p").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("p", "_p"), "partition-sizes")
-    meets = stash(together.join(sizes, F.col("p") == F.col("_p")).groupBy("c").agg(F.sum("m").alias("meets")), "meets")
-    discard(together, sizes)
+    members = _distinct_partitions(together.select("p", "c", "n"))
+    # how many texts a class meets in its partitions: what the first star's hubs are chosen by
+    meets = stash(together.groupBy("c").agg(F.sum("m").alias("meets")), "meets")
+    discard(together)
 
     # the sets of the classes that share a partition, one text each
     low = stash(sets.where("n > 0").groupBy("c").agg(F.min("d").alias("d")), "classes")
