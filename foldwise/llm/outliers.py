@@ -5,14 +5,22 @@ documents that spreads least, and a document is rejected when the Mahalanobis di
 its transformed statistics is improbable. Everything is a column expression or a grouped
 aggregate: statistics and matrices stay in the engine.
 
-Estimation (deterministic start, then concentration steps): the first subset holds the
-documents nearest to the coordinate-wise median, scaled by the median absolute deviation;
-each step takes moments of the subset, factors the covariance (Cholesky, written out as
-column expressions), and forms the next subset from the share ``coverage`` of the group
-with the smallest distances. A step never raises the determinant but by the error of the
-approximate quantile; steps are taken until no group's determinant falls any more, ``STEPS``
-at least. A group's rows are only ever read by map-side combined aggregates, so a source with
-a third of all documents is spread over all tasks.
+The statistics vary in typical text, so the estimated covariance and not a floor decides:
+word length, share of marks, share of capitals, lines per word, distinct words per word. Each is
+taken as the deviation from its group's median, weighted by sqrt(n / (n + PRIOR_WORDS)), as
+shares of short texts scatter more, and scaled by the group's median absolute deviation.
+
+Estimation (deterministic starts, then concentration steps): a first covariance comes from the
+hyperbolic tangents of the scaled statistics, a second from their signs in space; both are
+carried side by side. Each step takes the share ``COVERAGE`` of the group with the smallest
+distances and its moments, and factors the covariance (Cholesky, written out as column
+expressions). A step never raises the determinant but by the error of the approximate quantile;
+steps are taken until no group's determinant falls any more, ``STEPS`` at least, for the groups of all
+levels (source within language, language, all documents) side by side, and the start
+that ends with the smaller determinant stays. Distances are scaled so that the median document of
+a group has the median of the chi-square distribution. Equal vectors count once, so copies do
+not become the half. A group's rows are only ever read by map-side combined aggregates, so a
+source with a third of all documents is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +34,8 @@ from foldwise.llm.common import stash
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SYMBOL = "[^#*$%&|<>]+"
+NOT_MARK = "[\\p{L}\\p{M}\\p{N}\\x20\\x09-\\x0D]+"
+NOT_UPPER = "[^\\p{Lu}]+"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
@@ -33,12 +43,15 @@ MAX_REPEATED_PERCENT = 30
 COVERAGE = 0.5         # share of a group in the subset: up to half of a group may be outliers
 STEPS = 4              # concentration steps at least
 FALL = 1e-3            # a determinant falls when its logarithm goes this far below the lowest before
-PRIOR_WORDS = 50.0     # words of typical text added to a document's ratios, so short texts do not scatter
+PRIOR_WORDS = 200.0    # words at which chance spreads a share as much as documents differ in it
 MIN_GROUP = 40         # smaller groups borrow the estimate of their language, then of all documents
-CUTOFF = 80.0          # squared distance above which a document is rejected; far beyond chi-square(4), as tails are heavy
-#: Smallest standard deviation per statistic; most texts have no symbol or repeated line at all.
-FLOORS = (0.06, 0.05, 0.05, 0.05)
-DIMS = len(FLOORS)
+MIN_SPREAD = 0.1       # so do groups whose half spreads less than this part of the half of all documents
+DIMS = 5
+CHI_MEDIAN = 4.351     # median of chi-square(5)
+CUTOFF = 80.0          # scaled squared distance above which a document is rejected: a chi-square(5) tail below
+                       # 1e-14, as tails of real statistics are heavy
+TINY_SCALE = 1e-3      # scale of a statistic that does not vary in a group (shares' roots and logarithms)
+RIDGE = 1e-3           # added to each scaled variance, against singular matrices only
 
 
 # ------------------------------------------------------------ base statistics
@@ -78,128 +91,161 @@ def repeated_words(words: Column) -> Column:
 
 def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     by: Sequence[str] = ("lang", "source")) -> DataFrame:
-    """(id, by..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of every row.
+    """(id, by..., n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_upper, n_lines,
+    n_distinct) of every row.
 
-    Counted over whole texts; a null text has no words, lines or symbols.
+    Counted over whole texts; a null text has no words, lines or symbols. Marks are characters of words
+    that are no letter, combining mark or digit; n_lines counts lines with a word; distinct words are
+    told apart by 64-bit hashes.
     """
     t = F.coalesce(F.col("_t"), F.lit(""))
     words = F.filter(F.split(t, SPACE), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"by_{c}") for c in by],
                     docs[text_col].cast("string").alias("_t"))
-    words_of = F.transform(F.array(words), lambda w: F.struct(F.size(w).cast("long").alias("n"),
-                                                              repeated_words(w).alias("r")))[0]
-    return d.select("id", *[f"by_{c}" for c in by], words_of.alias("w"),
-                    F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-                    F.length(F.regexp_replace(t, NOT_SYMBOL, "")).cast("long").alias("n_symbols"),
-                    _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines")
+    words_of = _let(words, lambda w: F.struct(
+        F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"),
+        F.size(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))).cast("long").alias("u")))
+    lines_of = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"),
+                                              (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
+
+    def rest(pattern: str) -> Column:
+        return F.length(F.regexp_replace(t, pattern, "")).cast("long")
+
+    return d.select("id", *[f"by_{c}" for c in by], words_of.alias("w"), lines_of.alias("l"),
+                    rest(SPACE).alias("word_chars"), rest(NOT_SYMBOL).alias("n_symbols"),
+                    rest(NOT_MARK).alias("n_marks"), rest(NOT_UPPER).alias("n_upper")
                     ).select("id", *[f"by_{c}" for c in by], F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
-                             "n_dup_lines", F.col("w.r").alias("n_repeat_words"))
+                             F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), "n_marks", "n_upper",
+                             F.col("l.n").alias("n_lines"), F.col("w.u").alias("n_distinct"))
 
 
 def transformed() -> list[Column]:
-    """The statistic vector: smoothed shares on scales where typical text is near normal."""
-    n = F.col("n_words") + F.lit(PRIOR_WORDS)
-    chars = (F.col("word_chars") + 5.0 * PRIOR_WORDS) / n
-    return [F.log(chars), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_repeat_words") / n),
-            F.sqrt(F.col("n_dup_lines") / n)]
+    """The statistic vector, on scales where typical text is near normal."""
+    n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
+    return [F.log((F.col("word_chars") + 1) / n), F.sqrt(F.col("n_marks") / chars), F.sqrt(F.col("n_upper") / chars),
+            F.log((F.col("n_lines") + 1) / (n + 1)), F.log((F.col("n_distinct") + 1) / (n + 1))]
 
 
 # ------------------------------------------------------------ minimum covariance determinant
-def _moments(keys: Sequence[str], inside: Column) -> list[Column]:
-    x = [F.when(inside, F.col(f"x{i}")) for i in range(DIMS)]
-    return [F.count(x[0]).alias("m"), *[F.avg(v).alias(f"mu{i}") for i, v in enumerate(x)],
-            *[F.covar_pop(x[i], x[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)]]
-
-
-def _factored(est: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lower Cholesky factor of each covariance, with the variance floors added."""
-    out = est
+def _factored(sums: DataFrame, keys: Sequence[str], centred: bool = True) -> DataFrame:
+    """Mean and lower Cholesky factor of each covariance from counts, sums and sums of products."""
+    out = sums.withColumns({f"mu{i}": F.col(f"t{i}") / F.col("m") if centred else F.lit(0.0) for i in range(DIMS)})
     for i in range(DIMS):
         for j in range(i + 1):
-            c = F.coalesce(F.col(f"c{i}{j}"), F.lit(0.0)) + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
+            c = F.col(f"p{i}{j}") / F.col("m") - F.col(f"mu{i}") * F.col(f"mu{j}") + F.lit(RIDGE if i == j else 0.0)
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 * 0.01))) if i == j
-                                 else c / F.col(f"l{j}{j}"))
-    return out.select(*keys, "m", *[f"mu{i}" for i in range(DIMS)],
-                      *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(RIDGE * 0.01))) if i == j else c / F.col(f"l{j}{j}"))
+    return out.select(*keys, *[f"mu{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+
 
+def _sums(v: Sequence[Column]) -> list[Column]:
+    return [F.count(v[0]).alias("m"), *[F.sum(x).alias(f"t{i}") for i, x in enumerate(v)],
+            *[F.sum(v[i] * v[j]).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)]]
 
-def _with_distance(rows: DataFrame, est: DataFrame, keys: Sequence[str], out: str = "d2") -> DataFrame:
-    """Squared Mahalanobis distance by forward substitution; the groups' estimates are joined
-    by key (AQE broadcasts them when their measured size allows it, else splits hot keys)."""
-    cond = [rows[k].eqNullSafe(est[f"e_{k}"]) for k in keys]
-    j = rows.join(est, cond, "left") if cond else rows.crossJoin(F.broadcast(est))
+
+def _distance(z: Sequence[Column]) -> Column:
+    """Squared Mahalanobis distance by forward substitution."""
+    y = []
     for i in range(DIMS):
-        y = F.col(f"x{i}") - F.col(f"mu{i}")
+        v = z[i] - F.col(f"mu{i}")
         for k in range(i):
-            y = y - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        j = j.withColumn(f"y{i}", y / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"y{i}") ** 2 for i in range(1, DIMS)), F.col("y0") ** 2)
-    return j.select(*[rows[c] for c in rows.columns if c != out], d2.alias(out))
+            v = v - F.col(f"l{i}{k}") * y[k]
+        y.append(v / F.col(f"l{i}{i}"))
+    return sum((v * v for v in y[1:]), y[0] * y[0])
+
+
+def _median(value: Column, share: float = 0.5) -> Column:
+    return F.percentile_approx(value, share, 1000)
 
 
-def _renamed(est: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return est.withColumnsRenamed({k: f"e_{k}" for k in keys})
+def _z() -> list[Column]:
+    return [F.col(f"z{i}") for i in range(DIMS)]
+
+
+def _scaled() -> list[Column]:
+    return [(F.col(f"x{i}") - F.col(f"a{i}")) * F.col("w") / F.col(f"s{i}") for i in range(DIMS)]
+
+
+def _join(rows: DataFrame, est: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Rows with their group's estimates; joined by key (AQE broadcasts them when their measured size allows
+    it, else splits hot keys), or the one row of estimates of all documents."""
+    est = est.withColumnsRenamed({k: f"e_{k}" for k in keys})
+    if not keys:
+        return rows.join(F.broadcast(est), F.lit(True), how)
+    return rows.join(est, [rows[k].eqNullSafe(est[f"e_{k}"]) for k in keys], how).drop(*[f"e_{k}" for k in keys])
 
 
 def mcd(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Location and Cholesky factor per group of ``keys`` over columns x0, x1, ...; one row a group."""
+    """Estimates per group of ``keys`` over the columns w, x0, x1, ...; one row a group: members m, centre a,
+    scale s, location mu and Cholesky factor l of the scaled statistics, factor ``unit`` of squared
+    distances, logarithm ``spread`` of the half's mean standard deviation."""
     keys = list(keys)
-    med = rows.groupBy(*keys).agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"mu{i}") for i in range(DIMS)])
-    near = _join(rows, stash(med, "mcd-median"), keys)
-    mad = near.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("m"), *[F.first(f"mu{i}").alias(f"mu{i}") for i in range(DIMS)],
-        *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"mu{i}")), 0.5, 1000).alias(f"s{i}") for i in range(DIMS)])
-    est = mad.select(*keys, "m", *[f"mu{i}" for i in range(DIMS)],
-                     *[((F.col(f"s{i}") * 1.4826) ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}")
-                       for i in range(DIMS) for j in range(i + 1)])
-    est = stash(_factored(est, keys), "mcd")
+    centre = stash(rows.groupBy(*keys).agg(*[_median(F.col(f"x{i}")).alias(f"a{i}") for i in range(DIMS)]), "mcd-median")
+    scale = _join(rows, centre, keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("m"), *[F.first(f"a{i}").alias(f"a{i}") for i in range(DIMS)],
+        *[F.greatest(_median(F.abs((F.col(f"x{i}") - F.col(f"a{i}")) * F.col("w"))) * 1.4826, F.lit(TINY_SCALE)).alias(f"s{i}")
+          for i in range(DIMS)])
+    scale = stash(scale, "mcd-scale")
+    scaled = _scaled()
+    one = stash(_join(rows, scale, keys).select(*keys, *[c.alias(f"z{i}") for i, c in enumerate(scaled)]), "mcd-scaled")
+    both = one.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1))))
+    by = [*keys, "start"]
+    length = F.sqrt(sum((z * z for z in _z()[1:]), _z()[0] * _z()[0]))
+    first = [F.when(F.col("start") == 0, F.tanh(z)).otherwise(F.when(length > 0, z / length).otherwise(0.0)) for z in _z()]
+    first = both.select(*by, *[c.alias(f"z{i}") for i, c in enumerate(first)])
+    est = stash(_factored(first.groupBy(*by).agg(*_sums(_z())), by, centred=False), "mcd")
+    det = sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00"))
     step, low = 0, None
     while True:
-        d = _with_distance(rows, _renamed(est, keys), keys)
-        cut = d.groupBy(*keys).agg(F.percentile_approx("d2", COVERAGE, 1000).alias("cut"))
-        inside = _join(d, stash(cut, "mcd-cut"), keys)
-        est = stash(_factored(inside.groupBy(*keys).agg(*_moments(keys, F.col("d2") <= F.col("cut"))), keys), "mcd")
+        d = _join(both, est, by).select(*by, *_z(), _distance(_z()).alias("d2"))
+        cut = stash(d.groupBy(*by).agg(_median(F.col("d2"), COVERAGE).alias("cut")), "mcd-cut")
+        inside = _join(d, cut, by).where(F.col("d2") <= F.col("cut"))
+        est = stash(_factored(inside.groupBy(*by).agg(*_sums(_z())), by), "mcd")
         step += 1
         if step < STEPS - 1:
             continue
-        now = est.select(*keys, sum(F.log(f"l{i}{i}") for i in range(DIMS)).alias("now"))
+        now = est.select(*by, det.alias("now"))
         if low is None:
             low = stash(now.withColumnRenamed("now", "low"), "mcd-low")
             continue
-        both = _join(now, low, keys)
-        if both.where(2 * F.col("now") < 2 * F.col("low") - FALL).isEmpty():
-            return est
-        low = stash(both.select(*keys, F.least("now", "low").alias("low")), "mcd-low")
-
-
-def _join(rows: DataFrame, est: DataFrame, keys: Sequence[str]) -> DataFrame:
-    est = _renamed(est, keys)
-    cond = [rows[k].eqNullSafe(est[f"e_{k}"]) for k in keys]
-    return (rows.join(est, cond) if cond else rows.crossJoin(F.broadcast(est))).drop(*[f"e_{k}" for k in keys])
+        pair = _join(now, low, by)
+        if pair.where(2 * F.col("now") < 2 * F.col("low") - FALL).isEmpty():
+            break
+        low = stash(pair.select(*by, F.least("now", "low").alias("low")), "mcd-low")
+    est = est.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in est.columns if c not in by]), F.struct(det, "start")).alias("e"),
+                                 F.min(det).alias("det")).select(*keys, "e.*", "det")
+    est = stash(_join(scale, est, keys), "mcd-best")
+    unit = _join(one, est, keys).groupBy(*keys).agg(_median(_distance(_z())).alias("d2"))
+    unit = unit.select(*keys, (CHI_MEDIAN / F.greatest("d2", F.lit(RIDGE))).alias("unit"))
+    spread = sum((F.log(f"s{i}") for i in range(1, DIMS)), F.log("s0"))
+    return stash(_join(est, unit, keys).withColumn("spread", (F.col("det") + spread) / DIMS).drop("det"), "mcd-unit")
 
 
 def judge(stats: DataFrame, by: Sequence[str] = ("lang", "source")) -> DataFrame:
     """``stats`` with base_failed, distance2 and kept.
 
-    The estimates come from documents that pass the base rules. A group with fewer than
-    ``MIN_GROUP`` of them is judged by the estimate of its first key, then of all documents;
-    with none at all every document that passes the base rules is kept. Null keys form groups.
+    The estimates come from the distinct vectors of documents that pass the base rules. A group with
+    fewer than ``MIN_GROUP`` of them, or whose half hardly spreads (``MIN_SPREAD``: near copies of one
+    text), is judged by the estimate of its first key, then of all documents; with none at all every
+    document that passes the base rules is kept. Null keys form groups.
     """
     keys = [f"by_{c}" for c in by]
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT)
-    x = stats.withColumn("base_failed", failed)
+    x = stats.withColumn("base_failed", failed).withColumn("w", F.sqrt(F.col("n_words") / (F.col("n_words") + PRIOR_WORDS)))
     x = stash(x.withColumns({f"x{i}": c.cast("double") for i, c in enumerate(transformed())}), "statistics")
-    good = x.where(~F.col("base_failed")).select(*keys, *[f"x{i}" for i in range(DIMS)])
-    out = x
-    names = []
+    good = stash(x.where(~F.col("base_failed")).select(*keys, "w", *[f"x{i}" for i in range(DIMS)]).distinct(), "vectors")
+    # every level's groups side by side: one loop of steps for all of them
+    levels = good.withColumn("level", F.explode(F.array(*[F.lit(i) for i in range(len(keys) + 1)])))
+    est = mcd(levels.withColumns({k: F.when(F.col("level") > i, F.col(k)) for i, k in enumerate(keys)}), ["level", *keys])
+    whole = est.where("level = 0").select(F.col("spread").alias("all_spread"))
+    usable = (F.col("m") >= MIN_GROUP) & (F.col("spread") >= F.col("all_spread") + F.log(F.lit(MIN_SPREAD)))
+    est = stash(_join(est, whole, [], "left").where((F.col("level") == 0) | usable).drop("m", "spread", "all_spread"), "mcd-usable")
+    names, out = [], x
     for level in range(len(keys), -1, -1):
-        est = mcd(good, keys[:level])
-        if level:
-            est = est.where(F.col("m") >= MIN_GROUP * COVERAGE)
-        out = _with_distance(out, _renamed(est, keys[:level]), keys[:level], f"d2_{level}")
+        j = _join(out, est.where(F.col("level") == level).drop("level", *keys[level:]), keys[:level], "left")
+        out = j.select(*out.columns, (_distance(_scaled()) * F.col("unit")).alias(f"d2_{level}"))
         names.append(f"d2_{level}")
     d2 = F.coalesce(*[F.col(n) for n in names])
     return out.select(*stats.columns, "base_failed", d2.alias("distance2"),
@@ -208,6 +254,7 @@ def judge(stats: DataFrame, by: Sequence[str] = ("lang", "source")) -> DataFrame
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   by: Sequence[str] = ("lang", "source")) -> DataFrame:
-    """(id, statistics, base_failed, distance2, kept) of every row of ``docs``."""
-    out = judge(base_statistics(docs, id_col, text_col, by), by)
-    return out.drop(*[f"by_{c}" for c in by]).withColumnRenamed("id", id_col)
+    """(id, statistics, base_failed, distance2, kept, more statistics) of every row of ``docs``."""
+    more = ["n_marks", "n_upper", "n_lines", "n_distinct"]
+    out = judge(base_statistics(docs, id_col, text_col, by), by).drop(*[f"by_{c}" for c in by])
+    return out.select(F.col("id").alias(id_col), *[c for c in out.columns if c not in ("id", *more)], *more)

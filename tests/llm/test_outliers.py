@@ -41,43 +41,104 @@ def test_base_statistics_match_a_plain_count(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want[r.id], r.id
 
 
-def numpy_mcd(x):
-    def distance(mu, cov):
-        inv = np.linalg.inv(cov + np.diag(np.square(O.FLOORS)))
-        return np.einsum("ij,jk,ik->i", x - mu, inv, x - mu)
-
-    mu = np.median(x, axis=0)
-    d = distance(mu, np.diag((1.4826 * np.median(np.abs(x - mu), axis=0)) ** 2))
-    for _ in range(O.STEPS):
-        sub = x[d <= np.quantile(d, O.COVERAGE, method="inverted_cdf")]
-        mu, cov = sub.mean(axis=0), np.cov(sub.T, bias=True)
-        d = distance(mu, cov)
-    return d
+def vectors(rows):
+    """Statistic vectors and weights of ``rows``, as a plain computation."""
+    c = {k: rows[k].to_numpy(float) for k in ("n_words", "word_chars", "n_marks", "n_upper", "n_lines", "n_distinct")}
+    n, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
+    x = np.stack([np.log((c["word_chars"] + 1) / n), np.sqrt(c["n_marks"] / chars), np.sqrt(c["n_upper"] / chars),
+                  np.log((c["n_lines"] + 1) / (n + 1)), np.log((c["n_distinct"] + 1) / (n + 1))], axis=1)
+    return x, np.sqrt(c["n_words"] / (c["n_words"] + O.PRIOR_WORDS))
+
+
+def median(x):
+    return np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+
+
+def numpy_mcd(x, w):
+    """Scaled squared distances of the rows to the estimate from their distinct vectors."""
+    u = np.unique(np.column_stack([x, w]), axis=0)
+    centre = median(u[:, :-1])
+    scale = np.maximum(1.4826 * median(np.abs((u[:, :-1] - centre) * u[:, -1:])), O.TINY_SCALE)
+    z = (u[:, :-1] - centre) * u[:, -1:] / scale
+
+    def distance(z, mu, cov):
+        return np.einsum("ij,jk,ik->i", z - mu, np.linalg.inv(cov + O.RIDGE * np.eye(O.DIMS)), z - mu)
+
+    best = None
+    for first in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)):
+        mu, cov = np.zeros(O.DIMS), first.T @ first / len(z)
+        for _ in range(20):
+            d = distance(z, mu, cov)
+            half = z[d <= median(d)]
+            mu, cov = half.mean(axis=0), np.cov(half.T, bias=True)
+        det = np.linalg.slogdet(cov + O.RIDGE * np.eye(O.DIMS))[1]
+        if best is None or det < best[0]:
+            best = det, mu, cov
+    unit = O.CHI_MEDIAN / max(median(distance(z, *best[1:])), O.RIDGE)
+    return distance((x - centre) * w[:, None] / scale, *best[1:]) * unit
 
 
 def test_distances_match_numpy(spark):
     out = O.quality_rules(spark.read.parquet(f"{SF}/documents.parquet"))
     rows = out.join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "source"), "doc_id").toPandas()
-    for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
-        rows[c] = rows[c].astype(float)
-    n = rows.n_words + O.PRIOR_WORDS
-    x = np.stack([np.log((rows.word_chars + 5 * O.PRIOR_WORDS) / n), np.sqrt(rows.n_symbols / n),
-                  np.sqrt(rows.n_repeat_words / n), np.sqrt(rows.n_dup_lines / n)], axis=1)
-    tested = 0
-    for _, g in rows[~rows.base_failed].groupby(["lang", "source"]):
+    x, w = vectors(rows)
+    tested, verdicts, differ, plain_cut = 0, [], [], []
+    passing = rows[~rows.base_failed]
+    centre = median(x[passing.index])
+    scale = 1.4826 * median(np.abs((x[passing.index] - centre) * w[passing.index, None]))
+    for _, g in passing.groupby(["lang", "source"]):
+        i = g.index.to_numpy()
         if len(g) < O.MIN_GROUP + 10:
             continue
-        d = numpy_mcd(x[g.index])
-        assert np.mean((d <= O.CUTOFF) == g.kept) > 0.99
-        assert np.median(np.abs(d - g.distance2) / (1 + d)) < 0.05
+        d = numpy_mcd(x[i], w[i])
+        verdicts.append((d <= O.CUTOFF) == g.kept)
+        differ.append(np.abs(d - g.distance2) / (1 + d))
+        plain_cut.append(((((x[i] - centre) * w[i, None] / scale) ** 2).sum(axis=1) <= O.CUTOFF) == g.kept)
         tested += 1
     assert tested > 10
+    assert np.concatenate(verdicts).mean() > 0.99
+    assert np.median(np.concatenate(differ)) < 0.1
+    print("verdicts that one median and fixed scales give too:", np.concatenate(plain_cut).mean())
     labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().merge(rows, on="doc_id")
     good = labels[(labels.quality == 1) & ~labels.base_failed]
     assert good.kept.mean() > 0.99
     assert labels[labels.quality == 0].kept.mean() < 0.1
 
 
+def texts(rnd, n, caps, marks=0.1):
+    """Texts whose share of capitals and of marks is drawn from the two ranges' lower and upper ends."""
+    out = []
+    for _ in range(n):
+        up = rnd.uniform(*caps)
+        words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(rnd.randint(100, 300))]
+        words = [(w.upper() if rnd.random() < up else w) + ("," if rnd.random() < marks else "") for w in words]
+        out.append("\n".join(" ".join(words[i:i + 12]) for i in range(0, len(words), 12)))
+    return out
+
+
+def test_groups_judge_the_same_text_by_their_own_covariance(spark):
+    rnd = random.Random(21)
+    odd = texts(rnd, 1, (0.5, 0.5))[0]
+    rows = [(t, "en", s) for s, caps in (("wide", (0.0, 0.6)), ("narrow", (0.02, 0.06))) for t in [*texts(rnd, 150, caps), odd]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in O.quality_rules(docs).collect()}
+    kept = {s: [got[i] for i, r in enumerate(rows) if r[2] == s and r[0] == odd] for s in ("wide", "narrow")}
+    assert kept == {"wide": [True], "narrow": [False]}
+    assert sum(got.values()) >= len(rows) - 3
+
+
+def test_copies_do_not_become_the_half(spark):
+    """Exact and near copies that fill most of a group leave the other documents of it alone."""
+    rnd = random.Random(22)
+    rows = [(t, "en", s) for s in ("a", "b") for t in texts(rnd, 120, (0.02, 0.1))]
+    one, two = texts(rnd, 2, (0.05, 0.05))
+    rows += [(one, "en", "a")] * 400 + [(two + f"\nlast words {i}", "en", "b") for i in range(180)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    out = O.quality_rules(docs).collect()
+    assert len(out) == len(rows)
+    assert np.mean([r.kept for r in out if r.doc_id < 240]) > 0.98 and np.mean([r.kept for r in out if r.doc_id >= 240]) > 0.98
+
+
 def test_plan_is_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = O.base_statistics(docs)._jdf.queryExecution().toString()
