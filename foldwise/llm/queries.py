@@ -210,11 +210,13 @@ FROM m LEFT JOIN s USING (r), best"""
 
 
 ORACLES: dict[str, str] = {
-    "op2_line_dedup": f"""
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-w AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i + 1:i + {line_dedup.MIN_LINES}] ORDER BY doc_id, i) AS nth
-      FROM (SELECT doc_id, l, unnest(range(0, len(l) - {line_dedup.MIN_LINES - 1})) AS i FROM d)),
-gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w, range({line_dedup.MIN_LINES}) r(k) WHERE nth > 1),
+    "op2_line_dedup": rf"""
+WITH s AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
+d AS (SELECT *, list_transform(l, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS words FROM s),
+w AS (SELECT doc_id, i, m, row_number() OVER (PARTITION BY m, l[i + 1:i + m] ORDER BY doc_id, i) AS nth
+      FROM (SELECT doc_id, l, words, m, unnest(range(0, len(l) - m + 1)) AS i FROM d, range(1, {line_dedup.MIN_LINES + 1}) r(m))
+      WHERE m = {line_dedup.MIN_LINES} OR list_sum(words[i + 1:i + m]) >= {line_dedup.MIN_WORDS}),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM w, range({line_dedup.MIN_LINES}) r(k) WHERE nth > 1 AND k < m),
 line AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM d),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS t FROM line ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)

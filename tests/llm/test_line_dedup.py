@@ -10,17 +10,20 @@ from foldwise.llm.line_dedup import dedup_lines, suffix_intervals
 SCHEMA = "doc_id long, text string, d int, t string, runs string"
 
 
-def brute(rows, h):
-    """Lines to delete: every window of h lines that an earlier place has too."""
+def brute(rows, h, min_words=50):
+    """Lines to delete: every window of h lines, or of fewer with min_words words, that an earlier place has too."""
     rows = sorted({(k, t) for k, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     seen, gone = set(), {}
     for k, t in rows:
         lines = t.split("\n")
-        for i in range(len(lines) - h + 1):
-            w = tuple(lines[i:i + h])
-            if w in seen:
-                gone.setdefault((k, t), set()).update(range(i, i + h))
-            seen.add(w)
+        for n in range(1, h + 1):
+            for i in range(len(lines) - n + 1):
+                w = tuple(lines[i:i + n])
+                if n < h and sum(len(x.split()) for x in w) < min_words:
+                    continue
+                if w in seen:
+                    gone.setdefault((k, t), set()).update(range(i, i + n))
+                seen.add(w)
     return {(k, t): "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((k, t), ())) for k, t in rows}
 
 
@@ -43,6 +46,18 @@ def test_random_documents(spark, h):
         assert texts[k].count(want[(k, t)] if t is not None else None) == sum(a == k for a, _ in rows)
 
 
+@pytest.mark.parametrize("h", [1, 3, 4])
+def test_long_runs_of_few_lines(spark, h):
+    rnd = random.Random(30 + h)
+    lines = [" ".join(rnd.choices("abc", k=rnd.randint(0, 9))) for _ in range(12)] + ["word " * 10, "word " * 9]
+    rows = [(i, "\n".join(rnd.choices(lines, k=rnd.randint(1, 12)))) for i in range(80)]
+    rows += [(100, "word " * 10), (101, "word " * 10), (102, "word " * 9), (103, "word " * 9), (104, None)]
+    docs = spark.createDataFrame([(*r, 1, "x", "y") for r in rows], SCHEMA).repartition(3)
+    want = brute(rows, h, 10)
+    assert {r.doc_id: r.text for r in dedup_lines(docs, h, min_words=10).collect()} == {
+        k: want[(k, t)] if t is not None else None for k, t in rows}
+
+
 def test_intervals_are_the_classes_of_the_next_lines(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choices("ab", k=30)) for i in range(8)]
