@@ -254,3 +254,28 @@ def test_roles_fill_and_seeds(spark):
     assert sorted(a) == sorted(b)          # the run seed never changes the split
     c = FO.assign_folds(rows, TaskSpec(seed=7)).collect()
     assert sorted(a) != sorted(c)
+
+
+def _events(spark, n=600):
+    import datetime
+
+    d = tempfile.mkdtemp(prefix="foldwise-events-", dir="/tmp")
+    rows = [(i, datetime.datetime(2026, 1, 1), i % 9, "view", float(i)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def test_log_records_hold_the_best_iterations(spark):
+    import __spark_entry__ as E
+    from foldwise.plans import experiments as EX
+
+    d = _events(spark)
+    per_fold = {(r.exp_id, r.fold): r for r in EX.run_fold_scores(spark, d).collect()}
+    got = {r.exp_id: r for r in E.queries()["log_record"](spark, d).collect()}
+    for exp_id, r in got.items():
+        own = [x for (e, _), x in per_fold.items() if e == exp_id]
+        want = None if exp_id.startswith("stack") else max(min(int(x.score * 1200), EX.ITER_CAP - 1) for x in own)
+        assert r.max_iter == want and r.k == len(own)
+    assert "max_iter" in E.oracle_sql()["log_record"]
+    raw, _ = EX.load_runs(spark, d)
+    assert {r.exp_id: r.best_iters and max(r.best_iters) for r in raw.collect()} == {e: r.max_iter for e, r in got.items()}
