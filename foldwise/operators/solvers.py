@@ -373,45 +373,51 @@ class Remembered:
 
 
 def multinomial_fit(df: DataFrame, features: str, n_features: int, code: str, n_classes: int, fold_col: str, n_folds: int,
-                    C: float = 1.0, max_passes: int = 400, tol: float = 1e-9, accept_tol: float = 1e-6):
+                    C: float = 1.0, max_passes: int = 400, tol: float = 1e-9, accept_tol: float = 1e-6, stored: bool = False):
     """L2 multinomial logistic regression (penalty 0.5||w||^2 + C * sum logloss, intercepts free) on the
-    array column ``features`` for all K+1 problems in shared passes: damped Newton while a problem has at
-    most ``NEWTON_MOST`` weights, limited-memory steps beyond. ``NotConverged`` if the passes run out.
+    array column ``features``: first on all rows, then for the K folds in shared passes that start there. Damped
+    Newton while a problem has at most ``NEWTON_MOST`` weights, limited-memory steps beyond. ``NotConverged`` if the
+    passes run out. ``stored`` says that ``df`` is written already.
     Returns (coef (K+1, classes, features + 1) with the intercept first, objectives, gradients, passes)."""
     Q, d = n_folds + 1, n_features + 1
     size = n_classes * d
-    df, parts = _stored(df, [fold_col, code, features])
+    df, parts = (df, df.rdd.getNumPartitions()) if stored else _stored(df, [fold_col, code, features])
     full = size <= NEWTON_MOST
     width = 1 + size + (size * size if full else 0)
     reg = np.ones((n_classes, d))
     reg[:, 0] = 0.0
     reg = reg.ravel()
 
-    def stats(flat):
-        B = flat.reshape(Q, n_classes, d)
+    def stats(problems, flat):
+        B = flat.reshape(len(problems), n_classes, d)
 
         def kernel(x: np.ndarray) -> np.ndarray:
-            use, t = _chosen(x[:, 0], n_folds), x[:, 1].astype(int)
-            f = np.concatenate([np.ones((len(x), 1)), x[:, 2:]], axis=1)
-            out = np.zeros((Q, width))
-            hit = np.eye(n_classes)[t]
-            for q in range(Q):
-                z = f @ B[q].T
-                p = _softmax(z)
-                top = z.max(axis=1)
-                out[q, 0] = (use[:, q] * (top + np.log(np.exp(z - top[:, None]).sum(axis=1)) - z[np.arange(len(t)), t])).sum()
-                out[q, 1:1 + size] = (((p - hit) * use[:, q:q + 1]).T @ f).ravel()
-                if full:
-                    h = out[q, 1 + size:].reshape(n_classes, d, n_classes, d)
+            out = np.zeros((len(problems), width))
+            for i, q in enumerate(problems):
+                own = x if q == n_folds else x[x[:, 0] != q]
+                rows, t = np.arange(len(own)), own[:, 1].astype(int)
+                f = np.concatenate([np.ones((len(own), 1)), own[:, 2:]], axis=1)
+                z = f @ B[i].T
+                top = z.max(axis=1, keepdims=True, initial=-np.inf)
+                e = np.exp(z - top)
+                total = e.sum(axis=1, keepdims=True)
+                p = e / total
+                out[i, 0] = (top[:, 0] + np.log(total[:, 0]) - z[rows, t]).sum()
+                r = p.copy()
+                r[rows, t] -= 1.0
+                out[i, 1:1 + size] = (r.T @ f).ravel()
+                if full:  # sum of diag(p) - p p' by class, times f f'
+                    g = (p[:, :, None] * f[:, None, :]).reshape(len(own), size)
+                    h = -(g.T @ g)
+                    same = (g.T @ f).reshape(n_classes, d, d)
                     for k in range(n_classes):
-                        for m in range(k, n_classes):
-                            w = use[:, q] * p[:, k] * ((k == m) - p[:, m])
-                            h[k, :, m, :] = h[m, :, k, :] = (f * w[:, None]).T @ f
+                        h[k * d:(k + 1) * d, k * d:(k + 1) * d] += same[k]
+                    out[i, 1 + size:] = h.ravel()
             return out.ravel()
 
-        S = block_sums(df, [fold_col, code], kernel, Q * width, vector=features, partitions=parts).reshape(Q, width)
+        S = block_sums(df, [fold_col, code], kernel, len(problems) * width, vector=features, partitions=parts).reshape(-1, width)
         state = (C * S[:, 0] + 0.5 * np.sum(reg * flat * flat, axis=1), C * S[:, 1:1 + size] + reg * flat)
-        return (*state, C * S[:, 1 + size:].reshape(Q, size, size) + np.diag(reg)) if full else state
+        return (*state, C * S[:, 1 + size:].reshape(-1, size, size) + np.diag(reg)) if full else state
 
     shift = np.zeros((n_classes, d))
     shift[:, 0] = 1.0  # all intercepts together change nothing
@@ -420,9 +426,14 @@ def multinomial_fit(df: DataFrame, features: str, n_features: int, code: str, n_
         s = shift.ravel()
         return np.array([-np.linalg.solve(h + np.outer(s, s) + 1e-12 * np.eye(size), g) for g, h in zip(state[1], state[2])])
 
-    B, state, passes = _descend(stats, np.zeros((Q, size)), newton if full else Remembered(), max_passes, tol if full else accept_tol / 10,
-                                accept_tol, "multinomial fit")
-    return B.reshape(Q, n_classes, d), state[0], state[1], passes
+    def descend(problems, start):
+        return _descend(lambda flat: stats(problems, flat), start, newton if full else Remembered(), max_passes,
+                        tol if full else accept_tol / 10, accept_tol, "multinomial fit")
+
+    last, end, passes = descend([n_folds], np.zeros((1, size)))
+    B, state, more = descend(list(range(n_folds)), np.repeat(last, n_folds, axis=0))
+    return (np.concatenate([B, last]).reshape(Q, n_classes, d), np.concatenate([state[0], end[0]]),
+            np.concatenate([state[1], end[1]]), passes + more)
 
 
 def multinomial_predict(df: DataFrame, coef: np.ndarray, features: str, keep: Sequence[str], problem: str | int, out: str = "probs") -> DataFrame:
