@@ -12,12 +12,12 @@ from foldwise.session import with_scalars
 
 def member_matrix(long: DataFrame, members: Sequence[str], id_col: str = "id", member_col: str = "member",
                   p: str = "p") -> DataFrame:
-    """(id, <member>...): one group-by + pivot over the union (one shuffle, not M joins).
+    """(id, <member>...): one group-by over the union (one shuffle, not M joins).
 
     Column order is the member order; multiclass blocks come from array
     columns, so their class order is the label-map order.
     """
-    return long.groupBy(id_col).pivot(member_col, list(members)).agg(F.first(p))
+    return long.groupBy(id_col).agg(*[F.first(F.when(F.col(member_col) == m, F.col(p)), ignorenulls=True).alias(m) for m in members])
 
 
 def alignment_report(long: DataFrame, reference_ids: DataFrame, members: Sequence[str], id_col: str = "id",

@@ -43,66 +43,70 @@ def _sigmoid(z):
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
+def train_matrix(oof_long: DataFrame, train: DataFrame, members: list[str]) -> DataFrame:
+    """(id, <member>..., and the columns of ``train``), written once: every fit and score reads it."""
+    return materialize(member_matrix(oof_long, members).join(train, "id"))
+
+
 def meta_binary_or_regression(name: str, oof_long: DataFrame, test_long: DataFrame, train: DataFrame,
-                              members: list[str], n_folds: int, problem_type: str) -> tuple[DataFrame, DataFrame, dict]:
-    """OOF (id, fold, y, p) and test (id, p) of one meta for binary/regression."""
+                              members: list[str], n_folds: int, problem_type: str,
+                              matrix: DataFrame | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """OOF (id, fold, y, p) and test (id, p) of one meta for binary/regression. ``matrix`` is a
+    ``train_matrix`` that several metas share."""
     M = len(members)
     if name == "equal":
         mean = sum((F.col(m) for m in members), F.lit(0.0)) / M
-        X = member_matrix(oof_long, members).join(train, "id")
+        X = train_matrix(oof_long, train, members) if matrix is None else matrix
         Xt = member_matrix(test_long, members)
         return X.select("id", "fold", "y", mean.alias("p")), Xt.select("id", mean.alias("p")), {}
     if name == "rank_mean":
         if problem_type != "binary":
             raise ValueError("rank_mean is for binary tasks")
         o = oof_long.join(train.select("id", "fold"), "id")
-        oof = BL.rank_mean(o, ["fold"]).join(train.select("id", "y"), "id")
+        oof = materialize(BL.rank_mean(o, ["fold"]).join(train.select("id", "y"), "id"))
         test = BL.rank_mean(test_long.withColumn("_set", F.lit(0)), ["_set"]).drop("_set")
         return oof.select("id", "fold", "y", "p"), test.select("id", "p"), {}
-    X = member_matrix(oof_long, members).join(train, "id").persist(StorageLevel.MEMORY_AND_DISK)
+    X = train_matrix(oof_long, train, members) if matrix is None else matrix
     Xt = member_matrix(test_long, members)
-    try:
-        if name == "linear":
-            if problem_type != "regression":
-                raise ValueError("linear meta is for regression tasks")
+    if name == "linear":
+        if problem_type != "regression":
+            raise ValueError("linear meta is for regression tasks")
+        S = SV.fold_moments(X, members, "y", "fold", n_folds)
+        B = np.array([SV.ols_fit(S[q], M) for q in range(n_folds + 1)])
+        pred = SV.per_fold_expr("fold", n_folds, lambda q: SV.linear_expr(members, B[q][1:], B[q][0]))
+        tpred = SV.linear_expr(members, B[n_folds][1:], B[n_folds][0])
+        detail = {"coef": B}
+    elif name == "logistic":
+        if problem_type != "binary":
+            raise ValueError("logistic meta is for binary tasks")
+        zs = [f"_z_{m}" for m in members]
+        Xz = X.select("id", "fold", "y", *[logit(m).alias(z) for m, z in zip(members, zs)])
+        B, grad, passes = SV.logistic_fit(Xz, zs, "y", "fold", n_folds, C=1.0)
+        lz = {m: logit(m) for m in members}
+
+        def pr(q):
+            z = F.lit(float(B[q][0]))
+            for m, c in zip(members, B[q][1:]):
+                z = z + F.lit(float(c)) * lz[m]
+            return _sigmoid(z)
+        pred = SV.per_fold_expr("fold", n_folds, pr)
+        tpred = pr(n_folds)
+        detail = {"coef": B, "grad": grad, "passes": passes}
+    elif name == "nnls":
+        if problem_type == "regression":
             S = SV.fold_moments(X, members, "y", "fold", n_folds)
-            B = np.array([SV.ols_fit(S[q], M) for q in range(n_folds + 1)])
-            pred = SV.per_fold_expr("fold", n_folds, lambda q: SV.linear_expr(members, B[q][1:], B[q][0]))
-            tpred = SV.linear_expr(members, B[n_folds][1:], B[n_folds][0])
-            detail = {"coef": B}
-        elif name == "logistic":
-            if problem_type != "binary":
-                raise ValueError("logistic meta is for binary tasks")
-            zs = [f"_z_{m}" for m in members]
-            Xz = X.select("id", "fold", "y", *[logit(m).alias(z) for m, z in zip(members, zs)])
-            B, grad, passes = SV.logistic_fit(Xz, zs, "y", "fold", n_folds, C=1.0)
-            lz = {m: logit(m) for m in members}
-
-            def pr(q):
-                z = F.lit(float(B[q][0]))
-                for m, c in zip(members, B[q][1:]):
-                    z = z + F.lit(float(c)) * lz[m]
-                return _sigmoid(z)
-            pred = SV.per_fold_expr("fold", n_folds, pr)
-            tpred = pr(n_folds)
-            detail = {"coef": B, "grad": grad, "passes": passes}
-        elif name == "nnls":
-            if problem_type == "regression":
-                S = SV.fold_moments(X, members, "y", "fold", n_folds)
-                W = np.array([SV.mse_simplex_fit(S[q], M) for q in range(n_folds + 1)])
-                detail = {"weights": W}
-            else:
-                W, loss, grad, passes = SV.convex_logloss_fit(X, members, "y", "fold", n_folds, kind="binary")
-                detail = {"weights": W, "loss": loss, "grad": grad, "passes": passes}
-            pred = SV.per_fold_expr("fold", n_folds, lambda q: SV.linear_expr(members, W[q]))
-            tpred = SV.linear_expr(members, W[n_folds])
+            W = np.array([SV.mse_simplex_fit(S[q], M) for q in range(n_folds + 1)])
+            detail = {"weights": W}
         else:
-            raise ValueError(f"unknown meta {name!r}")
-        oof = X.select("id", "fold", "y", pred.alias("p"))
-        test = Xt.select("id", tpred.alias("p"))
-        return oof, test, detail
-    finally:
-        X.unpersist()
+            W, loss, grad, passes = SV.convex_logloss_fit(X, members, "y", "fold", n_folds, kind="binary")
+            detail = {"weights": W, "loss": loss, "grad": grad, "passes": passes}
+        pred = SV.per_fold_expr("fold", n_folds, lambda q: SV.linear_expr(members, W[q]))
+        tpred = SV.linear_expr(members, W[n_folds])
+    else:
+        raise ValueError(f"unknown meta {name!r}")
+    oof = X.select("id", "fold", "y", pred.alias("p"))
+    test = Xt.select("id", tpred.alias("p"))
+    return oof, test, detail
 
 
 def _true_class_matrix(oof_long: DataFrame, train: DataFrame, members: list[str]) -> DataFrame:
@@ -148,8 +152,8 @@ def _multinomial(oof_long, test_long, train, members, n_folds, K):
         w = long.groupBy("id").agg(*parts)
         return w.select("id", F.concat(*[f"_a{i}" for i in range(len(members))]).alias("features"))
 
-    X = materialize(wide(oof_long).join(train.select("id", "fold", "code"), "id"))
-    B, obj, grad, passes = SV.multinomial_fit(X, "features", len(members) * K, "code", K, "fold", n_folds)
+    X = materialize(wide(oof_long).join(train.select("id", "fold", "code"), "id"))  # read by every pass and the prediction
+    B, obj, grad, passes = SV.multinomial_fit(X, "features", len(members) * K, "code", K, "fold", n_folds, stored=True)
     oof = SV.multinomial_predict(X, B, "features", ["id", "fold", "code"], "fold")
     test = SV.multinomial_predict(wide(test_long), B, "features", ["id"], n_folds)
     return oof, test, {"coef": B, "objective": obj, "grad": grad, "passes": passes}
@@ -178,12 +182,14 @@ def stack(oof_long: DataFrame, test_long: DataFrame, train: DataFrame, members:
     """Score every meta by its OOF, pick the best by the metric direction,
     and report the full-data convex weights."""
     names = metas or METAS[problem_type]
+    oof_long, test_long, train = materialize(oof_long), materialize(test_long), materialize(train)
+    matrix = None if problem_type == "multiclass" else train_matrix(oof_long, train, members)
     results = {}
     for name in names:
         if problem_type == "multiclass":
             oof, test, det = meta_multiclass(name, oof_long, test_long, train, members, n_folds, n_classes)
         else:
-            oof, test, det = meta_binary_or_regression(name, oof_long, test_long, train, members, n_folds, problem_type)
+            oof, test, det = meta_binary_or_regression(name, oof_long, test_long, train, members, n_folds, problem_type, matrix)
         results[name] = MetaResult(name, oof, test, score_oof(oof, metric, problem_type), det)
     better = greater_is_better(metric)
     ordered = sorted(results.values(), key=lambda r: r.oof_score, reverse=better)
@@ -217,6 +223,7 @@ def stack_job(spark, oof_long: DataFrame, test_long: DataFrame, train: DataFrame
     from foldwise.operators import members as MM
     from foldwise.operators import runs as RU
 
+    oof_long, test_long = materialize(oof_long), materialize(test_long)
     MM.check_alignment(MM.alignment_report(oof_long, train.select("id"), members))
     MM.check_alignment(MM.alignment_report(test_long, template_ids, members))
     n_folds = spec.n_folds
