@@ -113,3 +113,69 @@ def test_a_fit_that_does_not_converge_is_an_error(spark):
     with pytest.raises(SV.NotConverged):
         SV.logistic_fit(df, ["a", "b", "c"], "y", "fold", 3, max_passes=2)
     SV.logistic_fit(df, ["a", "b", "c"], "y", "fold", 3)
+
+
+def _stored_rows(spark, n=200):
+    """A table of files: (id, y, fold, p)."""
+    import tempfile
+
+    path = tempfile.mkdtemp(prefix="foldwise-rows-", dir="/tmp") + "/rows"
+    spark.range(n).selectExpr("id", "cast(id % 2 as int) y", "cast(id % 5 as int) fold", "(id * 37 % 101) / 101d + id % 2 * 0.3 p").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_ranks_read_the_table_once(spark):
+    df = _stored_rows(spark).select("id", "y")
+    folded = FO.rank_folds(df, 5, seed=42, strata="y")
+    assert "FileScan" in plan(df) and "FileScan" not in plan(folded)
+    assert sorted(r["count"] for r in folded.groupBy("y", "fold").count().collect()) == [20] * 10
+
+
+def test_metas_share_one_reading_of_the_members(spark):
+    from foldwise.plans import stack as ST
+
+    df = _stored_rows(spark)
+    long = df.selectExpr("id", "stack(2, 'a', p / 2, 'b', (id * 11 % 13) / 13d) AS (member, p)")
+    res = ST.stack(long, long, df.select("id", "fold", "y"), ["a", "b"], 5, "binary", "auc", "StratifiedKFold_5")
+    assert len(res.metas) == 4
+    for m in res.metas.values():
+        assert "FileScan" not in plan(m.oof) and m.oof.count() == 200
+
+
+def test_training_reads_the_task_once(spark, monkeypatch):
+    from foldwise.plans import oof as OOF
+    from foldwise.plans.trainers import get_trainer
+    from foldwise.spec import TaskSpec
+
+    seen = []
+    keep = OOF.prepare
+    monkeypatch.setattr(OOF, "prepare", lambda s, task, *a, **kw: seen.append(plan(task)) or keep(s, task, *a, **kw))
+    task = _stored_rows(spark).selectExpr("id", "y", "p", "if(id % 10 = 0, 'test', 'train') part")
+    spec = TaskSpec(problem_type="binary", metric="auc", cv_strategy="StratifiedKFold", numeric_cols=("p",))
+    run = OOF.run_oof(spark, task, spec, get_trainer("linear"), ["p"], max_folds=1)
+    assert len(run.cv_scores) == 1 and len(seen) == 1 and "FileScan" not in seen[0]
+
+
+def test_multinomial_folds_start_from_the_fit_of_all_rows(spark, monkeypatch):
+    import numpy as np
+
+    from foldwise.operators import solvers as SV
+
+    rng = np.random.default_rng(5)
+    x, fold = rng.uniform(size=(600, 4)), np.arange(600) % 4
+    code = np.array([rng.choice(3, p=v[:3] / v[:3].sum()) for v in x])
+    df = spark.createDataFrame([(int(f), int(c), [float(e) for e in v]) for f, c, v in zip(fold, code, x)], "fold int, code int, x array<double>")
+    widths = []
+    keep = SV.block_sums
+    monkeypatch.setattr(SV, "block_sums", lambda d, c, k, width, **kw: widths.append(width) or keep(d, c, k, width, **kw))
+    B, obj, grad, passes = SV.multinomial_fit(df, "x", 4, "code", 3, "fold", 4)
+    one = 1 + 15 + 15 * 15
+    alone, shared = widths.count(one), widths.count(4 * one)
+    assert alone + shared == len(widths) == passes and shared < alone + 2
+    for q in range(5):
+        own = fold != q
+        f = np.concatenate([np.ones((own.sum(), 1)), x[own]], axis=1)
+        e = np.exp(f @ B[q].T)
+        r = e / e.sum(axis=1, keepdims=True) - np.eye(3)[code[own]]
+        g = r.T @ f + np.concatenate([np.zeros((3, 1)), B[q][:, 1:]], axis=1)
+        assert np.max(np.abs(g)) < 1e-7 and np.allclose(grad[q], g.ravel(), atol=1e-8)
