@@ -91,14 +91,26 @@ class ChunkEncoder:
             known.clear()
             known[""] = b""
             self.missed = 0
-        fresh = set().union(*cut).difference(known)
-        new = self._learn(fresh) if fresh else {}
+        out: list[bytes] = []
+        open_ = []  # texts with a part not met before
+        lookup = known.__getitem__
+        for i, row in enumerate(cut):
+            try:
+                out.append(b"".join(map(lookup, row)) + self.end)
+            except KeyError:
+                out.append(b"")
+                open_.append(i)
+        if not open_:
+            return out
+        new = self._learn(set().union(*[cut[i] for i in open_]).difference(known))
         self.missed += len(new)
         if len(known) < KNOWN_PARTS:
             known.update(new)
             new = {}
         get = known.get
-        return [b"".join([x if (x := get(c)) is not None else new[c] for c in row]) + self.end for row in cut]
+        for i in open_:
+            out[i] = b"".join([x if (x := get(c)) is not None else new[c] for c in cut[i]]) + self.end
+        return out
 
 
 @lru_cache(maxsize=2)
