@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.llm.bpe import byte_alphabet
 from foldwise.llm.common import stash, unused
 
 SEQUENCE_TOKENS = 4096
@@ -30,7 +31,8 @@ MAX_SEGMENTS = 32
 MAX_LOSS_TOKENS = 4080    # binds in sequences of few long segments, at the cost of 16 tokens of 4096 at most
 GROUP_SIZE = 4096
 KNOWN_PARTS = 350_000     # distinct parts whose ids a worker keeps
-LATIN, MARKS = "\u0100", ".,;:!?"
+LATIN = "\u0100"
+MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"  # ASCII marks: without those that begin a contraction or a special token
 
 
 def latin(text: str) -> bool:
@@ -45,7 +47,9 @@ class ChunkEncoder:
     """Ids of whole texts through a tokenizer that drops case and white space between words.
 
     Such a tokenizer treats the parts between spaces independently, so the ids of a part are
-    looked up where it was met before and texts are joined from their parts.
+    looked up where it was met before and texts are joined from their parts. New parts that are a
+    Latin word, or one with marks behind it, skip the normaliser and the pre-tokenizer, which
+    would leave the lower-cased word as it is: their words go to the model itself, many in one call.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -55,62 +59,86 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        self.bare = Tokenizer(self.tok.model)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that end a word
+        suffix = self.tok.model.end_of_word_suffix
+        self.last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
+        alphabet = byte_alphabet()
+        self.as_bytes = {n: "".join(alphabet[b] for b in chr(n).encode()) for n in range(128, 256)}
         self.end = array("I", [end_id]).tobytes()
         self.known: dict[str, bytes] = {"": b""}
         self.missed = 0
 
-    def _encode(self, words: list[str]) -> dict[str, bytes]:
+    def _encode(self, parts: list[str]) -> dict[str, bytes]:
         out = {}
-        for at in range(0, len(words), 20_000):
-            part = words[at:at + 20_000]
-            got = self.tok.encode_batch_fast(part, add_special_tokens=False)
-            out.update([(w, array("I", e.ids).tobytes()) for w, e in zip(part, got)])
+        for at in range(0, len(parts), 20_000):
+            some = parts[at:at + 20_000]
+            got = self.tok.encode_batch_fast(some, add_special_tokens=False)
+            out.update([(c, array("I", e.ids).tobytes()) for c, e in zip(some, got)])
+        return out
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case Latin words: the ids of many, cut behind those that end a word."""
+        out = {}
+        for at in range(0, len(words), 5_000):
+            some = words[at:at + 5_000]
+            pieces = "\n".join(some).translate(self.as_bytes).split("\n")
+            got = self.bare.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+            ids = np.array(got.ids, dtype=np.uint32)
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) != len(some):  # a vocabulary that does not mark the ends of words
+                out.update(self._encode(some))
+                continue
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in zip([0, *ends], ends)]))
         return out
 
     def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts not met before. A Latin word and the one mark behind it are separate pieces."""
+        """Ids of parts not met before. A Latin word and the marks behind it are separate pieces."""
         known = self.known
-        split = {c: (c[:-1], c[-1]) for c in parts
-                 if c[-1] in MARKS and c[:-1].isalpha() and (c.isascii() or max(c) < LATIN)}
-        plain = [c for c in parts if c not in split]
-        words = {w for pair in split.values() for w in pair if w not in known}
-        got = self._encode(list(words.union(plain)))
-        look = {**got, **{w: known[w] for pair in split.values() for w in pair if w in known}}
+        split, plain = {}, set()
+        for c in parts:
+            word = c.rstrip(MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < LATIN):
+                split[c] = word.lower(), c[len(word):]
+            else:
+                plain.add(c)
+        plain.update([m for _, m in split.values() if m not in known])
+        got = self._encode(list(plain))
+        got.update(self._encode_words(list({w for w, _ in split.values() if w not in known})))
+        look = {x: known[x] for pair in split.values() for x in pair if x in known} | got
         got.update([(c, look[w] + look[m]) for c, (w, m) in split.items()])
         return got
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            t = (t or "").replace("\n", " ")
-            if t.isascii() or latin(t):
-                t = t.lower()
-            cut.append(t.split(" "))
         known = self.known
         if self.missed > 8 * KNOWN_PARTS:  # the texts have changed: learn anew
             known.clear()
             known[""] = b""
             self.missed = 0
-        out: list[bytes] = []
-        open_ = []  # texts with a part not met before
-        lookup = known.__getitem__
-        for i, row in enumerate(cut):
-            try:
-                out.append(b"".join(map(lookup, row)) + self.end)
-            except KeyError:
-                out.append(b"")
-                open_.append(i)
-        if not open_:
-            return out
-        new = self._learn(set().union(*[cut[i] for i in open_]).difference(known))
-        self.missed += len(new)
-        if len(known) < KNOWN_PARTS:
-            known.update(new)
-            new = {}
+        rows: list[list[bytes | None]] = []
+        open_ = []  # row, place and part where a part was not met before
         get = known.get
-        for i in open_:
-            out[i] = b"".join([x if (x := get(c)) is not None else new[c] for c in cut[i]]) + self.end
-        return out
+        for t in texts:
+            t = (t or "").replace("\n", " ")
+            if t.isascii() or latin(t):
+                t = t.lower()
+            cut = t.split(" ")
+            row = list(map(get, cut))
+            rows.append(row)
+            at = -1
+            for _ in range(row.count(None)):
+                at = row.index(None, at + 1)
+                open_.append((row, at, cut[at]))
+        if open_:
+            new = self._learn({c for _, _, c in open_})
+            self.missed += len(new)
+            for row, at, c in open_:
+                row[at] = new[c]
+            if len(known) < KNOWN_PARTS:
+                known.update(new)
+        return [b"".join(row) + self.end for row in rows]
 
 
 @lru_cache(maxsize=2)

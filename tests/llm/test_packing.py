@@ -28,6 +28,18 @@ def test_chunks_match_the_library():
     assert ChunkEncoder(PATH, END_ID)(texts) == library_ids(texts)
 
 
+def test_new_latin_words_go_to_the_model_alone():
+    texts = ["Zorfel blümig!! grün*** NAÏVE, x1 don't ß. ªµ~", "Zorfel. 中 ÀÉ!? <|endoftext|> blümig"]
+    encode, slow = ChunkEncoder(PATH, END_ID), []
+    plain = encode._encode
+    encode._encode = lambda parts: slow.extend(parts) or plain(parts)
+    assert encode(texts) == encode(texts) == library_ids(texts)
+    assert sorted(slow) == sorted(["!!", "***", ",", ".", "!?", "~", "x1", "don't", "中", "<|endoftext|>"])
+    encode = ChunkEncoder(PATH, END_ID)
+    encode.last[:] = False  # as in a vocabulary that does not mark the ends of words
+    assert encode(texts) == library_ids(texts)
+
+
 def test_items_respect_every_limit():
     rng = np.random.default_rng(1)
     demand = np.stack([rng.integers(0, 50, 800), np.ones(800, int), rng.integers(0, 30, 800)], axis=1)
