@@ -60,32 +60,34 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def windows(words: Column) -> Column:
+    """Hashes of all windows of WINDOW words, from the words' hashes."""
+    first = F.slice(words, 1, F.greatest(F.size(words) - (WINDOW - 1), F.lit(0)))
+    return F.transform(first, lambda h, i: F.xxhash64(h, *[F.get(words, i + k) for k in range(1, WINDOW)]))
+
+
 def repeated_words(words: Column) -> Column:
-    """Words that lie in a window of WINDOW words found twice or more in the text.
+    """Words that lie in a window of WINDOW words found twice or more in the text; ``words`` are their hashes.
 
     Windows are compared by 64-bit hashes. Only texts with a repeated window pay for the
     search: positions sorted by hash, those with an equal neighbour kept, and the lengths of
     the windows' union added up.
     """
-    n = F.size(words)
-    hashes = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)),
-                                             lambda i: F.xxhash64(F.slice(words, i, WINDOW)))).otherwise(
-        F.array().cast("array<bigint>"))
 
     def covered(at: Column) -> Column:
         follow = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))))
         return F.aggregate(follow, F.lit(0), lambda a, x: a + x).cast("long")
 
     def search(h: Column) -> Column:
-        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
 
         def equal(s: Column) -> Column:
             hit = F.filter(s, lambda x, i: (x["h"] == F.get(s, i - 1)["h"]) | (x["h"] == F.get(s, i + 1)["h"]))
-            return F.array_sort(F.transform(hit, lambda x: x["i"]))
+            return F.sort_array(F.transform(hit, lambda x: x["i"]))
 
         return _let(_let(placed, equal), covered)
 
-    return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
+    return _let(windows(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
                 .otherwise(search(h)))
 
 
@@ -99,25 +101,27 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told apart by 64-bit hashes.
     """
     t = F.coalesce(F.col("_t"), F.lit(""))
-    words = F.filter(F.split(t, SPACE), lambda w: w != "")
+    words = F.array_remove(F.split(t, SPACE), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     d = docs.select(docs[id_col].alias("id"), *[docs[c].alias(f"by_{c}") for c in by],
                     docs[text_col].cast("string").alias("_t"))
     words_of = _let(words, lambda w: F.struct(
-        F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"),
-        F.size(F.array_distinct(F.transform(w, lambda x: F.xxhash64(x)))).cast("long").alias("u")))
+        F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"),
+        _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.struct(
+            repeated_words(h).alias("r"), F.size(F.array_distinct(h)).cast("long").alias("u"))).alias("h")))
     lines_of = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"),
                                               (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d")))
 
-    def rest(pattern: str) -> Column:
-        return F.length(F.regexp_replace(t, pattern, "")).cast("long")
-
-    return d.select("id", *[f"by_{c}" for c in by], words_of.alias("w"), lines_of.alias("l"),
-                    rest(SPACE).alias("word_chars"), rest(NOT_SYMBOL).alias("n_symbols"),
-                    rest(NOT_MARK).alias("n_marks"), rest(NOT_UPPER).alias("n_upper")
-                    ).select("id", *[f"by_{c}" for c in by], F.col("w.n").alias("n_words"), "word_chars", "n_symbols",
-                             F.col("l.d").alias("n_dup_lines"), F.col("w.r").alias("n_repeat_words"), "n_marks", "n_upper",
-                             F.col("l.n").alias("n_lines"), F.col("w.u").alias("n_distinct"))
+    # symbols are marks: they are counted in what is left of the text without the rest
+    marks_of = _let(F.regexp_replace(t, NOT_MARK, ""), lambda m: F.struct(
+        F.length(m).cast("long").alias("n"), F.length(F.regexp_replace(m, NOT_SYMBOL, "")).cast("long").alias("s")))
+    names = ["id", *[f"by_{c}" for c in by]]
+    return d.select(*names, words_of.alias("w"), lines_of.alias("l"), marks_of.alias("m"),
+                    F.length(F.regexp_replace(t, NOT_UPPER, "")).cast("long").alias("n_upper")
+                    ).select(*names, F.col("w.n").alias("n_words"), F.col("w.c").alias("word_chars"),
+                             F.col("m.s").alias("n_symbols"), F.col("l.d").alias("n_dup_lines"),
+                             F.col("w.h.r").alias("n_repeat_words"), F.col("m.n").alias("n_marks"), "n_upper",
+                             F.col("l.n").alias("n_lines"), F.col("w.h.u").alias("n_distinct"))
 
 
 def transformed() -> list[Column]:
@@ -199,8 +203,14 @@ def mcd(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     det = sum((F.log(f"l{i}{i}") for i in range(1, DIMS)), F.log("l00"))
     step, low = 0, None
     while True:
+        # both starts' distances in one row: half the groups, which the quantile's aggregate then need not sort
+        d = one
+        for start in (0, 1):
+            d = _join(d, est.where(F.col("start") == start).drop("start"), keys).select(
+                *keys, *_z(), *[f"d{s}" for s in range(start)], _distance(_z()).alias(f"d{start}"))
+        cut = d.groupBy(*keys).agg(*[_median(F.col(f"d{s}"), COVERAGE).alias(f"cut{s}") for s in (0, 1)])
+        cut = stash(cut.select(*keys, F.posexplode(F.array("cut0", "cut1")).alias("start", "cut")), "mcd-cut")
         d = _join(both, est, by).select(*by, *_z(), _distance(_z()).alias("d2"))
-        cut = stash(d.groupBy(*by).agg(_median(F.col("d2"), COVERAGE).alias("cut")), "mcd-cut")
         inside = _join(d, cut, by).where(F.col("d2") <= F.col("cut"))
         est = stash(_factored(inside.groupBy(*by).agg(*_sums(_z())), by), "mcd")
         step += 1

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from foldwise.llm import outliers as O
 
@@ -164,6 +165,15 @@ def test_partitions_do_not_matter(spark, parts):
     assert a == {tuple(r)[:7] for r in O.quality_rules(docs.repartition(parts)).collect()}
 
 
+def test_windows_have_equal_hashes_where_their_words_are_equal(spark):
+    rnd = random.Random(6)
+    rows = [[rnd.randint(0, 1) for _ in range(n)] for n in (0, 1, 7, 8, 9, 400)]
+    out = spark.createDataFrame([(r,) for r in rows], "w array<bigint>").select("w", O.windows(F.col("w")).alias("h")).collect()
+    for r in out:
+        want = [tuple(r.w[i:i + O.WINDOW]) for i in range(len(r.w) - O.WINDOW + 1)]
+        assert len(r.h) == len(want) and len(set(zip(r.h, want))) == len(set(want)) == len(set(r.h))
+
+
 def test_outliers_up_to_almost_half_of_a_group(spark):
     """Documents of many symbols that pass the base rules do not become the estimate."""
     rnd = random.Random(9)
